@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, html, langid, mixing, sharding, simhash, toxicity, urls
+from . import bpe, exact, html, images, langid, mixing, sharding, simhash, toxicity, urls
 from .common import fresh_dir, held_out, table
 
 #: Arrivals that op1 appends.
@@ -80,6 +80,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (held_out(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op8_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding drawn as a picture, some as crops and edits of others; their components."""
+    found = images.copies(images.render(table(spark, sf_dir, "embeddings")))
+    return found.select(F.col("img").alias("vec_id"), "component_id", F.col("n_links").cast("long").alias("n_links"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *ranks())
 
