@@ -12,44 +12,80 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trim
 
-#: Pieces and token pairs remembered by each Python worker; forgotten all at once when full.
-MEMO = 300_000
+#: Pieces remembered by each Python worker, and as many again of those met before; four times as many
+#: token pairs.
+MEMO = 200_000
 
 ENCODED = "doc_id long, ids array<int>"
 DECODED = "doc_id long, n_tokens int, ids array<int>, decoded binary"
 
 
+def parse(ranks: bytes) -> dict[bytes, int]:
+    """A rank file's tokens and their ranks."""
+    return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, ranks.splitlines()) if word}
+
+
+class Words:
+    """Ids to bytes, in numpy: every token's bytes in one array, and where each begins."""
+
+    def __init__(self, ranks: bytes) -> None:
+        found = sorted((rank, word) for word, rank in parse(ranks).items())
+        self.sizes = np.zeros(found[-1][0] + 1 if found else 0, np.int64)
+        self.sizes[[rank for rank, _ in found]] = [len(word) for _, word in found]
+        self.starts = self.sizes.cumsum() - self.sizes
+        self.bytes = np.frombuffer(b"".join(word for _, word in found), np.uint8)
+
+    def decode(self, ids: np.ndarray, block: int = 1 << 16) -> bytes:
+        out = []
+        for at in range(0, len(ids), block):
+            part = ids[at : at + block]
+            sizes = self.sizes[part]
+            ends = sizes.cumsum()
+            places = np.repeat(self.starts[part] - ends + sizes, sizes)
+            places += np.arange(len(places))
+            out.append(self.bytes[places].tobytes())
+        return b"".join(out)
+
+
 class Bpe:
-    """The codec of one rank file (lines of base64 token and rank) and one splitting pattern."""
+    """The encoder of one rank file (lines of base64 token and rank) and one splitting pattern."""
 
     def __init__(self, ranks: bytes, pattern: str) -> None:
         import ahocorasick
         import regex
 
-        self.rank_of = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, ranks.splitlines()) if word}
-        self.bytes_of = {rank: word for word, rank in self.rank_of.items()}
+        self.rank_of = parse(ranks)
+        top = max(self.rank_of.values(), default=-1) + 1
+        self.bytes_of = [b""] * top
+        for word, rank in self.rank_of.items():
+            self.bytes_of[rank] = word
+        self.sizes = [len(word) for word in self.bytes_of]
         self.pieces = regex.compile(pattern).findall
-        self.shorter = {rank: self._longest_prefix(word) for word, rank in self.rank_of.items()}
+        self.shorter = [self._longest_prefix(word) for word in self.bytes_of]
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self._compatible: dict[tuple[int, int], bool] = {}
-        for rank in sorted(self.bytes_of):
+        for rank in range(top):
             self._learn_halves(rank)
-        self._compatible.clear()  # answers found while merges were still missing
         self.matcher = ahocorasick.Automaton()
         for word, rank in self.rank_of.items():
-            self.matcher.add_word(word.decode("latin-1"), (len(word), rank))
+            self.matcher.add_word(word.decode("latin-1"), rank)
         self.matcher.make_automaton()
-        self._memo: dict[str, tuple[int, ...]] = {}
+        self.reach = max(self.sizes, default=0)
+        self._at_path: dict[str, int | None] = {}
+        self._apart: dict[int, dict[int, bool]] = defaultdict(dict)  # which tokens may follow which
+        self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _longest_prefix(self, word: bytes) -> int | None:
         return next((self.rank_of[word[:k]] for k in range(len(word) - 1, 0, -1) if word[:k] in self.rank_of), None)
@@ -58,7 +94,7 @@ class Bpe:
         """The two tokens whose merge makes this one; ranks below are known already."""
         word, left = self.bytes_of[rank], self.shorter[rank]
         while left is not None:
-            right = self.rank_of.get(word[len(self.bytes_of[left]):])
+            right = self.rank_of.get(word[self.sizes[left]:])
             if right is not None and left < rank and right < rank and self._stay_apart(left, right):
                 self.halves[rank] = (left, right)
                 self.merged[left, right] = rank
@@ -84,68 +120,104 @@ class Bpe:
             else:
                 return True
 
-    def compatible(self, left: int, right: int) -> bool:
-        found = self._compatible.get((left, right))
+    def _longest(self, text: str) -> int | None:
+        """The longest token at the start of `text` (the string form of a few bytes)."""
+        path = text[: self.matcher.longest_prefix(text)]
+        found = self._at_path.get(path)
         if found is None:
-            if len(self._compatible) >= MEMO:
-                self._compatible.clear()
-            found = self._compatible[left, right] = self._stay_apart(left, right)
+            found = next((self.rank_of[word] for k in range(len(path), 0, -1) if (word := path[:k].encode("latin-1")) in self.rank_of), None)
+            self._at_path[path] = found  # as many as the trie has nodes, at most
         return found
 
-    def _encode_bytes(self, piece: bytes) -> tuple[int, ...]:
+    def _encode_bytes(self, piece: bytes) -> bytes:
+        """One piece's ids, as the bytes of 32-bit numbers."""
         whole = self.rank_of.get(piece)
         if whole is not None:
-            return (whole,)
-        longest = [(0, -1)] * len(piece)
-        for end, (size, rank) in self.matcher.iter(piece.decode("latin-1")):
-            if size > longest[end + 1 - size][0]:
-                longest[end + 1 - size] = (size, rank)
-        open_to = bytearray(b"\x01") * (len(piece) + 1)
+            return array("i", (whole,)).tobytes()
+        sizes, shorter, apart, longest, reach = self.sizes, self.shorter, self._apart, self._longest, self.reach
+        text, n, shut = piece.decode("latin-1"), len(piece), None
         tokens: list[int] = []
-        at, token = 0, longest[0][1]
-        while at < len(piece):
-            before = tokens[-1] if tokens else None
+        at, token, fits_after = 0, longest(text[:reach]), None
+        while at < n:
             while token is not None:
-                end = at + len(self.bytes_of[token])
-                if open_to[end] and (before is None or self.compatible(before, token)):
-                    break
-                token = self.shorter[token]
+                if not shut or at + sizes[token] not in shut:
+                    if fits_after is None:
+                        break
+                    fits = fits_after.get(token)
+                    if fits is None:
+                        fits = fits_after[token] = self._stay_apart(tokens[-1], token)
+                    if fits:
+                        break
+                token = shorter[token]
             if token is not None:
                 tokens.append(token)
-                at = end
-                token = longest[at][1] if at < len(piece) else None
-            elif tokens:  # nothing fits here: close the position and shorten the token before
-                open_to[at] = 0
+                at += sizes[token]
+                token = longest(text[at : at + reach]) if at < n else None
+            elif tokens:  # nothing fits here: shut the position and shorten the token before
+                if shut is None:
+                    shut = set()
+                shut.add(at)
                 last = tokens.pop()
-                at -= len(self.bytes_of[last])
-                token = self.shorter[last]
+                at -= sizes[last]
+                token = shorter[last]
             else:
                 raise ValueError("the rank file lacks single bytes")
-        return tuple(tokens)
+            fits_after = apart[tokens[-1]] if tokens else None
+        return array("i", tokens).tobytes()
 
-    def encode(self, text: str) -> array:
-        ids, memo = array("i"), self._memo
+    def _learn(self, piece: str) -> bytes:
+        """A piece that the memo lacks: from the older half of the memo, or encoded now."""
+        found = self._older.get(piece)
+        if found is None:
+            found = self._encode_bytes(piece.encode())
+        if len(piece) <= 64:
+            if len(self._memo) >= MEMO:  # what was not met again since the last time is forgotten
+                self._older, self._memo = self._memo, {}
+                if sum(map(len, self._apart.values())) >= 4 * MEMO:
+                    self._apart.clear()
+            self._memo[piece] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """A text's ids, as the bytes of 32-bit numbers."""
+        known, learn = self._memo.get, self._learn
+        out = []
         for piece in self.pieces(text):
-            found = memo.get(piece)
+            found = known(piece)
             if found is None:
-                found = self._encode_bytes(piece.encode())
-                if len(piece) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[piece] = found
-            ids.extend(found)
-        return ids
+                found = learn(piece)
+                known = self._memo.get
+            out.append(found)
+        return b"".join(out)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
 
-
-@lru_cache(maxsize=2)
-def codec(ranks: bytes, pattern: str) -> Bpe:
-    """One codec per Python worker, rank file and pattern."""
+@lru_cache(maxsize=1)
+def encoder(ranks: bytes, pattern: str) -> Bpe:
+    """One per Python worker."""
     return Bpe(ranks, pattern)
 
 
+@lru_cache(maxsize=1)
+def vocabulary(ranks: bytes) -> Words:
+    """One per Python worker."""
+    return Words(ranks)
+
+
+def _encoded(bpe: Bpe, texts: pa.Array) -> pa.ListArray:
+    ids = [bpe.encode(x.as_py() or "") for x in texts]
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+
+def _decoded(words: Words, ids: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """How many ids each list has, and the bytes that they stand for."""
+    ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    out = [words.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
+    return pa.array(np.diff(ends).astype(np.int32)), pa.array(out, pa.binary())
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): every whole text's token ids, without special tokens.
 
@@ -157,40 +229,52 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(shared.value, pattern)
+        bpe = encoder(shared.value, pattern)
         for batch in batches:
-            ids = [bpe.encode(x) if x else array("i") for x in batch.column(1).to_pylist()]
-            ends, total = array("i", [0]), 0
-            for x in ids:
-                total += len(x)
-                ends.append(total)
-            flat = array("i", b"".join(x.tobytes() for x in ids))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(flat)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(bpe, batch.column(1))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ENCODED)
+    return _texts(docs, doc_id, text).mapInArrow(run, ENCODED)
 
 
-def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): the bytes that the ids of encode() stand for."""
+def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): the bytes that ids stand for; null ids count as none."""
+    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(shared.value, pattern)
+        words = vocabulary(shared.value)
         for batch in batches:
-            ids = batch.column(1)
-            flat, ends = ids.flatten().to_pylist(), ids.offsets.to_pylist()
-            ends = [x - ends[0] for x in ends]
-            out = [bpe.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
-            sizes = pa.array([b - a for a, b in zip(ends, ends[1:])], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, ids, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_with_bytes(batch.column(1), words)], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, DECODED)
 
 
+def _with_bytes(ids: pa.ListArray, words: Words) -> list[pa.Array]:
+    sizes, out = _decoded(words, ids)
+    return [sizes, ids, out]
+
+
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one Python worker: the ids cross over to the JVM once."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, words = encoder(shared.value, pattern), vocabulary(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_with_bytes(_encoded(bpe, batch.column(1)), words)], names=["doc_id", "n_tokens", "ids", "decoded"])
+        trim()
+
+    return _texts(docs, doc_id, text).mapInArrow(run, DECODED)
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
 def digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, and the digests of its ids and of the decoded bytes."""
-    return decode(encode(docs, ranks, pattern), ranks, pattern).select(
+    return round_trip(docs, ranks, pattern).select(
         "doc_id",
         F.col("n_tokens").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,15 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,4 +92,4 @@ def lookup_join(rows: DataFrame, classes: DataFrame, keys: list[str], size: str)
     )
 
 
-__all__ = ["HOT_KEYS", "HOT_ROWS", "WHITE", "fresh_dir", "held_out", "lookup_join", "shared_dir", "small_batches", "table", "written"]
+__all__ = ["HOT_KEYS", "HOT_ROWS", "WHITE", "fresh_dir", "held_out", "lookup_join", "shared_dir", "small_batches", "table", "trim", "written"]

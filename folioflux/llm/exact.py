@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, fresh_dir, lookup_join, small_batches, written
+from .common import WHITE, fresh_dir, lookup_join, small_batches, trim, written
 
 #: Entries (different texts) that a bucket holds before it is split.
 CAPACITY = 1024
@@ -86,7 +86,7 @@ def _sorted_out(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, ENTRY.values())], names=list(ENTRY))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], directory: Directory, held_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], directory: Directory, held_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Map side: (doc_id, hash, sha, norm) to entries, one for each different text held at once."""
     entries, shift = np.array(directory.entries), np.uint64(64 - directory.depth)
     held: dict[str, list] = {}
@@ -109,6 +109,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], directory: Directory, held_byte
             held, size = {}, 0
     if held:
         yield _sorted_out(list(held.values()))
+    held.clear()
+    trim()
 
 
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +147,7 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same[5] += entry[5]
     if ready := ready + flushed():
         yield out(ready)
+    trim()
 
 
 def directory_of(sigs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> Directory:

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trim
 
 #: Hashed n-grams.
 DIMS = 1 << 13
 #: At most about so many labelled rows are learned from, shared evenly among the languages.
 MAX_TRAIN = 2000
 #: Code points handled at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Families of ISO 639-1 codes. A code in none of them is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl no sv yi",
@@ -210,6 +210,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
                 part = batch.slice(at, 100)
                 x = features(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+        trim()
 
     got = sample(rows, max_rows).mapInArrow(run, "lang string, x binary").toArrow()
     order = np.lexsort((np.array(got.column("x").to_pylist(), object), np.array(got.column("lang").to_pylist(), object))) if got.num_rows else []
@@ -232,6 +233,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         for batch in batches:
             lang, score, family = zip(*shared.value.predict(batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(family, pa.string())], names=["doc_id", "lang_pred", "score", "family"])
+        trim()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PREDICTED)
 
@@ -248,6 +250,8 @@ def accepted(docs: DataFrame, model: Model, least: float, text: str = "text") ->
     @F.pandas_udf("boolean")
     def keeps(texts: pd.Series) -> pd.Series:
         found = shared.value.predict([None if x is None else str(x) for x in texts])
-        return pd.Series([lang != UNDETERMINED and score >= least for lang, score, _ in found], dtype=bool)
+        out = pd.Series([lang != UNDETERMINED and score >= least for lang, score, _ in found], dtype=bool)
+        trim()
+        return out
 
     return docs.filter(keeps(F.col(text)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, lookup_join, small_batches, written
+from .common import fresh_dir, lookup_join, small_batches, trim, written
 from .components import components
 
 SEED = 42
@@ -38,7 +38,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 FINGERPRINTED = "doc_id long, fp long"
 
 
-def fingerprint(text: str | None, width: int = 3, block: int = 1 << 15) -> int:
+def fingerprint(text: str | None, width: int = 3, block: int = 1 << 13) -> int:
     """The unsigned fingerprint of a whole text; 0 without words.
 
     Words are runs without ASCII white space, A-Z lower-cased; a shingle is `width` words joined
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for batch in batches:
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        trim()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, FINGERPRINTED)
 
