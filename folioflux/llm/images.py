@@ -3,9 +3,9 @@
 Corners are found at several scales; each gets a direction (its patch's intensity centroid) and
 256 binary tests of smoothed intensities at points turned by that direction. Two images are
 linked when enough of their corners match under one motion: descriptors are looked up in Hamming
-tables (eight tables of 32 bits, so descriptors up to 7 bits apart always meet, and ones
-farther apart mostly), compared over all 256 bits, and the matches of a pair of images vote for
-scale, turn and shift.
+tables (six tables of 42 bits each, so descriptors up to 5 bits apart always meet, and ones
+farther apart often; an image has many corners to meet by), compared over all 256 bits, and the
+matches of a pair of images vote for scale, turn and shift.
 
 A bucket of many descriptors (one picture with very many copies) isn't paired up: its members are
 compared with its first one. Members that this leaves in different components are compared among
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, small_batches, written
+from .common import fresh_dir, lookup_join, small_batches, trim, written
 from .components import components
 
 #: Scales at which corners are sought, and how many corners an image keeps at each.
@@ -33,7 +33,9 @@ CORNERS = (20, 8)
 REACH = 9
 TURNS = 24
 BITS = 256
-TABLES = 8
+#: Hamming tables, and the bits of a descriptor that are a key of each.
+TABLES = 6
+KEY_BITS = 42
 #: Descriptors of a pair of corners differ in this many bits at most.
 MAX_HAMMING = 44
 #: Corners that must agree on one motion; the motion's cell in pixels.
@@ -42,7 +44,7 @@ CELL = 10.0
 #: Buckets of more members than this are compared with their first member.
 FULL = 24
 
-DESCRIBED = "img long, corner int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long"
+DESCRIBED = "img long, sha string, corners array<struct<corner:int,x:float,y:float,scale:float,angle:float,d0:long,d1:long,d2:long,d3:long>>"
 WORDS = ["d0", "d1", "d2", "d3"]
 
 
@@ -136,40 +138,50 @@ def describe(images: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def descriptors(media: DataFrame, img: str = "img", image: str = "image") -> DataFrame:
-    """(img, corner, x, y, scale, angle, d0..d3): the corners of every image. One pass, no shuffle.
+    """(img, sha, corners): a row for every image, with its bytes' digest. One pass, no shuffle.
 
-    A null, empty or unreadable image, one that is too small for a patch, or a flat one, has none.
+    A null, empty or unreadable image, one that is too small for a patch, or a flat one, has no
+    corners; a null one has the digest of no bytes.
     """
     small_batches(media.sparkSession, rows=256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), *[pa.float32()] * 4, *[pa.int64()] * 4]
-        names = ["img", "corner", "x", "y", "scale", "angle", *WORDS]
+        kinds = [pa.int32(), *[pa.float32()] * 4, *[pa.int64()] * 4]
+        names = ["corner", "x", "y", "scale", "angle", *WORDS]
         for batch in batches:
-            ids, same_size = batch.column(0).to_pylist(), defaultdict(list)
-            for k, data in enumerate(batch.column(1).to_pylist()):
-                if ids[k] is not None and (grey := decode(data)) is not None:
-                    same_size[grey.shape].append((ids[k], grey))
+            same_size, rows = defaultdict(list), batch.num_rows
+            for k, data in enumerate(batch.column(2).to_pylist()):
+                if (grey := decode(data)) is not None:
+                    same_size[grey.shape].append((k, grey))
+            parts = []
             for group in same_size.values():
                 for at in range(0, len(group), 32):
-                    part = group[at : at + 32]
-                    found = describe(np.stack([g for _, g in part]))
-                    owner = np.array([i for i, _ in part], np.int64)[found["img"]]
-                    corner = np.zeros(len(owner), np.int32)
-                    for k in range(len(part)):
-                        mine = found["img"] == k
-                        corner[mine] = np.arange(mine.sum())
-                    cols = [owner, corner, found["x"], found["y"], found["scale"], found["angle"], *found["words"].T]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), t, safe=False) for c, t in zip(cols, kinds)], names=names)
-
-    return media.select(F.col(img).cast("long").alias("img"), F.col(image).alias("image")).mapInArrow(run, DESCRIBED)
+                    found = describe(np.stack([g for _, g in group[at : at + 32]]))
+                    found["row"] = np.array([k for k, _ in group[at : at + 32]])[found.pop("img")]
+                    parts.append(found)
+            all_ = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else describe(np.zeros((0, 1, 1), np.float32)) | {"row": np.zeros(0, int)}
+            order = np.argsort(all_["row"], kind="stable")
+            sizes = np.bincount(all_["row"], minlength=rows)
+            ends = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
+            corner = np.arange(len(order)) - np.repeat(ends[:-1], sizes)
+            cols = [corner, *[all_[c][order] for c in ("x", "y", "scale", "angle")], *all_["words"][order].T]
+            struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c), t, safe=False) for c, t in zip(cols, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), struct)], names=["img", "sha", "corners"])
+        trim()
+
+    rows = media.select(F.col(img).cast("long").alias("img"), F.sha2(F.coalesce(F.col(image), F.lit(b"")), 256).alias("sha"), F.col(image).alias("image"))
+    return rows.mapInArrow(run, DESCRIBED)
 
 
 def buckets(found: DataFrame) -> DataFrame:
-    """(bucket, img, corner): each descriptor's place in the eight tables, as one long."""
+    """(bucket, img, corner): each descriptor's place in the tables, as one long."""
     def place(k: int) -> Column:
-        half = F.shiftrightunsigned(F.col(WORDS[k // 2]), 32 * (1 - k % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
-        return half.bitwiseOR(F.lit(k << 32))
+        first = KEY_BITS * k  # the key's bits may lie in two words
+        word, at = divmod(first, 64)
+        key = F.shiftrightunsigned(F.shiftleft(F.col(WORDS[word]), at), 64 - KEY_BITS)
+        if at + KEY_BITS > 64:
+            key = key.bitwiseOR(F.shiftrightunsigned(F.col(WORDS[word + 1]), 128 - at - KEY_BITS))
+        return key.bitwiseOR(F.lit(k << KEY_BITS))
 
     return found.select("img", "corner", F.explode(F.array(*[place(k) for k in range(TABLES)])).alias("bucket"))
 
@@ -206,11 +218,14 @@ def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFram
     """
     spark = media.sparkSession
     path = fresh_dir(spark, "images")
-    rows = written(media.select(F.col(img).cast("long").alias("img"), F.sha2(F.coalesce(F.col(image), F.lit(b"")), 256).alias("sha")), f"{path}/rows")
-    first = rows.filter("img is not null").groupBy("sha").agg(F.min("img").alias("rep"))
-    same = written(rows.filter("img is not null").select("img", "sha").distinct().join(first, "sha").select("img", "rep"), f"{path}/same")
-    one = media.select(F.col(img).cast("long").alias("img"), F.col(image).alias("image")).join(same.filter("img = rep").select("img").distinct(), "img", "left_semi")
-    found = written(descriptors(one), f"{path}/descriptors")
+    described = written(descriptors(media, img, image), f"{path}/descriptors")
+    rows = described.select("img", "sha")
+    first = rows.filter("img is not null").groupBy("sha").agg(F.min("img").alias("rep"), F.count("*").alias("n"))
+    # Digests held by one image only are their own representatives; the others, however many rows they have, are looked up.
+    again = written(first.filter("n > 1"), f"{path}/again")
+    same = written(lookup_join(rows.filter("img is not null"), again, ["sha"], "n").select("img", "rep").distinct(), f"{path}/same")
+    found = described.filter("img is not null").join(same.filter("img <> rep").select("img"), "img", "left_anti").dropDuplicates(["img", "sha"]).select("img", F.inline("corners"))
+    found = written(found, f"{path}/corners")
 
     placed = buckets(found)
     lead = F.min(F.struct("img", "corner")).alias("lead")
@@ -230,18 +245,23 @@ def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFram
     owned = crowd.join(roots.withColumnRenamed("node", "img"), "img", "left").select("bucket", "img", "corner", F.coalesce("root", "img").alias("root"))
     apart = owned.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket")
     rest = written(owned.join(apart, "bucket"), f"{path}/apart")
-    x = rest.select("bucket", F.col("img").alias("p"), F.col("corner").alias("cp"), F.col("root").alias("rp"))
-    y = rest.select("bucket", F.col("img").alias("q"), F.col("corner").alias("cq"), F.col("root").alias("rq"))
-    across = x.join(y, "bucket").filter("rp < rq").select(F.col("p").alias("a"), F.col("cp").alias("ca"), F.col("q").alias("b"), F.col("cq").alias("cb"))
-    late = written(_consensus(across, found), f"{path}/late")
-    links = links.unionByName(late).distinct()
-    roots = components(links, f"{path}/second")
+    if not rest.isEmpty():
+        links = links.unionByName(_across(rest, found, path)).distinct()
+        roots = components(links, f"{path}/second")
     ends = links.select(F.col("a").alias("img"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("img"), F.col("a").alias("other")))
     degree = ends.groupBy("img").agg(F.countDistinct("other").alias("n_links"))
     known = roots.withColumnRenamed("node", "img").join(degree, "img")
     return rows.select("img").join(known, "img", "left").select("img", F.coalesce("root", "img").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _across(rest: DataFrame, found: DataFrame, path: str) -> DataFrame:
+    """Links between members (bucket, img, corner, root) of one bucket that are in different components."""
+    x = rest.select("bucket", F.col("img").alias("p"), F.col("corner").alias("cp"), F.col("root").alias("rp"))
+    y = rest.select("bucket", F.col("img").alias("q"), F.col("corner").alias("cq"), F.col("root").alias("rq"))
+    pairs = x.join(y, "bucket").filter("rp < rq").select(F.col("p").alias("a"), F.col("cp").alias("ca"), F.col("q").alias("b"), F.col("cq").alias("cb"))
+    return written(_consensus(pairs, found), f"{path}/late")
+
+
 # --- pictures from vectors: the media column of tables that have none -----------------------------
 
 SIDE = 64

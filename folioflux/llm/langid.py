@@ -8,6 +8,7 @@ over its code points, without building its feature vector.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from .common import small_batches, trim
 #: Hashed n-grams.
 DIMS = 1 << 13
 #: At most about so many labelled rows are learned from, shared evenly among the languages.
-MAX_TRAIN = 2000
+MAX_TRAIN = 1200
 #: Code points handled at once.
 BLOCK = 1 << 18
 #: Families of ISO 639-1 codes. A code in none of them is a family of its own.
@@ -118,20 +119,24 @@ def means(texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.
     return total / np.maximum(n, 1)[:, None], n > 0
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-loss linear SVM by dual coordinate descent; y is 1 or -1."""
-    rng, n = np.random.default_rng(7), len(x)
-    share = np.where(y > 0, n / max(1, 2 * (y > 0).sum()), n / max(1, 2 * (y < 0).sum()))
+def svm(x: np.ndarray, y: np.ndarray, use: np.ndarray | None = None, c: float = 10.0, epochs: int = 30) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2-loss linear SVM by dual coordinate descent; y is 1 or -1.
+
+    use: which rows count, all by default.
+    """
+    rng, used = np.random.default_rng(7), np.arange(len(x)) if use is None else np.flatnonzero(use)
+    n, plus = len(used), (y[used] > 0).sum()
+    share = np.where(y > 0, n / max(1, 2 * plus), n / max(1, 2 * (n - plus)))
     diag = 1 / (2 * c * share)
     q = np.einsum("ij,ij->i", x, x) + 1 + diag
-    alpha, w, bias = np.zeros(n), np.zeros(x.shape[1]), 0.0
+    alpha, w, bias = np.zeros(len(x)), np.zeros(x.shape[1], np.float32), 0.0
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(n):
+        for i in rng.permutation(used):
             step = max(-alpha[i], (1 - y[i] * (x[i] @ w + bias) - diag[i] * alpha[i]) / q[i])
             if step:
                 alpha[i] += step
-                w += step * y[i] * x[i]
+                w += np.float32(step * y[i]) * x[i]
                 bias += step * y[i]
                 moved = max(moved, abs(step))
         if moved < 1e-3:
@@ -143,21 +148,22 @@ class Model:
     """One decision a family against the rest, and one for each pair of a family's languages."""
 
     def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+        """x: the features of the labelled rows; it is scaled in place."""
         self.langs = sorted(set(langs))
         self.families = {f: [g for g in self.langs if family_of(g) == f] for f in sorted({family_of(g) for g in self.langs})}
         lang = np.array(langs)
         scale = 1 / (x.std(axis=0) + 1e-4) if len(x) else np.ones(DIMS)
-        z = (x * scale).astype(np.float64)
-        norm = float(np.sqrt((z**2).sum(axis=1).mean())) if len(z) else 1.0
-        z /= norm
+        x *= scale  # in place: the sample is the driver's largest table
+        norm = float(np.sqrt(np.einsum("ij,ij->i", x, x).mean())) if len(x) else 1.0
+        x /= norm
         decisions = []
         if len(self.families) > 1:
-            decisions += [(f, None, svm(z, np.where(np.isin(lang, own), 1.0, -1.0))) for f, own in self.families.items()]
+            decisions += [(f, None, svm(x, np.where(np.isin(lang, own), 1.0, -1.0))) for f, own in self.families.items()]
         for own in self.families.values():
             for i, a in enumerate(own):
                 for b in own[i + 1 :]:
                     pair = np.isin(lang, [a, b])
-                    decisions.append((a, b, svm(z[pair], np.where(lang[pair] == a, 1.0, -1.0))))
+                    decisions.append((a, b, svm(x, np.where(lang == a, 1.0, -1.0), pair)))
         self.names = [(a, b) for a, b, _ in decisions]
         self.weights = np.array([w * scale / norm for _, _, (w, _) in decisions], np.float64).reshape(len(decisions), DIMS).T.astype(np.float32).copy()
         self.bias = np.array([b for _, _, (_, b) in decisions])
@@ -213,10 +219,16 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
         trim()
 
     got = sample(rows, max_rows).mapInArrow(run, "lang string, x binary").toArrow()
-    order = np.lexsort((np.array(got.column("x").to_pylist(), object), np.array(got.column("lang").to_pylist(), object))) if got.num_rows else []
-    langs = [got.column("lang")[int(i)].as_py() for i in order]
-    x = np.array([np.frombuffer(got.column("x")[int(i)].as_py(), np.float32) for i in order], np.float32).reshape(len(langs), DIMS)
-    return Model(x, langs)
+    langs, vectors = got.column("lang").to_pylist(), got.column("x")
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], zlib.crc32(vectors[i].as_buffer()), vectors[i].as_py()))
+    x = np.empty((len(langs), DIMS), np.float32)
+    for k, i in enumerate(order):
+        x[k] = np.frombuffer(vectors[i].as_buffer(), np.float32)
+    del got, vectors
+    model = Model(x, [langs[i] for i in order])
+    del x
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
