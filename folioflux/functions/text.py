@@ -11,6 +11,7 @@ from ..config import DEFAULT, Settings
 
 #: White space as Python's str methods see it, for Java patterns.
 W = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 NOT_W = "[^" + W[1:]
 SENTENCE_GAP = f"(?<=[.!?]){W}+"
 #: What a URL looks like.
@@ -38,7 +39,7 @@ def _empty(t: Column) -> Column:
 
 def strip(t: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(t, f"^{W}+|{W}+$", "")
+    return F.btrim(t, F.lit(WHITE))
 
 
 def word_count(t: Column) -> Column:
@@ -66,10 +67,7 @@ def token_estimate(t: Column) -> Column:
 
 
 def is_toc_line(line: Column) -> Column:
-    found = F.lit(False)
-    for pattern in TOC_LINES:
-        found = found | line.rlike(pattern)
-    return (line != "") & found
+    return (line != "") & line.rlike("|".join(TOC_LINES))
 
 
 def remove_toc(t: Column) -> Column:

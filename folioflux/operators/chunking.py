@@ -174,11 +174,11 @@ def split_oversized(chunk: Column, s: Settings = DEFAULT, compat: bool = False)
     fits = lambda chunks: (F.size(chunks) > 0) & ~F.exists(chunks, lambda c: word_count(c) > s.max_words)
 
     def by_marks(x: Column) -> Column:
-        marks = F.transform(F.regexp_extract_all(x, F.lit(f"(?s)[^.!?;:,]*[.!?;:,]{W}*"), F.lit(0)), lambda p: F.regexp_replace(p, f"{W}+$", ""))
+        # Cut after each mark; a lookbehind, as a pattern for the parts would rescan an unmarked tail.
+        marks = F.filter(F.split(x, f"(?<=[.!?;:,]){W}*"), lambda p: p != "")
         if compat:
-            return pack_parts(marks, target, s)
-        tail = strip(F.regexp_extract(x, "(?s)([^.!?;:,]*)$", 1))
-        return pack_parts(F.filter(F.array_append(marks, tail), lambda p: p != ""), target, s)
+            marks = F.filter(marks, lambda p: p.rlike("[.!?;:,]$"))
+        return pack_parts(marks, target, s)
 
     def split(x: Column) -> Column:
         tried = F.array(F.when(x.rlike(narrow), pack_parts(F.split(x, narrow), target, s)), F.when(x.rlike(SENTENCE_GAP), pack_parts(sentences(x), target, s)))
@@ -254,14 +254,20 @@ def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, doc: str = "doc_id",
     headings are dealt out, by document.
     """
     s.checked()
-    cleaned = docs.select(F.col(doc).alias("doc"), clean(F.col(text), s).alias("text")).withColumn("n", word_count(F.col("text")))
-    any_heading = F.exists(F.split("text", "\n"), lambda x: strip(x).rlike("(?i)" + "|".join(h[1] for h in structure.HEADINGS)))
-    cleaned = cleaned.withColumn("shaped", (F.col("n") > s.max_words) & any_heading)
-    plain = cleaned.filter(~F.col("shaped"))
-    one = F.filter(F.array(final_cleanup(F.col("text"), shield_urls=not compat)), lambda c: c != "")
-    rows = plain.select("doc", F.when(F.col("n") <= s.max_words, one).otherwise(fallback_chunks(F.col("text"), s)).alias("chunks"))
-    shaped = hierarchical_chunks(structure.lines(cleaned.filter("shaped"), "doc"), s, compat)
-    return rows.unionByName(shaped.select("doc", finish(F.col("chunks"), s, compat).alias("chunks")))
+    any_heading = "(?i)" + "|".join(h[1] for h in structure.HEADINGS)
+
+    def row(t: Column, n: Column) -> Column:
+        one = F.filter(F.array(final_cleanup(t, shield_urls=not compat)), lambda c: c != "")
+        shaped = (n > s.max_words) & F.exists(F.split(t, "\n"), lambda x: strip(x).rlike(any_heading))
+        chunks = F.when(n <= s.max_words, one).when(~shaped, fallback_chunks(t, s))
+        return F.struct(F.when(shaped, t).alias("text"), chunks.alias("chunks"))
+
+    # One struct a document, unpacked by an outer generator: filters on its fields stay above it (and none is inferred below), so the
+    # text is cleaned once a branch and not once for every use.
+    made = let(clean(F.col(text), s), lambda t: let(word_count(t), lambda n: row(t, n)))
+    cleaned = docs.select(F.col(doc).alias("doc"), F.inline_outer(F.array(made)))
+    shaped = hierarchical_chunks(structure.lines(cleaned.filter("text is not null").select("doc", "text"), "doc"), s, compat)
+    return cleaned.filter("text is null").select("doc", "chunks").unionByName(shaped.select("doc", finish(F.col("chunks"), s, compat).alias("chunks")))
 
 
 def explode_chunks(chunked: DataFrame) -> DataFrame:

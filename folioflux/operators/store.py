@@ -39,8 +39,9 @@ def put_chunks(old: DataFrame, new: DataFrame, order: str = "chunk_text") -> Dat
 
 def all_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every chunk with its document, in the order of file name and index."""
-    joined = chunks.join(documents.select(*DOC_KEY, "doc_number"), DOC_KEY)
-    return joined.select("chunk_id", "filename", "path", "doc_number", "chunk_index", "chunk_text").orderBy("filename", "path", "chunk_index")
+    own = chunks.select("chunk_id", *DOC_KEY, "chunk_index", "chunk_text")
+    joined = own.join(documents.select(*DOC_KEY, "doc_number"), DOC_KEY)
+    return joined.select("chunk_id", *DOC_KEY, "doc_number", "chunk_index", "chunk_text").orderBy("filename", "path", "chunk_index")
 
 
 def chunks_by_ids(documents: DataFrame, chunks: DataFrame, ids: DataFrame) -> DataFrame:

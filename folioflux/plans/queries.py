@@ -667,7 +667,9 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
     return context.citations(fitted(spark, sf)).select("question_id", F.array_join("citations", ", ").alias("citations"))
 
 
-@query(f"""SELECT question_id, question, 'Based on DOD policies: Based on DOD policies, here''s what I found regarding ''' || question || ''':' || chr(10) || chr(10) || 'Relevant policy excerpt:' || chr(10) || substr(min_by(chunk_text, rank), 1, 200) || '...' || chr(10) || chr(10) || 'Found ' || (SELECT count(*) FROM {HITS_SQL} h WHERE h.question_id = f.question_id) || ' relevant policy sections.' || chr(10) || chr(10) || 'Sources: ' || array_to_string(list_sort(list_distinct(list(doc_number))), ', ') AS answer FROM {FIT_SQL} f GROUP BY question_id, question""")
+@query(f"""SELECT question_id, question, 'Based on DOD policies: Based on DOD policies, here''s what I found regarding ''' || question || ''':' || chr(10) || chr(10) || 'Relevant policy excerpt:' || chr(10) || substr(first_text, 1, 200) || '...' || chr(10) || chr(10) || 'Found ' || n || ' relevant policy sections.' || chr(10) || chr(10) || 'Sources: ' || numbers AS answer
+  FROM (SELECT question_id, question, arg_min(chunk_text, "rank") AS first_text, array_to_string(list_sort(list_distinct(list(doc_number))), ', ') AS numbers FROM {FIT_SQL} GROUP BY question_id, question) f
+  JOIN (SELECT question_id, count(*) AS n FROM {HITS_SQL} GROUP BY question_id) h USING (question_id)""")
 def answer(spark: SparkSession, sf: str) -> DataFrame:
     counts = hits(spark, sf).groupBy("question_id").agg(F.count("*").alias("n"))
     return context.answers(fitted(spark, sf), counts)
