@@ -288,8 +288,9 @@ def render(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     own = vectors.select(F.col(vec_id).cast("long").alias("img"), F.col(embedding).cast("array<float>").alias("v")).filter("img is not null")
     edit = F.pmod("img", F.lit(copies_of))
     base = own.filter(edit == 0).groupBy("img").agg(F.min("v").alias("base")).withColumnRenamed("img", "of")
-    drawn = own.withColumn("of", F.when(edit.isin(1, 2), F.col("img") - edit)).join(base, "of", "left")
-    kind = F.when(F.col("base").isNull(), 0).otherwise(edit).cast("int")
+    # The others look up their own id: no null key, which would gather them in one task.
+    drawn = own.withColumn("of", F.when(edit.isin(1, 2), F.col("img") - edit).otherwise(F.col("img"))).join(base, "of", "left")
+    kind = F.when(edit.isin(1, 2) & F.col("base").isNotNull(), edit).otherwise(0).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis: dict[int, np.ndarray] = {}
