@@ -8,6 +8,7 @@ occur in the whole text; the first fit (L1) picks the words, the second (L2) set
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +41,13 @@ deaf blind disabled
 GROUPS = [line.split() for line in IDENTITY_TERMS.split("\n") if line]
 KIN = {term: [x for x in line if x != term] for line in GROUPS for term in line}
 
+#: After the fit the bias is raised, by MAX_SHIFT at most, until this share of the clean training texts
+#: is below this log-odds; so one telling word is enough where no clean text has any.
+CLEAN_SHARE = 0.999
+LEAST_CLEAN = -0.4
+MAX_SHIFT = 3.0
 #: Letters of a stem: inflected and compound forms share what stands first.
-STEMS = (3, 4, 5)
+STEMS = (3, 4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\W_]+")
 SCORED = "doc_id long, score double"
 
@@ -59,7 +65,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _steepness(x: np.ndarray, share: np.ndarray) -> float:
     """The largest eigenvalue of the mean of share * x x' (with the bias), by power iteration."""
     v, found = np.ones(x.shape[1] + 1, x.dtype), 0.0
-    for _ in range(30 if len(x) else 0):
+    for _ in range(30 if x.any() else 0):
         v /= np.linalg.norm(v)
         along = share * (x @ v[:-1] + v[-1])
         v = np.append(x.T @ along, along.sum()) / len(x)
@@ -92,6 +98,7 @@ class Model:
 
     def __init__(self, texts: list[str], toxic: list[int], swap: float = 1.0) -> None:
         self.weights: dict[str, float] = {}
+        self._lookup: tuple[dict, dict] | None = None
         self.bias = -6.0
         held = {}  # equal texts count once; a text with both labels counts as toxic
         for text, label in zip(texts, toxic):
@@ -116,7 +123,9 @@ class Model:
         keep = [word for word, v in zip(vocabulary, w) if abs(v) > 1e-3]
         x, delta = self._matrices(bags, keep)
         w, bias = _fit(x, y, share, delta, l1=0.0, l2=1e-5, swap=swap, rounds=3000)
-        self.weights, self.bias = dict(zip(keep, map(float, w))), float(bias)
+        clean = x[y == 0] @ w + bias  # move the border up to the clean texts, if there is room between
+        room = LEAST_CLEAN - float(np.quantile(clean, CLEAN_SHARE))
+        self.weights, self.bias = dict(zip(keep, map(float, w))), float(bias) + min(max(room, 0.0), MAX_SHIFT)
 
     @staticmethod
     def _matrices(bags: list[set[str]], vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,21 +135,26 @@ class Model:
         swaps = []
         for i, bag in enumerate(bags):
             x[i, [column[w] for w in bag if w in column]] = 1
-            for term in sorted(bag & KIN.keys()):
+            for term in sorted(bag & KIN.keys()):  # stems end in -, so a term is a whole word
                 for other in KIN[term]:
-                    change = np.zeros(len(vocabulary), np.float32)
-                    if term in column:
-                        change[column[term]] = -1
-                    if other in column and other not in bag:
-                        change[column[other]] = 1
+                    change, mine, theirs = np.zeros(len(vocabulary), np.float32), words(term), words(other)
+                    change[[column[w] for w in mine - theirs if w in column]] = -1  # the term and its stems
+                    change[[column[w] for w in theirs - bag if w in column]] = 1
                     if change.any():
                         swaps.append(change)
         return x, np.array(swaps, np.float32).reshape(len(swaps), len(vocabulary))
 
     def score(self, text: str | None) -> float:
-        get = self.weights.get
-        z = self.bias + sum(get(w, 0.0) for w in words(text) & self.weights.keys())
-        return float(_sigmoid(np.array(z)))
+        if self._lookup is None:  # made once a worker: the words, and the stems by length
+            stems = {k: {w[:-1]: v for w, v in self.weights.items() if w[-1] == "-" and len(w) == k + 1} for k in STEMS}
+            self._lookup = {w: v for w, v in self.weights.items() if w[-1] != "-"}, {k: v for k, v in stems.items() if v}
+        whole, stems = self._lookup
+        found = set(WORD.findall(text.lower())) if text else set()
+        z = self.bias + sum(whole[w] for w in sorted(found & whole.keys()))
+        for k, weights in stems.items():
+            starts = {w[:k] for w in found if len(w) > k} & weights.keys()
+            z += sum(weights[w] for w in sorted(starts))
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", max_rows: int = MAX_TRAIN, max_chars: int = MAX_CHARS) -> Model:
