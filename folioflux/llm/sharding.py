@@ -90,7 +90,8 @@ class Sharded:
         sizes = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.root}/{folder}").select("path", F.col("length").alias("bytes"))
         counts = self.spark.read.parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n_rows"))
         tier = F.when(F.col("bytes") <= self.smallest, 0).otherwise(F.floor(F.log(F.col("bytes") / F.lit(float(self.smallest))) / F.log(F.lit(float(self.fan_in)))) + 1)
-        return counts.join(sizes, "path").select("path", "bytes", "n_rows", tier.cast("int").alias("tier"), F.lit(version).cast("long").alias("version"))
+        found = sizes.join(counts, "path", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))  # an empty table's file carries its schema
+        return found.select("path", "bytes", "n_rows", tier.cast("int").alias("tier"), F.lit(version).cast("long").alias("version"))
 
     # --- operations --------------------------------------------------------------------------
 
