@@ -48,6 +48,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, with underscores in front until no column has it (in any case)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Bound what a Python worker holds at once; very long texts then come in few-row batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -92,4 +100,4 @@ def lookup_join(rows: DataFrame, classes: DataFrame, keys: list[str], size: str)
     )
 
 
-__all__ = ["HOT_KEYS", "HOT_ROWS", "WHITE", "fresh_dir", "held_out", "lookup_join", "shared_dir", "small_batches", "table", "trim", "written"]
+__all__ = ["HOT_KEYS", "HOT_ROWS", "WHITE", "free", "fresh_dir", "held_out", "lookup_join", "shared_dir", "small_batches", "table", "trim", "written"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, fresh_dir, lookup_join, small_batches, trim, written
+from .common import WHITE, free, fresh_dir, lookup_join, small_batches, trim, written
 
 #: Entries (different texts) that a bucket holds before it is split.
 CAPACITY = 1024
@@ -199,9 +199,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     path = fresh_dir(docs.sparkSession, "exact")
     sigs = written(signatures(docs), f"{path}/signatures")
     index = build_index(docs, f"{path}/index", directory_of(sigs))
-    some_id = F.lit(-(1 << 63))  # stands for null, in keys only
-    kept = index.select(F.col("sha").alias("_sha"), F.coalesce("keep_id", some_id).alias("_id"))
-    keyed = docs.withColumns({"_sha": F.sha2(normalised(F.col("text")), 256), "_id": F.coalesce("doc_id", some_id)})
+    sha, some, first = (free(c, docs.columns) for c in ("_sha", "_id", "_first"))
+    no_id = F.lit(-(1 << 63))  # stands for null, in keys only
+    kept = index.select(F.col("sha").alias(sha), F.coalesce("keep_id", no_id).alias(some))
+    keyed = docs.withColumns({sha: F.sha2(normalised(F.col("text")), 256), some: F.coalesce("doc_id", no_id)})
     order = [c for c, kind in docs.dtypes if kind in ("string", "bigint", "int") and c != "doc_id"]
-    first = F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(*order))
-    return keyed.join(kept, ["_sha", "_id"], "left_semi").withColumn("_first", first).filter("_first = 1").select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy(sha, some).orderBy(*order))
+    return keyed.join(kept, [sha, some], "left_semi").withColumn(first, place).filter(F.col(first) == 1).select(*docs.columns)

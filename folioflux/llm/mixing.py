@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, written
+from .common import free, fresh_dir, written
 
 #: The distributions are broadcast up to so many sources and steps in all (8 bytes each).
 MAX_SOURCES = 10_000
@@ -58,7 +58,8 @@ def distributions(of: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, seed: int = 17, scale: float = 1.0) -> DataFrame:
     """The documents repeated by their draws and shuffled: all columns, then _copy (0-based),
-    _copies, _rate and _key_shuffle; within each partition in the order of _key_shuffle.
+    _copies, _rate and _key_shuffle; within each partition in the order of _key_shuffle. Where the
+    documents have a column of such a name, the new one gets another underscore in front.
 
     A document's draw depends on the seed and its id alone, so any run and any cluster give the
     same copies; rows that repeat an id (a null one too) draw alike. Null texts count no
@@ -70,13 +71,10 @@ def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, seed:
     size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("cdf")), F.lit(0)).alias("steps")).first()
     if size["n"] <= MAX_SOURCES and size["steps"] <= MAX_STEPS:
         found = F.broadcast(found)
-    drawn = F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))
-    rows = (
-        docs.withColumns({"_key": _key(F.col("source")), "_u": uniform(seed, "draw", F.col("doc_id")) / F.lit(float(1 << 52))})
-        .join(found.select("_key", F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf")), "_key")
-        .withColumn("_copies", drawn)
-        .filter("_copies > 0")
-        .select(*docs.columns, "_rate", "_copies", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"))
-    )
-    keyed = rows.withColumn("_key_shuffle", uniform(seed, "order", F.col("doc_id"), F.col("_copy")))
-    return keyed.repartition("_key_shuffle").sortWithinPartitions("_key_shuffle", "doc_id", "_copy").select(*docs.columns, "_copy", "_copies", "_rate", "_key_shuffle")
+    copy, copies, rate, order = (free(c, docs.columns) for c in ("_copy", "_copies", "_rate", "_key_shuffle"))
+    drawn = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), _key(F.col("source")).alias("_key"), (uniform(seed, "draw", F.col("doc_id")) / F.lit(float(1 << 52))).alias("u"))
+    rows = packed.join(found, "_key").select("row", "rate", drawn.alias("copies")).filter("copies > 0")
+    each = rows.select("row", "rate", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    keyed = each.select("row.*", F.col("copy").alias(copy), F.col("copies").alias(copies), F.col("rate").alias(rate), uniform(seed, "order", F.col("row.doc_id"), F.col("copy")).alias(order))
+    return keyed.repartition(order).sortWithinPartitions(order, "doc_id", copy)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, lookup_join, small_batches, trim, written
+from .common import free, fresh_dir, lookup_join, small_batches, trim, written
 from .components import components
 
 SEED = 42
@@ -178,6 +178,7 @@ def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
     classes = near_duplicates(docs, radius=radius)
     kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
     order = [c for c in docs.columns if c != "doc_id" and dict(docs.dtypes)[c] in ("string", "bigint", "int")]
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
+    first = free("_first", docs.columns)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(first, place).filter(F.col(first) == 1)
     return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
