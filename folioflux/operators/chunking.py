@@ -204,47 +204,71 @@ def finish(chunks: Column, s: Settings = DEFAULT, compat: bool = False) -> Colum
     return enforce_size(apply_overlap(merge_small(cleaned, s), s), s, compat)
 
 
-def section_runs(of_sections: DataFrame, s: Settings = DEFAULT, compat: bool = False) -> DataFrame:
-    """(doc, first, stop): the runs of sections [first, stop) that make the chunks.
+def section_rows(of_lines: DataFrame) -> DataFrame:
+    """Sections with their text: doc, idx (-1: the lines before the first heading), header, text, parent,
+    next_idx, before (words of earlier sections), subtree (words of it and what is below), has_content.
+
+    Lines become sections by one aggregate and sections a tree by windows, all partitioned by
+    document: one shuffle, no join.
+    """
+    upto = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    marked = structure.headings(of_lines).withColumn("idx", (F.sum(F.col("level").isNotNull().cast("int")).over(upto) - 1).cast("int"))
+    is_text = F.col("level").isNull()
+    one = marked.groupBy("doc", "idx").agg(
+        F.max("level").alias("level"), F.max(F.when(~is_text, F.col("bare"))).alias("header"), F.sum(word_count(F.col("bare"))).alias("words"),
+        F.sum((is_text & (F.col("bare") != "")).cast("int")).alias("texts"), F.array_sort(F.collect_list(F.when(is_text, F.struct("line", "text")))).alias("body"),
+    )
+    content = F.array_join(F.transform("body", lambda x: x["text"]), "\n")
+    text = F.when(F.col("header").isNull(), content).when(strip(content) != "", F.concat_ws("\n", "header", content)).otherwise(F.col("header"))
+    by_doc = Window.partitionBy("doc").orderBy("idx")
+    earlier, later, whole = by_doc.rowsBetween(Window.unboundedPreceding, -1), by_doc.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("doc")
+    one = one.withColumns({"before": F.coalesce(F.sum("words").over(earlier), F.lit(0)), "texts_before": F.coalesce(F.sum("texts").over(earlier), F.lit(0))})
+    at = F.struct("idx", "before", F.col("texts_before").alias("texts"))
+    parents = [F.when(F.col("level") > n, F.last(F.when(F.col("level") == n, F.col("idx")), ignorenulls=True).over(earlier)) for n in structure.LEVELS]
+    ends = [F.when(F.col("level") >= n, F.first(F.when(F.col("level") == n, at), ignorenulls=True).over(later)) for n in structure.LEVELS]
+    one = one.withColumns({"parent": F.greatest(*parents), "end": F.least(*ends), "n": F.max("idx").over(whole) + 1, "all_words": F.sum("words").over(whole), "all_texts": F.sum("texts").over(whole)})
+    return one.select(
+        "doc", "idx", "header", text.alias("text"), "parent", F.coalesce("end.idx", "n").alias("next_idx"), "before",
+        (F.coalesce("end.before", "all_words") - F.col("before")).alias("subtree"), (F.coalesce("end.texts", "all_texts") > F.col("texts_before")).alias("has_content"),
+    )
+
+
+def runs(sections: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
+    """A document's sections (array by idx from 0) to runs (first, stop) that make its chunks.
 
     From a section, children with their whole subtrees are added in order while the run's words are
-    at most max_words. The next run starts at the first section after it that has content.
+    at most max_words. The next run starts at the first section after it that has content (with
+    compat; else at the next one).
     """
-    summed = structure.subtree_words(of_sections)
-    own = summed.select("doc", "idx", "before", (F.col("idx") + 1).alias("stop"), F.lit(0).alias("run"))
-    # A run may stop after each child: where the child's subtree ends.
-    child = summed.filter("parent is not null").select("doc", F.col("parent").alias("idx"), F.col("next_idx").alias("stop"), (F.col("before") + F.col("subtree")).alias("upto"))
-    ends = own.select("doc", "idx", "before").join(child, ["doc", "idx"]).filter(F.col("upto") - F.col("before") <= s.max_words)
-    furthest = own.select("doc", "idx", "stop").unionByName(ends.select("doc", "idx", "stop")).groupBy("doc", "idx").agg(F.max("stop").alias("stop"))
-    starts = F.col("has_content") if compat else F.lit(True)
-    rows = summed.select("doc", "idx", starts.alias("starts")).join(furthest, ["doc", "idx"])
-    runs = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("idx", "stop", "starts"))).alias("all"))
     begin = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<first:int,stop:int>>").alias("runs"))
 
+    def stop(x: Column) -> Column:
+        below = F.slice(sections, x["idx"] + 2, x["next_idx"] - x["idx"] - 1)
+        fits = F.filter(below, lambda c: (c["parent"] == x["idx"]) & (c["before"] + c["subtree"] - x["before"] <= s.max_words))
+        return F.coalesce(F.array_max(F.transform(fits, lambda c: c["next_idx"])), x["idx"] + 1).cast("int")
+
     def take(state: Column, x: Column) -> Column:
-        picked = F.struct(x["stop"].cast("int").alias("free"), F.array_append(state["runs"], F.struct(x["idx"].alias("first"), x["stop"].cast("int").alias("stop"))).alias("runs"))
-        return F.when(x["starts"] & (x["idx"] >= state["free"]), picked).otherwise(F.struct(state["free"].alias("free"), state["runs"].alias("runs")))
+        starts = (x["idx"] >= state["free"]) & (x["has_content"] if compat else F.lit(True))
+        picked = let(stop(x), lambda end: F.struct(end.alias("free"), F.array_append(state["runs"], F.struct(x["idx"].alias("first"), end.alias("stop"))).alias("runs")))
+        return F.when(starts, picked).otherwise(F.struct(state["free"].alias("free"), state["runs"].alias("runs")))
 
-    return runs.select("doc", F.inline(F.aggregate("all", begin, take, lambda x: x["runs"])))
+    return F.aggregate(sections, begin, take, lambda x: x["runs"])
 
 
 def hierarchical_chunks(of_lines: DataFrame, s: Settings = DEFAULT, compat: bool = False) -> DataFrame:
-    """(doc, chunks): the unfinished chunks of documents that have headings."""
-    body = structure.section_content(of_lines)
-    runs = section_runs(structure.sections(of_lines), s, compat)
-    text = F.when(strip(F.col("content")) != "", F.concat_ws("\n", "header", "content")).otherwise(F.col("header"))
+    """(doc, chunks): the unfinished chunks of documents that have headings; other documents have no row."""
+    row = F.struct("idx", "next_idx", "parent", "before", "subtree", "has_content", "text")
+    docs = section_rows(of_lines).groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    first = F.filter("all", lambda x: (x["idx"] < 0) & (strip(x["text"]) != ""))
+
+    def texts(sections: Column) -> Column:
+        join = lambda r: F.array_join(F.transform(F.slice(sections, r["first"] + 1, r["stop"] - r["first"]), lambda x: x["text"]), "\n")
+        return F.transform(runs(sections, s, compat), join)
+
+    chunks = let(F.filter("all", lambda x: x["idx"] >= 0), texts)
     if not compat:  # the lines before the first heading are a run of their own
-        has = body.filter("idx >= 0").select("doc").distinct()
-        runs = runs.unionByName(body.filter((F.col("idx") == -1) & (strip(F.col("content")) != "")).join(has, "doc", "left_semi").select("doc", F.lit(-1).alias("first"), F.lit(0).alias("stop")))
-    # A section belongs to the last run that starts at or before it, if that run reaches it.
-    parts = body.select("doc", "idx", text.alias("text"))
-    marks = parts.join(runs.withColumnRenamed("first", "idx"), ["doc", "idx"], "left")
-    so_far = Window.partitionBy("doc").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    run = F.last(F.when(F.col("stop").isNotNull(), F.struct(F.col("idx").alias("first"), "stop")), ignorenulls=True).over(so_far)
-    inside = marks.withColumn("run", run).filter("run is not null and idx < run.stop")
-    chunk = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n")
-    one = inside.groupBy("doc", F.col("run.first").alias("first")).agg(chunk.alias("text"))
-    return one.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]).alias("chunks"))
+        chunks = F.concat(F.transform(first, lambda x: x["text"]), chunks)
+    return docs.filter(F.exists("all", lambda x: x["idx"] >= 0)).select("doc", chunks.alias("chunks"))
 
 
 def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, doc: str = "doc_id", text: str = "text", compat: bool = False) -> DataFrame:
