@@ -16,9 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import fresh_dir, written
+
 #: URLs that a sort takes at once, about; and the least number of salts.
 ROWS_A_SALT = 200_000
 LEAST_SALTS = 64
+#: The salts are broadcast up to so many top-level labels (some 30 bytes each).
+MAX_LABELS = 100_000
 
 RULES = "host string, path string, verdict string"
 
@@ -91,9 +95,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", page_id: s
     labels = F.split("host", r"\.")
     rows = rows.withColumn("label", F.element_at(labels, -1))
     salts = F.greatest(F.lit(LEAST_SALTS), F.ceil(F.col("n") / ROWS_A_SALT).cast("int"))
-    ruled = ends.select("label").distinct()
-    counted = rows.join(ruled, "label", "left_semi").groupBy("label").agg(F.count("*").alias("n"))
-    spread = ruled.join(counted, "label", "left").select("label", F.coalesce(salts, F.lit(LEAST_SALTS)).alias("salts"))
+    counted = rows.groupBy("label").agg(F.count("*").alias("n"))  # summed before it is shuffled
+    spread = ends.select("label").distinct().join(counted, "label", "left").select("label", F.coalesce(salts, F.lit(LEAST_SALTS)).alias("salts"))
+    spread = written(spread, f"{fresh_dir(pages.sparkSession, 'urls')}/salts")
+    if spread.count() <= MAX_LABELS:  # top-level labels that have rules: else a join by label, which is skewed
+        spread = F.broadcast(spread)
 
     sorted_rows = rows.withColumns({f"key_{n}": F.when(F.size(labels) >= n, _key(labels, n, F.col("path"))) for n in levels})
     sorted_rows = sorted_rows.join(spread, "label", "left").withColumn(
