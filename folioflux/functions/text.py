@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -33,6 +33,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often later steps use them.
+
+    They come out of a generator, which the optimizer neither merges with later projections nor
+    lets filters through; an outer one, as it infers filters below an inner one. Use this between
+    large steps and let() inside one: each nested let costs the analyzer a round.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def _empty(t: Column) -> Column:
     return F.coalesce(t, F.lit(""))
 

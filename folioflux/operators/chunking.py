@@ -12,14 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import SENTENCE_GAP, W, clean, final_cleanup, let, sentences, strip, whole_sentences, word_count, words
+from ..functions.text import SENTENCE_GAP, W, clean, computed, final_cleanup, let, sentences, strip, whole_sentences, word_count, words
 from . import structure
 
 _NONE = "array<string>"
+#: A line that is a heading of some kind.
+ANY_HEADING = "(?i)" + "|".join(h[1] for h in structure.HEADINGS)
 
 
 def _fold(parts: Column, take: Callable[[Column, Column, Column], Column]) -> Column:
@@ -204,33 +206,56 @@ def finish(chunks: Column, s: Settings = DEFAULT, compat: bool = False) -> Colum
     return enforce_size(apply_overlap(merge_small(cleaned, s), s), s, compat)
 
 
-def section_rows(of_lines: DataFrame) -> DataFrame:
-    """Sections with their text: doc, idx (-1: the lines before the first heading), header, text, parent,
-    next_idx, before (words of earlier sections), subtree (words of it and what is below), has_content.
+def _level(bare: Column) -> Column:
+    """The level of a heading line, null for other lines; the first kind that fits counts."""
+    found = F.lit(None).cast("int")
+    for _, pattern, level, _ in reversed(structure.HEADINGS):
+        found = F.when(bare.rlike("(?i)" + pattern), F.lit(level)).otherwise(found)
+    return F.when(bare.rlike(ANY_HEADING), found)
 
-    Lines become sections by one aggregate and sections a tree by windows, all partitioned by
-    document: one shuffle, no join.
+
+def section_tree(lines: Column) -> Column:
+    """A document's lines (array) to its sections (array of structs, by idx from 0): idx, line, level, parent,
+    next_idx (the first section after its subtree), text, words (its own), before (words of earlier
+    sections), texts (its own lines that aren't blank) and texts_before.
+
+    The tree in two folds over the headings: forward with the last section of each level, backward
+    with the next one of each level. Everything stays in the document's row.
     """
-    upto = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    marked = structure.headings(of_lines).withColumn("idx", (F.sum(F.col("level").isNotNull().cast("int")).over(upto) - 1).cast("int"))
-    is_text = F.col("level").isNull()
-    one = marked.groupBy("doc", "idx").agg(
-        F.max("level").alias("level"), F.max(F.when(~is_text, F.col("bare"))).alias("header"), F.sum(word_count(F.col("bare"))).alias("words"),
-        F.sum((is_text & (F.col("bare") != "")).cast("int")).alias("texts"), F.array_sort(F.collect_list(F.when(is_text, F.struct("line", "text")))).alias("body"),
-    )
-    content = F.array_join(F.transform("body", lambda x: x["text"]), "\n")
-    text = F.when(F.col("header").isNull(), content).when(strip(content) != "", F.concat_ws("\n", "header", content)).otherwise(F.col("header"))
-    by_doc = Window.partitionBy("doc").orderBy("idx")
-    earlier, later, whole = by_doc.rowsBetween(Window.unboundedPreceding, -1), by_doc.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("doc")
-    one = one.withColumns({"before": F.coalesce(F.sum("words").over(earlier), F.lit(0)), "texts_before": F.coalesce(F.sum("texts").over(earlier), F.lit(0))})
-    at = F.struct("idx", "before", F.col("texts_before").alias("texts"))
-    parents = [F.when(F.col("level") > n, F.last(F.when(F.col("level") == n, F.col("idx")), ignorenulls=True).over(earlier)) for n in structure.LEVELS]
-    ends = [F.when(F.col("level") >= n, F.first(F.when(F.col("level") == n, at), ignorenulls=True).over(later)) for n in structure.LEVELS]
-    one = one.withColumns({"parent": F.greatest(*parents), "end": F.least(*ends), "n": F.max("idx").over(whole) + 1, "all_words": F.sum("words").over(whole), "all_texts": F.sum("texts").over(whole)})
-    return one.select(
-        "doc", "idx", "header", text.alias("text"), "parent", F.coalesce("end.idx", "n").alias("next_idx"), "before",
-        (F.coalesce("end.before", "all_words") - F.col("before")).alias("subtree"), (F.coalesce("end.texts", "all_texts") > F.col("texts_before")).alias("has_content"),
-    )
+    def section(heads: Column) -> Column:
+        def one(h: Column, k: Column) -> Column:
+            stop = F.coalesce(F.get(heads, k + 1)["i"], F.size(lines))
+            return let(F.slice(lines, h["i"] + 2, stop - h["i"] - 1), lambda body: let(F.array_join(body, "\n"), lambda content: F.struct(
+                k.alias("idx"), h["i"].alias("line"), h["level"].alias("level"),
+                F.when(strip(content) != "", F.concat_ws("\n", h["bare"], content)).otherwise(h["bare"]).alias("text"),
+                (word_count(h["bare"]) + word_count(content)).alias("words"), F.size(F.filter(body, lambda x: strip(x) != "")).alias("texts"))))
+
+        return F.transform(heads, one)
+
+    none = F.lit([None] * len(structure.LEVELS)).cast("array<int>")
+    put = lambda held, x: F.transform(held, lambda v, n: F.when(n == x["level"], x["idx"]).otherwise(v))
+    start = lambda: F.struct(none.alias("held"), F.array().cast("array<int>").alias("out"))
+    step = lambda reach: lambda st, x: F.struct(put(st["held"], x).alias("held"), F.array_append(st["out"], reach(st["held"], x)).alias("out"))
+
+    def tree(sections: Column) -> Column:
+        parents = F.aggregate(sections, start(), step(lambda held, x: F.array_max(F.slice(held, F.lit(1), x["level"]))), lambda st: st["out"])
+        ends = F.aggregate(F.reverse(sections), start(), step(lambda held, x: F.coalesce(F.array_min(F.slice(held, F.lit(1), x["level"] + 1)), F.size(sections))), lambda st: F.reverse(st["out"]))
+        zero = F.struct(F.lit(0).alias("w"), F.lit(0).alias("t"), F.array().cast("array<struct<w:int,t:int>>").alias("out"))
+        sums = F.aggregate(sections, zero, lambda st, x: F.struct((st["w"] + x["words"]).alias("w"), (st["t"] + x["texts"]).alias("t"), F.array_append(st["out"], F.struct(st["w"].alias("w"), st["t"].alias("t"))).alias("out")),
+                           lambda st: F.array_append(st["out"], F.struct(st["w"].alias("w"), st["t"].alias("t"))))
+
+        def row(p: Column, e: Column, b: Column) -> Column:
+            def whole(x: Column) -> Column:
+                i, end = x["idx"], F.get(e, x["idx"])
+                return F.struct(
+                    i.alias("idx"), x["line"].alias("line"), x["level"].alias("level"), F.get(p, i).alias("parent"), end.alias("next_idx"), x["text"].alias("text"),
+                    F.get(b, i)["w"].alias("before"), (F.get(b, end)["w"] - F.get(b, i)["w"]).alias("subtree"), (F.get(b, end)["t"] > F.get(b, i)["t"]).alias("has_content"))
+            return F.transform(sections, whole)
+
+        return let(parents, lambda p: let(ends, lambda e: let(sums, lambda b: row(p, e, b))))
+
+    marked = F.transform(lines, lambda x, i: let(strip(x), lambda bare: F.struct(i.alias("i"), bare.alias("bare"), _level(bare).alias("level"))))
+    return let(F.filter(marked, lambda x: x["level"].isNotNull()), lambda heads: let(section(heads), tree))
 
 
 def runs(sections: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
@@ -255,43 +280,39 @@ def runs(sections: Column, s: Settings = DEFAULT, compat: bool = False) -> Colum
     return F.aggregate(sections, begin, take, lambda x: x["runs"])
 
 
-def hierarchical_chunks(of_lines: DataFrame, s: Settings = DEFAULT, compat: bool = False) -> DataFrame:
-    """(doc, chunks): the unfinished chunks of documents that have headings; other documents have no row."""
-    row = F.struct("idx", "next_idx", "parent", "before", "subtree", "has_content", "text")
-    docs = section_rows(of_lines).groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    first = F.filter("all", lambda x: (x["idx"] < 0) & (strip(x["text"]) != ""))
-
-    def texts(sections: Column) -> Column:
+def hierarchical_chunks(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
+    """The unfinished chunks of a text with headings: runs of whole sections. No headings, no chunks."""
+    def chunks(lines: Column, sections: Column) -> Column:
         join = lambda r: F.array_join(F.transform(F.slice(sections, r["first"] + 1, r["stop"] - r["first"]), lambda x: x["text"]), "\n")
-        return F.transform(runs(sections, s, compat), join)
+        found = F.transform(runs(sections, s, compat), join)
+        if compat:
+            return found
+        # The lines before the first heading are a run of their own.
+        before = F.array_join(F.slice(lines, F.lit(1), F.coalesce(F.get(sections, F.lit(0))["line"], F.lit(0))), "\n")
+        return F.concat(F.filter(F.array(before), lambda c: strip(c) != ""), found)
 
-    chunks = let(F.filter("all", lambda x: x["idx"] >= 0), texts)
-    if not compat:  # the lines before the first heading are a run of their own
-        chunks = F.concat(F.transform(first, lambda x: x["text"]), chunks)
-    return docs.filter(F.exists("all", lambda x: x["idx"] >= 0)).select("doc", chunks.alias("chunks"))
+    return let(F.split(text, "\n"), lambda lines: let(section_tree(lines), lambda sections: chunks(lines, sections)))
 
 
-def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, doc: str = "doc_id", text: str = "text", compat: bool = False) -> DataFrame:
-    """(doc, chunks): every document's chunks. Blank text has none; a short one is one chunk.
+def with_chunks(docs: DataFrame, text: str, into: str = "chunks", s: Settings = DEFAULT, compat: bool = False) -> DataFrame:
+    """docs with an array of each text's chunks, from cleaning to the size cap.
 
-    Documents without headings are chunked in their own row; only the lines of long documents with
-    headings are dealt out, by document.
+    Blank text has none; a short one is one chunk. Row by row: no shuffle, and a document never
+    leaves its row.
     """
     s.checked()
-    any_heading = "(?i)" + "|".join(h[1] for h in structure.HEADINGS)
-
-    def row(t: Column, n: Column) -> Column:
-        one = F.filter(F.array(final_cleanup(t, shield_urls=not compat)), lambda c: c != "")
-        shaped = (n > s.max_words) & F.exists(F.split(t, "\n"), lambda x: strip(x).rlike(any_heading))
-        chunks = F.when(n <= s.max_words, one).when(~shaped, fallback_chunks(t, s))
-        return F.struct(F.when(shaped, t).alias("text"), chunks.alias("chunks"))
-
-    # One struct a document, unpacked by an outer generator: filters on its fields stay above it (and none is inferred below), so the
-    # text is cleaned once a branch and not once for every use.
-    made = let(clean(F.col(text), s), lambda t: let(word_count(t), lambda n: row(t, n)))
-    cleaned = docs.select(F.col(doc).alias("doc"), F.inline_outer(F.array(made)))
-    shaped = hierarchical_chunks(structure.lines(cleaned.filter("text is not null").select("doc", "text"), "doc"), s, compat)
-    return cleaned.filter("text is null").select("doc", "chunks").unionByName(shaped.select("doc", finish(F.col("chunks"), s, compat).alias("chunks")))
+    t, n = F.col("_t"), F.col("_n")
+    rows = computed(computed(docs, _t=clean(F.col(text), s)), _n=word_count(t), _shaped=F.exists(F.split(t, "\n"), lambda x: strip(x).rlike(ANY_HEADING)))
+    one = F.filter(F.array(final_cleanup(t, shield_urls=not compat)), lambda c: c != "")
+    raw = F.when((n > s.max_words) & F.col("_shaped"), hierarchical_chunks(t, s, compat))
+    rows = computed(rows, _raw=raw)
+    chunks = F.when(n <= s.max_words, one).when(F.col("_shaped"), finish(F.col("_raw"), s, compat)).otherwise(fallback_chunks(t, s))
+    return computed(rows, **{into: chunks}).select(*docs.columns, into)
+
+
+def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, doc: str = "doc_id", text: str = "text", compat: bool = False) -> DataFrame:
+    """(doc, chunks) for every row."""
+    return with_chunks(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), "text", "chunks", s, compat).select("doc", "chunks")
 
 
 def explode_chunks(chunked: DataFrame) -> DataFrame:

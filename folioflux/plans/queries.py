@@ -396,8 +396,7 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hierarchical_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    found = chunking.hierarchical_chunks(structure.lines(outline(spark, sf)))
-    return chunking.explode_chunks(found).withColumnRenamed("doc", "doc_id")
+    return outline(spark, sf).select("doc_id", F.posexplode(chunking.hierarchical_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
 @query()

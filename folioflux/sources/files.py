@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import document_number
+from ..functions.text import clean, computed, document_number
+from ..operators.chunking import with_chunks
 
 PROCESSED = "filename string, path string, clean_text string, chunks array<string>, chunk_count int, doc_number string"
 #: Parsers by name: a factory called once a worker, giving a function from a file's bytes to its text.
@@ -43,17 +44,10 @@ def parse(files: DataFrame, parser: str = "text") -> DataFrame:
 
 
 def process(raw: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(path, filename, raw_text) to processed documents; those without chunks are left out.
-
-    One row per path in, so the chunks are joined back by path.
-    """
-    from ..functions.text import clean, strip
-    from ..operators.chunking import chunk_documents
-
-    cleaned = raw.withColumn("clean_text", clean(F.col("raw_text"), s))
-    chunks = chunk_documents(cleaned.filter(strip(F.col("clean_text")) != ""), s, doc="path", text="clean_text")
+    """(path, filename, raw_text) to processed documents; those without chunks are left out. No shuffle."""
+    cleaned = computed(raw.select("filename", "path", "raw_text"), clean_text=clean(F.col("raw_text"), s))
+    rows = with_chunks(cleaned, "clean_text", "chunks", s).filter(F.size("chunks") > 0)
     number = document_number(F.col("filename"), None, F.substring(F.col("clean_text"), 1, s.first_page_chars))
-    rows = cleaned.join(chunks.withColumnRenamed("doc", "path"), "path").filter(F.size("chunks") > 0)
     return rows.select("filename", "path", "raw_text", "clean_text", "chunks", F.size("chunks").alias("chunk_count"), number.alias("doc_number"))
 
 

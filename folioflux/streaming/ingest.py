@@ -33,10 +33,14 @@ def ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str, patt
 
 def unique(stream: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
     """A stream without repeated keys, as far back as `late`."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def windowed(events: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums of events by type in tumbling windows; works on streams and on tables."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+def windowed(events: DataFrame, time: str = "ts", size: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
+    """Counts and sums of events by type in tumbling windows; works on streams and on tables.
+
+    late=None is for a stream that has its watermark already (as from unique()).
+    """
+    events = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else events
+    return events.groupBy(F.window(time, size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
         F.col("window.start").alias("start"), "event_type", "n", "total")

@@ -120,10 +120,25 @@ def test_section_tree_and_chunks(spark):
     for r in S.sections(S.lines(df)).orderBy("idx").collect():
         found.setdefault(r["doc"], []).append((r["line"], r["level"], r["parent"], r["content_end"]))
     assert found == {i: b for i, t in enumerate(texts) if (b := brute_sections(t.split("\n")))}
-    whole = {r["doc"]: r["chunks"] for r in C.hierarchical_chunks(S.lines(df)).collect()}
-    for i, text in enumerate(texts):
-        if i in whole:  # every word once, in order
-            assert " ".join(whole[i]).split() == text.split()
+    for text, chunks, tree in zip(texts, run(spark, C.hierarchical_chunks, texts), run(spark, lambda t: C.section_tree(F.split(t, "\n")), texts)):
+        lines = text.split("\n")
+        want = brute_sections(lines)
+        stop = lambda i: next((j for j in range(len(want)) if want[j][0] == want[i][3]), len(want))
+        assert [(x["line"], x["level"], x["parent"], x["next_idx"]) for x in tree] == [(k, level, up, stop(i)) for i, (k, level, up, _) in enumerate(want)]
+        assert [x["subtree"] for x in tree] == [len(" ".join(lines[k:end]).split()) for k, _, _, end in want]
+        if tree:  # every word once, in order
+            assert " ".join(chunks).split() == text.split()
+        else:
+            assert " ".join(chunks) in ("", text)
+
+
+def test_a_run_takes_children_while_they_fit(spark):
+    text = "CHAPTER 1\n" + "w " * 100 + "\n1.1. Scope\n" + "w " * 150 + "\n1.2. More\n" + "w " * 200 + "\n1.3. Last\n" + "w " * 10
+    chunks = run(spark, C.hierarchical_chunks, [text])[0]
+    assert [c.split("\n")[0] for c in chunks] == ["CHAPTER 1", "1.2. More", "1.3. Last"]
+    assert "1.1. Scope" in chunks[0]
+    empty = run(spark, lambda t: C.hierarchical_chunks(t, compat=True), ["lost\nCHAPTER 1\nCHAPTER 2\ntext"])[0]
+    assert empty == ["CHAPTER 2\ntext"]
 
 
 @pytest.mark.parametrize(("bare", "name"), [("part initial things", "part"), ("1. Purpose", "numbered_section"), ("1.1 x", None), ("ENCLOSURE 3: x", "enclosure"), ("(12) y", "numbered_item"), ("b. z", "lettered_item")])

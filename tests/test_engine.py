@@ -135,6 +135,6 @@ def test_stream(spark, tmp_path):
 
 def test_event_stream(spark):
     events = spark.readStream.schema(spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet("/root/testdata/sf0.001/")
-    query = ingest.windowed(ingest.unique(events, "event_id", "ts")).writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
+    query = ingest.windowed(ingest.unique(events, "event_id", "ts"), late=None).writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windows").count() > 0
