@@ -8,6 +8,7 @@ document's file is named after its source, its number follows from its id, and `
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path that driver and executors share: below spark.checkpoint.dir where it is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='folioflux-')}/{name}-{uuid.uuid4().hex}"
+
+
 # --- derived inputs, in Spark and in SQL ----------------------------------------------------------
 
 NUMBER = "lpad(cast((doc_id * 37) % 10000 as string), 4, '0') || '.' || lpad(cast(doc_id % 100 as string), 2, '0')"
@@ -388,6 +397,47 @@ def paragraph_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- chunks ---------------------------------------------------------------------------------------
 
+# The folds as recursive SQL: one step a part, for all documents at once. {parts} gives (doc_id, i, p, n), i from 1.
+FOLD_SQL = """fold AS (SELECT DISTINCT doc_id, 0 AS i, []::VARCHAR[] AS done, '' AS cur, 0 AS n FROM {parts}
+  UNION ALL SELECT f.doc_id, x.i, {done}, {cur}, {n} FROM fold f JOIN {parts} x ON f.doc_id = x.doc_id AND x.i = f.i + 1),
+  folded AS (SELECT doc_id, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS chunks FROM fold f WHERE i = (SELECT max(i) FROM {parts} x WHERE x.doc_id = f.doc_id))"""
+EACH_SQL = "SELECT doc_id, generate_subscripts(chunks, 1)::INT - 1 AS chunk_index, unnest(chunks) AS chunk_text FROM folded"
+LINE_PARTS = f"parts AS MATERIALIZED (SELECT doc_id, i, p, {words_sql('p')} AS n FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
+FITS = "((f.n < 150 OR x.n < 150) AND f.n + x.n <= 400)"
+MERGED = FOLD_SQL.format(
+    parts="parts", done=f"CASE WHEN f.n = 0 OR {FITS} THEN f.done ELSE list_append(f.done, f.cur) END",
+    cur=f"CASE WHEN f.n = 0 THEN x.p WHEN {FITS} THEN f.cur || repeat(chr(10), 2) || x.p ELSE x.p END", n=f"CASE WHEN f.n > 0 AND {FITS} THEN f.n + x.n ELSE x.n END")
+MERGE_SQL = f"WITH RECURSIVE {LINE_PARTS}, {MERGED} {EACH_SQL}"
+#: Sentences (doc_id, s, sentence, n), and the cuts of those of {{least}} words or more.
+SENTENCES_SQL = rf"sent AS MATERIALIZED (SELECT doc_id, s, sentence, {words_sql('sentence')} AS n FROM (SELECT doc_id, generate_subscripts(l, 1) AS s, unnest(l) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents)))"
+CUTS_SQL = r"""w AS MATERIALIZED (SELECT doc_id, s, generate_subscripts(l, 1) AS k, unnest(l) AS word, len(l) AS total FROM (SELECT doc_id, s, regexp_extract_all(sentence, '[^\s]+') AS l FROM sent WHERE n > {least})),
+  stops AS MATERIALIZED (SELECT doc_id, s, k FROM w WHERE regexp_matches(word, '[.!?;,]$')),
+  cuts AS (SELECT DISTINCT doc_id, s, 0 AS a, 0 AS b, total FROM w
+    UNION ALL SELECT c.doc_id, c.s, c.b, least(c.total, coalesce((SELECT min(k) FROM stops t WHERE t.doc_id = c.doc_id AND t.s = c.s AND k >= c.b + 300 AND k <= c.b + 449), c.b + 400)), c.total FROM cuts c WHERE c.b < c.total),
+  pieces AS MATERIALIZED (SELECT c.doc_id, c.s, c.a, string_agg(w.word, ' ' ORDER BY w.k) AS p FROM cuts c JOIN w ON w.doc_id = c.doc_id AND w.s = c.s AND w.k > c.a AND w.k <= c.b GROUP BY ALL)"""
+PUNCT_SQL = f"WITH RECURSIVE sent AS MATERIALIZED (SELECT doc_id, 1 AS s, text AS sentence, {words_sql('text')} AS n FROM documents), {CUTS_SQL.format(least=0)} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a)::INT - 1 AS chunk_index, p AS chunk_text FROM pieces"
+LONG = "x.long IS NOT NULL"
+FLUSHED = "CASE WHEN f.cur <> '' THEN list_append(f.done, f.cur) ELSE f.done END"
+PACK_FOLD = FOLD_SQL.format(
+    parts="parts", done=f"CASE WHEN {LONG} THEN list_concat({FLUSHED}, x.long) WHEN f.n + x.n <= 300 THEN f.done ELSE {FLUSHED} END",
+    cur=f"CASE WHEN {LONG} THEN '' WHEN f.n + x.n <= 300 AND f.cur <> '' THEN f.cur || ' ' || x.p ELSE x.p END", n=f"CASE WHEN {LONG} THEN 0 WHEN f.n + x.n <= 300 THEN f.n + x.n ELSE x.n END")
+PACKED = f"{SENTENCES_SQL}, {CUTS_SQL.format(least=400)}, parts AS MATERIALIZED (SELECT doc_id, s AS i, sentence AS p, n, (SELECT list(p ORDER BY a) FROM pieces z WHERE z.doc_id = sent.doc_id AND z.s = sent.s) AS long FROM sent), {PACK_FOLD}"
+PACK_SQL = f"WITH RECURSIVE {PACKED} {EACH_SQL}"
+# The documents have no blank lines, so each is one paragraph.
+FALLBACK_SQL = f"WITH RECURSIVE {PACKED} SELECT * FROM ({EACH_SQL}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE {words_sql('text')} > 400) UNION ALL SELECT doc_id, 0, {strip_sql('text')} FROM documents WHERE {words_sql('text')} BETWEEN 1 AND 400"
+
+
+def _overlap_sql(a: str, b: str) -> str:
+    """The last whole sentences of a that fit in 26 words together, else words of a or b."""
+    s = rf"list_filter(list_transform(string_split(regexp_replace({strip_sql(a)}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {strip_sql('s')}), lambda s: s <> '')"
+    w = lambda x: rf"regexp_extract_all({x}, '[^\s]+')"
+    keep = rf"list_filter({s}, lambda s, i: len(regexp_extract_all(array_to_string(list_slice({s}, i, len({s})), ' '), '[^\s]+')) <= 26)"
+    return f"CASE WHEN len({keep}) > 0 THEN array_to_string({keep}, ' ') WHEN len({w(a)}) >= 26 THEN array_to_string(list_slice({w(a)}, -26, -1), ' ') WHEN len({w(b)}) >= 26 THEN array_to_string(list_slice({w(b)}, 1, 26), ' ') ELSE '' END"
+
+
+OVERLAPPED_SQL = f"""SELECT doc_id, chunk_index, CASE WHEN chunk_index > 0 AND o <> '' THEN o || ' ' || p ELSE p END AS chunk_text FROM (SELECT doc_id, chunk_index, p, {_overlap_sql('q', 'p')} AS o
+  FROM (SELECT doc_id, i::INT - 1 AS chunk_index, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY i), '') AS q FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))))"""
+
 
 @query()
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -399,17 +449,17 @@ def hierarchical_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return outline(spark, sf).select("doc_id", F.posexplode(chunking.hierarchical_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
-@query()
+@query(FALLBACK_SQL)
 def fallback_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.fallback_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
-@query()
+@query(PACK_SQL)
 def sentence_pack(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.pack_sentences(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
-@query()
+@query(PUNCT_SQL)
 def punct_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.split_at_punctuation(F.col("text"))).alias("chunk_index", "chunk_text"))
 
@@ -418,17 +468,17 @@ def _lines_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("parts"))
 
 
-@query()
+@query(MERGE_SQL)
 def merge_small(spark: SparkSession, sf: str) -> DataFrame:
     return _lines_of(spark, sf).select("doc_id", F.posexplode(chunking.merge_small(F.col("parts"))).alias("chunk_index", "chunk_text"))
 
 
-@query()
+@query(OVERLAPPED_SQL)
 def apply_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return _lines_of(spark, sf).select("doc_id", F.posexplode(chunking.apply_overlap(F.col("parts"))).alias("chunk_index", "chunk_text"))
 
 
-@query()
+@query(f"SELECT doc_id, {_overlap_sql('text', 'reverse(text)')} AS overlap FROM documents")
 def overlap_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", chunking.overlap_text(F.col("text"), F.reverse("text")).alias("overlap"))
 
@@ -508,10 +558,7 @@ def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT filename, path, doc_number FROM (SELECT filename, path, min(doc_number) AS doc_number FROM {CHUNKS_SQL} WHERE doc_id % 2 = 0 GROUP BY ALL)")
 def store_replace(spark: SparkSession, sf: str) -> DataFrame:
     """A store written, then replaced: what is read back."""
-    from ..sources import files  # noqa: F401
-
-    place = tempfile.mkdtemp(prefix="folioflux-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/store-{id(sf)}"
-    at = store.Store(spark, place)
+    at = store.Store(spark, scratch(spark, "store"))
     rows = chunk_table(spark, sf)
     at.save(document_table(spark, sf), rows.select("filename", "path", "chunk_index", "chunk_text"))
     half = rows.filter("doc_id % 2 = 0")
@@ -541,7 +588,7 @@ def intermediate_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.files import write_json
 
     rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("filename"), F.col("text").alias("raw_text"), F.split("text", "\n").alias("chunks"))
-    path = f"{tempfile.mkdtemp(prefix='folioflux-')}/json" if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/json-{id(sf)}"
+    path = scratch(spark, "json")
     write_json(rows.withColumn("chunk_count", F.size("chunks")), path)
     back = spark.read.schema("doc_id long, filename string, chunks array<string>, chunk_count int").json(path)
     return back.select("doc_id", "filename", "chunk_count", F.array_join("chunks", "|").alias("joined"))
