@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trim
 
 #: At most about so many labelled rows of each class are learned from, none of over MAX_CHARS.
-MAX_TRAIN = 3000
+MAX_TRAIN = 2000
 MAX_CHARS = 50_000
 #: Words that enter the first fit: the most telling ones by a chi-squared test.
 MAX_WORDS = 2000
@@ -41,6 +41,8 @@ deaf blind disabled
 GROUPS = [line.split() for line in IDENTITY_TERMS.split("\n") if line]
 KIN = {term: [x for x in line if x != term] for line in GROUPS for term in line}
 
+#: Training texts that a word must occur in.
+LEAST_TEXTS = 5
 #: After the fit the bias is raised, by MAX_SHIFT at most, until this share of the clean training texts
 #: is below this log-odds; so one telling word is enough where no clean text has any.
 CLEAN_SHARE = 0.999
@@ -93,6 +95,27 @@ def _fit(x: np.ndarray, y: np.ndarray, share: np.ndarray, delta: np.ndarray, l1:
     return w, bias
 
 
+def _document_counts(texts: list[str], toxic: np.ndarray) -> tuple[Counter, Counter]:
+    """In how many texts, and in how many toxic ones, each word or stem occurs.
+
+    Only those of identity terms and of LEAST_TEXTS texts or more matter. A first pass counts hashes,
+    so the second needs no room for the great many rare ones; the counts it gives are exact.
+    """
+    mask = (1 << 22) - 1
+    sketch = np.zeros(mask + 1, np.int32)
+    for text in texts:
+        bag = words(text)
+        np.add.at(sketch, np.fromiter((hash(w) & mask for w in bag), np.int64, len(bag)), 1)
+    common = sketch >= LEAST_TEXTS
+    seen, bad = Counter(), Counter()
+    for text, label in zip(texts, toxic):
+        found = [w for w in words(text) if common[hash(w) & mask] or w in KIN]
+        seen.update(found)
+        if label:
+            bad.update(found)
+    return seen, bad
+
+
 class Model:
     """Weights of the words that were picked, and a bias."""
 
@@ -103,11 +126,11 @@ class Model:
         held = {}  # equal texts count once; a text with both labels counts as toxic
         for text, label in zip(texts, toxic):
             held[text] = max(label, held.get(text, 0))
-        bags, y = [words(x) for x in held], np.array(list(held.values()), float)
+        texts, y = list(held), np.array(list(held.values()), float)
         if not len(y) or y.min() == y.max():
             self.bias = 6.0 if len(y) and y[0] else -6.0
             return
-        seen, bad = Counter(w for bag in bags for w in bag), Counter(w for bag, label in zip(bags, y) if label for w in bag)
+        seen, bad = _document_counts(texts, y)
         p, n = y.mean(), len(y)
 
         def telling(word: str) -> float:
@@ -115,25 +138,26 @@ class Model:
             return (bad[word] - expected) ** 2 / (expected * (1 - p) * (1 - seen[word] / (n + 1)))
 
         named = [w for w in KIN if w in seen]
-        picked = sorted((w for w in seen if seen[w] >= 5), key=lambda w: (-telling(w), w))[:MAX_WORDS]
+        picked = sorted((w for w in seen if seen[w] >= LEAST_TEXTS), key=lambda w: (-telling(w), w))[:MAX_WORDS]
         vocabulary = list(dict.fromkeys([*picked, *named]))
         share = np.where(y > 0, 0.5 / p, 0.5 / (1 - p))
-        x, delta = self._matrices(bags, vocabulary)
+        x, delta = self._matrices(texts, vocabulary)
         w, _ = _fit(x, y, share, delta, l1=0.002, l2=0.0, swap=swap, rounds=200)
         keep = [word for word, v in zip(vocabulary, w) if abs(v) > 1e-3]
-        x, delta = self._matrices(bags, keep)
+        x, delta = self._matrices(texts, keep)
         w, bias = _fit(x, y, share, delta, l1=0.0, l2=1e-5, swap=swap, rounds=3000)
         clean = x[y == 0] @ w + bias  # move the border up to the clean texts, if there is room between
         room = LEAST_CLEAN - float(np.quantile(clean, CLEAN_SHARE))
         self.weights, self.bias = dict(zip(keep, map(float, w))), float(bias) + min(max(room, 0.0), MAX_SHIFT)
 
     @staticmethod
-    def _matrices(bags: list[set[str]], vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _matrices(texts: list[str], vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Which words occur in each text; and the change that each swap of an identity term makes."""
         column = {w: j for j, w in enumerate(vocabulary)}
-        x = np.zeros((len(bags), len(vocabulary)), np.float32)
+        x = np.zeros((len(texts), len(vocabulary)), np.float32)
         swaps = []
-        for i, bag in enumerate(bags):
+        for i, text in enumerate(texts):
+            bag = words(text)
             x[i, [column[w] for w in bag if w in column]] = 1
             for term in sorted(bag & KIN.keys()):  # stems end in -, so a term is a whole word
                 for other in KIN[term]:
@@ -174,7 +198,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", max_rows:
     text = docs.select(F.col(doc_id).alias("_id"), F.col("text").alias("_text")).filter(F.length("_text").between(1, max_chars))
     rows = text.join(F.broadcast(drawn), "_id").select("_text", "_toxic").limit(3 * max_rows).toArrow()
     pairs = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
-    return Model([a for a, _ in pairs], [b for _, b in pairs])
+    del rows
+    model = Model([a for a, _ in pairs], [b for _, b in pairs])
+    del pairs
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,5 +218,6 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             scores = [shared.value.score(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        trim()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCORED)
