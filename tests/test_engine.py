@@ -138,3 +138,14 @@ def test_event_stream(spark):
     query = ingest.windowed(ingest.unique(events, "event_id", "ts"), late=None).writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("windows").count() > 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from folioflux import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Pumps are serviced every year.")
+    cli.main(["ingest", str(tmp_path / "store"), str(tmp_path / "in")])
+    cli.main(["ask", str(tmp_path / "store"), "when are pumps serviced", " "])
+    out = capsys.readouterr().out
+    assert "Pumps are serviced every year." in out and "(blank question)" in out
