@@ -102,11 +102,56 @@ def fallback_chunks(text: Column, s: Settings = DEFAULT) -> Column:
     split_up = let(text, lambda t: F.when(t.rlike(wide), F.split(t, wide)).otherwise(F.split(t, narrow)))
     paragraphs = F.filter(F.transform(split_up, strip), lambda p: p != "")
 
-    def split(part: Column) -> Column:
-        inner = F.split(part, narrow)
-        return F.when(F.size(inner) > 1, _pack_paragraphs(inner, lambda p: pack_sentences(p, s), s)).otherwise(pack_sentences(part, s))
+    return _pack_paragraphs(paragraphs, lambda part: split_plain(part, s), s)
 
-    return _pack_paragraphs(paragraphs, split, s)
+
+def split_plain(text: Column, s: Settings = DEFAULT) -> Column:
+    """A long text by its paragraphs, or by its sentences where it has one paragraph only."""
+    inner = F.split(text, f"\\n{W}*\\n")
+    return F.when(F.size(inner) > 1, _pack_paragraphs(inner, lambda p: pack_sentences(p, s), s)).otherwise(pack_sentences(text, s))
+
+
+def table_aware_split(text: Column, s: Settings = DEFAULT) -> Column:
+    """A section's text split around its marked tables; an extension that with_chunks() does not use.
+
+    A table of up to max_table_words stays whole, with the text before it where both fit in that; a
+    larger one is cut between lines at target_words. Text after the last table is a chunk, or split
+    if over max_words. An end marker closes the table that the last start marker before it opened.
+    """
+    cap = s.max_table_words
+    span = "array<struct<a:int,b:int>>"
+
+    def spans(lines: Column) -> Column:
+        marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.contains("START ===").alias("start"), x.contains("=== TABLE").alias("mark"), x.contains("END ===").alias("end"))), lambda x: x["mark"] & (x["start"] | x["end"]))
+
+        def pair(x: Column, k: Column, all_: Column) -> Column:
+            before = F.get(all_, k - 1)
+            return F.when(~x["start"] & F.coalesce(before["start"], F.lit(False)), F.struct(before["i"].alias("a"), x["i"].alias("b")))
+
+        return let(marks, lambda m: F.filter(F.transform(m, lambda x, k: pair(x, k, m)), lambda x: x.isNotNull()))
+
+    def cut(table: Column) -> Column:
+        def take(state: Column, part: Column, n: Column) -> Column:
+            over = (state["n"] + n > s.target_words) & (state["cur"] != "")
+            return F.when(over, _state(F.array_append(state["done"], state["cur"]), part, n)).otherwise(_state(state["done"], _joined(state["cur"], part, "\n"), state["n"] + n))
+
+        return _fold(F.split(table, "\n"), take)
+
+    def one(before: Column, table: Column) -> Column:
+        lead = F.filter(F.array(before), lambda c: strip(c) != "")
+        both = F.when(strip(before) != "", F.concat(before, F.lit("\n"), table)).otherwise(table)
+        return F.when(word_count(table) > cap, F.concat(lead, cut(table))).when(word_count(both) <= cap, F.array(both)).otherwise(F.concat(lead, F.array(table)))
+
+    def split(lines: Column, found: Column) -> Column:
+        piece = lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "\n")  # noqa: E731  lines [a, b)
+        after = lambda k: F.when(k > 0, F.get(found, k - 1)["b"] + 1).otherwise(F.lit(0))
+        tables = F.flatten(F.transform(found, lambda x, k: let(piece(after(k), x["a"]), lambda before: let(piece(x["a"], x["b"] + 1), lambda table: one(before, table)))))
+        rest = piece(after(F.size(found)), F.size(lines))
+        tail = let(rest, lambda r: F.when(strip(r) == "", F.array().cast(_NONE)).when(word_count(r) > s.max_words, split_plain(r, s)).otherwise(F.array(r)))
+        return F.concat(tables, tail)
+
+    whole = let(F.coalesce(text, F.lit("")), lambda t: let(F.split(t, "\n"), lambda lines: let(spans(lines).cast(span), lambda found: split(lines, found))))
+    return F.filter(whole, lambda c: strip(c) != "")
 
 
 def merge_small(chunks: Column, s: Settings = DEFAULT) -> Column:

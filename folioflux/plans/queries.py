@@ -459,6 +459,12 @@ def sentence_pack(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.pack_sentences(F.col("text"))).alias("chunk_index", "chunk_text"))
 
 
+@query()
+def table_aware_split(spark: SparkSession, sf: str) -> DataFrame:
+    marked = F.expr(MARKED.replace("\n", "\\n"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.table_aware_split(marked)).alias("chunk_index", "chunk_text"))
+
+
 @query(PUNCT_SQL)
 def punct_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.split_at_punctuation(F.col("text"))).alias("chunk_index", "chunk_text"))

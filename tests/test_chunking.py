@@ -156,3 +156,41 @@ def test_chunk_documents_edges(spark):
     assert C.chunk_documents(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="min_words"):
         DEFAULT.with_(min_words=500)
+
+
+def brute_tables(text):
+    lines, found, start, out, last = text.split("\n"), [], None, [], 0
+    for k, line in enumerate(lines):
+        if "=== TABLE" in line and "START ===" in line:
+            start = k
+        elif "=== TABLE" in line and "END ===" in line:
+            found += [(start, k)] if start is not None else []
+            start = None
+    for a, b in found:
+        before, table = "\n".join(lines[last:a]), "\n".join(lines[a : b + 1])
+        both = before + "\n" + table if before.strip() else table
+        if len(table.split()) > 450:
+            cur, n = [], 0
+            out.append(before)
+            for line in table.split("\n"):
+                if cur and n + len(line.split()) > 300:
+                    out.append("\n".join(cur))
+                    cur, n = [], 0
+                cur.append(line)
+                n += len(line.split())
+            out.append("\n".join(cur))
+        elif len(both.split()) <= 450:
+            out.append(both)
+        else:
+            out += [before, table]
+        last = b + 1
+    rest = "\n".join(lines[last:])
+    out += brute_pack(rest) if len(rest.split()) > 400 else [rest]
+    return [c for c in out if c.strip()]
+
+
+def test_tables(spark):
+    line = lambda: RNG.choice(["=== TABLE 1.1 START ===", "=== TABLE 1.1 END ===", prose(RNG.choice([5, 60, 250]))])
+    texts = ["\n".join(line() for _ in range(RNG.randrange(1, 14))) for _ in range(60)]
+    assert run(spark, C.table_aware_split, texts) == [brute_tables(t) for t in texts]
+    assert run(spark, C.table_aware_split, [None, ""]) == [[], []]
