@@ -151,20 +151,22 @@ class Sharded:
                 continue
 
     def vacuum(self) -> None:
-        """Delete the files that the newest version doesn't list; for when no older version is read."""
-        fs = self._fs()
-        live = self.manifest().select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
-        found = [x.getPath().getName() for x in fs.listStatus(self._path("shards"))]
-        names = self.spark.createDataFrame([(x,) for x in found], "folder string")
-        for r in names.join(live, "folder", "left_anti").toLocalIterator():
-            fs.delete(self._path(f"shards/{r['folder']}"), True)
+        """Delete the shards that the newest version doesn't list; for when no older version is read.
+
+        A folder may hold live shards beside merged ones, so this goes file by file.
+        """
+        fs, path = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.root}/shards/*").select("path")
+        for r in files.join(self.manifest().select("path"), "path", "left_anti").toLocalIterator():
+            fs.delete(path(r["path"]), False)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version."""
-        folders = [r["folder"] for r in self.manifest(version).select(F.expr("left(path, length(path) - instr(reverse(path), '/'))").alias("folder")).distinct().collect()]
-        if not folders:
+        """The rows of a version: of the very files that it lists. The driver holds their paths, as
+        Spark's own file index does."""
+        files = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
+        if not files:
             raise ValueError("nothing has been committed")
-        return self.spark.read.parquet(*folders)
+        return self.spark.read.parquet(*files)
 
     def assignments(self, id_col: str) -> DataFrame:
         """(id, path, and the manifest's columns) for every row of the newest version."""

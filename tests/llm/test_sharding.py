@@ -54,3 +54,22 @@ def test_waves_hold_every_row_once(spark, odd, none):
     parts = sharding.waves(odd, "doc_id", 4)
     assert sum(p.count() for p in parts) == odd.count()
     assert len(sharding.waves(none, "doc_id", 4)) == 1
+
+
+def test_a_folder_may_be_merged_in_part(spark):
+    import random
+
+    rng = random.Random(1)
+    at = store(spark, smallest=2 << 10, fan_in=4)
+    small = lambda k: spark.createDataFrame([(k, "x")], "doc_id long, text string").coalesce(1)
+    large = lambda k: spark.createDataFrame([(k, "".join(rng.choice("abcdefghij") for _ in range(200_000)))], "doc_id long, text string").coalesce(1)
+    for k in range(4):  # two of the appends write a small shard and a large one
+        at.append(small(k).union(large(100 + k)).repartitionByRange(2, "doc_id") if k < 2 else small(k))
+    assert at.manifest().count() == 6
+    ids = [0, 1, 2, 3, 100, 101]
+    for _ in range(2):
+        at.compact()
+        at.vacuum()
+        assert sorted(r["doc_id"] for r in at.read().collect()) == ids
+        assert sorted(r["doc_id"] for r in at.assignments("doc_id").collect()) == ids
+    assert at.manifest().count() == 3
