@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PROMPTS, Settings
 from ..functions.text import strip, word_count
+from ..session import ship
 
 GENERATORS: dict[str, Callable[[], Callable[[pd.Series], pd.Series]]] = {}
 #: Lead-ins that a generator may give and that are taken off once.
@@ -97,6 +98,7 @@ def with_text(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> Data
 
 def generate(prompts: DataFrame, generator: str, column: str = "prompt") -> DataFrame:
     """prompts with a response from a registered generator, made once a worker."""
+    ship(prompts.sparkSession)
     factory = GENERATORS[generator]
 
     @F.pandas_udf("string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.text import strip, taxonomy, truncate_pair, words
+from ..session import ship
 
 SCORERS: dict[str, Callable[[], Callable[[pd.Series, pd.Series], pd.Series]]] = {}
 
@@ -82,6 +83,7 @@ def rerank(hits: DataFrame, s: Settings = DEFAULT, question: str = "question", t
     Adds cross_score (null for hits that were not scored; blank passages get blank_score) and sets
     rank. The rest of the head is dropped: it was scored and lost.
     """
+    ship(hits.sparkSession)
     head = F.col("rank") <= s.rerank_top
     passage = truncate_pair(F.col(question), F.col(text), s)
     score = scorer_column(scorer, F.col(question), passage) if scorer else lexical_score(F.col(question), passage)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Questions searched in one pass over the vectors.
 BLOCK = 1024
 
@@ -46,6 +48,7 @@ embedder("hashed-words")(hashed_words)
 
 def embed(df: DataFrame, text: str = "text", model: str = "hashed-words", into: str = "embedding") -> DataFrame:
     """df with a vector for each text; null counts as blank. The model is made once a worker."""
+    ship(df.sparkSession)
     factory = EMBEDDERS[model]
 
     @F.pandas_udf("array<float>")
@@ -76,6 +79,7 @@ def search(vectors: DataFrame, questions: DataFrame, k: int, vec: str = "vec_id"
     which every batch keeps its own k best a question, so what is shuffled is k rows a question
     and batch, never all pairs. Ties go to the smaller vector id. Null vectors are left out.
     """
+    ship(vectors.sparkSession)
     parts = []
     rows = questions.select(F.col(question).alias("q"), F.col(embedding).cast("array<double>").alias("v")).filter("v is not null")
     block: list[tuple[int, list[float]]] = []

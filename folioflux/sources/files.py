@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.text import clean, computed, document_number
 from ..operators.chunking import with_chunks
+from ..session import ship
 
 PROCESSED = "filename string, path string, clean_text string, chunks array<string>, chunk_count int, doc_number string"
 #: Parsers by name: a factory called once a worker, giving a function from a file's bytes to its text.
@@ -25,6 +26,7 @@ def scan(spark: SparkSession, *paths: str, pattern: str = "*.pdf") -> DataFrame:
 
 def parse(files: DataFrame, parser: str = "text") -> DataFrame:
     """(path, filename, raw_text); a file that can't be parsed gives an empty text."""
+    ship(files.sparkSession)
     factory = PARSERS[parser]
 
     @F.pandas_udf("string")
