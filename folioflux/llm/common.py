@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: ASCII white space as the contracts define it: space and \x09-\x0D.
 WHITE = "[\\x20\\x09-\\x0D]+"
 #: Keys held by more rows than this go to the broadcast side of lookup_join().
@@ -57,7 +59,9 @@ def free(name: str, taken: list[str]) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Bound what a Python worker holds at once; very long texts then come in few-row batches."""
+    """Bound what a Python worker holds at once; very long texts then come in few-row batches. The
+    workers also get this package, if they lack it."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
