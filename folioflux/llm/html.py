@@ -31,17 +31,23 @@ MARKED = "article main"
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 FURNITURE = (
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo "
-    "cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation navigationbar newsletter notice notices "
-    "pagination popup promo promoted promotion recommended related replies respond search share sharing sidebar "
-    "signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets"
+    "ad ads adbox adsbygoogle adslot adunit advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs colophon comment comments "
+    "complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus feedback footer gdpr header login masthead menu modal nav navbar "
+    "navigation navigationbar newsletter notice notices pagination popup privacy promo promoted promotion recommended related replies respond search share "
+    "sharing sidebar sidenav signin signup skip social sponsor sponsored subnav subscribe subscription taboola teaser toolbar topnav widget widgets"
+)
+#: Those that also rule out an article element; and first parts that take a name's meaning away.
+NOT_ARTICLES = "ad ads advert comment comments promo related sponsored teaser"
+NEGATING = "has no not with without"
+RAW, APART, MARKED, INLINE, VOID, FURNITURE, NOT_ARTICLES, NEGATING = (
+    frozenset(x.split()) for x in (RAW, APART, MARKED, INLINE, VOID, FURNITURE, NOT_ARTICLES, NEGATING)
 )
-RAW, APART, MARKED, INLINE, VOID, FURNITURE = (frozenset(x.split()) for x in (RAW, APART, MARKED, INLINE, VOID, FURNITURE))
 
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-PARTS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)|display\s*:\s*none", re.I)
 
 EXTRACTED = "page_id long, url string, text string, spans array<struct<first:int,last:int>>"
 
@@ -50,9 +56,17 @@ def is_furniture(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element holds something other than the article."""
     if name in APART and not (inside and name == "header"):
         return True
-    if name in MARKED or name in ("body", "html") or not attributes:
+    if name in ("main", "body", "html") or not attributes:
         return False
-    return any(part in FURNITURE for found in NAMED.findall(attributes) for part in PARTS.findall("".join(found[1:]).lower()))
+    if HIDDEN.search(attributes):
+        return True
+    names = NOT_ARTICLES if name in MARKED else FURNITURE - {"header"} if inside else FURNITURE
+    for found in NAMED.findall(attributes):
+        for word in "".join(found[1:]).split():
+            parts = [x.lower() for x in PARTS.findall(word)]
+            if parts and parts[0] not in NEGATING and not names.isdisjoint(parts):
+                return True
+    return False
 
 
 def _raw_end(html: str, name: str, at: int) -> int:
@@ -68,7 +82,7 @@ def lines(html: str) -> Iterator[tuple[str, int, bool]]:
     html = COMMENT.sub("", html)
     open_: list[tuple[str, bool]] = []  # names, and whether furniture begins there (in one at most)
     names: Counter[str] = Counter()
-    hidden = inside = links = 0
+    hidden = inside = links = hidden_at = 0
     last = html.rfind(">")
     parts: list[str] = []
     weight, at = 0, 0
@@ -114,8 +128,8 @@ def lines(html: str) -> Iterator[tuple[str, int, bool]]:
             if not attributes.endswith("/"):
                 at = _raw_end(html, name, at)
         elif name not in VOID and not attributes.endswith("/"):
-            if name in MARKED and hidden:  # furniture that was never closed
-                close(next(k for k, (_, apart) in enumerate(open_) if apart))
+            if name in MARKED and hidden and open_[hidden_at][0] not in MARKED:  # furniture that was never closed
+                close(hidden_at)
                 yield from (("", 0, False),) * WINDOW
             if name == "p" and open_ and open_[-1][0] == "p" or name == "li" and open_ and open_[-1][0] == "li" or name == "a" and links:
                 close(next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name))
@@ -123,6 +137,8 @@ def lines(html: str) -> Iterator[tuple[str, int, bool]]:
             if apart:
                 yield from line()
                 yield from (("", 0, False),) * WINDOW
+            if apart:
+                hidden_at = len(open_)
             open_.append((name, apart))
             names[name] += 1
             hidden += apart

@@ -10,6 +10,7 @@ FURNITURE = [
     "<nav><ul><li><a href=/x>Home</a></li></ul></nav>", "<header><p>Site name here</p></header>", "<div class='ad banner'>Buy now, a long advert text it is</div>",
     "<aside><p>Related things to read, many of them</p></aside>", '<div id="comments"><p>I agree with all of this, great article</p></div>', "<footer>&copy; us</footer>",
     "<form><label>Mail</label><input></form>", "<script>var t='</p><p>no';</script>", "<style>p{}</style>", "<!-- <p>hidden</p> -->", "<div class=cookie-notice><p>We use cookies on this site</p></div>",
+    "<div class='siteFooter'><p>All about us, and where to find us</p></div>", "<p hidden>Not to be seen by anyone at all</p>", "<section style='display: none'><p>Nor this</p></section>",
 ]
 
 
@@ -25,6 +26,9 @@ def test_odd_pages():
     assert html.extract("just text &amp; more")[0] == "just text & more"
     assert html.extract("<nav><a>x</a><article><p>a < b</p><div class=ad>buy</div><p>y")[0] == "a < b y"
     assert html.extract("<a href=x>only a link</a>")[0] == "only a link"
+    page = "<main><article class='post has-sidebar'><header><h1>Head</h1></header><p>Body text.</p></article><article class='comment'><p>I agree</p></article></main>"
+    assert html.extract(page)[0] == "Head Body text."
+    assert html.extract("<div class='with-sidebar'><p>Body text here</p></div>")[0] == "Body text here"
     assert html.extract("<p>a&nbsp; b</p>")[0] == "a b"
 
 
