@@ -105,10 +105,6 @@ def words_sql(x: str) -> str:
 # --- scalar functions -----------------------------------------------------------------------------
 
 
-def _text_query(column: Callable[[Column], Column]) -> Query:
-    return lambda spark, sf: table(spark, sf, "documents").select("doc_id", column(F.col("text")).alias("value"))
-
-
 @query(f"SELECT doc_id, {words_sql('text')} AS n_words FROM documents")
 def word_count(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
