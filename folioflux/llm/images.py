@@ -3,13 +3,15 @@
 Corners are found at several scales; each gets a direction (its patch's intensity centroid) and
 256 binary tests of smoothed intensities at points turned by that direction. Two images are
 linked when enough of their corners match under one motion: descriptors are looked up in Hamming
-tables (six tables of 42 bits each, so descriptors up to 5 bits apart always meet, and ones
-farther apart often; an image has many corners to meet by), compared over all 256 bits, and the
-matches of a pair of images vote for scale, turn and shift.
-
-A bucket of many descriptors (one picture with very many copies) isn't paired up: its members are
-compared with its first one. Members that this leaves in different components are compared among
-each other afterwards, so no link between groups is lost.
+tables, compared over all 256 bits, and the matches of a pair of images vote for scale, turn and
+shift.
+
+The tables are gone through twice. Six tables of 42 bits find close copies cheaply; there a bucket
+of many descriptors (one picture with very many copies) isn't paired up: its members are compared
+with its first one. Then all images that are still in different components are compared by tables
+of 16 bits at every sixth bit, in which every pair of the first tables meets again, and most pairs
+of descriptors up to MAX_HAMMING. So the components are those of the short keys' links, whatever
+the buckets' sizes.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ BITS = 256
 #: Hamming tables, and the bits of a descriptor that are a key of each.
 TABLES = 6
 KEY_BITS = 42
+#: The second pass's tables: bits of a key, bits from one key to the next, tables in one shuffle.
+SHORT_BITS = 16
+SHORT_STEP = 6
+SHORT_ROUND = 5
 #: Descriptors of a pair of corners differ in this many bits at most.
 MAX_HAMMING = 44
 #: Corners that must agree on one motion; the motion's cell in pixels.
@@ -175,15 +181,16 @@ def descriptors(media: DataFrame, img: str = "img", image: str = "image") -> Dat
 
 def buckets(found: DataFrame) -> DataFrame:
     """(bucket, img, corner): each descriptor's place in the tables, as one long."""
-    def place(k: int) -> Column:
-        first = KEY_BITS * k  # the key's bits may lie in two words
-        word, at = divmod(first, 64)
-        key = F.shiftrightunsigned(F.shiftleft(F.col(WORDS[word]), at), 64 - KEY_BITS)
-        if at + KEY_BITS > 64:
-            key = key.bitwiseOR(F.shiftrightunsigned(F.col(WORDS[word + 1]), 128 - at - KEY_BITS))
-        return key.bitwiseOR(F.lit(k << KEY_BITS))
+    return found.select("img", "corner", F.explode(F.array(*[_place(k, KEY_BITS * k, KEY_BITS) for k in range(TABLES)])).alias("bucket"))
+
 
-    return found.select("img", "corner", F.explode(F.array(*[place(k) for k in range(TABLES)])).alias("bucket"))
+def _place(k: int, first: int, bits: int) -> Column:
+    """A descriptor's bucket in table k, whose key are the bits from `first`; they may lie in two words."""
+    word, at = divmod(first, 64)
+    key = F.shiftrightunsigned(F.shiftleft(F.col(WORDS[word]), at), 64 - bits)
+    if at + bits > 64:
+        key = key.bitwiseOR(F.shiftrightunsigned(F.col(WORDS[word + 1]), 128 - at - bits))
+    return key.bitwiseOR(F.lit(k << bits))
 
 
 def _consensus(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -241,24 +248,87 @@ def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFram
     links = written(_consensus(pairs.unionByName(stars), found), f"{path}/links").unionByName(alike)
     roots = components(links, f"{path}/first")
 
-    # Crowded buckets whose members are still apart: compare the components' members.
-    owned = crowd.join(roots.withColumnRenamed("node", "img"), "img", "left").select("bucket", "img", "corner", F.coalesce("root", "img").alias("root"))
-    apart = owned.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket")
-    rest = written(owned.join(apart, "bucket"), f"{path}/apart")
-    if not rest.isEmpty():
-        links = links.unionByName(_across(rest, found, path)).distinct()
-        roots = components(links, f"{path}/second")
+    links = links.unionByName(_across(found, roots, path)).distinct()
+    roots = components(links, f"{path}/second")
     ends = links.select(F.col("a").alias("img"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("img"), F.col("a").alias("other")))
     degree = ends.groupBy("img").agg(F.countDistinct("other").alias("n_links"))
     known = roots.withColumnRenamed("node", "img").join(degree, "img")
     return rows.select("img").join(known, "img", "left").select("img", F.coalesce("root", "img").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _across(rest: DataFrame, found: DataFrame, path: str) -> DataFrame:
-    """Links between members (bucket, img, corner, root) of one bucket that are in different components."""
-    x = rest.select("bucket", F.col("img").alias("p"), F.col("corner").alias("cp"), F.col("root").alias("rp"))
-    y = rest.select("bucket", F.col("img").alias("q"), F.col("corner").alias("cq"), F.col("root").alias("rq"))
-    pairs = x.join(y, "bucket").filter("rp < rq").select(F.col("p").alias("a"), F.col("cp").alias("ca"), F.col("q").alias("b"), F.col("cq").alias("cb"))
+def near_pairs(bucket: np.ndarray, root: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of descriptors up to MAX_HAMMING apart in one bucket, of different roots.
+
+    Rows are in order of bucket and root. Rows of one root are passed over together, so many
+    copies in one bucket cost no comparisons among themselves.
+    """
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if root[s] == root[e - 1]:
+            continue
+        at = s
+        while at < e:
+            first = at + int(np.searchsorted(root[at:e], root[at], "right"))
+            if first == e:
+                break
+            upto = min(e, at + max(1, 1_000_000 // (e - first)))
+            far = np.bitwise_count(words[0, at:upto, None] ^ words[0, None, first:e]) + np.bitwise_count(words[1, at:upto, None] ^ words[1, None, first:e])
+            i, j = np.nonzero(far <= MAX_HAMMING)
+            far = far[i, j].astype(np.int16)
+            i, j = i + at, j + first
+            for w in (2, 3):
+                far += np.bitwise_count(words[w, i] ^ words[w, j])
+            keep = (far <= MAX_HAMMING) & (root[i] < root[j])
+            out.append((i[keep], j[keep]))
+            at = upto
+    return (np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])) if out else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _across(found: DataFrame, roots: DataFrame, path: str) -> DataFrame:
+    """Links between images of different components (node, root), by all their matches in the short keys' tables.
+
+    The tables are dealt out a few at a time, and a bucket's pairs are compared where they meet, so
+    only matches are written. The comparisons grow with the square of a bucket's size.
+    """
+    spark = found.sparkSession
+    owned = found.join(roots.withColumnRenamed("node", "img"), "img", "left").select("img", "corner", F.coalesce("root", "img").alias("root"), *WORDS)
+    owned = written(owned, f"{path}/owned")
+    small_batches(spark, rows=20_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matches(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            bucket, img, corner, root, *words = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((root, bucket))
+            img, corner = img[order], corner[order]
+            i, j = near_pairs(bucket[order], root[order], np.stack([w[order] for w in words]))
+            i, j = np.where(img[i] < img[j], i, j), np.where(img[i] < img[j], j, i)
+            return pa.RecordBatch.from_arrays([pa.array(img[i]), pa.array(corner[i]), pa.array(img[j]), pa.array(corner[j])], names=["a", "ca", "b", "cb"])
+
+        held: list[list[np.ndarray]] = []  # the last bucket's rows, as it may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last or held and held[0][0][0] != cols[0][0]:
+                yield matches([*held, [c[:last] for c in cols]])
+                held = []
+            held.append([c[last:] for c in cols])
+        if held:
+            yield matches(held)
+        trim()
+
+    firsts = list(enumerate(range(0, BITS - SHORT_BITS + 1, SHORT_STEP)))
+    parts = []
+    for at in range(0, len(firsts), SHORT_ROUND):
+        keys = F.array(*[_place(k, first, SHORT_BITS) for k, first in firsts[at : at + SHORT_ROUND]])
+        placed = owned.select(F.explode(keys).alias("bucket"), "img", "corner", "root", *WORDS)
+        met = placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, ca int, b long, cb int")
+        parts.append(f"{path}/near-{at}")
+        written(met, parts[-1])
+        spark.sparkContext._jvm.System.gc()  # has the files of the round's shuffle removed
+    pairs = spark.read.schema("a long, ca int, b long, cb int").parquet(*parts)
     return written(_consensus(pairs, found), f"{path}/late")
 
 

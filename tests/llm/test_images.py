@@ -58,3 +58,42 @@ def test_keys_cover_the_bits(spark):
     assert keys == [(k << images.KEY_BITS) | (1 << images.KEY_BITS) - 1 for k in range(images.TABLES)]
     one = df.withColumn("d1", F.lit(0).cast("long"))
     assert sum(a != b["bucket"] for a, b in zip(keys, images.buckets(one).collect())) == 3
+
+
+def _moved(a, angle, factor):
+    """Pictures turned about their middle and resized, bilinear."""
+    high, wide = a.shape[1:]
+    y, x = np.mgrid[: int(high * factor), : int(wide * factor)].astype(float)
+    y, x = (y + 0.5) / factor - high / 2, (x + 0.5) / factor - wide / 2
+    sy, sx = (np.sin(angle) * x + np.cos(angle) * y + high / 2 - 0.5).clip(0, high - 1.001), (np.cos(angle) * x - np.sin(angle) * y + wide / 2 - 0.5).clip(0, wide - 1.001)
+    i, j = sy.astype(int), sx.astype(int)
+    v, u = sy - i, sx - j
+    return a[:, i, j] * (1 - u) * (1 - v) + a[:, i, j + 1] * u * (1 - v) + a[:, i + 1, j] * (1 - u) * v + a[:, i + 1, j + 1] * u * v
+
+
+def test_pairs_up_to_the_limit_meet_in_the_tables(spark):
+    rng = np.random.default_rng(0)
+    drawn = images._patterns(64)
+    a = np.stack([128 + 40 * np.tensordot(rng.normal(0, 0.125, 64).astype(np.float32), drawn, 1) for _ in range(100)])
+    kinds = {"turned": _moved(a, 0.17, 1), "rescaled": _moved(a, 0, 0.8), "enlarged": _moved(a, 0, 1.5), "noisy": a + rng.normal(0, 10, a.shape)}
+    one = images.describe(a)
+    for kind, b in kinds.items():
+        two = images.describe(b.astype(np.float32))
+        rows, brute = [], set()
+        for side, d in ((0, one), (1, two)):
+            rows += [(int(2 * i + side), c, int(2 * i + side), *map(int, w)) for c, (i, w) in enumerate(zip(d["img"], d["words"]))]
+        for i, w in enumerate(one["words"]):
+            for j in np.nonzero(two["img"] == one["img"][i])[0]:
+                if np.bitwise_count(w ^ two["words"][j]).sum() <= images.MAX_HAMMING:
+                    brute.add((i, int(j)))
+        root = [r[2] for r in rows]
+        words = np.array([r[3:] for r in rows]).T
+        met = set()
+        for first in range(0, images.BITS - images.SHORT_BITS + 1, images.SHORT_STEP):
+            key = (np.unpackbits(words.T.astype(">i8").copy().view(np.uint8), axis=1)[:, first : first + images.SHORT_BITS] @ (1 << np.arange(images.SHORT_BITS))).astype(np.int64)
+            order = np.lexsort((root, key))
+            for i, j in zip(*images.near_pairs(key[order], np.array(root)[order], words[:, order])):
+                p, q = sorted((rows[order[i]], rows[order[j]]))
+                if p[0] % 2 == 0 and q[0] == p[0] + 1:
+                    met.add((p[1], q[1]))
+        assert met <= brute and len(met) >= 0.9 * len(brute) > 0, (kind, len(met), len(brute))
