@@ -218,9 +218,9 @@ def _consensus(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFrame:
     """(img, component_id, n_links) for every row: the least id among an image's copies.
 
-    component_id is the image's own id if it has no copy. n_links: the images that it was found to
-    match (in a bucket of very many copies, the first one stands for them). Exact copies are
-    collapsed by their bytes before any corner is sought. Null ids give a row with a null
+    component_id is the image's own id if it has no copy. n_links: the other images of its
+    component, linked with it directly or through others. Exact copies are collapsed by their
+    bytes before any corner is sought. Null ids give a row with a null
     component; repeated ids give a row each, with the copies of all images under that id.
     """
     spark = media.sparkSession
@@ -233,7 +233,15 @@ def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFram
     same = written(lookup_join(rows.filter("img is not null"), again, ["sha"], "n").select("img", "rep").distinct(), f"{path}/same")
     found = described.filter("img is not null").join(same.filter("img <> rep").select("img"), "img", "left_anti").dropDuplicates(["img", "sha"]).select("img", F.inline("corners"))
     found = written(found, f"{path}/corners")
+    alike = same.filter("img <> rep").select(F.col("rep").alias("a"), F.col("img").alias("b"))
+    roots = linked(found, alike, path)
+    sizes = written(roots.groupBy("root").agg(F.count("*").alias("size")), f"{path}/sizes")
+    known = lookup_join(roots, sizes, ["root"], "size").select(F.col("node").alias("img"), "root", (F.col("size") - 1).alias("n_links"))
+    return rows.select("img").join(known, "img", "left").select("img", F.coalesce("root", "img").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
 
+def linked(found: DataFrame, alike: DataFrame, path: str) -> DataFrame:
+    """(node, root): components of the images by their corners, and by the links (a, b) of exact copies."""
     placed = buckets(found)
     lead = F.min(F.struct("img", "corner")).alias("lead")
     shared = placed.groupBy("bucket").agg(F.min("img").alias("least"), F.max("img").alias("most"), F.count("*").alias("n")).filter("least < most").drop("most")
@@ -244,16 +252,10 @@ def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFram
     crowd = members.filter(F.col("n") > FULL)
     leads = crowd.filter("img = least").groupBy("bucket").agg(lead).select("bucket", F.col("lead.img").alias("a"), F.col("lead.corner").alias("ca"))
     stars = crowd.join(leads, "bucket").filter("img > a").select("a", "ca", F.col("img").alias("b"), F.col("corner").alias("cb"))
-    alike = same.filter("img <> rep").select(F.col("rep").alias("a"), F.col("img").alias("b"))
     links = written(_consensus(pairs.unionByName(stars), found), f"{path}/links").unionByName(alike)
     roots = components(links, f"{path}/first")
 
-    links = links.unionByName(_across(found, roots, path)).distinct()
-    roots = components(links, f"{path}/second")
-    ends = links.select(F.col("a").alias("img"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("img"), F.col("a").alias("other")))
-    degree = ends.groupBy("img").agg(F.countDistinct("other").alias("n_links"))
-    known = roots.withColumnRenamed("node", "img").join(degree, "img")
-    return rows.select("img").join(known, "img", "left").select("img", F.coalesce("root", "img").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return components(links.unionByName(_across(found, roots, path)), f"{path}/second")
 
 
 def near_pairs(bucket: np.ndarray, root: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioflux.llm import images
@@ -97,3 +98,39 @@ def test_pairs_up_to_the_limit_meet_in_the_tables(spark):
                 if p[0] % 2 == 0 and q[0] == p[0] + 1:
                     met.add((p[1], q[1]))
         assert met <= brute and len(met) >= 0.9 * len(brute) > 0, (kind, len(met), len(brute))
+
+
+def _roots(spark, found, path):
+    alike = spark.createDataFrame([], "a long, b long")
+    return {r["node"]: r["root"] for r in images.linked(found.coalesce(2), alike, str(path)).collect()}
+
+
+@pytest.mark.parametrize("crowd", [8, 40])
+def test_votes_of_small_and_crowded_buckets_add_up(spark, tmp_path, crowd):
+    rng = np.random.default_rng(5)
+    words, place = rng.integers(-(2**63), 2**63 - 1, (6, 4)), rng.uniform(0, 50, (6, 2))
+    corner = lambda img, c: (img, c, float(place[c][0]), float(place[c][1]), 1.0, 0.0, *map(int, words[c]))
+    rows = [corner(img, c) for img in range(crowd) for c in (0, 1, 2)] + [corner(img, c) for img in (901, 902) for c in range(6)]
+    found = spark.createDataFrame(rows, "img long, corner int, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long")
+    assert _roots(spark, found, tmp_path) == {901: 901, 902: 901}
+
+
+def test_components_and_counts_do_not_depend_on_full(spark, monkeypatch):
+    media = images.render(vectors(spark, 40, close=20))
+    rows = {r["img"]: images.decode(r["image"]) for r in media.collect()}
+    seen = {k: images.describe(v[None]) for k, v in rows.items()}
+    pairs = []
+    for a in rows:
+        for b in rows:
+            if a < b:
+                far = np.bitwise_count(seen[a]["words"][:, None] ^ seen[b]["words"][None]).sum(axis=-1)
+                pairs += [(a, int(i), b, int(j)) for i, j in zip(*np.nonzero(far <= images.MAX_HAMMING))]
+    found = images.descriptors(media).select("img", F.inline("corners"))
+    root = {k: k for k in rows}
+    for a, b in images._consensus(spark.createDataFrame(pairs, "a long, ca int, b long, cb int"), found).collect():
+        root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
+    size = Counter(root.values())
+    for full in (4, 24):
+        monkeypatch.setattr(images, "FULL", full)
+        got = {r["img"]: (r["component_id"], r["n_links"]) for r in images.copies(media).collect()}
+        assert got == {k: (v, size[v] - 1) for k, v in root.items()}
