@@ -36,35 +36,59 @@ FURNITURE = (
     "navigation navigationbar newsletter notice notices pagination popup privacy promo promoted promotion recommended related replies respond search share "
     "sharing sidebar sidenav signin signup skip social sponsor sponsored subnav subscribe subscription taboola teaser toolbar topnav widget widgets"
 )
-#: Those that also rule out an article element; and first parts that take a name's meaning away.
+#: Classes and roles that, whole, name furniture inside an article too; ids that do; parts that may go with the
+#: former; names that also rule out an article element; and first parts that take a name's meaning away.
+WITHIN = (
+    "ad ads adbox adsbygoogle adslot adunit advert adverts advertisement breadcrumb breadcrumbs comments disqus masthead navbar newsletter pagination "
+    "promo promoted share sharing sidebar sidenav signin signup sponsored subnav subscribe taboola toolbar topnav widget widgets"
+)
+WITHIN_IDS = "ad ads adbox adslot adunit comments disqus sidebar sidenav"
+PLAIN = "bar block box button buttons container form icons links list section social wrapper"
 NOT_ARTICLES = "ad ads advert comment comments promo related sponsored teaser"
 NEGATING = "has no not with without"
-RAW, APART, MARKED, INLINE, VOID, FURNITURE, NOT_ARTICLES, NEGATING = (
-    frozenset(x.split()) for x in (RAW, APART, MARKED, INLINE, VOID, FURNITURE, NOT_ARTICLES, NEGATING)
+RAW, APART, MARKED, INLINE, VOID, FURNITURE, WITHIN, WITHIN_IDS, PLAIN, NOT_ARTICLES, NEGATING = (
+    frozenset(x.split()) for x in (RAW, APART, MARKED, INLINE, VOID, FURNITURE, WITHIN, WITHIN_IDS, PLAIN, NOT_ARTICLES, NEGATING)
 )
 
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+BLOCK = re.compile(r"h[1-6]|p|li|dt|dd|td|th|pre|blockquote|figcaption|caption")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)|display\s*:\s*none", re.I)
 
 EXTRACTED = "page_id long, url string, text string, spans array<struct<first:int,last:int>>"
 
 
-def is_furniture(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds something other than the article."""
+def is_apart(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element's kind, or that it is hidden, keeps it out of the article."""
     if name in APART and not (inside and name == "header"):
         return True
+    return name not in ("main", "body", "html") and bool(HIDDEN.search(attributes))
+
+
+def is_furniture(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element's names tell something other than the article.
+
+    Inside an article a name counts as a whole only, and no id of a heading or paragraph does.
+    """
     if name in ("main", "body", "html") or not attributes:
         return False
-    if HIDDEN.search(attributes):
-        return True
-    names = NOT_ARTICLES if name in MARKED else FURNITURE - {"header"} if inside else FURNITURE
-    for found in NAMED.findall(attributes):
-        for word in "".join(found[1:]).split():
+    for kind, *values in NAMED.findall(attributes):
+        is_id = kind.lower() == "id"
+        for word in "".join(values).split():
             parts = [x.lower() for x in PARTS.findall(word)]
-            if parts and parts[0] not in NEGATING and not names.isdisjoint(parts):
+            if not parts or parts[0] in NEGATING:
+                continue
+            if name in MARKED:
+                found = not NOT_ARTICLES.isdisjoint(parts)
+            elif not inside:
+                found = not FURNITURE.isdisjoint(parts)
+            elif is_id:
+                found = word.lower() in WITHIN_IDS and not BLOCK.fullmatch(name)
+            else:
+                found = not WITHIN.isdisjoint(parts) and (WITHIN | PLAIN).issuperset(parts)
+            if found:
                 return True
     return False
 
@@ -75,12 +99,17 @@ def _raw_end(html: str, name: str, at: int) -> int:
     return found.end() if found else len(html)
 
 
-def lines(html: str) -> Iterator[tuple[str, int, bool]]:
+def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[int, int] | None = None) -> Iterator[tuple[str, int, bool]]:
     """(text, weight, inside): the page's lines. weight is the length of the text outside links,
     0 for furniture; inside tells lines of an article or main element. A removed container leaves
-    empty lines of a window's height."""
+    empty lines of a window's height.
+
+    Elements at the places `spared` are kept whatever their names (None: all are). masses gets the
+    weight in each element that its names make furniture, by place, if that is kept."""
     html = COMMENT.sub("", html)
     open_: list[tuple[str, bool]] = []  # names, and whether furniture begins there (in one at most)
+    begun: list[tuple[int, int]] = []  # place, and the weight before it; place -1 without a name of furniture
+    seen = 0
     names: Counter[str] = Counter()
     hidden = inside = links = hidden_at = 0
     last = html.rfind(">")
@@ -97,6 +126,9 @@ def lines(html: str) -> Iterator[tuple[str, int, bool]]:
         nonlocal hidden, inside, links
         while len(open_) > upto:
             name, apart = open_.pop()
+            place, before = begun.pop()
+            if place >= 0 and masses is not None:
+                masses[place] = seen - before
             names[name] -= 1
             hidden -= apart
             inside -= name in MARKED
@@ -109,6 +141,7 @@ def lines(html: str) -> Iterator[tuple[str, int, bool]]:
             parts.append(piece)
             if not links:
                 weight += len(piece) - piece.count(" ")
+                seen += len(piece) - piece.count(" ")
         if not tag:
             break
         at = tag.end()
@@ -133,18 +166,33 @@ def lines(html: str) -> Iterator[tuple[str, int, bool]]:
                 yield from (("", 0, False),) * WINDOW
             if name == "p" and open_ and open_[-1][0] == "p" or name == "li" and open_ and open_[-1][0] == "li" or name == "a" and links:
                 close(next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name))
-            apart = not hidden and is_furniture(name, attributes, inside > 0)
+            named = not hidden and is_furniture(name, attributes, inside > 0)
+            apart = not hidden and is_apart(name, attributes, inside > 0) or named and spared is not None and tag.start() not in spared
             if apart:
                 yield from line()
                 yield from (("", 0, False),) * WINDOW
             if apart:
                 hidden_at = len(open_)
             open_.append((name, apart))
+            begun.append((tag.start() if named else -1, seen))
             names[name] += 1
             hidden += apart
             inside += name in MARKED
             links += name == "a"
     yield from line()
+    close(0)
+
+
+def page_lines(html: str) -> list[tuple[str, int, bool]]:
+    """The lines of a page; an element with most of its text is no furniture, whatever its names,
+    and where nothing would be left, none is."""
+    masses: dict[int, int] = {}
+    whole = list(lines(html, None, masses))
+    if not masses:
+        return whole
+    most = sum(weight for _, weight, _ in whole) / 2
+    found = list(lines(html, frozenset(place for place, mass in masses.items() if mass > most)))
+    return found if any(weight for _, weight, _ in found) else whole
 
 
 def main_lines(found: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
@@ -174,7 +222,7 @@ def main_lines(found: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
 
 def extract(html: str | None) -> tuple[str, list[tuple[int, int]]]:
     """A page's main text, and the runs of lines it came from."""
-    found = list(lines(html or ""))
+    found = page_lines(html or "")
     runs = main_lines(found)
     marked = any(inside and weight for _, weight, inside in found)
     return " ".join(found[i][0] for a, b in runs for i in range(a, b) if found[i][0] and (found[i][2] or not marked)), runs

@@ -45,3 +45,15 @@ def test_rows(spark):
     got = html.main_text(pages).collect()
     assert len(got) == 5 and sorted(len(r["text"]) for r in got) == [0, 0, 1, 1, 999_999]
     assert html.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<section id='discussion'><p>{}</p></section>", "<h2 id='related-work'>{}</h2>", "<h2 id='search-results'>{}</h2>", "<section id=privacy>{}</section>", "<p class='notice'>{}</p>", "<p class=related-work>{}</p>"])
+def test_names_in_an_article_count_as_a_whole(part):
+    page = f"<article><p>Before it.</p>{part.format('A part of the text.')}<div class='share-buttons'>Tell all</div><p>After it.</p></article>"
+    assert html.extract(page)[0] == "Before it. A part of the text. After it."
+
+
+@pytest.mark.parametrize("wrapper", ["class='page-with-sidebar'", "id='content' class='col right-sidebar'", "class=search-page"])
+def test_a_wrapper_with_the_text_is_no_furniture(wrapper):
+    page = f"<body><nav><a href=/>Home</a></nav><div {wrapper}><p>The complete text of the page.</p><div class=sidebar>Read on</div></div></body>"
+    assert html.extract(page)[0] == "The complete text of the page."
