@@ -57,6 +57,10 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCK = re.compile(r"h[1-6]|p|li|dt|dd|td|th|pre|blockquote|figcaption|caption")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)|display\s*:\s*none", re.I)
 
+#: A line: its text, weight, whether inside an article, and the place of the container that its block is in.
+Line = tuple[str, int, bool, int]
+EMPTY: Line = ("", 0, False, -1)
+
 EXTRACTED = "page_id long, url string, text string, spans array<struct<first:int,last:int>>"
 
 
@@ -99,8 +103,8 @@ def _raw_end(html: str, name: str, at: int) -> int:
     return found.end() if found else len(html)
 
 
-def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[int, int] | None = None) -> Iterator[tuple[str, int, bool]]:
-    """(text, weight, inside): the page's lines. weight is the length of the text outside links,
+def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[int, int] | None = None) -> Iterator[Line]:
+    """(text, weight, inside, container): the page's lines. weight is the length of the text outside links,
     0 for furniture; inside tells lines of an article or main element. A removed container leaves
     empty lines of a window's height.
 
@@ -109,6 +113,7 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
     html = COMMENT.sub("", html)
     open_: list[tuple[str, bool]] = []  # names, and whether furniture begins there (in one at most)
     begun: list[tuple[int, int]] = []  # place, and the weight before it; place -1 without a name of furniture
+    within = [-1]  # places of the containers: each element's own, or that around it if it is a block of text or inline
     seen = 0
     names: Counter[str] = Counter()
     hidden = inside = links = hidden_at = 0
@@ -116,10 +121,10 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
     parts: list[str] = []
     weight, at = 0, 0
 
-    def line() -> Iterator[tuple[str, int, bool]]:
+    def line() -> Iterator[Line]:
         nonlocal parts, weight
         if text := " ".join(unescape("".join(parts)).split()):
-            yield text, weight, inside > 0
+            yield text, weight, inside > 0, within[-1]
         parts, weight = [], 0
 
     def close(upto: int) -> None:
@@ -127,6 +132,7 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
         while len(open_) > upto:
             name, apart = open_.pop()
             place, before = begun.pop()
+            within.pop()
             if place >= 0 and masses is not None:
                 masses[place] = seen - before
             names[name] -= 1
@@ -154,7 +160,7 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
                 if open_[k][0] == name:
                     if any(apart for _, apart in open_[k:]):
                         yield from line()
-                        yield from (("", 0, False),) * WINDOW
+                        yield from (EMPTY,) * WINDOW
                     close(k)
                     break
         elif name in RAW:
@@ -163,17 +169,18 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
         elif name not in VOID and not attributes.endswith("/"):
             if name in MARKED and hidden and open_[hidden_at][0] not in MARKED:  # furniture that was never closed
                 close(hidden_at)
-                yield from (("", 0, False),) * WINDOW
+                yield from (EMPTY,) * WINDOW
             if name == "p" and open_ and open_[-1][0] == "p" or name == "li" and open_ and open_[-1][0] == "li" or name == "a" and links:
                 close(next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name))
             named = not hidden and is_furniture(name, attributes, inside > 0)
             apart = not hidden and is_apart(name, attributes, inside > 0) or named and spared is not None and tag.start() not in spared
             if apart:
                 yield from line()
-                yield from (("", 0, False),) * WINDOW
+                yield from (EMPTY,) * WINDOW
             if apart:
                 hidden_at = len(open_)
             open_.append((name, apart))
+            within.append(within[-1] if name in INLINE or BLOCK.fullmatch(name) else tag.start())
             begun.append((tag.start() if named else -1, seen))
             names[name] += 1
             hidden += apart
@@ -183,49 +190,55 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
     close(0)
 
 
-def page_lines(html: str) -> list[tuple[str, int, bool]]:
+def page_lines(html: str) -> list[Line]:
     """The lines of a page; an element with most of its text is no furniture, whatever its names,
     and where nothing would be left, none is."""
     masses: dict[int, int] = {}
     whole = list(lines(html, None, masses))
     if not masses:
         return whole
-    most = sum(weight for _, weight, _ in whole) / 2
+    most = sum(weight for _, weight, *_ in whole) / 2
     found = list(lines(html, frozenset(place for place, mass in masses.items() if mass > most)))
-    return found if any(weight for _, weight, _ in found) else whole
+    return found if any(weight for _, weight, *_ in found) else whole
+
 
+def main_lines(found: list[Line]) -> list[tuple[int, int]]:
+    """[first, last): the runs of lines that are kept.
 
-def main_lines(found: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
-    """[first, last): the runs of lines between a surge and the dive that ends it."""
-    marked = any(inside and weight for _, weight, inside in found)
-    weights = [weight if inside or not marked else 0 for _, weight, inside in found]
+    On a page that marks its article these are its lines, links too. Elsewhere they are the lines
+    between a surge and the dive that ends it; lower runs count if a line of theirs is in the same
+    container as one of a surge.
+    """
+    n = len(found)
+    if any(inside and weight for _, weight, inside, _ in found):
+        kept = [bool(inside and text) for text, _, inside, _ in found]
+        return _runs(kept)
+    weights = [weight for _, weight, *_ in found]
     if not any(weights):  # nothing but links: then they are the text
-        weights = [len(text) for text, _, _ in found]
+        weights = [len(text) for text, *_ in found]
     total = [0]
     for w in weights:
         total.append(total[-1] + w)
-    n = len(weights)
     block = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
-    least = 1 if marked else max(1, LEAST_PEAK * max(block, default=0))
-    runs, i = [], 0
-    while i < n:
-        if not block[i]:
-            i += 1
-            continue
-        first = i
-        while i < n and block[i]:
-            i += 1
-        if max(block[first:i]) >= least:
-            runs.append((first, i))
-    return runs
+    least = max(1, LEAST_PEAK * max(block, default=0))
+    runs = _runs([b > 0 for b in block])
+    high = [max(block[a:b]) >= least for a, b in runs]
+    places = [{found[i][3] for i in range(a, b) if weights[i]} for a, b in runs]
+    around = set().union(*(p for p, h in zip(places, high) if h))
+    return [run for run, h, p in zip(runs, high, places) if h or not around.isdisjoint(p)]
+
+
+def _runs(kept: list[bool]) -> list[tuple[int, int]]:
+    """[first, last) of each run of kept lines."""
+    ends = [i for i in range(len(kept) + 1) if (i < len(kept) and kept[i]) != (i > 0 and kept[i - 1])]
+    return list(zip(ends[::2], ends[1::2]))
 
 
 def extract(html: str | None) -> tuple[str, list[tuple[int, int]]]:
     """A page's main text, and the runs of lines it came from."""
     found = page_lines(html or "")
     runs = main_lines(found)
-    marked = any(inside and weight for _, weight, inside in found)
-    return " ".join(found[i][0] for a, b in runs for i in range(a, b) if found[i][0] and (found[i][2] or not marked)), runs
+    return " ".join(found[i][0] for a, b in runs for i in range(a, b) if found[i][0]), runs
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

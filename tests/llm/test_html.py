@@ -57,3 +57,17 @@ def test_names_in_an_article_count_as_a_whole(part):
 def test_a_wrapper_with_the_text_is_no_furniture(wrapper):
     page = f"<body><nav><a href=/>Home</a></nav><div {wrapper}><p>The complete text of the page.</p><div class=sidebar>Read on</div></div></body>"
     assert html.extract(page)[0] == "The complete text of the page."
+
+
+def test_short_runs_of_the_text_stay():
+    long = "A long text. " * 150
+    ad = "<div class=ad>Buy</div>"
+    page = f"<div id=top><p>Low run</p></div>{ad}<div id=content><h1>Title</h1>{ad}<p>{long}</p>{ad}<p>Short closing paragraph.</p></div>{ad}<div id=end><p>Far</p></div>"
+    assert html.extract(page)[0] == f"Title {long.strip()} Short closing paragraph."
+
+
+def test_lines_of_links_in_an_article_stay():
+    items = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(5))
+    page = f"<main><ul>{items}</ul><p>Text.</p><ul>{items}</ul><p><a href=/z>Last</a></p></main>"
+    five = " ".join(f"Item {k}" for k in range(5))
+    assert html.extract(page)[0] == f"{five} Text. {five} Last"
