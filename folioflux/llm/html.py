@@ -24,10 +24,11 @@ WINDOW = 3
 #: On a page that doesn't mark its article, a surge counts from this share of the highest one.
 LEAST_PEAK = 0.2
 
-#: Element names of the HTML standard, and words of class, id and role that name page furniture.
-RAW = "script style noscript template svg math iframe object audio video canvas head title textarea select"
+#: Element names of the HTML standard (HEAD: what a head holds), and words of class, id and role that name page furniture.
+RAW = "script style noscript template svg math iframe object audio video canvas title textarea select"
 APART = "nav header footer aside form menu dialog button fieldset"
 MARKED = "article main"
+HEAD = "base basefont bgsound link meta noscript script style template title"
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 FURNITURE = (
@@ -46,8 +47,8 @@ WITHIN_IDS = "ad ads adbox adslot adunit comments disqus sidebar sidenav"
 PLAIN = "bar block box button buttons container form icons links list section social wrapper"
 NOT_ARTICLES = "ad ads advert comment comments promo related sponsored teaser"
 NEGATING = "has no not with without"
-RAW, APART, MARKED, INLINE, VOID, FURNITURE, WITHIN, WITHIN_IDS, PLAIN, NOT_ARTICLES, NEGATING = (
-    frozenset(x.split()) for x in (RAW, APART, MARKED, INLINE, VOID, FURNITURE, WITHIN, WITHIN_IDS, PLAIN, NOT_ARTICLES, NEGATING)
+RAW, APART, MARKED, HEAD, INLINE, VOID, FURNITURE, WITHIN, WITHIN_IDS, PLAIN, NOT_ARTICLES, NEGATING = (
+    frozenset(x.split()) for x in (RAW, APART, MARKED, HEAD, INLINE, VOID, FURNITURE, WITHIN, WITHIN_IDS, PLAIN, NOT_ARTICLES, NEGATING)
 )
 
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
@@ -66,7 +67,7 @@ EXTRACTED = "page_id long, url string, text string, spans array<struct<first:int
 
 def is_apart(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element's kind, or that it is hidden, keeps it out of the article."""
-    if name in APART and not (inside and name == "header"):
+    if name == "head" or name in APART and not (inside and name == "header"):
         return True
     return name not in ("main", "body", "html") and bool(HIDDEN.search(attributes))
 
@@ -99,7 +100,7 @@ def is_furniture(name: str, attributes: str, inside: bool) -> bool:
 
 def _raw_end(html: str, name: str, at: int) -> int:
     """The end of an element whose content isn't markup; the page's end if it isn't closed."""
-    found = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
+    found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
     return found.end() if found else len(html)
 
 
@@ -143,6 +144,8 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
     while True:
         tag = TAG.search(html, at) if at <= last else None
         piece = html[at : tag.start() if tag else len(html)]
+        if names["head"] and (piece.strip() or tag and not tag[1] and not tag[4] and (tag[2] or tag[5]).lower() not in HEAD):  # its end may be left out
+            close(next(k for k in range(len(open_)) if open_[k][0] == "head"))
         if piece and not hidden:
             parts.append(piece)
             if not links:

@@ -71,3 +71,11 @@ def test_lines_of_links_in_an_article_stay():
     page = f"<main><ul>{items}</ul><p>Text.</p><ul>{items}</ul><p><a href=/z>Last</a></p></main>"
     five = " ".join(f"Item {k}" for k in range(5))
     assert html.extract(page)[0] == f"{five} Text. {five} Last"
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><script>var t='<p>';</script>", "<head><title>T</title><meta charset=utf-8></head>", "<HEAD><link href=x><title>T</title>\n", ""])
+@pytest.mark.parametrize("start", ["<body><article><p>", "<article><header>Head</header><p>", "<p>"])
+def test_a_head_may_lack_its_end(head, start):
+    text = "Head text" if "Head" in start else "text"
+    assert html.extract(f"<!doctype html><html>{head}{start}text")[0] == text
+    assert html.extract(f"<html><head><style>x</styles></style>{start}text")[0] == text
