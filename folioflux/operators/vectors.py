@@ -60,6 +60,12 @@ def embed(df: DataFrame, text: str = "text", model: str = "hashed-words", into:
     return df.withColumn(into, vectors(F.col(text)))
 
 
+def flow(stored: DataFrame, new: DataFrame, text: str = "chunk_text", model: str = "hashed-words") -> DataFrame:
+    """All stored chunks with their vectors, or, if the store has none, all new ones (which are then
+    to be stored). New chunks are left alone while the store has any."""
+    return embed(new if stored.isEmpty() else stored, text, model)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two array columns, in doubles, in the JVM."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

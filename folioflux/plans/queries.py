@@ -766,6 +766,20 @@ def embedding_flow(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.embed(rows, "chunk_text").filter("embedding is not null").select("chunk_id", "filename", "chunk_index")
 
 
+@query(f"SELECT chunk_id, filename, chunk_index FROM {CHUNKS_SQL}")
+def embedding_flow_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The flow over a store that has every chunk."""
+    rows = chunk_table(spark, sf)
+    return vectors.flow(rows, rows.limit(0)).filter("embedding is not null").select("chunk_id", "filename", "chunk_index")
+
+
+@query(f"SELECT chunk_id, filename, chunk_index FROM {CHUNKS_SQL}")
+def embedding_flow_new(spark: SparkSession, sf: str) -> DataFrame:
+    """The flow over an empty store: every chunk is new."""
+    rows = chunk_table(spark, sf)
+    return vectors.flow(rows.limit(0), rows).filter("embedding is not null").select("chunk_id", "filename", "chunk_index")
+
+
 @query()
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.embed(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "embedding")

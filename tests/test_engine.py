@@ -149,3 +149,13 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["ask", str(tmp_path / "store"), "when are pumps serviced", " "])
     out = capsys.readouterr().out
     assert "Pumps are serviced every year." in out and "(blank question)" in out
+
+
+def test_embedding_flow_takes_the_store_or_else_the_input(spark):
+    from folioflux.operators import vectors
+
+    stored = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "chunk_id long, chunk_text string")
+    new = spark.createDataFrame([(4, "d"), (5, "e f")], "chunk_id long, chunk_text string")
+    want = lambda df: {r["chunk_id"]: r["embedding"] for r in vectors.embed(df, "chunk_text").collect()}
+    got = lambda *a: {r["chunk_id"]: r["embedding"] for r in vectors.flow(*a).collect()}
+    assert got(stored, new) == want(stored) and got(stored.limit(0), new) == want(new) and got(stored.limit(0), new.limit(0)) == {}
