@@ -62,17 +62,21 @@ def fingerprint(text: str | None, width: int = 3, block: int = 1 << 13) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, for every row. One pass, no shuffle."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: str | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long, for every row; and the column digest, if one
+    is named. One pass, no shuffle."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            more = [batch.column(2)] if digest else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *more], names=["doc_id", "fp", "digest"][: 2 + len(more)])
         trim()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, FINGERPRINTED)
+    more = [F.col(digest).alias("digest")] if digest else []
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
+    return read.mapInArrow(run, FINGERPRINTED + ", digest string" if digest else FINGERPRINTED)
 
 
 def embedding(fp: Column) -> Column:
@@ -157,28 +161,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     compared like the rest; where a component has no id at all, component_id is null. Repeated
     rows give a row each; other columns are not read.
     """
-    spark = docs.sparkSession
-    path = fresh_dir(spark, "simhash")
+    path = fresh_dir(docs.sparkSession, "simhash")
     rows = written(fingerprints(docs, doc_id, text), f"{path}/fingerprints")
+    return lookup_join(rows, _classes(rows, path, radius), ["fp"], "n_rows").select("doc_id", "fp", "component_id")
+
+
+def _classes(rows: DataFrame, path: str, radius: int) -> DataFrame:
+    """(fp, n_rows, root, component_id) of the fingerprints of rows (doc_id, fp); root names a component, as two may have one least id."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")), f"{path}/nodes")
     found = links(nodes.select("fp"), path, nodes.count(), radius)
     roots = components(found, path)
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = written(linked.join(least, "root").select("fp", "n_rows", "component_id"), f"{path}/classes")
-    return lookup_join(rows, classes, ["fp"], "n_rows").select("doc_id", "fp", "component_id")
+    return written(linked.join(least, "root").select("fp", "n_rows", "root", "component_id"), f"{path}/classes")
 
 
 def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The documents but for near-duplicates: of each component the row with the least doc_id stays.
 
-    Of rows that share that id (repeats), the first by text, lang, source and n_chars stays. Rows
-    without an id can't be named by another and stay.
+    Of a component's rows that share that id, the first by text, lang, source and n_chars stays.
+    Rows without an id can't be named by another and stay.
     """
-    classes = near_duplicates(docs, radius=radius)
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
+    path = fresh_dir(docs.sparkSession, "simhash")
+    digest, root, first = (free(c, docs.columns) for c in ("_digest", "_root", "_first"))
+    keyed = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = written(fingerprints(keyed, digest=digest), f"{path}/fingerprints")
+    named = lookup_join(rows, _classes(rows, path, radius), ["fp"], "n_rows").filter("doc_id = component_id")
+    kept = named.select("doc_id", F.col("digest").alias(digest), F.col("root").alias(root)).distinct()
     order = [c for c in docs.columns if c != "doc_id" and dict(docs.dtypes)[c] in ("string", "bigint", "int")]
-    first = free("_first", docs.columns)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn(first, place).filter(F.col(first) == 1)
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    place = F.row_number().over(Window.partitionBy("doc_id", root).orderBy(*order))
+    stay = keyed.filter("doc_id is not null").join(kept, ["doc_id", digest]).withColumn(first, place).filter(F.col(first) == 1)
+    return stay.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -94,3 +94,9 @@ def test_components(spark, edges):
     got = components(spark.createDataFrame(edges, "a long, b long"), fresh_dir(spark, "test"))
     nodes = {n for a, b in edges if a != b for n in (a, b)}
     assert {r["node"]: r["root"] for r in got.collect()} == groups(nodes, edges and [(a, b) for a, b in edges if a != b])
+
+
+def test_every_component_keeps_a_row_where_ids_repeat(spark):
+    rows = [(1, "one text about the sea and its many ships"), (1, "quite another thing: numbers, sums, proofs"), (2, "one text about the sea and its many ships"), (3, "quite another thing: numbers, sums, proofs")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == rows[:2]
