@@ -58,6 +58,11 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
+def by_all(docs: DataFrame, *but: str) -> list[Column]:
+    """An order of rows by all columns but some, whatever their types: rows it ties are equal."""
+    return [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes if c not in but]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Bound what a Python worker holds at once; very long texts then come in few-row batches. The
     workers also get this package, if they lack it."""
@@ -84,24 +89,23 @@ def held_out(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
-def lookup_join(rows: DataFrame, classes: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """rows inner-joined with classes (unique by keys, with a column of how many rows hold them).
+def lookup_join(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """rows inner-joined with classes (unique by keys, with a column of how many of the rows hold them).
 
     Keys with more than T rows are joined by broadcast, the others by a shuffle in which no key
-    has more than T rows. T is n / HOT_KEYS, HOT_ROWS at least, so no more than HOT_KEYS keys can
-    be hot: the broadcast is bounded whatever the data. Both inputs should be written tables, as
-    each is read twice.
+    has more than T rows. T is n / hot_keys, HOT_ROWS at least, and the sizes add up to n, so no
+    more than hot_keys keys can be hot: the broadcast is bounded whatever the data. Both inputs
+    should be written tables, as each is read twice.
     """
     n = rows.count()
-    hot_over = max(HOT_ROWS, n // HOT_KEYS)
+    hot_over = max(HOT_ROWS, n // hot_keys)
     hot = classes.filter(F.col(size) > hot_over)
     rest = classes.filter(F.coalesce(F.col(size), F.lit(0)) <= hot_over)
-    hot_keys = hot.select(*keys, F.lit(True).alias("_hot"))
-    marked = rows.join(F.broadcast(hot_keys), keys, "left")
+    marked = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
     return (
         marked.filter("_hot").drop("_hot").join(F.broadcast(hot), keys)
         .unionByName(marked.filter("_hot is null").drop("_hot").join(rest, keys))
     )
 
 
-__all__ = ["HOT_KEYS", "HOT_ROWS", "WHITE", "free", "fresh_dir", "held_out", "lookup_join", "shared_dir", "small_batches", "table", "trim", "written"]
+__all__ = ["HOT_KEYS", "HOT_ROWS", "WHITE", "by_all", "free", "fresh_dir", "held_out", "lookup_join", "shared_dir", "small_batches", "table", "trim", "written"]

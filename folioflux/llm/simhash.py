@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, fresh_dir, lookup_join, small_batches, trim, written
+from .common import by_all, free, fresh_dir, lookup_join, small_batches, trim, written
 from .components import components
 
 SEED = 42
@@ -157,38 +157,44 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, fp, component_id) for every row; component_id is the least doc_id reachable.
 
     Equal fingerprints are one node of the graph, so copies cost nothing beyond their own row. A
-    null or empty text has fingerprint zero and links like any other. Rows without an id are
-    compared like the rest; where a component has no id at all, component_id is null. Repeated
-    rows give a row each; other columns are not read.
+    null or empty text has fingerprint zero and links like any other; a very long one is
+    fingerprinted in blocks. Rows without an id are compared like the rest; where a component has
+    no id at all, component_id is null. Repeated rows give a row each; other columns are not read,
+    whatever their names. An empty table gives no rows.
     """
     path = fresh_dir(docs.sparkSession, "simhash")
     rows = written(fingerprints(docs, doc_id, text), f"{path}/fingerprints")
-    return lookup_join(rows, _classes(rows, path, radius), ["fp"], "n_rows").select("doc_id", "fp", "component_id")
+    linked = _linked(rows, F.col("doc_id"), path, radius)
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = written(linked.join(least, "root").select("fp", "n_rows", "component_id"), f"{path}/classes")
+    return lookup_join(rows, classes, ["fp"], "n_rows").select("doc_id", "fp", "component_id")
 
 
-def _classes(rows: DataFrame, path: str, radius: int) -> DataFrame:
-    """(fp, n_rows, root, component_id) of the fingerprints of rows (doc_id, fp); root names a component, as two may have one least id."""
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")), f"{path}/nodes")
+def _linked(rows: DataFrame, first: Column, path: str, radius: int) -> DataFrame:
+    """(fp, n_rows, first, root) of the fingerprints of rows: the least value of `first` among each one's rows, and its component."""
+    nodes = written(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n_rows")), f"{path}/nodes")
     found = links(nodes.select("fp"), path, nodes.count(), radius)
     roots = components(found, path)
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return written(linked.join(least, "root").select("fp", "n_rows", "root", "component_id"), f"{path}/classes")
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The documents but for near-duplicates: of each component the row with the least doc_id stays.
+    """The documents (doc_id, text, ...) but for near-duplicates: of each component exactly one row stays.
 
-    Of a component's rows that share that id, the first by text, lang, source and n_chars stays.
-    Rows without an id can't be named by another and stay.
+    It is the row with the least doc_id; rows without an id come after all others, so one stays only
+    where its component has none with an id. Of a component's rows that share this id, or lack one,
+    the first by its text's SHA-256 stays, and of rows with one id and text the first by all other
+    columns. A null text counts as empty. Rows are told apart by id and text, so rows that share
+    an id but not a component never stand for one another. Extra columns keep their names.
     """
     path = fresh_dir(docs.sparkSession, "simhash")
-    digest, root, first = (free(c, docs.columns) for c in ("_digest", "_root", "_first"))
-    keyed = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+    digest, lacks, some, place = (free(c, docs.columns) for c in ("_digest", "_lacks", "_id", "_place"))
+    keyed = docs.withColumns({digest: F.sha2(F.coalesce("text", F.lit("")), 256), lacks: F.col("doc_id").isNull(), some: F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
     rows = written(fingerprints(keyed, digest=digest), f"{path}/fingerprints")
-    named = lookup_join(rows, _classes(rows, path, radius), ["fp"], "n_rows").filter("doc_id = component_id")
-    kept = named.select("doc_id", F.col("digest").alias(digest), F.col("root").alias(root)).distinct()
-    order = [c for c in docs.columns if c != "doc_id" and dict(docs.dtypes)[c] in ("string", "bigint", "int")]
-    place = F.row_number().over(Window.partitionBy("doc_id", root).orderBy(*order))
-    stay = keyed.filter("doc_id is not null").join(kept, ["doc_id", digest]).withColumn(first, place).filter(F.col(first) == 1)
-    return stay.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    first = F.struct(F.col("doc_id").isNull().alias("lacks"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
+    # One row a fingerprint, then one a component: both minima are summed up before they are shuffled.
+    chosen = _linked(rows, first, path, radius).groupBy("root").agg(F.min("first").alias("first"))
+    chosen = written(chosen.select(F.col("first.lacks").alias(lacks), F.col("first.id").alias(some), F.col("first.digest").alias(digest)), f"{path}/chosen")
+    key = [lacks, some, digest]
+    one = F.row_number().over(Window.partitionBy(*key).orderBy(*by_all(docs)))  # cut to one a key before the shuffle
+    return keyed.withColumn(place, one).filter(F.col(place) == 1).join(chosen, key, "left_semi").select(*docs.columns)

@@ -85,7 +85,7 @@ def test_one_of_each(odd, none):
     rows = kept.collect()
     ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
     assert len(ids) == len(set(ids)) and {1, 3, 5, 7} <= set(ids) and not {2, 4, 6} & set(ids)
-    assert sum(r["doc_id"] is None for r in rows) == 2  # no id: nothing can name them
+    assert not any(r["doc_id"] is None for r in rows)  # both are near copies of a row with an id
     assert simhash.one_of_each(none).count() == 0
 
 
@@ -100,3 +100,33 @@ def test_every_component_keeps_a_row_where_ids_repeat(spark):
     rows = [(1, "one text about the sea and its many ships"), (1, "quite another thing: numbers, sums, proofs"), (2, "one text about the sea and its many ships"), (3, "quite another thing: numbers, sums, proofs")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == rows[:2]
+
+
+def brute_one_of_each(rows):
+    """rows: (doc_id, text); the one that stays of each component."""
+    import hashlib
+
+    fps = {plain(t) for _, t in rows}
+    root = groups(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2])
+    held = {}
+    for i, t in rows:
+        held.setdefault(root[plain(t)], []).append((i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest(), i, t))
+    return sorted((str(min(x)[3]), str(min(x)[4])) for x in held.values())
+
+
+def test_one_row_of_each_component_against_brute_force(spark):
+    rng, words = random.Random(11), [f"w{k}" for k in range(60)]
+    bases = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(12)]
+    rows = [(5, "one different text"), (5, "another text altogether, about numbers"), (3, "one different text"), (None, "only here, and without any id"), (None, "only here, and without any id"), (5, None), (None, "")]
+    for _ in range(150):  # near copies; ids repeat, also over components, and some are missing
+        text = rng.choice(bases).split(" ")
+        text[rng.randrange(len(text))] = "changed"
+        rows.append((rng.choice([None, *range(25)]), " ".join(text)))
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == brute_one_of_each(rows)
+
+
+def test_rows_that_differ_in_any_type_are_chosen_alike(spark):
+    rows = [(1, "same text here", float(k), [k, 1], {"k": k}) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, parts array<int>, more map<string,int>")
+    assert {str(simhash.one_of_each(df.repartition(k)).collect()) for k in (1, 3, 5)} == {str(df.filter("score = 0").collect())}
