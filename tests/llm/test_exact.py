@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from folioflux.llm import exact
@@ -32,16 +33,39 @@ def test_one_of_each(odd, none):
 @pytest.mark.parametrize("capacity", [1, 3, 50])
 def test_directory(capacity):
     counts = {k: (k * 7919) % 5 for k in range(0, 256, 3)} | {200: 40}
-    found = exact.Directory(counts, capacity, 8)
-    assert len(found.entries) == 1 << found.depth
+    found = exact.Directory()
+    short = found.split(counts, 8, capacity)
+    entries = found.entries()
+    assert len(entries) == 1 << found.depth
     held = {}
     for prefix, n in counts.items():
-        b = found.entries[prefix >> (8 - found.depth)]
+        b = entries[prefix >> (8 - found.depth)]
         bits, used = found.buckets[b]
         assert prefix >> (8 - used) == bits
         held[b] = held.get(b, 0) + n
-    assert all(n <= capacity or found.buckets[b][1] == 8 for b, n in held.items())
-    assert set(found.entries) == set(range(len(found.buckets)))
+    assert all(n <= capacity or b in short for b, n in held.items())
+    assert set(entries) == set(range(len(found.buckets)))
+    starts, owners = found.runs()
+    assert [owners[(starts <= np.uint64(x << 56)).sum() - 1] for x in range(256)] == [entries[x >> (8 - found.depth)] for x in range(256)]
+
+
+def test_a_directory_goes_as_deep_as_the_hashes_need(spark):
+    close = [(1 << 40) + k for k in range(50)] + [-(k + 1) for k in range(50)] + [k << 57 for k in range(-64, 64)]
+    sigs = spark.createDataFrame([(x,) for x in close], "hash long")
+    found = exact.directory_of(sigs, capacity=1, step_bits=8)
+    starts, owners = found.runs()
+    held = [int(owners[np.searchsorted(starts, np.uint64(x % (1 << 64)), "right") - 1]) for x in set(close)]
+    assert len(set(held)) == len(held) and found.depth > 60
+
+
+def test_one_row_of_a_text_and_id_stays_however_often_it_repeats(spark, monkeypatch):
+    from folioflux.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    docs = spark.createDataFrame([(None, "")] * 40 + [(None, None)] * 40 + [(7, "x")] * 30 + [(3, "x"), (9, "y")], "doc_id long, text string").repartition(4)
+    got = exact.duplicates(docs).collect()
+    assert len(got) == 112 and sorted((r["group_size"], str(r["keep_id"])) for r in got if r["kept"]) == [(1, "9"), (31, "3"), (80, "None")]
+    assert sorted(str(r["doc_id"]) for r in exact.one_of_each(docs).collect()) == ["3", "9", "None"]
 
 
 def test_chains_compare_bytes():
