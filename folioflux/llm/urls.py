@@ -7,8 +7,9 @@ the stack of open rules (simulated by their depth), and leaves at each end the r
 it. A URL has a key for each of its host's suffixes; merged into the ends in sorted order, each
 key takes the rule on top at the last end before it, which is the longest that fits.
 
-The URLs of a top-level label are dealt over salts by their number, with the label's ends copied to
-each salt, so no host or label, however common, has to sit in one task.
+URLs whose top-level label has no rule go round the sort. The others are dealt over salts by their
+label's number of URLs, with the label's ends copied to each salt, so no host or label, however
+common, has to sit in one task, nor a URL that is repeated very often.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import fresh_dir, written
 
-#: URLs that a sort takes at once, about; and the least number of salts.
-ROWS_A_SALT = 200_000
-LEAST_SALTS = 64
-#: The salts are broadcast up to so many top-level labels (some 30 bytes each).
-MAX_LABELS = 100_000
+#: URLs that a sort takes at once, about.
+ROWS_A_SALT = 20_000
+#: So many top-level labels are broadcast at most (some 40 bytes each).
+MAX_LABELS = 10_000
+#: Rules may differ in so many numbers of labels; a host name has 127 labels at most (RFC 1035).
+MAX_LEVELS = 128
 
 RULES = "host string, path string, verdict string"
 
@@ -81,44 +83,65 @@ def sweep(rules: DataFrame) -> DataFrame:
     return ends.select("label", "level", "key", F.struct(top.alias("rule")).alias("top"))
 
 
+def _labels(rows: DataFrame, ends: DataFrame, path_: str) -> tuple[DataFrame, bool]:
+    """(label, ruled, salts) of top-level labels, MAX_LABELS at most; and whether all with rules are there.
+
+    Where there are too many, the hottest are there, with and without rules; any other label then
+    has no more URLs than the MAX_LABELS-th part of all.
+    """
+    counted = rows.groupBy("label").agg(F.count("*").alias("n"))  # summed before it is shuffled
+    ruled = ends.select("label").distinct().withColumn("ruled", F.lit(True))
+    known = written(counted.join(ruled, "label", "full").select("label", F.coalesce("ruled", F.lit(False)).alias("ruled"), F.coalesce("n", F.lit(0)).alias("n")), f"{path_}/labels")
+    sums = known.agg(F.count_if("ruled").alias("ruled"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    whole = sums["ruled"] <= MAX_LABELS
+    kept = known.filter("ruled") if whole else known.filter(F.col("n") > max(ROWS_A_SALT, sums["n"] // MAX_LABELS))
+    return kept.select("label", "ruled", F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_A_SALT)).cast("int").alias("salts")), whole
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, url, host, path, rule, verdict) for every row.
 
     Longest rule wins (by the characters of host and path; on a tie, the longer host). rule is the
     winner's host and path, or null where none fits; verdict then is `default`. A null url or one
-    without :// has an empty host and path, which no rule fits. Repeated rows give a row each;
-    other columns are not read. One shuffle of (page_id, url), and a sort for each level of rules.
+    without :// has an empty host and path, which no rule fits. Very long URLs are keyed whole.
+    Repeated rows give a row each; other columns are not read, whatever their names; an empty table
+    gives no rows. One shuffle of (page_id, url), and a sort for each level of rules; URLs whose
+    top-level label has no rule are not shuffled. Rules of more than MAX_LEVELS different numbers
+    of labels are refused.
     """
-    ends = sweep(rules)
-    levels = [r["level"] for r in ends.select("level").distinct().orderBy("level").limit(128).collect()]
+    at = fresh_dir(pages.sparkSession, "urls")
+    ends = written(sweep(rules), f"{at}/ends")
+    levels = [r["level"] for r in ends.select("level").distinct().orderBy("level").limit(MAX_LEVELS + 1).collect()]
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"rules of more than {MAX_LEVELS} different numbers of labels")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     labels = F.split("host", r"\.")
     rows = rows.withColumn("label", F.element_at(labels, -1))
-    salts = F.greatest(F.lit(LEAST_SALTS), F.ceil(F.col("n") / ROWS_A_SALT).cast("int"))
-    counted = rows.groupBy("label").agg(F.count("*").alias("n"))  # summed before it is shuffled
-    spread = ends.select("label").distinct().join(counted, "label", "left").select("label", F.coalesce(salts, F.lit(LEAST_SALTS)).alias("salts"))
-    spread = written(spread, f"{fresh_dir(pages.sparkSession, 'urls')}/salts")
-    if spread.count() <= MAX_LABELS:  # top-level labels that have rules: else a join by label, which is skewed
-        spread = F.broadcast(spread)
-
-    sorted_rows = rows.withColumns({f"key_{n}": F.when(F.size(labels) >= n, _key(labels, n, F.col("path"))) for n in levels})
-    sorted_rows = sorted_rows.join(spread, "label", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(LEAST_SALTS))).cast("int")
-    ).drop("salts").withColumn("is_row", F.lit(True))
-    marks = ends.join(spread, "label").select("label", "level", "key", "top", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    spread, whole = _labels(rows, ends, at)
+    looked_up = rows.join(F.broadcast(spread), "label", "left")  # MAX_LABELS rows at most
+    sorted_away = F.col("ruled") if whole else F.coalesce("ruled", F.lit(True))
+    here = looked_up.filter(sorted_away)
+    past = looked_up.filter(~F.coalesce(sorted_away, F.lit(False))).select("page_id", "url", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+
+    here = here.withColumns({f"key_{n}": F.when(F.size(labels) >= n, _key(labels, n, F.col("path"))) for n in levels})
+    # The partition's number tells repeats of one row apart, and is the same when a lost task is run again.
+    salt = F.pmod(F.xxhash64("page_id", "url", F.spark_partition_id()), F.coalesce("salts", F.lit(1))).cast("int")
+    here = here.withColumn("salt", salt).drop("salts", "ruled").withColumn("is_row", F.lit(True))
+    marks = ends.join(F.broadcast(spread.select("label", "salts")), "label", "left").select("label", "level", "key", "top", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     for n in levels:
         marks = marks.withColumn(f"key_{n}", F.when(F.col("level") == n, F.col("key")))
     marks = marks.drop("key").withColumn("is_row", F.lit(False))
-    merged = sorted_rows.unionByName(marks, allowMissingColumns=True)
+    merged = here.unionByName(marks, allowMissingColumns=True)
     for n in levels:
         in_order = Window.partitionBy("label", "salt").orderBy(F.col(f"key_{n}").asc_nulls_first(), "is_row").rowsBetween(Window.unboundedPreceding, 0)
         last = F.last(F.when(F.col("level") == n, F.col("top")), ignorenulls=True).over(in_order)
         merged = merged.withColumn(f"top_{n}", last["rule"])
     fits = [F.when(F.col(f"key_{n}").isNotNull() & F.col(f"top_{n}").isNotNull(), F.struct(F.length(f"top_{n}.rule").alias("size"), F.lit(n).alias("level"), F.col(f"top_{n}.rule").alias("rule"), F.col(f"top_{n}.verdict").alias("verdict"))) for n in levels]
     best = F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<size:int,level:int,rule:string,verdict:string>")
-    return merged.filter("is_row").select("page_id", "url", "host", "path", best.alias("best")).select(
+    judged = merged.filter("is_row").select("page_id", "url", "host", "path", best.alias("best")).select(
         "page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
+    return judged.unionByName(past)
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -45,3 +45,27 @@ def test_rule_tables(spark):
     assert urls.judge(pages, twice).first()["verdict"] == "block"
     assert urls.judge(pages.limit(0), twice).count() == 0
     assert urls.judge(pages.union(pages), twice).count() == 2
+
+
+def test_hot_labels_repeats_and_long_urls(spark, monkeypatch):
+    monkeypatch.setattr(urls, "ROWS_A_SALT", 50)
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "", "block"), ("b.net", "/x", "allow")]
+    links = [f"http://www.example.com/en/{k}" for k in range(300)] + ["http://b.net/x"] * 300 + ["http://a.cn/en/"] * 200 + [None] * 100 + ["http://example.com/en/7" + "x" * 300_000, "http://" + "a." * 3000 + "com/en/"]
+    check(spark, links, rules)
+    same = spark.createDataFrame([(1, "http://b.net/x")] * 500, "page_id long, url string").repartition(5)
+    assert {tuple(r)[4:] for r in urls.judge(same, urls.rule_table(spark, rules)).collect()} == {("b.net/x", "allow")}
+
+
+def test_too_many_labels_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_LABELS", 3)
+    monkeypatch.setattr(urls, "ROWS_A_SALT", 20)
+    rules = [(f"a.l{k}", "/x", "block") for k in range(30)]
+    check(spark, [f"http://a.l{k % 40}/x/{k}" for k in range(200)] + ["http://a.l1/x"] * 100 + ["http://a.none/x"] * 100, rules)
+
+
+def test_rules_of_too_many_levels_are_refused(spark):
+    import pytest
+
+    rules = urls.rule_table(spark, [("a" + ".a" * k, "/", "block") for k in range(140)])
+    with pytest.raises(ValueError, match="128"):
+        urls.judge(spark.createDataFrame([(1, "http://a/")], "page_id long, url string"), rules)
