@@ -8,22 +8,24 @@ over its code points, without building its feature vector.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, trim
 
 #: Hashed n-grams.
 DIMS = 1 << 13
-#: At most about so many labelled rows are learned from, shared evenly among the languages.
+#: So many labelled texts are learned from at most, shared evenly among the languages; but of each
+#: language LEAST_EACH, and of more languages than MAX_LANGS none (an error).
 MAX_TRAIN = 1200
+LEAST_EACH = 10
+MAX_LANGS = 500
 #: Code points handled at once.
 BLOCK = 1 << 18
 #: Families of ISO 639-1 codes. A code in none of them is a family of its own.
@@ -154,7 +156,7 @@ class Model:
         lang = np.array(langs)
         scale = 1 / (x.std(axis=0) + 1e-4) if len(x) else np.ones(DIMS)
         x *= scale  # in place: the sample is the driver's largest table
-        norm = float(np.sqrt(np.einsum("ij,ij->i", x, x).mean())) if len(x) else 1.0
+    XX
         x /= norm
         decisions = []
         if len(self.families) > 1:
@@ -188,39 +190,53 @@ class Model:
 
 
 def sample(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> DataFrame:
-    """About max_rows rows at most, as many for each language where there are enough.
+    """(lang, _hash): the texts to learn from, by the hash of the text: exactly as many of each language, where there are enough.
 
-    Which rows depends on a hash of their text alone, so the order and the partitions don't matter.
+    Different texts are drawn in the order of a hash, so a text that repeats however often counts
+    once, and neither order nor partitions matter. A first cut by that hash, some times wider than
+    needed, keeps what is shuffled small.
     """
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows // 10).collect()}
-    each = max_rows // max(1, len(sizes))
-    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate: Column = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(rate)
-    return labelled.filter(draw < rate)
+    keyed = labelled.select("lang", F.xxhash64("text", F.lit("sample")).alias("_hash"))
+    about = keyed.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(about) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages to learn")
+    each = max(LEAST_EACH, max_rows // max(1, len(about)))
+    wide: Column = F.lit(0.0)
+    for r in about:
+        wide = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (8 * each + 100) / max(1, r["n"])))).otherwise(wide)
+    draw = F.pmod("_hash", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = keyed.filter((draw < wide) | (wide >= 1)).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_hash", F.lit(1 << 30)), "_hash"))
+    return near.withColumn("_place", place).filter(F.col("_place") <= each).select("lang", "_hash")
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
     """Learn from (text, lang): rows with a null lang or no text are left out.
 
-    The sample's features are made on the executors; the driver gets 32 KB for each of its rows.
-    Without labelled rows the model knows no language and predicts und.
+    The sample's features are made on the executors, once a task for each text; the driver gets
+    32 KB for each text of the sample. A text labelled in two languages teaches both. Without
+    labelled rows the model knows no language and predicts und.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select("text", "lang").filter("lang is not null and text is not null and length(text) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            first = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            for at in range(0, len(first), 100):
+                part = batch.take(pa.array(first[at : at + 100]))
                 x = features(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "_hash", "x"])
         trim()
 
-    got = sample(rows, max_rows).mapInArrow(run, "lang string, x binary").toArrow()
-    langs, vectors = got.column("lang").to_pylist(), got.column("x")
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], zlib.crc32(vectors[i].as_buffer()), vectors[i].as_py()))
+    drawn = F.broadcast(sample(rows, max_rows))  # max_rows rows, or LEAST_EACH a language
+    chosen = rows.withColumn("_hash", F.xxhash64("text", F.lit("sample"))).join(drawn, ["lang", "_hash"]).select("text", "lang", "_hash")
+    made = chosen.mapInArrow(run, "lang string, _hash long, x binary")
+    got = made.groupBy("lang", "_hash").agg(F.min("x").alias("x")).toArrow()  # a text that several tasks hold
+    langs, hashes, vectors = got.column("lang").to_pylist(), got.column("_hash").to_pylist(), got.column("x")
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], hashes[i]))
     x = np.empty((len(langs), DIMS), np.float32)
     for k, i in enumerate(order):
         x[k] = np.frombuffer(vectors[i].as_buffer(), np.float32)
@@ -234,8 +250,9 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, family) for every whole text, from the text alone.
 
-    und with score 0 where the text is null, empty or without letters. Repeated rows give a row
-    each, equal ones the same prediction; other columns are not read. A tie goes to the first in
+    und with score 0 where the text is null, empty or without letters; very long texts are scored
+    in blocks. Repeated rows give a row each, equal ones the same prediction; an empty table gives
+    no rows; other columns are not read, whatever their names. A tie goes to the first in
     alphabetical order. One pass, no shuffle.
     """
     small_batches(docs.sparkSession)

@@ -4,6 +4,7 @@ Counterfactual regularisation: each training text that names a group is copied w
 term swapped for others of its kind, and the squared change of the score is part of the loss, so
 weight moves from the group's name to the words that make a text toxic. Features are which words
 occur in the whole text; the first fit (L1) picks the words, the second (L2) sets their weights.
+Both classes weigh the same in the loss, so a score is a chance where half of the texts are toxic.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, trim
 
-#: At most about so many labelled rows of each class are learned from, none of over MAX_CHARS.
+#: So many labelled documents of each class are learned from at most, none of over MAX_CHARS.
 MAX_TRAIN = 2000
 MAX_CHARS = 50_000
 #: Words that enter the first fit: the most telling ones by a chi-squared test.
@@ -43,11 +44,6 @@ KIN = {term: [x for x in line if x != term] for line in GROUPS for term in line}
 
 #: Training texts that a word must occur in.
 LEAST_TEXTS = 5
-#: After the fit the bias is raised, by MAX_SHIFT at most, until this share of the clean training texts
-#: is below this log-odds; so one telling word is enough where no clean text has any.
-CLEAN_SHARE = 0.999
-LEAST_CLEAN = -0.4
-MAX_SHIFT = 3.0
 #: Letters of a stem: inflected and compound forms share what stands first.
 STEMS = (3, 4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\W_]+")
@@ -146,9 +142,7 @@ class Model:
         keep = [word for word, v in zip(vocabulary, w) if abs(v) > 1e-3]
         x, delta = self._matrices(texts, keep)
         w, bias = _fit(x, y, share, delta, l1=0.0, l2=1e-5, swap=swap, rounds=3000)
-        clean = x[y == 0] @ w + bias  # move the border up to the clean texts, if there is room between
-        room = LEAST_CLEAN - float(np.quantile(clean, CLEAN_SHARE))
-        self.weights, self.bias = dict(zip(keep, map(float, w))), float(bias) + min(max(room, 0.0), MAX_SHIFT)
+        self.weights, self.bias = dict(zip(keep, map(float, w))), float(bias)
 
     @staticmethod
     def _matrices(texts: list[str], vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,19 +178,17 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", max_rows: int = MAX_TRAIN, max_chars: int = MAX_CHARS) -> Model:
     """Learn from documents (doc_id, text) and labels (doc_id, toxic 0 or 1); pass only rows to learn from.
 
-    A bounded sample, max_rows of each class at most and none longer than max_chars, is drawn from
-    the labels by a hash of the id, broadcast to the documents, and fitted on the driver. Rows with
-    a null id, label or text teach nothing; an id labelled twice counts as toxic if one label says so.
+    A bounded sample, the max_rows labelled ids of each class that come first by a hash, is
+    broadcast to the documents and fitted on the driver; texts longer than max_chars are passed
+    over. Rows with a null id, label or text teach nothing; an id labelled twice counts as toxic
+    if one label says so, and of texts that share an id the first in their order is taken. With one
+    class only, or nothing, to learn from, every text gets the same score.
     """
     known = labels.filter(f"{doc_id} is not null and toxic in (0, 1)").groupBy(F.col(doc_id).alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
-    sizes = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.lit(0.0)
-    for label, n in sizes.items():
-        rate = F.when(F.col("_toxic") == label, F.lit(min(1.0, 0.95 * max_rows / n))).otherwise(rate)
-    drawn = known.filter(draw < rate).limit(2 * max_rows)
+    place = F.row_number().over(Window.partitionBy("_toxic").orderBy(F.xxhash64("_id", F.lit("sample")), "_id"))  # cut to max_rows a task before the shuffle
+    drawn = known.withColumn("_place", place).filter(F.col("_place") <= max_rows).select("_id", "_toxic")
     text = docs.select(F.col(doc_id).alias("_id"), F.col("text").alias("_text")).filter(F.length("_text").between(1, max_chars))
-    rows = text.join(F.broadcast(drawn), "_id").select("_text", "_toxic").limit(3 * max_rows).toArrow()
+    rows = text.join(F.broadcast(drawn), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).select("_text", "_toxic").toArrow()
     pairs = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
     del rows
     model = Model([a for a, _ in pairs], [b for _, b in pairs])
@@ -208,8 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", max_rows:
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score): the chance that a whole text is toxic, from the text alone.
 
-    A null or empty text gets the score of a text without any telling word. Repeated rows give a
-    row each, equal texts the same score; other columns are not read. One pass, no shuffle.
+    A null or empty text gets the score of a text without any telling word; very long ones are read
+    whole. Repeated rows give a row each, equal texts the same score; an empty table gives no rows;
+    other columns are not read, whatever their names. One pass, no shuffle.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
