@@ -42,7 +42,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for wave in sharding.waves(docs, "doc_id", WAVES):
         store.append(wave)
     store.compact()
-    store.vacuum()
+    store.vacuum()  # nothing is old enough to go
     return store.assignments("doc_id").select("doc_id", F.element_at(F.split("path", "/"), -1).alias("shard"), "tier", F.col("n_rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), "version")
 
 

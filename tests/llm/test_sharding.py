@@ -8,6 +8,13 @@ def store(spark, **sizes):
     return sharding.Sharded(spark, fresh_dir(spark, "test"), **sizes)
 
 
+def files(at):
+    """The names of the Parquet files that are there."""
+    from pathlib import Path
+
+    return {p.name for p in Path(at.root.removeprefix("file://")).glob("shards/*/*.parquet")}
+
+
 def test_append_compact_read(spark, odd):
     at = store(spark, target=64 << 20, smallest=1 << 20)
     for _ in range(3):
@@ -18,8 +25,8 @@ def test_append_compact_read(spark, odd):
     assert at.manifest().count() == 1 < before
     assert sorted(map(str, at.read().collect())) == rows == sorted(map(str, at.read(2).collect()))
     assert at.compact() == 3  # nothing more to do
-    at.vacuum()
-    assert sorted(map(str, at.read().collect())) == rows
+    at.vacuum(0)
+    assert sorted(map(str, at.read().collect())) == rows and files(at) == {r["path"].split("/")[-1] for r in at.manifest().collect()}
     assert at.assignments("doc_id").count() == 3 * odd.count()
     assert at.manifest().first()["n_rows"] == 3 * odd.count()
 
@@ -36,6 +43,7 @@ def test_a_version_is_committed_once(spark, odd):
     at.append(odd)
     with pytest.raises(sharding.ConcurrentCommit):
         at._commit(at.manifest(), 0)
+    assert at.read().count() == odd.count()
     at.append(odd)
     assert at.version() == 1 and at.read(0).count() == odd.count() and at.read(1).count() == 2 * odd.count()
 
@@ -69,7 +77,90 @@ def test_a_folder_may_be_merged_in_part(spark):
     ids = [0, 1, 2, 3, 100, 101]
     for _ in range(2):
         at.compact()
-        at.vacuum()
+        at.vacuum(0)
         assert sorted(r["doc_id"] for r in at.read().collect()) == ids
         assert sorted(r["doc_id"] for r in at.assignments("doc_id").collect()) == ids
     assert at.manifest().count() == 3
+
+
+def test_assignments_and_manifest_against_the_files(spark, odd):
+    import os
+
+    import pyarrow.parquet as pq
+
+    at = store(spark, target=6 << 10, smallest=1 << 10, fan_in=3)
+    for k in range(5):
+        at.append(odd.drop("path").repartition(k + 1))
+    at.compact()
+    shards = {r["path"]: r for r in at.manifest().collect()}
+    want = []
+    for path, r in shards.items():
+        local = path.removeprefix("file://").removeprefix("file:")
+        ids = pq.read_table(local, columns=["doc_id"]).column(0).to_pylist()
+        assert (r["bytes"], r["n_rows"]) == (os.path.getsize(local), len(ids))
+        tier = 0
+        while (1 << 10) * 3**tier < r["bytes"]:
+            tier += 1
+        assert r["tier"] == tier
+        want += [(str(i), path) for i in ids]
+    assert sorted((str(r["doc_id"]), r["path"]) for r in at.assignments("doc_id").collect()) == sorted(want)
+    assert len(want) == 5 * odd.count()
+
+
+def test_ids_may_have_any_name(spark):
+    at = store(spark)
+    df = spark.createDataFrame([(k, k, k, k) for k in range(3)], "path long, bytes long, tier long, version long")
+    at.append(df)
+    for name in df.columns:
+        got = at.assignments(name)
+        assert got.columns[0] == name and len(set(got.columns)) == 6 and sorted(r[0] for r in got.collect()) == [0, 1, 2]
+
+
+def test_versions_are_changes_with_a_full_list_now_and_then(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SNAPSHOT_EVERY", 3)
+    at = store(spark, smallest=1 << 20, fan_in=4)
+    one = lambda k: spark.createDataFrame([(k, "x")], "doc_id long, text string").coalesce(1)
+    for k in range(7):
+        at.append(one(k))
+    assert [len(at._parts(v)["changes"]) for v in range(7)] == [1, 2, 0, 1, 2, 0, 1]
+    assert at.compact() == 7
+    for v in range(7):
+        assert sorted(r["doc_id"] for r in at.read(v).collect()) == list(range(v + 1))
+    assert at.manifest().count() == 1 and at.read().count() == 7
+
+
+def test_vacuum_leaves_what_others_have_begun_and_what_is_young(spark):
+    at = store(spark, fan_in=2)
+    one = lambda k: spark.createDataFrame([(k, "x")], "doc_id long, text string").coalesce(1)
+    at.append(one(1))
+    at.append(one(2))
+    at.compact()
+    at.vacuum()  # all is young
+    assert at.read(0).count() == 1 and len(files(at)) == 3
+    folder = "shards/other"  # another writer between its write and its commit
+    at._begun(folder)
+    one(3).write.parquet(f"{at.root}/{folder}")
+    at.vacuum(0.0)
+    assert len(files(at)) == 2
+    at._commit(at._shards(folder, 3), 3)
+    at._ended(folder)
+    at.vacuum(0.0)
+    assert sorted(r["doc_id"] for r in at.read().collect()) == [1, 2, 3]
+    assert [v for v, _ in at._versions()] == [3]
+
+
+def test_settings_of_the_session_stay(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    at = store(spark, fan_in=2)
+    assert at._packer().conf.get("spark.sql.files.maxPartitionBytes") == str(at.target)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_two_writers_race(spark, odd, monkeypatch):
+    at = store(spark)
+    at.append(odd)
+    at.append(odd)
+    real, believed = sharding.Sharded.version, [0]  # once, a stale view: version 1 seems to be free
+    monkeypatch.setattr(sharding.Sharded, "version", lambda self: believed.pop() if believed else real(self))
+    assert at.append(odd) == 2
+    assert at.read().count() == 3 * odd.count()
