@@ -156,7 +156,7 @@ class Model:
         lang = np.array(langs)
         scale = 1 / (x.std(axis=0) + 1e-4) if len(x) else np.ones(DIMS)
         x *= scale  # in place: the sample is the driver's largest table
-    XX
+        norm = (float(np.sqrt(np.einsum("ij,ij->i", x, x).mean())) if len(x) else 0.0) or 1.0  # texts without letters have no features
         x /= norm
         decisions = []
         if len(self.families) > 1:
