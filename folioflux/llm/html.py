@@ -1,9 +1,12 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one for each block element's text. Containers that never hold the
-article (menus, forms, scripts, notices and the like) become empty lines, and so does link text.
-The lengths of the lines are summed over a sliding window: the sums surge where the main text
-begins and dive to nothing where it ends, and the lines between are kept.
+Markup is stripped to lines, one for each block element's text; elements of the kinds that are never
+the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
+comments) become empty lines, and link text counts nothing. The lengths of the lines are summed over
+a sliding window. Where the sums rise over a share of the page's highest sum is a surge, where they
+fall below it again a dive; the lines between are the text, trimmed to the lines that made the sums
+rise and fall. Short lines next to it, such as a title or a last remark, have no sum of their own: they
+stay where they are in the same article, or the same container, as lines between a surge and its dive.
 """
 
 from __future__ import annotations
@@ -21,35 +24,33 @@ from .common import small_batches
 
 #: Lines in a window.
 WINDOW = 3
-#: On a page that doesn't mark its article, a surge counts from this share of the highest one.
-LEAST_PEAK = 0.2
+#: A surge is a rise over this share of the page's highest sum.
+SURGE = 0.2
 
-#: Element names of the HTML standard (HEAD: what a head holds), and words of class, id and role that name page furniture.
+#: Element names of the HTML standard (HEAD: what a head holds).
 RAW = "script style noscript template svg math iframe object audio video canvas title textarea select"
 APART = "nav header footer aside form menu dialog button fieldset"
 MARKED = "article main"
 HEAD = "base basefont bgsound link meta noscript script style template title"
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
 VOID = "area base br col embed hr img input link meta param source track wbr"
-FURNITURE = (
-    "ad ads adbox adsbygoogle adslot adunit advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs colophon comment comments "
-    "complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus feedback footer gdpr header login masthead menu modal nav navbar "
-    "navigation navigationbar newsletter notice notices pagination popup privacy promo promoted promotion recommended related replies respond search share "
-    "sharing sidebar sidenav signin signup skip social sponsor sponsored subnav subscribe subscription taboola teaser toolbar topnav widget widgets"
-)
-#: Classes and roles that, whole, name furniture inside an article too; ids that do; parts that may go with the
-#: former; names that also rule out an article element; and first parts that take a name's meaning away.
-WITHIN = (
-    "ad ads adbox adsbygoogle adslot adunit advert adverts advertisement breadcrumb breadcrumbs comments disqus masthead navbar newsletter pagination "
-    "promo promoted share sharing sidebar sidenav signin signup sponsored subnav subscribe taboola toolbar topnav widget widgets"
-)
-WITHIN_IDS = "ad ads adbox adslot adunit comments disqus sidebar sidenav"
-PLAIN = "bar block box button buttons container form icons links list section social wrapper"
-NOT_ARTICLES = "ad ads advert comment comments promo related sponsored teaser"
-NEGATING = "has no not with without"
-RAW, APART, MARKED, HEAD, INLINE, VOID, FURNITURE, WITHIN, WITHIN_IDS, PLAIN, NOT_ARTICLES, NEGATING = (
-    frozenset(x.split()) for x in (RAW, APART, MARKED, HEAD, INLINE, VOID, FURNITURE, WITHIN, WITHIN_IDS, PLAIN, NOT_ARTICLES, NEGATING)
+HOMES = "div article main"
+#: Names of class, id and role for what is never the article. Each has to be the whole
+#: name, or all of its parts have to be such names or PLAIN ones. ALWAYS: also inside an article, and however much text they hold.
+MENUS = "menu nav navbar navigation breadcrumb breadcrumbs topnav subnav toolbar pagination share sharing"
+HEADERS = "header masthead banner topbar"
+FOOTERS = "footer colophon contentinfo"
+SIDEBARS = "sidebar sidenav aside complementary widget widgets"
+NOTICES = "notice notices alert cookie cookies consent gdpr disclaimer popup modal"
+ADVERTS = "ad ads adbox adslot adunit adsbygoogle advert adverts advertisement advertisements advertising sponsored promo promoted"
+FORMS = "form login signin signup subscribe subscription newsletter respond"
+COMMENTS = "comment comments disqus replies"
+PLAIN = "area bar block bottom box btn button buttons col column container content footer global group header inner item items left links list main menu outer page panel primary reader right secondary section site social top user wrap wrapper"
+NOT_WITHIN = "notice notices alert cookie cookies consent gdpr disclaimer popup modal menu header banner footer form content navigation"
+RAW, APART, MARKED, HEAD, INLINE, VOID, HOMES, COMMENTS, PLAIN, NOT_WITHIN = (
+    frozenset(x.split()) for x in (RAW, APART, MARKED, HEAD, INLINE, VOID, HOMES, COMMENTS, PLAIN, NOT_WITHIN)
 )
+FURNITURE = frozenset(" ".join((MENUS, HEADERS, FOOTERS, SIDEBARS, NOTICES, ADVERTS, FORMS)).split()) | COMMENTS
 
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -58,9 +59,9 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCK = re.compile(r"h[1-6]|p|li|dt|dd|td|th|pre|blockquote|figcaption|caption")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)|display\s*:\s*none", re.I)
 
-#: A line: its text, weight, whether inside an article, and the place of the container that its block is in.
-Line = tuple[str, int, bool, int]
-EMPTY: Line = ("", 0, False, -1)
+#: A line: its text, weight, the outermost article (else the main element) it is in, its container, and that one's own container.
+Line = tuple[str, int, int, int, int]
+EMPTY: Line = ("", 0, -1, -1, -1)
 
 EXTRACTED = "page_id long, url string, text string, spans array<struct<first:int,last:int>>"
 
@@ -72,29 +73,25 @@ def is_apart(name: str, attributes: str, inside: bool) -> bool:
     return name not in ("main", "body", "html") and bool(HIDDEN.search(attributes))
 
 
-def is_furniture(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's names tell something other than the article.
+def furniture(name: str, attributes: str, inside: bool) -> bool | None:
+    """Whether an element's names tell something other than the article; None if reader comments.
 
-    Inside an article a name counts as a whole only, and no id of a heading or paragraph does.
+    Inside an article the names of notices, menus and the like may be its subject and don't count,
+    nor does any id but that of comments or adverts, nor a name of a heading or paragraph.
     """
-    if name in ("main", "body", "html") or not attributes:
+    if name in ("main", "body", "html") or not attributes or inside and BLOCK.fullmatch(name):
         return False
+    known = FURNITURE - NOT_WITHIN if inside else FURNITURE
     for kind, *values in NAMED.findall(attributes):
-        is_id = kind.lower() == "id"
         for word in "".join(values).split():
-            parts = [x.lower() for x in PARTS.findall(word)]
-            if not parts or parts[0] in NEGATING:
+            parts = {x.lower() for x in PARTS.findall(word)}
+            if known.isdisjoint(parts) or not (known | PLAIN).issuperset(parts):
                 continue
-            if name in MARKED:
-                found = not NOT_ARTICLES.isdisjoint(parts)
-            elif not inside:
-                found = not FURNITURE.isdisjoint(parts)
-            elif is_id:
-                found = word.lower() in WITHIN_IDS and not BLOCK.fullmatch(name)
-            else:
-                found = not WITHIN.isdisjoint(parts) and (WITHIN | PLAIN).issuperset(parts)
-            if found:
-                return True
+            if name in MARKED and not parts <= COMMENTS | PLAIN and kind.lower() != "role":
+                continue  # an article about something, unless it is a comment
+            if inside and kind.lower() == "id" and word.lower() not in COMMENTS | {"ad", "ads", "adbox", "adslot", "adunit", "sidebar", "sidenav"}:
+                continue
+            return None if not COMMENTS.isdisjoint(parts) else True
     return False
 
 
@@ -104,18 +101,17 @@ def _raw_end(html: str, name: str, at: int) -> int:
     return found.end() if found else len(html)
 
 
-def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[int, int] | None = None) -> Iterator[Line]:
-    """(text, weight, inside, container): the page's lines. weight is the length of the text outside links,
-    0 for furniture; inside tells lines of an article or main element. A removed container leaves
-    empty lines of a window's height.
+def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[int, tuple[int, int]] | None = None) -> Iterator[Line]:
+    """The page's lines. A line's weight is the length of its text outside links. A removed element
+    leaves empty lines of a window's height.
 
     Elements at the places `spared` are kept whatever their names (None: all are). masses gets the
-    weight in each element that its names make furniture, by place, if that is kept."""
+    weight in each element that its names make furniture, and that of articles in it, by place, if that is kept."""
     html = COMMENT.sub("", html)
     open_: list[tuple[str, bool]] = []  # names, and whether furniture begins there (in one at most)
-    begun: list[tuple[int, int]] = []  # place, and the weight before it; place -1 without a name of furniture
-    within = [-1]  # places of the containers: each element's own, or that around it if it is a block of text or inline
-    seen = 0
+    begun: list[tuple[int, int, int]] = []  # place, the weight before it, and that of articles; place -1 without a name of furniture
+    within = [(-1, -1, False, -1)]  # container, its own container, whether in an article, and the outermost article or main
+    seen = marked = 0
     names: Counter[str] = Counter()
     hidden = inside = links = hidden_at = 0
     last = html.rfind(">")
@@ -125,17 +121,18 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
     def line() -> Iterator[Line]:
         nonlocal parts, weight
         if text := " ".join(unescape("".join(parts)).split()):
-            yield text, weight, inside > 0, within[-1]
+            home, outer, _, unit = within[-1]
+            yield text, weight, unit, home, outer
         parts, weight = [], 0
 
     def close(upto: int) -> None:
         nonlocal hidden, inside, links
         while len(open_) > upto:
             name, apart = open_.pop()
-            place, before = begun.pop()
+            place, before, marked_before = begun.pop()
             within.pop()
             if place >= 0 and masses is not None:
-                masses[place] = seen - before
+                masses[place] = seen - before, marked - marked_before
             names[name] -= 1
             hidden -= apart
             inside -= name in MARKED
@@ -151,6 +148,7 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
             if not links:
                 weight += len(piece) - piece.count(" ")
                 seen += len(piece) - piece.count(" ")
+                marked += (len(piece) - piece.count(" ")) * (inside > 0)
         if not tag:
             break
         at = tag.end()
@@ -175,16 +173,21 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
                 yield from (EMPTY,) * WINDOW
             if name == "p" and open_ and open_[-1][0] == "p" or name == "li" and open_ and open_[-1][0] == "li" or name == "a" and links:
                 close(next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name))
-            named = not hidden and is_furniture(name, attributes, inside > 0)
-            apart = not hidden and is_apart(name, attributes, inside > 0) or named and spared is not None and tag.start() not in spared
+            place, named = tag.start(), False if hidden else furniture(name, attributes, inside > 0)
+            apart = not hidden and is_apart(name, attributes, inside > 0) or named is not False and spared is not None and place not in spared
             if apart:
                 yield from line()
                 yield from (EMPTY,) * WINDOW
             if apart:
                 hidden_at = len(open_)
             open_.append((name, apart))
-            within.append(within[-1] if name in INLINE or BLOCK.fullmatch(name) else tag.start())
-            begun.append((tag.start() if named else -1, seen))
+            home, outer, article, unit = within[-1]
+            if name in HOMES:
+                home, outer = place, home
+            if name == "article" and not article or name == "main" and unit < 0:
+                article, unit = name == "article", place
+            within.append((home, outer, article, unit))
+            begun.append((place if named else -1, seen, marked))
             names[name] += 1
             hidden += apart
             inside += name in MARKED
@@ -194,41 +197,83 @@ def lines(html: str, spared: frozenset[int] | None = frozenset(), masses: dict[i
 
 
 def page_lines(html: str) -> list[Line]:
-    """The lines of a page; an element with most of its text is no furniture, whatever its names,
-    and where nothing would be left, none is."""
-    masses: dict[int, int] = {}
+    """The lines of a page. An element with most of its text is no furniture, whatever its names, but for
+    reader comments, and where the page marks an article outside of it; and where nothing would be
+    left, none is."""
+    masses: dict[int, tuple[int, int]] = {}
     whole = list(lines(html, None, masses))
-    if not masses:
+    if not masses and not any(x in html for x in ("omment", "isqus", "eplies")):
         return whole
-    most = sum(weight for _, weight, *_ in whole) / 2
-    found = list(lines(html, frozenset(place for place, mass in masses.items() if mass > most)))
+    most, marks = sum(weight for _, weight, *_ in whole) / 2, any(weight and unit >= 0 for _, weight, unit, *_ in whole)
+    found = list(lines(html, frozenset(place for place, (mass, marked) in masses.items() if mass > most and (marked or not marks))))
     return found if any(weight for _, weight, *_ in found) else whole
 
 
+def block_sums(weights: list[int]) -> list[int]:
+    """The weight of the window that begins at each line."""
+    total = [0]
+    for w in weights:
+        total.append(total[-1] + w)
+    n = len(weights)
+    return [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
+
+
+def between(weights: list[int]) -> list[bool]:
+    """Which lines are between a surge and its dive.
+
+    The first line kept of a run of high windows is the last one from which the first window still
+    is high; the last line kept is the first one up to which the last window is.
+    """
+    n, block = len(weights), block_sums(weights)
+    least = max(1, SURGE * max(block, default=0))
+    kept = [False] * n
+    for surge, dive in _runs([b >= least for b in block]):
+        first, held = min(n, surge + WINDOW), 0
+        while held < least:
+            first -= 1
+            held += weights[first]
+        last, held = dive - 2, 0
+        while held < least:
+            last += 1
+            held += weights[last]
+        first, last = min(first, last), max(first, last)
+        kept[first : last + 1] = [True] * (last + 1 - first)
+    return kept
+
+
 def main_lines(found: list[Line]) -> list[tuple[int, int]]:
-    """[first, last): the runs of lines that are kept.
+    """[first, last): the runs of lines that are kept: those between surges and dives, and what is in one piece with them.
 
-    On a page that marks its article these are its lines, links too. Elsewhere they are the lines
-    between a surge and the dive that ends it; lower runs count if a line of theirs is in the same
-    container as one of a surge.
+    In one piece are the lines of an article (or, outside any, of a main element); else those
+    of a container; containers that hold one line each, like paragraphs, are taken together if something
+    but the page itself holds them. Of lines that are in no container, those go on from kept ones
+    that follow with nothing but furniture between.
     """
-    n = len(found)
-    if any(inside and weight for _, weight, inside, _ in found):
-        kept = [bool(inside and text) for text, _, inside, _ in found]
-        return _runs(kept)
     weights = [weight for _, weight, *_ in found]
     if not any(weights):  # nothing but links: then they are the text
         weights = [len(text) for text, *_ in found]
-    total = [0]
-    for w in weights:
-        total.append(total[-1] + w)
-    block = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
-    least = max(1, LEAST_PEAK * max(block, default=0))
-    runs = _runs([b > 0 for b in block])
-    high = [max(block[a:b]) >= least for a, b in runs]
-    places = [{found[i][3] for i in range(a, b) if weights[i]} for a, b in runs]
-    around = set().union(*(p for p, h in zip(places, high) if h))
-    return [run for run, h, p in zip(runs, high, places) if h or not around.isdisjoint(p)]
+    kept = between(weights)
+    lone = Counter(home for text, _, _, home, _ in found if text)
+
+    def piece(line: Line) -> tuple[int, int] | None:
+        _, _, unit, home, outer = line
+        if unit >= 0:
+            return unit, 0
+        if home >= 0 and lone[home] == 1:
+            return (outer, 1) if outer >= 0 else None
+        return (home, 2) if home >= 0 else None
+
+    pieces = {piece(x) for x, k, w in zip(found, kept, weights) if k and w} - {None}
+    kept = [bool(x[0]) and (k or piece(x) in pieces) for x, k in zip(found, kept)]
+    for way in (range(len(found)), range(len(found) - 1, -1, -1)):
+        on = False
+        for i in way:
+            text, _, unit, home, _ = found[i]
+            free = unit < 0 and home < 0 and weights[i] > 0
+            if text:
+                on = kept[i] = kept[i] or on and free
+                on = on and free
+    return _runs(kept)
 
 
 def _runs(kept: list[bool]) -> list[tuple[int, int]]:
@@ -247,8 +292,10 @@ def extract(html: str | None) -> tuple[str, list[tuple[int, int]]]:
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, spans): the main text of every row's whole html.
 
-    A null or empty page has an empty text and no spans. Repeated rows give a row each; other
-    columns are not read. One pass, no shuffle.
+    A null or empty page has an empty text and no spans; very long ones are read whole, in time
+    linear in their length. Repeated rows give a row each; an empty table gives no rows; other
+    columns are not read, whatever their names. Of equal sums the first is the page's highest, which
+    changes nothing. One pass, no shuffle.
     """
     small_batches(pages.sparkSession, rows=256)
 

@@ -79,3 +79,95 @@ def test_a_head_may_lack_its_end(head, start):
     text = "Head text" if "Head" in start else "text"
     assert html.extract(f"<!doctype html><html>{head}{start}text")[0] == text
     assert html.extract(f"<html><head><style>x</styles></style>{start}text")[0] == text
+
+
+LONG = "A long paragraph of the article, which goes on for a while and says a good deal. " * 6
+PROBE = "<div>Home</div><div>Contact</div><div>About us</div>{}<div>Copyright 2020 Foo</div><div>All rights reserved</div>"
+
+
+def test_the_distribution_alone_finds_the_text():
+    """No element or name tells the article from the rest."""
+    two = f"<p>{LONG}</p><p>{LONG}</p>"
+    assert html.extract(PROBE.format(two))[0] == " ".join([LONG.strip()] * 2)
+    assert html.extract(PROBE.format(f"<div>{LONG}</div><div>{LONG}</div>"))[0] == " ".join([LONG.strip()] * 2)
+    assert html.extract(PROBE.format(f"<div><h1>Title</h1>{two}<p>End.</p></div>"))[0] == f"Title {LONG.strip()} {LONG.strip()} End."
+    links = "".join(f"<li><a href=/{k}>Some story number {k}</a></li>" for k in range(40))
+    assert html.extract(f"<ul>{links}</ul>{two}<ul>{links}</ul><div>{LONG}</div>")[0] == " ".join([LONG.strip()] * 3)
+    assert html.extract(f"<div><p>{LONG}</p></div><div>A box</div><div><div>In it</div><div>Out of it</div></div>")[0] == LONG.strip()
+
+
+def test_an_article_without_a_surge_is_not_the_text():
+    teaser = "<article><p>Read this</p></article>"
+    assert html.extract(f"<div><p>{LONG}</p><p>{LONG}</p></div>{teaser}{teaser}")[0] == " ".join([LONG.strip()] * 2)
+    assert html.extract(f"<main><article><p>{LONG}</p><p>So.</p></article>{teaser}</main>")[0] == f"{LONG.strip()} So."
+
+
+@pytest.mark.parametrize("part", ["<ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li><li><a href=/c>Three</a></li><li><a href=/d>Four</a></li></ul>", "<p><a href=/x>The whole closing paragraph</a></p>", "<p class='share-price'>The price rose</p>", "<p class='notice-of-intent'>It was served</p>", "<table><tr><td>7</td><td>8</td></tr></table>"])
+def test_everything_in_an_article_stays(part):
+    import re
+
+    words = " ".join(re.sub(r"<[^>]*>", " ", part).split())
+    assert html.extract(f"<article><p>{LONG}</p>{part}</article>")[0] == f"{LONG.strip()} {words}"
+    assert html.extract(f"<article><p>Intro</p>{part}</article>")[0] == f"Intro {words}"
+
+
+def test_sections_named_after_their_subject_stay():
+    page = f"<p>{LONG}</p><section class='social-history-of-france'><h2>History</h2><p>{LONG}</p></section><p>{LONG}</p>"
+    assert html.extract(page)[0] == f"{LONG.strip()} History {LONG.strip()} {LONG.strip()}"
+
+
+def test_comments_go_however_long():
+    page = f"<article><p>{LONG}</p></article><div id=comments><p>{LONG * 5}</p></div>"
+    assert html.extract(page)[0] == LONG.strip()
+    assert html.extract(page.replace("<article>", "<div>").replace("</article>", "</div>"))[0] == LONG.strip()
+
+
+def brute_between(weights, window=3, share=0.2):
+    """Every window is summed on its own; a line is between if high windows lie on both sides of it without a low one between them."""
+    n = len(weights)
+    total = lambda a, b: sum(weights[max(0, a) : min(n, b)])
+    least = max(1, share * max((total(i, i + window) for i in range(n)), default=0))
+    kept = set()
+    for a in range(n):
+        for b in range(a, n):
+            high = all(total(i, i + window) >= least for i in range(a, b + 1))
+            first_of_run = a == 0 or total(a - 1, a - 1 + window) < least
+            last_of_run = b == n - 1 or total(b + 1, b + 1 + window) < least
+            if high and first_of_run and last_of_run:
+                starts = max(j for j in range(a, min(n, a + window)) if total(j, a + window) >= least)
+                ends = min(k for k in range(b, n) if total(b, k + 1) >= least)
+                kept |= set(range(min(starts, ends), max(starts, ends) + 1))
+    return [i in kept for i in range(n)]
+
+
+def test_windows_against_brute_force():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(400):
+        weights = [rng.choice([0, 0, 1, 3, 10, 30, 100, 400]) for _ in range(rng.randrange(0, 25))]
+        assert html.between(weights) == brute_between(weights)
+
+
+def test_words_of_pages_without_their_marks(spark):
+    """Precision and recall of words on the test pages, once as they are and once with every mark of the article taken out."""
+    import re
+    from collections import Counter
+    from html import unescape
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for marked, least in ((True, 1.0), (False, 0.97)):
+        both = got_n = want_n = 0
+        for r in rows:
+            body = re.search(r"<(article|main)\b[^>]*>(.*?)</\1>", r["html"], re.S)
+            want = Counter(unescape(re.sub(r"<[^>]*>", " ", body[2])).split())
+            page = r["html"] if marked else re.sub(r"</?(article|main|nav|header|footer|aside)\b[^>]*>|(?<=<div) class=[^>]*", lambda m: "" if m[0].startswith(" ") else m[0].replace(m[1], "div"), r["html"])
+            got = Counter(html.extract(page)[0].split())
+            both, got_n, want_n = both + (got & want).total(), got_n + got.total(), want_n + want.total()
+        print(f"marked {marked}: precision {both / got_n:.4f}, recall {both / want_n:.4f}")
+        assert both / got_n >= least and both / want_n >= least
+
+
+def test_an_advert_longer_than_the_article_goes():
+    page = "<div class=ad>A long advert for things that nobody needs at all.</div><article><h1>Short.</h1><p>Text.</p></article>"
+    assert html.extract(page)[0] == "Short. Text."
