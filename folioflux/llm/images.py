@@ -1,17 +1,18 @@
 """Copies among images by local descriptors: found also where they are cropped or edited.
 
-Corners are found at several scales; each gets a direction (its patch's intensity centroid) and
-256 binary tests of smoothed intensities at points turned by that direction. Two images are
-linked when enough of their corners match under one motion: descriptors are looked up in Hamming
-tables, compared over all 256 bits, and the matches of a pair of images vote for scale, turn and
-shift.
-
-The tables are gone through twice. Six tables of 42 bits find close copies cheaply; there a bucket
-of many descriptors (one picture with very many copies) isn't paired up: its members are compared
-with its first one. Then all images that are still in different components are compared by tables
-of 16 bits at every sixth bit, in which every pair of the first tables meets again, and most pairs
-of descriptors up to MAX_HAMMING. So the components are those of the short keys' links, whatever
-the buckets' sizes.
+Corners are found at several scales, more of them on larger pictures; each gets a direction (its
+patch's intensity centroid) and 256 binary tests of smoothed intensities at points turned by that
+direction; corners that look like a plain slope tell nothing and are left out. Two images are linked when enough of their corners match under one motion: descriptors up
+to MAX_HAMMING bits apart vote for scale, turn and shift.
+
+Pairs of images to compare come from Hamming tables: ten keys of 24 bits each. Descriptors that share a
+key are compared over all bits, and two images with two different corners that match are candidates; they
+are then compared by all of their corners, exactly.
+
+A bucket with more than FULL descriptors (one picture with very many copies) isn't paired up at first:
+its members are compared with its first one. Afterwards all members of such buckets whose images are still in
+different components are compared, in tiles where a bucket is large, and the matches are counted together with those of
+the first pass. So the components don't depend on the buckets' sizes.
 """
 
 from __future__ import annotations
@@ -22,35 +23,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, lookup_join, small_batches, trim, written
 from .components import components
 
-#: Scales at which corners are sought, and how many corners an image keeps at each.
-SCALES = (1.0, 1.5)
-CORNERS = (20, 8)
+#: From one scale to the next; scales go on while a patch fits.
+STEP = 1.5**0.5
+#: Corners kept at a scale: so many for each 64 x 64 pixels, between these bounds.
+DENSITY = 14
+LEAST_CORNERS = 4
+MOST_CORNERS = 400
 #: Half a patch's side; directions told apart.
 REACH = 9
-TURNS = 24
+TURNS = 36
 BITS = 256
-#: Hamming tables, and the bits of a descriptor that are a key of each.
-TABLES = 6
-KEY_BITS = 42
-#: The second pass's tables: bits of a key, bits from one key to the next, tables in one shuffle.
-SHORT_BITS = 16
-SHORT_STEP = 6
-SHORT_ROUND = 5
+#: Hamming tables; each key is so many bytes of the descriptor.
+TABLES = 10
+KEY_BYTES = 3
+#: Tables dealt out in one shuffle.
+ROUND = 2
 #: Descriptors of a pair of corners differ in this many bits at most.
 MAX_HAMMING = 44
-#: Corners that must agree on one motion; the motion's cell in pixels.
+#: Spots that must agree on one motion; the motion's cell, in pixels for pictures up to 64 pixels wide; and a spot's side.
 MIN_VOTES = 4
 CELL = 10.0
-#: Buckets of more members than this are compared with their first member.
-FULL = 24
-
-DESCRIBED = "img long, sha string, corners array<struct<corner:int,x:float,y:float,scale:float,angle:float,d0:long,d1:long,d2:long,d3:long>>"
+SPOT = 10.0
+SHARE = 0.25
+#: Buckets of more members than this are compared with their first member first, and later in tiles of so many.
+FULL = 512
+TILE = 4096
+
+#: A corner: its descriptor, place, scale and direction.
+CORNER = np.dtype([("bits", "u1", BITS // 8), ("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4")])
+DESCRIBED = "img long, sha string, corners binary"
+MATCHES = "a long, b long, ca int"
 WORDS = ["d0", "d1", "d2", "d3"]
 
 
@@ -82,6 +90,8 @@ def _tests() -> np.ndarray:
 
 
 TESTS = _tests()
+#: The descriptor of a plain slope, which all smooth patches have once they are turned.
+SLOPE = np.packbits(TESTS[0, 0, :, 1] < TESTS[0, 1, :, 1])
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -105,15 +115,15 @@ def _smaller(a: np.ndarray, scale: float) -> np.ndarray:
     return top * (1 - v) + low * v
 
 
-def describe(images: np.ndarray) -> dict[str, np.ndarray]:
-    """Corners of same-sized images (n, high, wide): image number, place, scale, angle, four words."""
-    out: dict[str, list[np.ndarray]] = defaultdict(list)
-    grid = np.arange(-6, 7)
-    for scale, most in zip(SCALES, CORNERS):
+def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of same-sized images (n, high, wide): the image's number, and CORNER, image by image."""
+    numbers: list[np.ndarray] = []
+    out: list[np.ndarray] = []
+    grid, scale = np.arange(-6, 7), 1.0
+    while min(images.shape[1:]) / scale >= 2 * REACH + 4:
         a = _smaller(images, scale)
         n, high, wide = a.shape
-        if min(high, wide) < 2 * REACH + 4:
-            continue
+        most = min(MOST_CORNERS, max(LEAST_CORNERS, round(high * wide / 4096 * DENSITY)))
         gy, gx = np.gradient(a, axis=(1, 2))
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         strong = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
@@ -136,11 +146,18 @@ def describe(images: np.ndarray) -> dict[str, np.ndarray]:
         pairs = TESTS[turn]  # corners, 2, BITS, (y, x)
         py, px = y[:, None, None] + pairs[..., 0], x[:, None, None] + pairs[..., 1]
         seen = smooth[img[:, None, None], py, px]
-        words = np.packbits(seen[:, 0] < seen[:, 1], axis=1).view(">i8").astype(np.int64)
-        for name, v in (("img", img), ("x", (x + 0.5) * scale), ("y", (y + 0.5) * scale), ("scale", np.full(len(img), scale)), ("angle", angle), ("words", words)):
-            out[name].append(v)
-    empty = {"img": np.zeros(0, int), "x": np.zeros(0), "y": np.zeros(0), "scale": np.zeros(0), "angle": np.zeros(0), "words": np.zeros((0, 4), np.int64)}
-    return {name: np.concatenate(v) for name, v in out.items()} if out else empty
+        found = np.zeros(len(img), CORNER)
+        found["bits"] = np.packbits(seen[:, 0] < seen[:, 1], axis=1)
+        found["x"], found["y"], found["scale"], found["angle"] = (x + 0.5) * scale, (y + 0.5) * scale, scale, angle
+        telling = np.bitwise_count(found["bits"] ^ SLOPE).sum(axis=1, dtype=np.int16) > MAX_HAMMING
+        numbers.append(img[telling])
+        out.append(found[telling])
+        scale *= STEP
+    if not out:
+        return np.zeros(0, int), np.zeros(0, CORNER)
+    number, corners = np.concatenate(numbers), np.concatenate(out)
+    order = np.argsort(number, kind="stable")
+    return number[order], corners[order]
 
 
 def descriptors(media: DataFrame, img: str = "img", image: str = "image") -> DataFrame:
@@ -152,67 +169,69 @@ def descriptors(media: DataFrame, img: str = "img", image: str = "image") -> Dat
     small_batches(media.sparkSession, rows=256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), *[pa.float32()] * 4, *[pa.int64()] * 4]
-        names = ["corner", "x", "y", "scale", "angle", *WORDS]
         for batch in batches:
-            same_size, rows = defaultdict(list), batch.num_rows
+            same_size, out = defaultdict(list), [b""] * batch.num_rows
             for k, data in enumerate(batch.column(2).to_pylist()):
                 if (grey := decode(data)) is not None:
                     same_size[grey.shape].append((k, grey))
-            parts = []
             for group in same_size.values():
                 for at in range(0, len(group), 32):
-                    found = describe(np.stack([g for _, g in group[at : at + 32]]))
-                    found["row"] = np.array([k for k, _ in group[at : at + 32]])[found.pop("img")]
-                    parts.append(found)
-            all_ = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if parts else describe(np.zeros((0, 1, 1), np.float32)) | {"row": np.zeros(0, int)}
-            order = np.argsort(all_["row"], kind="stable")
-            sizes = np.bincount(all_["row"], minlength=rows)
-            ends = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
-            corner = np.arange(len(order)) - np.repeat(ends[:-1], sizes)
-            cols = [corner, *[all_[c][order] for c in ("x", "y", "scale", "angle")], *all_["words"][order].T]
-            struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c), t, safe=False) for c, t in zip(cols, kinds)], names=names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), struct)], names=["img", "sha", "corners"])
+                    part = group[at : at + 32]
+                    number, corners = describe(np.stack([g for _, g in part]))
+                    ends = np.searchsorted(number, np.arange(len(part) + 1))
+                    for j, (k, _) in enumerate(part):
+                        out[k] = corners[ends[j] : ends[j + 1]].tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["img", "sha", "corners"])
         trim()
 
     rows = media.select(F.col(img).cast("long").alias("img"), F.sha2(F.coalesce(F.col(image), F.lit(b"")), 256).alias("sha"), F.col(image).alias("image"))
     return rows.mapInArrow(run, DESCRIBED)
 
 
-def buckets(found: DataFrame) -> DataFrame:
-    """(bucket, img, corner): each descriptor's place in the tables, as one long."""
-    return found.select("img", "corner", F.explode(F.array(*[_place(k, KEY_BITS * k, KEY_BITS) for k in range(TABLES)])).alias("bucket"))
-
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the descriptors of two images' corners differ: (corners of a, corners of b)."""
+    x, y = (np.ascontiguousarray(c["bits"]).view(np.uint64) for c in (a, b))
+    return np.bitwise_count(x[:, None] ^ y[None]).sum(axis=-1, dtype=np.int16)
 
-def _place(k: int, first: int, bits: int) -> Column:
-    """A descriptor's bucket in table k, whose key are the bits from `first`; they may lie in two words."""
-    word, at = divmod(first, 64)
-    key = F.shiftrightunsigned(F.shiftleft(F.col(WORDS[word]), at), 64 - bits)
-    if at + bits > 64:
-        key = key.bitwiseOR(F.shiftrightunsigned(F.col(WORDS[word + 1]), 128 - at - bits))
-    return key.bitwiseOR(F.lit(k << bits))
 
+def agree(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether corners at MIN_VOTES spots of image a match some of image b under one motion (CORNER arrays).
 
-def _consensus(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): pairs of images whose matching corners (a, ca, b, cb) agree on one motion."""
-    def side(s: str) -> DataFrame:
-        return found.select(F.col("img").alias(s), F.col("corner").alias(f"c{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("x", "y", "scale", "angle", *WORDS)])
-
-    both = pairs.distinct().join(side("a"), ["a", "ca"]).join(side("b"), ["b", "cb"])
-    far = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in WORDS[1:]), F.bit_count(F.col("d0_a").bitwiseXOR(F.col("d0_b"))))
-    turn = F.col("angle_b") - F.col("angle_a")
-    size = F.col("scale_b") / F.col("scale_a")
-    shift_x = F.col("x_b") - size * (F.cos(turn) * F.col("x_a") - F.sin(turn) * F.col("y_a"))
-    shift_y = F.col("y_b") - size * (F.sin(turn) * F.col("x_a") + F.cos(turn) * F.col("y_a"))
-    around = F.pmod(F.rint(turn * 6 / 3.141592653589793), F.lit(12.0)).cast("int")
-    cells = F.array(*[
-        F.struct(F.lit(2 * i + j).alias("grid"), F.floor(F.col("sx") / CELL + i / 2).alias("cx"), F.floor(F.col("sy") / CELL + j / 2).alias("cy"))
-        for i in (0, 1) for j in (0, 1)
-    ])
-    votes = both.filter(far <= MAX_HAMMING).select("a", "b", "ca", size.alias("size"), around.alias("around"), shift_x.alias("sx"), shift_y.alias("sy"))
-    votes = votes.select("a", "b", "ca", "size", "around", F.inline(cells))
-    motion = ["a", "b", "size", "around", "grid", "cx", "cy"]
-    return votes.groupBy(*motion).agg(F.countDistinct("ca").alias("n")).filter(F.col("n") >= MIN_VOTES).select("a", "b").distinct()
+    A match votes for a change of scale, a turn and a shift, in cells that overlap by half. A
+    turn's error moves a shift in proportion to its distance, so the cells grow with the picture.
+    Corners of several scales at one spot (a square of SPOT pixels) count once: they see the same.
+    Where many spots match by chance, SHARE of them have to agree (of those of the image with fewer).
+    """
+    i, j = np.nonzero(_far(a, b) <= MAX_HAMMING)
+    if len(np.unique(i)) < MIN_VOTES:
+        return False
+    p, q = a[i], b[j]
+    spot, there = (np.floor(c["x"] / SPOT).astype(np.int64) << 32 | np.floor(c["y"] / SPOT).astype(np.int64) for c in (p, q))
+    least = max(MIN_VOTES, SHARE * min(len(np.unique(spot)), len(np.unique(there))))
+    size = q["scale"] / p["scale"]
+    turn = (q["angle"] - p["angle"]).astype(np.float64)
+    cell = CELL * max(1.0, float(max(p["x"].max(), p["y"].max(), q["x"].max(), q["y"].max())) / 64)
+    shift_x = (q["x"] - size * (np.cos(turn) * p["x"] - np.sin(turn) * p["y"])) / cell
+    shift_y = (q["y"] - size * (np.sin(turn) * p["x"] + np.cos(turn) * p["y"])) / cell
+    steps, turns = np.log(size) / (2 * np.log(STEP)), turn * 6 / np.pi
+    for k in range(16):
+        half = [0.5 * (k >> n & 1) for n in range(4)]
+        motion = np.stack([np.floor(steps + half[0] + 0.25), np.floor(turns + half[1]) % 12, np.floor(shift_x + half[2]), np.floor(shift_y + half[3]), spot], axis=1).astype(np.int64)
+        motion = np.unique(motion, axis=0)  # a spot votes once for a motion
+        same = np.any(np.diff(motion[:, :4], axis=0) != 0, axis=1)
+        if np.diff(np.concatenate([[-1], np.nonzero(same)[0], [len(motion) - 1]])).max() >= least:
+            return True
+    return False
+
+
+def _own(spark: SparkSession) -> SparkSession:
+    """A session of its own, that removes the files of each job's shuffles when the job has ended."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    small_batches(own)
+    return own
 
 
 def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFrame:
@@ -220,118 +239,190 @@ def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFram
 
     component_id is the image's own id if it has no copy. n_links: the other images of its
     component, linked with it directly or through others. Exact copies are collapsed by their
-    bytes before any corner is sought. Null ids give a row with a null
-    component; repeated ids give a row each, with the copies of all images under that id.
+    bytes before any corner is sought. Null ids give a row with a null component; repeated ids
+    give a row each, and all images under one id count as that id's: each is compared. An empty
+    table gives no rows; other columns are not read, whatever their names.
     """
     spark = media.sparkSession
     path = fresh_dir(spark, "images")
-    described = written(descriptors(media, img, image), f"{path}/descriptors")
-    rows = described.select("img", "sha")
-    first = rows.filter("img is not null").groupBy("sha").agg(F.min("img").alias("rep"), F.count("*").alias("n"))
+    written(descriptors(media, img, image), f"{path}/descriptors")
+    own = _own(spark)
+    described = own.read.schema(DESCRIBED).parquet(f"{path}/descriptors")
+    named = described.select("img", "sha").filter("img is not null")
+    first = named.groupBy("sha").agg(F.min("img").alias("rep"), F.count("*").alias("n"))
     # Digests held by one image only are their own representatives; the others, however many rows they have, are looked up.
     again = written(first.filter("n > 1"), f"{path}/again")
-    same = written(lookup_join(rows.filter("img is not null"), again, ["sha"], "n").select("img", "rep").distinct(), f"{path}/same")
-    found = described.filter("img is not null").join(same.filter("img <> rep").select("img"), "img", "left_anti").dropDuplicates(["img", "sha"]).select("img", F.inline("corners"))
-    found = written(found, f"{path}/corners")
+    same = written(lookup_join(named, again, ["sha"], "n").select("img", "rep").distinct(), f"{path}/same")
+    pictures = described.filter("img is not null and length(corners) > 0").join(same.filter("img <> rep").select("img"), "img", "left_anti")
+    # Images under one id are pictures of their own here, and one node of the components.
+    pictures = written(pictures.dropDuplicates(["img", "sha"]).select("img", "corners"), f"{path}/pictures")
     alike = same.filter("img <> rep").select(F.col("rep").alias("a"), F.col("img").alias("b"))
-    roots = linked(found, alike, path)
+    roots = linked(pictures, alike, path)
     sizes = written(roots.groupBy("root").agg(F.count("*").alias("size")), f"{path}/sizes")
     known = lookup_join(roots, sizes, ["root"], "size").select(F.col("node").alias("img"), "root", (F.col("size") - 1).alias("n_links"))
-    return rows.select("img").join(known, "img", "left").select("img", F.coalesce("root", "img").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def linked(found: DataFrame, alike: DataFrame, path: str) -> DataFrame:
-    """(node, root): components of the images by their corners, and by the links (a, b) of exact copies."""
-    placed = buckets(found)
-    lead = F.min(F.struct("img", "corner")).alias("lead")
-    shared = placed.groupBy("bucket").agg(F.min("img").alias("least"), F.max("img").alias("most"), F.count("*").alias("n")).filter("least < most").drop("most")
-    members = written(placed.join(shared, "bucket"), f"{path}/members")
-    few = members.filter(F.col("n") <= FULL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("img", "corner"))).alias("all"))  # FULL at most
-    one_of = few.select("all", F.posexplode("all").alias("at", "p")).select("p", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("q"))
-    pairs = one_of.filter("p.img < q.img").select(F.col("p.img").alias("a"), F.col("p.corner").alias("ca"), F.col("q.img").alias("b"), F.col("q.corner").alias("cb"))
-    crowd = members.filter(F.col("n") > FULL)
-    leads = crowd.filter("img = least").groupBy("bucket").agg(lead).select("bucket", F.col("lead.img").alias("a"), F.col("lead.corner").alias("ca"))
-    stars = crowd.join(leads, "bucket").filter("img > a").select("a", "ca", F.col("img").alias("b"), F.col("corner").alias("cb"))
-    links = written(_consensus(pairs.unionByName(stars), found), f"{path}/links").unionByName(alike)
+    written(known, f"{path}/known")
+    known = spark.read.schema("img long, root long, n_links long").parquet(f"{path}/known")
+    rows = spark.read.schema(DESCRIBED).parquet(f"{path}/descriptors").select("img")
+    found = rows.filter("img is not null").join(known, "img", "left").select("img", F.coalesce("root", "img").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return found.unionByName(rows.filter("img is null").select("img", F.col("img").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def linked(pictures: DataFrame, alike: DataFrame, path: str) -> DataFrame:
+    """(node, root): components of pictures (img, corners) by their corners, and by the links (a, b) of exact copies."""
+    met = [f"{path}/met-{k}" for k in range(0, TABLES, ROUND)]
+    for k, at in zip(range(0, TABLES, ROUND), met):
+        placed = _placed(pictures, range(k, min(TABLES, k + ROUND)))
+        written(placed.repartition("bucket").sortWithinPartitions("bucket", "img", "corner").mapInArrow(_by_bucket(_first_pass), MATCHES), at)
+    own = pictures.sparkSession
+    matches = own.read.schema(MATCHES).parquet(*met)
+    links = written(_confirmed(matches.filter("ca >= 0"), pictures), f"{path}/links").unionByName(alike)
     roots = components(links, f"{path}/first")
+    crowded = matches.filter("ca < 0").select(F.col("a").alias("bucket"), F.col("b").alias("n"))
+    if crowded.isEmpty():
+        return roots
+    late = [f"{path}/late-{k}" for k in range(0, TABLES, ROUND)]
+    for k, at in zip(range(0, TABLES, ROUND), late):
+        placed = _placed(pictures, range(k, min(TABLES, k + ROUND))).join(crowded, "bucket").join(roots.withColumnRenamed("node", "img"), "img", "left")
+        placed = placed.withColumn("root", F.coalesce("root", "img")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+        placed = placed.withColumn("tile", F.pmod(F.xxhash64("img", "corner"), F.col("tiles")).cast("int"))
+        # Each member goes to every pair of tiles that has its own.
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = placed.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "root", "img", "corner", *WORDS)
+        order = ["bucket", "low", "high", "root", "img", "corner"]
+        tiled = tiled.repartition("bucket", "low", "high").sortWithinPartitions(*order)
+        tiled = tiled.select(F.struct("bucket", "low", "high").alias("key"), "img", "corner", "tile", "root", F.expr("low <> high").alias("cross"), *WORDS)
+        written(tiled.select(F.xxhash64("key").alias("bucket"), "img", "corner", "tile", "root", "cross", *WORDS).mapInArrow(_by_bucket(_late_pass), MATCHES), at)
+    apart = roots.withColumnRenamed("node", "img")
+    every = own.read.schema(MATCHES).parquet(*met, *late).filter("ca >= 0")
+    for side in ("a", "b"):  # what is one component already needs no more links
+        every = every.join(apart.select(F.col("img").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    every = every.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "ca")
+    return components(links.unionByName(written(_confirmed(every, pictures), f"{path}/late")), f"{path}/second")
+
+
+def _placed(pictures: DataFrame, tables: range) -> DataFrame:
+    """(bucket, img, corner, d0 to d3): each descriptor's places in some of the tables."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1).to_pylist()
+            corners = np.frombuffer(b"".join(held), CORNER)
+            sizes = np.array([len(x) // CORNER.itemsize for x in held], np.int64)
+            img = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+            number = (np.arange(len(corners)) - np.repeat(sizes.cumsum() - sizes, sizes)).astype(np.int32)
+            words = np.ascontiguousarray(corners["bits"]).view(np.int64)
+            for k in tables:
+                key = corners["bits"][:, KEY_BYTES * k : KEY_BYTES * (k + 1)].astype(np.int64) @ (1 << 8 * np.arange(KEY_BYTES, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key | k << 8 * KEY_BYTES), pa.array(img), pa.array(number), *[pa.array(words[:, w]) for w in range(4)]], names=["bucket", "img", "corner", *WORDS])
+
+    return pictures.mapInArrow(run, "bucket long, img long, corner int, d0 long, d1 long, d2 long, d3 long")
+
+
+def _by_bucket(compare):
+    """A function over Arrow batches sorted by bucket (the first column), that calls compare with the columns of whole buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the last bucket's rows, as it may go on
+
+        def found() -> pa.RecordBatch:
+            a, b, ca = compare(*(np.concatenate(c) for c in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ca, pa.int32())], names=["a", "b", "ca"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            last = int(np.argmax(cols[0] == cols[0][-1]))  # where the batch's last bucket begins
+            if last:
+                held.append([c[:last] for c in cols])
+            if held and (last or held[0][0][0] != cols[0][0]):
+                yield found()
+                held = []
+            held.append([c[last:] for c in cols])
+        if held:
+            yield found()
+        trim()
+
+    return run
+
 
-    return components(links.unionByName(_across(found, roots, path)), f"{path}/second")
+def _close(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of rows whose descriptors differ in MAX_HAMMING bits at most."""
+    far = np.zeros(len(i), np.int16)
+    for w in range(4):
+        far += np.bitwise_count((words[w][i] ^ words[w][j]).view(np.uint64))  # of signed numbers it counts the absolute value's bits
+        keep = far <= MAX_HAMMING
+        i, j, far = i[keep], j[keep], far[keep]
+    return i, j
 
 
-def near_pairs(bucket: np.ndarray, root: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (i, j) of descriptors up to MAX_HAMMING apart in one bucket, of different roots.
+def _named(img: np.ndarray, corner: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, ca) of pairs of rows: the smaller image first, and its corner."""
+    i, j = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, int) for k in (0, 1))
+    i, j = np.where(img[i] < img[j], i, j), np.where(img[i] < img[j], j, i)
+    return img[i], img[j], corner[i]
 
-    Rows are in order of bucket and root. Rows of one root are passed over together, so many
-    copies in one bucket cost no comparisons among themselves.
+
+def _first_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches in buckets of up to FULL rows, and with the first row of fuller ones; for these a row (bucket, size, -1) too.
+
+    All buckets are compared at once, each row with that one, two, three ... rows on.
+    """
+    starts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1])
+    size = np.diff(np.concatenate([starts, [len(bucket)]]))
+    row = np.arange(len(bucket))
+    left = np.repeat(starts + size, size) - row - 1  # rows of the bucket after this one
+    full = np.repeat(size > FULL, size)
+    pairs, by, at = [], 1, row[(left > 0) & ~full]
+    while len(at):
+        differ = at[img[at] != img[at + by]]
+        pairs.append(_close(words, differ, differ + by))
+        by += 1
+        at = at[left[at] >= by]
+    lead = np.repeat(starts, size)
+    at = row[full & (img != img[lead])]
+    pairs.append(_close(words, lead[at], at))
+    a, b, ca = _named(img, corner, pairs)
+    crowd = starts[size > FULL]
+    return np.concatenate([a, bucket[crowd]]), np.concatenate([b, size[size > FULL]]), np.concatenate([ca, np.full(len(crowd), -1)])
+
+
+def _late_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, tile: np.ndarray, root: np.ndarray, cross: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches between rows of different roots; where two tiles meet, only those between the tiles.
+
+    Rows are in the order of their roots; those of one root are passed over together.
     """
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    pairs = []
     cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
     for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if root[s] == root[e - 1]:
             continue
         at = s
         while at < e:
-            first = at + int(np.searchsorted(root[at:e], root[at], "right"))
-            if first == e:
+            rest = at + int(np.searchsorted(root[at:e], root[at], "right"))
+            if rest == e:
                 break
-            upto = min(e, at + max(1, 1_000_000 // (e - first)))
-            far = np.bitwise_count(words[0, at:upto, None] ^ words[0, None, first:e]) + np.bitwise_count(words[1, at:upto, None] ^ words[1, None, first:e])
-            i, j = np.nonzero(far <= MAX_HAMMING)
-            far = far[i, j].astype(np.int16)
-            i, j = i + at, j + first
-            for w in (2, 3):
-                far += np.bitwise_count(words[w, i] ^ words[w, j])
-            keep = (far <= MAX_HAMMING) & (root[i] < root[j])
-            out.append((i[keep], j[keep]))
-            at = upto
-    return (np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])) if out else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _across(found: DataFrame, roots: DataFrame, path: str) -> DataFrame:
-    """Links between images of different components (node, root), by all their matches in the short keys' tables.
-
-    The tables are dealt out a few at a time, and a bucket's pairs are compared where they meet, so
-    only matches are written. The comparisons grow with the square of a bucket's size.
-    """
-    spark = found.sparkSession
-    owned = found.join(roots.withColumnRenamed("node", "img"), "img", "left").select("img", "corner", F.coalesce("root", "img").alias("root"), *WORDS)
-    owned = written(owned, f"{path}/owned")
-    small_batches(spark, rows=20_000)
+            for k in range(at, rest, 256):
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(k, min(rest, k + 256)), np.arange(rest, e), indexing="ij"))
+                if cross[s]:
+                    i, j = i[tile[i] != tile[j]], j[tile[i] != tile[j]]
+                pairs.append(_close(words, i, j))
+            at = rest
+    return _named(img, corner, pairs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matches(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-            bucket, img, corner, root, *words = (np.concatenate(c) for c in zip(*parts))
-            order = np.lexsort((root, bucket))
-            img, corner = img[order], corner[order]
-            i, j = near_pairs(bucket[order], root[order], np.stack([w[order] for w in words]))
-            i, j = np.where(img[i] < img[j], i, j), np.where(img[i] < img[j], j, i)
-            return pa.RecordBatch.from_arrays([pa.array(img[i]), pa.array(corner[i]), pa.array(img[j]), pa.array(corner[j])], names=["a", "ca", "b", "cb"])
 
-        held: list[list[np.ndarray]] = []  # the last bucket's rows, as it may go on
+def _confirmed(matches: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(a, b): of the pictures with two different corners that match, those that agree by all their corners."""
+    pairs = matches.groupBy("a", "b").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).filter("low <> high").select("a", "b")
+    one = pictures.select(F.col("img").alias("a"), F.col("corners").alias("of_a"))
+    two = pictures.select(F.col("img").alias("b"), F.col("corners").alias("of_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            if last or held and held[0][0][0] != cols[0][0]:
-                yield matches([*held, [c[:last] for c in cols]])
-                held = []
-            held.append([c[last:] for c in cols])
-        if held:
-            yield matches(held)
+            both = zip(*(batch.column(k).to_pylist() for k in (2, 3)))
+            keep = [agree(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER)) for x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
         trim()
 
-    firsts = list(enumerate(range(0, BITS - SHORT_BITS + 1, SHORT_STEP)))
-    parts = []
-    for at in range(0, len(firsts), SHORT_ROUND):
-        keys = F.array(*[_place(k, first, SHORT_BITS) for k, first in firsts[at : at + SHORT_ROUND]])
-        placed = owned.select(F.explode(keys).alias("bucket"), "img", "corner", "root", *WORDS)
-        met = placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, ca int, b long, cb int")
-        parts.append(f"{path}/near-{at}")
-        written(met, parts[-1])
-        spark.sparkContext._jvm.System.gc()  # has the files of the round's shuffle removed
-    pairs = spark.read.schema("a long, ca int, b long, cb int").parquet(*parts)
-    return written(_consensus(pairs, found), f"{path}/late")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
 
 
 # --- pictures from vectors: the media column of tables that have none -----------------------------

@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import numpy as np
@@ -42,25 +43,6 @@ def test_edges(spark):
     assert flat.count() == 2
 
 
-def test_descriptors_survive_turning_and_scaling():
-    rng = np.random.default_rng(4)
-    big = images._box(images._box(rng.normal(0, 1, (1, 96, 96)).astype(np.float32), 2), 2)
-    big = 128 + 40 * (big - big.mean()) / big.std()
-    turned = np.rot90(big, axes=(1, 2)).copy()
-    a, b = images.describe(big)["words"], images.describe(turned)["words"]
-    near = np.bitwise_count(a[:, None] ^ b[None]).sum(axis=-1).min(axis=1)
-    assert (near <= images.MAX_HAMMING).mean() > 0.3
-
-
-def test_keys_cover_the_bits(spark):
-    row = [(1, 0, -1, -1, -1, -1)]
-    df = spark.createDataFrame(row, "img long, corner int, d0 long, d1 long, d2 long, d3 long")
-    keys = [r["bucket"] for r in images.buckets(df).collect()]
-    assert keys == [(k << images.KEY_BITS) | (1 << images.KEY_BITS) - 1 for k in range(images.TABLES)]
-    one = df.withColumn("d1", F.lit(0).cast("long"))
-    assert sum(a != b["bucket"] for a, b in zip(keys, images.buckets(one).collect())) == 3
-
-
 def _moved(a, angle, factor):
     """Pictures turned about their middle and resized, bilinear."""
     high, wide = a.shape[1:]
@@ -72,65 +54,132 @@ def _moved(a, angle, factor):
     return a[:, i, j] * (1 - u) * (1 - v) + a[:, i, j + 1] * u * (1 - v) + a[:, i + 1, j] * (1 - u) * v + a[:, i + 1, j + 1] * u * v
 
 
-def test_pairs_up_to_the_limit_meet_in_the_tables(spark):
-    rng = np.random.default_rng(0)
-    drawn = images._patterns(64)
-    a = np.stack([128 + 40 * np.tensordot(rng.normal(0, 0.125, 64).astype(np.float32), drawn, 1) for _ in range(100)])
-    kinds = {"turned": _moved(a, 0.17, 1), "rescaled": _moved(a, 0, 0.8), "enlarged": _moved(a, 0, 1.5), "noisy": a + rng.normal(0, 10, a.shape)}
-    one = images.describe(a)
-    for kind, b in kinds.items():
-        two = images.describe(b.astype(np.float32))
-        rows, brute = [], set()
-        for side, d in ((0, one), (1, two)):
-            rows += [(int(2 * i + side), c, int(2 * i + side), *map(int, w)) for c, (i, w) in enumerate(zip(d["img"], d["words"]))]
-        for i, w in enumerate(one["words"]):
-            for j in np.nonzero(two["img"] == one["img"][i])[0]:
-                if np.bitwise_count(w ^ two["words"][j]).sum() <= images.MAX_HAMMING:
-                    brute.add((i, int(j)))
-        root = [r[2] for r in rows]
-        words = np.array([r[3:] for r in rows]).T
-        met = set()
-        for first in range(0, images.BITS - images.SHORT_BITS + 1, images.SHORT_STEP):
-            key = (np.unpackbits(words.T.astype(">i8").copy().view(np.uint8), axis=1)[:, first : first + images.SHORT_BITS] @ (1 << np.arange(images.SHORT_BITS))).astype(np.int64)
-            order = np.lexsort((root, key))
-            for i, j in zip(*images.near_pairs(key[order], np.array(root)[order], words[:, order])):
-                p, q = sorted((rows[order[i]], rows[order[j]]))
-                if p[0] % 2 == 0 and q[0] == p[0] + 1:
-                    met.add((p[1], q[1]))
-        assert met <= brute and len(met) >= 0.9 * len(brute) > 0, (kind, len(met), len(brute))
-
-
-def _roots(spark, found, path):
-    alike = spark.createDataFrame([], "a long, b long")
-    return {r["node"]: r["root"] for r in images.linked(found.coalesce(2), alike, str(path)).collect()}
-
-
-@pytest.mark.parametrize("crowd", [8, 40])
-def test_votes_of_small_and_crowded_buckets_add_up(spark, tmp_path, crowd):
-    rng = np.random.default_rng(5)
-    words, place = rng.integers(-(2**63), 2**63 - 1, (6, 4)), rng.uniform(0, 50, (6, 2))
-    corner = lambda img, c: (img, c, float(place[c][0]), float(place[c][1]), 1.0, 0.0, *map(int, words[c]))
-    rows = [corner(img, c) for img in range(crowd) for c in (0, 1, 2)] + [corner(img, c) for img in (901, 902) for c in range(6)]
-    found = spark.createDataFrame(rows, "img long, corner int, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long")
-    assert _roots(spark, found, tmp_path) == {901: 901, 902: 901}
+def drawn(n, seed=0):
+    rng = np.random.default_rng(seed)
+    patterns = images._patterns(64)
+    return np.stack([128 + 40 * np.tensordot(rng.normal(0, 0.125, 64).astype(np.float32), patterns, 1) for _ in range(n)])
+
+
+def brute_links(media):
+    """All pairs of images whose corners agree."""
+    seen = {r["img"]: images.describe(images.decode(r["image"])[None])[1] for r in media.collect()}
+    return {(a, b) for a in seen for b in seen if a < b and images.agree(seen[a], seen[b])}
+
+
+def brute_agree(a, b):
+    """The votes one by one, in dictionaries."""
+    cell = 0.0
+    matches = [(i, j) for i in range(len(a)) for j in range(len(b)) if sum(int(x ^ y).bit_count() for x, y in zip(a["bits"][i], b["bits"][j])) <= images.MAX_HAMMING]
+    if not matches:
+        return False
+    extent = max(max(a[i]["x"], a[i]["y"], b[j]["x"], b[j]["y"]) for i, j in matches)
+    cell = images.CELL * max(1.0, float(extent) / 64)
+    for k in range(16):
+        half, votes = [0.5 * (k >> n & 1) for n in range(4)], {}
+        for i, j in matches:
+            p, q = a[i], b[j]
+            size, turn = q["scale"] / p["scale"], float(q["angle"] - p["angle"])
+            sx = (q["x"] - size * (math.cos(turn) * p["x"] - math.sin(turn) * p["y"])) / cell
+            sy = (q["y"] - size * (math.sin(turn) * p["x"] + math.cos(turn) * p["y"])) / cell
+            motion = (math.floor(math.log(size) / (2 * math.log(images.STEP)) + half[0] + 0.25), math.floor(turn * 6 / math.pi + half[1]) % 12, math.floor(sx + half[2]), math.floor(sy + half[3]))
+            votes.setdefault(motion, set()).add((p["x"] // images.SPOT, p["y"] // images.SPOT))
+        spots = [len({(c["x"] // images.SPOT, c["y"] // images.SPOT) for c in side}) for side in ([a[i] for i, _ in matches], [b[j] for _, j in matches])]
+        if max(map(len, votes.values())) >= max(images.MIN_VOTES, images.SHARE * min(spots)):
+            return True
+    return False
+
+
+def test_agreement_against_brute_force():
+    a = drawn(12)
+    of = [[images.describe(x[None].astype(np.float32))[1] for x in b] for b in (a, _moved(a, 0.3, 1), _moved(a, 0, 0.8), a[:, 8:52, 4:60])]
+    for one in of[0][:6]:
+        for two in [c for side in of[1:] for c in side[:6]]:
+            assert images.agree(one, two) == brute_agree(one, two)
+    assert not images.agree(of[0][0], of[0][0][:0])
+
+
+def media_of(spark, *sets):
+    """Pictures of several sets under ids 10 * k + set."""
+    rows = [(10 * k + n, images.encode(x)) for n, pictures in enumerate(sets) for k, x in enumerate(pictures)]
+    return spark.createDataFrame(rows, "img long, image binary").repartition(4)
+
+
+def test_links_of_edited_copies_against_brute_force(spark):
+    """Recall of links against all pairs, and of the copies themselves, for each kind of edit."""
+    a = drawn(80)
+    noise = np.random.default_rng(1).normal(0, 10, a.shape)
+    edits = {"cropped": a[:, 6:60, 3:57], "darker": 0.8 * a + 10, "turned": _moved(a, 0.17, 1), "shrunk": _moved(a, 0, 0.8), "enlarged": _moved(a, 0, 1.5), "noisy": a + noise}
+    for kind, b in edits.items():
+        media = media_of(spark, a, b)
+        want = brute_links(media)
+        copies = {(10 * k, 10 * k + 1) for k in range(80)}
+        got, root = {}, {r["img"]: r["img"] for r in media.collect()}
+        for x, y in want:
+            root = {k: min(root[x], root[y]) if v in (root[x], root[y]) else v for k, v in root.items()}
+        for r in images.copies(media).collect():
+            got.setdefault(r["component_id"], []).append(r["img"])
+        pairs = {(x, y) for group in got.values() for x in group for y in group if x < y}
+        print(f"{kind}: {len(want & copies)} of {len(copies)} copies agree by brute force, {len(pairs & want)} of {len(want)} links found")
+        assert len(pairs & want) >= 0.9 * len(want) and len(pairs & copies) >= 0.75 * len(copies)
+        assert all(root[x] == root[y] for x, y in pairs) and len(want - copies) <= 10
 
 
 def test_components_and_counts_do_not_depend_on_full(spark, monkeypatch):
     media = images.render(vectors(spark, 40, close=20))
-    rows = {r["img"]: images.decode(r["image"]) for r in media.collect()}
-    seen = {k: images.describe(v[None]) for k, v in rows.items()}
-    pairs = []
-    for a in rows:
-        for b in rows:
-            if a < b:
-                far = np.bitwise_count(seen[a]["words"][:, None] ^ seen[b]["words"][None]).sum(axis=-1)
-                pairs += [(a, int(i), b, int(j)) for i, j in zip(*np.nonzero(far <= images.MAX_HAMMING))]
-    found = images.descriptors(media).select("img", F.inline("corners"))
-    root = {k: k for k in rows}
-    for a, b in images._consensus(spark.createDataFrame(pairs, "a long, ca int, b long, cb int"), found).collect():
-        root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
+    root = {r["img"]: r["img"] for r in media.collect()}
+    for a, b in brute_links(media):
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
     size = Counter(root.values())
-    for full in (4, 24):
+    for full, tile in ((2, 3), (24, 4096), (512, 4096)):
         monkeypatch.setattr(images, "FULL", full)
+        monkeypatch.setattr(images, "TILE", tile)
         got = {r["img"]: (r["component_id"], r["n_links"]) for r in images.copies(media).collect()}
         assert got == {k: (v, size[v] - 1) for k, v in root.items()}
+
+
+@pytest.mark.parametrize("crowd", [8, 40])
+def test_matches_of_small_and_crowded_buckets_add_up(spark, tmp_path, crowd, monkeypatch):
+    """Two pictures share one corner with a crowd and the others with each other alone."""
+    monkeypatch.setattr(images, "FULL", 20)
+    rng = np.random.default_rng(5)
+    bits, place = rng.integers(0, 256, (6, 32), np.uint8), rng.uniform(0, 50, (6, 2))
+
+    def picture(kept):
+        out = np.zeros(len(kept), images.CORNER)
+        out["bits"], out["x"], out["y"], out["scale"] = bits[kept], place[kept, 0], place[kept, 1], 1
+        return out.tobytes()
+
+    rows = [(img, picture([0, 1, 2])) for img in range(crowd)] + [(img, picture([0, 1, 2, 3])) for img in (901, 902)]
+    pictures = spark.createDataFrame(rows, "img long, corners binary").coalesce(2)
+    alike = spark.createDataFrame([], "a long, b long")
+    assert {r["node"]: r["root"] for r in images.linked(pictures, alike, str(tmp_path)).collect()} == {901: 901, 902: 901}
+
+
+def test_late_pass_against_brute_force():
+    rng = np.random.default_rng(8)
+    words = rng.integers(-(1 << 62), 1 << 62, (4, 60)).astype(np.int64)
+    words[:, 20:] = words[:, rng.integers(0, 20, 40)] ^ (1 << rng.integers(0, 60, 40))
+    bucket, root, tile = np.repeat([1, 2, 3], 20), np.sort(rng.integers(0, 6, (3, 20)), axis=1).ravel(), rng.integers(0, 2, 60)
+    img, corner = rng.permutation(60), np.arange(60) % 7
+    for cross in (False, True):
+        a, b, ca = images._late_pass(bucket, img, corner, tile, root, np.full(60, cross), *words)
+        want = set()
+        for i in range(60):
+            for j in range(60):
+                far = sum(((int(words[w][i]) ^ int(words[w][j])) % (1 << 64)).bit_count() for w in range(4))
+                if bucket[i] == bucket[j] and root[i] < root[j] and far <= images.MAX_HAMMING and not (cross and tile[i] == tile[j]):
+                    x, y = (i, j) if img[i] < img[j] else (j, i)
+                    want.add((img[x], img[y], corner[x]))
+        assert set(zip(a.tolist(), b.tolist(), ca.tolist())) == want and want
+
+
+def test_large_pictures_have_more_corners_and_scales():
+    rng = np.random.default_rng(2)
+    big = images._box(rng.normal(128, 40, (1, 300, 200)).astype(np.float32), 1) / 9
+    _, corners = images.describe(big)
+    assert len(set(corners["scale"].tolist())) >= 10 and len(corners) > 400
+    _, none = images.describe(np.zeros((1, 300, 200), np.float32))
+    assert len(none) == 0
+    crop = images.describe(big[:, 100:180, 50:130])[1]
+    assert images.agree(corners, crop) and images.agree(crop, corners)
