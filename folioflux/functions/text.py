@@ -80,6 +80,16 @@ def is_toc_line(line: Column) -> Column:
     return (line != "") & line.rlike("|".join(TOC_LINES))
 
 
+#: White space within a line, and a line of a table of contents, after its line break.
+H = W.replace("\\s", " \\t\\x0b\\f\\r")
+TOC_LINE = rf"(?md)\n(?:[^\n]*\.{{3}}|[^\n]*{NOT_W}{H}+\d+{H}*$|[^\n]*\.{{2}}{H}*\d|{H}*\d+\.\d+\.[^\n]*\d{H}*$|{H}*[A-Z]\.{H}+[^\n]*\d{H}*$)[^\n]*"
+
+
+def _without_lines(t: Column, pattern: str) -> Column:
+    """A text without the lines that a pattern, which begins with the line break before, matches whole."""
+    return F.substring(F.regexp_replace(F.concat(F.lit("\n"), t), pattern, ""), F.lit(2), F.length(t))
+
+
 def remove_toc(t: Column) -> Column:
     """Drop everything before the line that ends a table of contents, and lines that look like its
     entries anywhere."""
@@ -90,10 +100,12 @@ def remove_toc(t: Column) -> Column:
         first = F.array_min(F.transform(F.filter(numbered, lambda x: x["title"]), lambda x: x["i"]))
         return let(first, lambda title: F.coalesce(F.array_min(F.transform(F.filter(numbered, lambda x: x["end"] & ~x["title"] & (x["i"] > title)), lambda x: x["i"])), F.lit(0)))
 
-    def kept(lines: Column) -> Column:
-        return let(ends(F.transform(lines, strip)), lambda first: F.array_join(F.filter(lines, lambda x, i: (i >= first) & ~is_toc_line(strip(x))), "\n"))
+    def cut(x: Column) -> Column:
+        """The lines are gone through one by one only where the text has such a title."""
+        after = let(F.split(x, "\n"), lambda lines: let(ends(F.transform(lines, strip)), lambda first: F.array_join(F.slice(lines, first + 1, F.size(lines)), "\n")))
+        return F.when(F.upper(x).contains("TABLE OF CONTENTS"), after).otherwise(x)
 
-    return let(F.split(_empty(t), "\n"), kept)
+    return let(let(_empty(t), cut), lambda x: _without_lines(x, TOC_LINE))
 
 
 def _spaced(t: Column) -> Column:
@@ -128,7 +140,11 @@ def clean(t: Column, s: Settings = DEFAULT) -> Column:
     def stays(line: Column) -> Column:
         return let(strip(line), lambda bare: (F.length(bare) > s.min_line_chars) | F.upper(bare).rlike(MARKERS) | bare.rlike(f"^[A-Z0-9]+[.:]{W}*[A-Z]") | bare.startswith("==="))
 
-    return strip(fix_spacing(F.array_join(F.filter(F.split(t, "\n"), stays), "\n")))
+    if s.min_line_chars <= 2:  # whatever else lets a line stay has three characters or more
+        kept = let(t, lambda x: _without_lines(x, rf"(?d)\n{H}*+{NOT_W}{{0,{s.min_line_chars}}}+{H}*+(?=\n|\z)"))
+    else:
+        kept = F.array_join(F.filter(F.split(t, "\n"), stays), "\n")
+    return strip(fix_spacing(kept))
 
 
 def final_cleanup(t: Column, shield_urls: bool = True) -> Column:

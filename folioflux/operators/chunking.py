@@ -1,199 +1,80 @@
 """Chunks: whole sections where a document has headings, packed sentences where it has none.
 
-Packing is a fold over an array column (paragraphs, sentences, words), so a document never leaves
-its row and no UDF runs. Texts are cleaned first, which removes blank lines; paragraphs therefore
-matter only to callers that bring their own text.
+The cutting itself is `passages`, in plain Python; here it is made into column functions that run over
+Arrow batches of the text column alone. Folds over words and sentences can be written with Spark's
+array functions too, but those are interpreted: measured, they took ten times as long. A document
+never leaves its row, and nothing is shuffled.
 
-Where the plain rules would lose text (lines before the first heading, headings with nothing
-below, the tail after the last punctuation mark) these functions keep it; compat=True loses it.
+compat=True keeps the plain rules' losses and repeats; see `passages`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import SENTENCE_GAP, W, clean, computed, final_cleanup, let, sentences, strip, whole_sentences, word_count, words
-from . import structure
+from ..functions.text import clean, computed, word_count
+from ..session import ship
+from . import passages
 
-_NONE = "array<string>"
-#: A line that is a heading of some kind.
-ANY_HEADING = "(?i)" + "|".join(h[1] for h in structure.HEADINGS)
+STRINGS = "array<string>"
+TREE = "array<struct<idx:int,line:int,level:int,parent:int,next_idx:int,text:string,before:int,subtree:int,has_content:boolean>>"
+ARROW = {STRINGS: pa.list_(pa.string()), "string": pa.string()}
+ARROW[TREE] = pa.list_(pa.struct([(n, pa.string() if n == "text" else pa.bool_() if n == "has_content" else pa.int32()) for n in passages.Section._fields]))
 
 
-def _fold(parts: Column, take: Callable[[Column, Column, Column], Column]) -> Column:
-    """parts folded into chunks; take(state, part, its words) gives the next state (done, cur, n)."""
-    start = F.struct(F.array().cast(_NONE).alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-    counted = F.transform(parts, lambda p: F.struct(p.alias("p"), word_count(p).alias("n")))
-    return F.aggregate(counted, start, lambda s, x: take(s, x["p"], x["n"]), lambda s: _flushed(s["done"], s["cur"]))
+def _column(run: Callable[..., Any], returns: str, *inputs: Column) -> Column:
+    """run(values of a row) as a column; a null input counts as an empty text or array."""
+    ship(SparkSession.active())
+    kind = ARROW[returns]
 
+    def values(column: pa.Array) -> list[Any]:
+        empty = "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else []
+        return [empty if x is None else x for x in column.to_pylist()]
 
-def _state(done: Column, cur: Column, n: Column) -> Column:
-    return F.struct(done.alias("done"), cur.alias("cur"), n.cast("int").alias("n"))
+    if len(inputs) == 1:
+        @F.arrow_udf(returns)
+        def batch(a: pa.Array) -> pa.Array:
+            return pa.array([run(x) for x in values(a)], kind)
+    else:
+        @F.arrow_udf(returns)
+        def batch(a: pa.Array, b: pa.Array) -> pa.Array:
+            return pa.array([run(x, y) for x, y in zip(values(a), values(b))], kind)
 
+    return batch(*inputs)
 
-def _flushed(done: Column, cur: Column) -> Column:
-    return F.when(cur != "", F.array_append(done, cur)).otherwise(done)
 
+def split_at_punctuation(sentence: Column, s: Settings = DEFAULT, ahead: int = 50, compat: bool = False) -> Column:
+    return _column(lambda x: passages.split_at_punctuation(x, s, ahead, compat), STRINGS, sentence)
 
-def _joined(cur: Column, part: Column, by: str) -> Column:
-    return F.when(cur != "", F.concat(cur, F.lit(by), part)).otherwise(part)
 
+def pack_sentences(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
+    return _column(lambda x: passages.pack_sentences(x, s, compat), STRINGS, text)
 
-def split_at_punctuation(sentence: Column, s: Settings = DEFAULT, ahead: int = 50) -> Column:
-    """A long sentence cut after the first word from target_words on that ends in . ! ? ; or ,
-
-    If none is among the `ahead` words from max_words on, it is cut at max_words.
-    """
-    return let(words(sentence), lambda w: let(F.transform(w, lambda x: x.rlike("[.!?;,]$")), lambda stops: _cut(w, stops, s, ahead)))
-
-
-def _cut(all_words: Column, stops: Column, s: Settings, ahead: int) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,n:int>>").alias("cuts"))
-
-    def step(state: Column, k: Column) -> Column:  # k words seen, 1-based
-        n = k - state["at"]
-        near = F.exists(F.slice(stops, k, F.lit(ahead)), lambda x: x)
-        cut = (n >= s.target_words) & F.element_at(stops, k) | (n == s.max_words) & ~near
-        cuts = F.array_append(state["cuts"], F.struct(state["at"].alias("a"), n.cast("int").alias("n")))
-        return F.when(cut, F.struct(k.cast("int").alias("at"), cuts.alias("cuts"))).otherwise(F.struct(state["at"].alias("at"), state["cuts"].alias("cuts")))
-
-    def last(state: Column) -> Column:
-        rest = F.size(all_words) - state["at"]
-        return F.when(rest > 0, F.array_append(state["cuts"], F.struct(state["at"].alias("a"), rest.cast("int").alias("n")))).otherwise(state["cuts"])
-
-    numbers = F.when(F.size(all_words) > 0, F.sequence(F.lit(1), F.size(all_words))).otherwise(F.array().cast("array<int>"))
-    cuts = F.aggregate(numbers, start, step, last)
-    return F.transform(cuts, lambda c: F.array_join(F.slice(all_words, c["a"] + 1, c["n"]), " "))
-
-
-def pack_sentences(text: Column, s: Settings = DEFAULT) -> Column:
-    """Sentences packed to target_words; one of over max_words is cut at punctuation."""
-
-    def take(state: Column, part: Column, n: Column) -> Column:
-        flushed = _flushed(state["done"], state["cur"])
-        return (
-            F.when(n > s.max_words, _state(F.concat(flushed, split_at_punctuation(part, s)), F.lit(""), F.lit(0)))
-            .when(state["n"] + n <= s.target_words, _state(state["done"], _joined(state["cur"], part, " "), state["n"] + n))
-            .otherwise(_state(flushed, part, n))
-        )
-
-    return _fold(sentences(text), take)
-
-
-def _pack_paragraphs(paragraphs: Column, split: Callable[[Column], Column], s: Settings) -> Column:
-    def take(state: Column, part: Column, n: Column) -> Column:
-        flushed = _flushed(state["done"], state["cur"])
-        return (
-            F.when(state["n"] + n <= s.target_words, _state(state["done"], _joined(state["cur"], part, "\n\n"), state["n"] + n))
-            .when(n > s.max_words, _state(F.concat(flushed, split(part)), F.lit(""), F.lit(0)))
-            .otherwise(_state(flushed, part, n))
-        )
-
-    return _fold(paragraphs, take)
 
-
-def fallback_chunks(text: Column, s: Settings = DEFAULT) -> Column:
-    """Chunks of a text without headings: paragraphs packed to target_words, long ones by sentences."""
-    wide, narrow = f"\\n{W}*\\n{W}*\\n", f"\\n{W}*\\n"
-    split_up = let(text, lambda t: F.when(t.rlike(wide), F.split(t, wide)).otherwise(F.split(t, narrow)))
-    paragraphs = F.filter(F.transform(split_up, strip), lambda p: p != "")
-
-    return _pack_paragraphs(paragraphs, lambda part: split_plain(part, s), s)
-
-
-def split_plain(text: Column, s: Settings = DEFAULT) -> Column:
-    """A long text by its paragraphs, or by its sentences where it has one paragraph only."""
-    inner = F.split(text, f"\\n{W}*\\n")
-    return F.when(F.size(inner) > 1, _pack_paragraphs(inner, lambda p: pack_sentences(p, s), s)).otherwise(pack_sentences(text, s))
+def fallback_chunks(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
+    return _column(lambda x: passages.fallback_chunks(x, s, compat), STRINGS, text)
 
 
 def table_aware_split(text: Column, s: Settings = DEFAULT) -> Column:
-    """A section's text split around its marked tables; an extension that with_chunks() does not use.
-
-    A table of up to max_table_words stays whole, with the text before it where both fit in that; a
-    larger one is cut between lines at target_words. Text after the last table is a chunk, or split
-    if over max_words. An end marker closes the table that the last start marker before it opened.
-    """
-    cap = s.max_table_words
-    span = "array<struct<a:int,b:int>>"
-
-    def spans(lines: Column) -> Column:
-        marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.contains("START ===").alias("start"), x.contains("=== TABLE").alias("mark"), x.contains("END ===").alias("end"))), lambda x: x["mark"] & (x["start"] | x["end"]))
-
-        def pair(x: Column, k: Column, all_: Column) -> Column:
-            before = F.get(all_, k - 1)
-            return F.when(~x["start"] & F.coalesce(before["start"], F.lit(False)), F.struct(before["i"].alias("a"), x["i"].alias("b")))
-
-        return let(marks, lambda m: F.filter(F.transform(m, lambda x, k: pair(x, k, m)), lambda x: x.isNotNull()))
-
-    def cut(table: Column) -> Column:
-        def take(state: Column, part: Column, n: Column) -> Column:
-            over = (state["n"] + n > s.target_words) & (state["cur"] != "")
-            return F.when(over, _state(F.array_append(state["done"], state["cur"]), part, n)).otherwise(_state(state["done"], _joined(state["cur"], part, "\n"), state["n"] + n))
-
-        return _fold(F.split(table, "\n"), take)
-
-    def one(before: Column, table: Column) -> Column:
-        lead = F.filter(F.array(before), lambda c: strip(c) != "")
-        both = F.when(strip(before) != "", F.concat(before, F.lit("\n"), table)).otherwise(table)
-        return F.when(word_count(table) > cap, F.concat(lead, cut(table))).when(word_count(both) <= cap, F.array(both)).otherwise(F.concat(lead, F.array(table)))
-
-    def split(lines: Column, found: Column) -> Column:
-        piece = lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "\n")  # noqa: E731  lines [a, b)
-        after = lambda k: F.when(k > 0, F.get(found, k - 1)["b"] + 1).otherwise(F.lit(0))
-        tables = F.flatten(F.transform(found, lambda x, k: let(piece(after(k), x["a"]), lambda before: let(piece(x["a"], x["b"] + 1), lambda table: one(before, table)))))
-        rest = piece(after(F.size(found)), F.size(lines))
-        tail = let(rest, lambda r: F.when(strip(r) == "", F.array().cast(_NONE)).when(word_count(r) > s.max_words, split_plain(r, s)).otherwise(F.array(r)))
-        return F.concat(tables, tail)
-
-    whole = let(F.coalesce(text, F.lit("")), lambda t: let(F.split(t, "\n"), lambda lines: let(spans(lines).cast(span), lambda found: split(lines, found))))
-    return F.filter(whole, lambda c: strip(c) != "")
+    return _column(lambda x: passages.table_aware_split(x, s), STRINGS, text)
 
 
 def merge_small(chunks: Column, s: Settings = DEFAULT) -> Column:
-    """Neighbours joined by a blank line where one is under min_words and both fit in max_words."""
-
-    def take(state: Column, part: Column, n: Column) -> Column:
-        fits = ((state["n"] < s.min_words) | (n < s.min_words)) & (state["n"] + n <= s.max_words)
-        return (
-            F.when(state["n"] == 0, _state(state["done"], part, n))
-            .when(fits, _state(state["done"], F.concat(state["cur"], F.lit("\n\n"), part), state["n"] + n))
-            .otherwise(_state(F.array_append(state["done"], state["cur"]), part, n))
-        )
-
-    return _fold(chunks, take)
+    return _column(lambda x: passages.merge_small(x, s), STRINGS, chunks)
 
 
 def overlap_text(before: Column, chunk: Column, s: Settings = DEFAULT) -> Column:
-    """What is repeated of the chunk before: its last whole sentences of up to overlap_words; else its
-    last words; else the first words of the chunk itself; else nothing."""
-    start = F.struct(F.array().cast(_NONE).alias("done"), F.lit(0).alias("n"), F.lit(True).alias("go"))
-
-    def take(state: Column, part: Column) -> Column:
-        fits = state["go"] & (state["n"] + word_count(part) <= s.overlap_words)
-        return F.when(fits, F.struct(F.array_prepend(state["done"], part).alias("done"), (state["n"] + word_count(part)).cast("int").alias("n"), F.lit(True).alias("go"))).otherwise(
-            F.struct(state["done"].alias("done"), state["n"].alias("n"), F.lit(False).alias("go")))
-
-    tail = F.aggregate(F.reverse(whole_sentences(before)), start, take, lambda x: F.array_join(x["done"], " "))
-    n = s.overlap_words
-    last = let(words(before), lambda w: F.when(F.size(w) >= n, F.array_join(F.slice(w, -n, n), " ")))
-    first = let(words(chunk), lambda w: F.when(F.size(w) >= n, F.array_join(F.slice(w, 1, n), " ")))
-    return F.coalesce(F.nullif(tail, F.lit("")), last, first, F.lit(""))
+    return _column(lambda x, y: passages.overlap_text(x, y, s), "string", before, chunk)
 
 
 def apply_overlap(chunks: Column, s: Settings = DEFAULT) -> Column:
-    """Each chunk but the first with the overlap from the one before it (as it was) in front."""
-    if not s.overlap_words:
-        return chunks
-
-    def one(chunk: Column, before: Column) -> Column:
-        return let(overlap_text(before, chunk, s), lambda extra: F.when(extra != "", F.concat(extra, F.lit(" "), chunk)).otherwise(chunk))
-
-    return let(chunks, lambda all_: F.transform(all_, lambda c, i: F.when(i == 0, c).otherwise(one(c, F.get(all_, i - 1)))))
+    return _column(lambda x: passages.apply_overlap(x, s), STRINGS, chunks)
 
 
 def crosses_boundary(levels1: Column, ids1: Column, levels2: Column, ids2: Column) -> Column:
@@ -203,156 +84,38 @@ def crosses_boundary(levels1: Column, ids1: Column, levels2: Column, ids2: Colum
     return F.coalesce((F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b), F.lit(False))
 
 
-def pack_parts(parts: Column, target: int, s: Settings = DEFAULT) -> Column:
-    """Parts joined by spaces while at most `target` words; blank results go."""
-
-    def take(state: Column, part: Column, n: Column) -> Column:
-        over = state["n"] + n > target
-        return F.when(over, _state(F.when(state["cur"] != "", F.array_append(state["done"], strip(state["cur"]))).otherwise(state["done"]), part, n)).otherwise(
-            _state(state["done"], _joined(state["cur"], part, " "), state["n"] + n))
-
-    return F.filter(F.transform(_fold(parts, take), strip), lambda c: c != "")
-
-
-def split_oversized(chunk: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    """A chunk of over max_words split at paragraphs, else at sentences, else at punctuation."""
-    target = int(s.target_words * 0.9)
-    narrow = f"\\n{W}*\\n"
-    fits = lambda chunks: (F.size(chunks) > 0) & ~F.exists(chunks, lambda c: word_count(c) > s.max_words)
-
-    def by_marks(x: Column) -> Column:
-        # Cut after each mark; a lookbehind, as a pattern for the parts would rescan an unmarked tail.
-        marks = F.filter(F.split(x, f"(?<=[.!?;:,]){W}*"), lambda p: p != "")
-        if compat:
-            marks = F.filter(marks, lambda p: p.rlike("[.!?;:,]$"))
-        return pack_parts(marks, target, s)
-
-    def split(x: Column) -> Column:
-        tried = F.array(F.when(x.rlike(narrow), pack_parts(F.split(x, narrow), target, s)), F.when(x.rlike(SENTENCE_GAP), pack_parts(sentences(x), target, s)))
-        return let(F.get(F.filter(tried, lambda c: c.isNotNull() & fits(c)), F.lit(0)), lambda found: F.coalesce(found, by_marks(x)))
-
-    return let(chunk, split)
-
-
 def enforce_size(chunks: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    """Chunks of over max_words split; a run without any punctuation is cut at max_words."""
-    def capped(chunk: Column) -> Column:
-        found = split_oversized(chunk, s, compat)
-        if compat:
-            return found
-        return F.flatten(F.transform(found, lambda c: F.when(word_count(c) > s.max_words, split_at_punctuation(c, s, ahead=0)).otherwise(F.array(c))))
-
-    return F.flatten(F.transform(chunks, lambda c: F.when(word_count(c) > s.max_words, capped(c)).otherwise(F.array(c))))
+    return _column(lambda x: passages.enforce_size(x, s, compat), STRINGS, chunks)
 
 
 def finish(chunks: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    """The final pass: clean, drop empty, merge small, overlap, enforce the size."""
-    cleaned = F.filter(F.transform(chunks, lambda c: final_cleanup(c, shield_urls=not compat)), lambda c: c != "")
-    return enforce_size(apply_overlap(merge_small(cleaned, s), s), s, compat)
-
-
-def _level(bare: Column) -> Column:
-    """The level of a heading line, null for other lines; the first kind that fits counts."""
-    found = F.lit(None).cast("int")
-    for _, pattern, level, _ in reversed(structure.HEADINGS):
-        found = F.when(bare.rlike("(?i)" + pattern), F.lit(level)).otherwise(found)
-    return F.when(bare.rlike(ANY_HEADING), found)
+    return _column(lambda x: passages.finish(x, s, compat), STRINGS, chunks)
 
 
 def section_tree(lines: Column) -> Column:
-    """A document's lines (array) to its sections (array of structs, by idx from 0): idx, line, level, parent,
-    next_idx (the first section after its subtree), text, words (its own), before (words of earlier
-    sections), texts (its own lines that aren't blank) and texts_before.
-
-    The tree in two folds over the headings: forward with the last section of each level, backward
-    with the next one of each level. Everything stays in the document's row.
-    """
-    def section(heads: Column) -> Column:
-        def one(h: Column, k: Column) -> Column:
-            stop = F.coalesce(F.get(heads, k + 1)["i"], F.size(lines))
-            return let(F.slice(lines, h["i"] + 2, stop - h["i"] - 1), lambda body: let(F.array_join(body, "\n"), lambda content: F.struct(
-                k.alias("idx"), h["i"].alias("line"), h["level"].alias("level"),
-                F.when(strip(content) != "", F.concat_ws("\n", h["bare"], content)).otherwise(h["bare"]).alias("text"),
-                (word_count(h["bare"]) + word_count(content)).alias("words"), F.size(F.filter(body, lambda x: strip(x) != "")).alias("texts"))))
-
-        return F.transform(heads, one)
-
-    none = F.lit([None] * len(structure.LEVELS)).cast("array<int>")
-    put = lambda held, x: F.transform(held, lambda v, n: F.when(n == x["level"], x["idx"]).otherwise(v))
-    start = lambda: F.struct(none.alias("held"), F.array().cast("array<int>").alias("out"))
-    step = lambda reach: lambda st, x: F.struct(put(st["held"], x).alias("held"), F.array_append(st["out"], reach(st["held"], x)).alias("out"))
-
-    def tree(sections: Column) -> Column:
-        parents = F.aggregate(sections, start(), step(lambda held, x: F.array_max(F.slice(held, F.lit(1), x["level"]))), lambda st: st["out"])
-        ends = F.aggregate(F.reverse(sections), start(), step(lambda held, x: F.coalesce(F.array_min(F.slice(held, F.lit(1), x["level"] + 1)), F.size(sections))), lambda st: F.reverse(st["out"]))
-        zero = F.struct(F.lit(0).alias("w"), F.lit(0).alias("t"), F.array().cast("array<struct<w:int,t:int>>").alias("out"))
-        sums = F.aggregate(sections, zero, lambda st, x: F.struct((st["w"] + x["words"]).alias("w"), (st["t"] + x["texts"]).alias("t"), F.array_append(st["out"], F.struct(st["w"].alias("w"), st["t"].alias("t"))).alias("out")),
-                           lambda st: F.array_append(st["out"], F.struct(st["w"].alias("w"), st["t"].alias("t"))))
-
-        def row(p: Column, e: Column, b: Column) -> Column:
-            def whole(x: Column) -> Column:
-                i, end = x["idx"], F.get(e, x["idx"])
-                return F.struct(
-                    i.alias("idx"), x["line"].alias("line"), x["level"].alias("level"), F.get(p, i).alias("parent"), end.alias("next_idx"), x["text"].alias("text"),
-                    F.get(b, i)["w"].alias("before"), (F.get(b, end)["w"] - F.get(b, i)["w"]).alias("subtree"), (F.get(b, end)["t"] > F.get(b, i)["t"]).alias("has_content"))
-            return F.transform(sections, whole)
-
-        return let(parents, lambda p: let(ends, lambda e: let(sums, lambda b: row(p, e, b))))
-
-    marked = F.transform(lines, lambda x, i: let(strip(x), lambda bare: F.struct(i.alias("i"), bare.alias("bare"), _level(bare).alias("level"))))
-    return let(F.filter(marked, lambda x: x["level"].isNotNull()), lambda heads: let(section(heads), tree))
-
-
-def runs(sections: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    """A document's sections (array by idx from 0) to runs (first, stop) that make its chunks.
-
-    From a section, children with their whole subtrees are added in order while the run's words are
-    at most max_words. The next run starts at the first section after it that has content (with
-    compat; else at the next one).
-    """
-    begin = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<first:int,stop:int>>").alias("runs"))
-
-    def stop(x: Column) -> Column:
-        below = F.slice(sections, x["idx"] + 2, x["next_idx"] - x["idx"] - 1)
-        fits = F.filter(below, lambda c: (c["parent"] == x["idx"]) & (c["before"] + c["subtree"] - x["before"] <= s.max_words))
-        return F.coalesce(F.array_max(F.transform(fits, lambda c: c["next_idx"])), x["idx"] + 1).cast("int")
-
-    def take(state: Column, x: Column) -> Column:
-        starts = (x["idx"] >= state["free"]) & (x["has_content"] if compat else F.lit(True))
-        picked = let(stop(x), lambda end: F.struct(end.alias("free"), F.array_append(state["runs"], F.struct(x["idx"].alias("first"), end.alias("stop"))).alias("runs")))
-        return F.when(starts, picked).otherwise(F.struct(state["free"].alias("free"), state["runs"].alias("runs")))
-
-    return F.aggregate(sections, begin, take, lambda x: x["runs"])
+    """A document's lines (array) to its sections (array of structs, as passages.Section)."""
+    return _column(lambda x: [section._asdict() for section in passages.section_tree(x)], TREE, lines)
 
 
 def hierarchical_chunks(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    """The unfinished chunks of a text with headings: runs of whole sections. No headings, no chunks."""
-    def chunks(lines: Column, sections: Column) -> Column:
-        join = lambda r: F.array_join(F.transform(F.slice(sections, r["first"] + 1, r["stop"] - r["first"]), lambda x: x["text"]), "\n")
-        found = F.transform(runs(sections, s, compat), join)
-        if compat:
-            return found
-        # The lines before the first heading are a run of their own.
-        before = F.array_join(F.slice(lines, F.lit(1), F.coalesce(F.get(sections, F.lit(0))["line"], F.lit(0))), "\n")
-        return F.concat(F.filter(F.array(before), lambda c: strip(c) != ""), found)
+    return _column(lambda x: passages.hierarchical_chunks(x, s, compat), STRINGS, text)
+
 
-    return let(F.split(text, "\n"), lambda lines: let(section_tree(lines), lambda sections: chunks(lines, sections)))
+def chunks_of(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
+    """The chunks of a cleaned text."""
+    return _column(lambda x: passages.chunk(x, s, compat), STRINGS, text)
 
 
-def with_chunks(docs: DataFrame, text: str, into: str = "chunks", s: Settings = DEFAULT, compat: bool = False) -> DataFrame:
+def with_chunks(docs: DataFrame, text: str, into: str = "chunks", s: Settings = DEFAULT, compat: bool = False, cleaned: bool = False) -> DataFrame:
     """docs with an array of each text's chunks, from cleaning to the size cap.
 
-    Blank text has none; a short one is one chunk. Row by row: no shuffle, and a document never
-    leaves its row.
+    Blank text has none; a short one is one chunk. cleaned: the text is clean already (compat
+    cleans it again all the same, which is not the same as once). No shuffle.
     """
     s.checked()
-    t, n = F.col("_t"), F.col("_n")
-    rows = computed(computed(docs, _t=clean(F.col(text), s)), _n=word_count(t), _shaped=F.exists(F.split(t, "\n"), lambda x: strip(x).rlike(ANY_HEADING)))
-    one = F.filter(F.array(final_cleanup(t, shield_urls=not compat)), lambda c: c != "")
-    raw = F.when((n > s.max_words) & F.col("_shaped"), hierarchical_chunks(t, s, compat))
-    rows = computed(rows, _raw=raw)
-    chunks = F.when(n <= s.max_words, one).when(F.col("_shaped"), finish(F.col("_raw"), s, compat)).otherwise(fallback_chunks(t, s))
-    return computed(rows, **{into: chunks}).select(*docs.columns, into)
+    if cleaned and not compat:
+        return docs.withColumn(into, chunks_of(F.col(text), s, compat))
+    return computed(docs, _t=clean(F.col(text), s)).withColumn(into, chunks_of(F.col("_t"), s, compat)).drop("_t")
 
 
 def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, doc: str = "doc_id", text: str = "text", compat: bool = False) -> DataFrame:

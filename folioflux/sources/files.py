@@ -45,10 +45,13 @@ def parse(files: DataFrame, parser: str = "text") -> DataFrame:
     return files.select("path", "filename", texts("content").alias("raw_text"))
 
 
-def process(raw: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(path, filename, raw_text) to processed documents; those without chunks are left out. No shuffle."""
+def process(raw: DataFrame, s: Settings = DEFAULT, compat: bool = False) -> DataFrame:
+    """(path, filename, raw_text) to processed documents; those without chunks are left out. No shuffle.
+
+    Texts are cleaned once; compat cleans them twice.
+    """
     cleaned = computed(raw.select("filename", "path", "raw_text"), clean_text=clean(F.col("raw_text"), s))
-    rows = with_chunks(cleaned, "clean_text", "chunks", s).filter(F.size("chunks") > 0)
+    rows = with_chunks(cleaned, "clean_text", "chunks", s, compat, cleaned=True).filter(F.size("chunks") > 0)
     number = document_number(F.col("filename"), None, F.substring(F.col("clean_text"), 1, s.first_page_chars))
     return rows.select("filename", "path", "raw_text", "clean_text", "chunks", F.size("chunks").alias("chunk_count"), number.alias("doc_number"))
 
