@@ -5,21 +5,20 @@ patch's intensity centroid) and 256 binary tests of smoothed intensities at poin
 direction; corners that look like a plain slope tell nothing and are left out. Two images are linked when enough of their corners match under one motion: descriptors up
 to MAX_HAMMING bits apart vote for scale, turn and shift.
 
-Pairs of images to compare come from Hamming tables: ten keys of 24 bits each. Descriptors that share a
-key are compared over all bits, and two images with two different corners that match are candidates; they
-are then compared by all of their corners, exactly.
-
-A bucket with more than FULL descriptors (one picture with very many copies) isn't paired up at first:
-its members are compared with its first one. Afterwards all members of such buckets whose images are still in
-different components are compared, in tiles where a bucket is large, and the matches are counted together with those of
-the first pass. So the components don't depend on the buckets' sizes.
+Pairs of images to compare come from Hamming tables. Descriptors that share a key are compared over
+all bits, and two images with two different corners that match are candidates; they are then compared
+by all of their corners, exactly. This is done three times: by long keys, where a bucket of more than
+FULL descriptors (one picture with very many copies) is compared with its first one only; by short
+keys, each bucket's first one against those of other components; and by short keys again, all against
+all of other components, in tiles where a bucket is large. What is one component already is not
+compared again, so many copies cost little, and the last pass misses no pair that the short keys hold.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +38,9 @@ MOST_CORNERS = 400
 REACH = 9
 TURNS = 36
 BITS = 256
-#: Hamming tables; each key is so many bytes of the descriptor.
-TABLES = 10
-KEY_BYTES = 3
+#: Hamming tables: bytes of the descriptor that are a key, and tables, of the long and of the short keys.
+LONG = (5, 6)
+SHORT = (3, 10)
 #: Tables dealt out in one shuffle.
 ROUND = 2
 #: Descriptors of a pair of corners differ in this many bits at most.
@@ -51,8 +50,8 @@ MIN_VOTES = 4
 CELL = 10.0
 SPOT = 10.0
 SHARE = 0.25
-#: Buckets of more members than this are compared with their first member first, and later in tiles of so many.
-FULL = 512
+#: Long keys' buckets of more members than this are compared with their first member; short keys' in tiles of so many.
+FULL = 24
 TILE = 4096
 
 #: A corner: its descriptor, place, scale and direction.
@@ -269,39 +268,44 @@ def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFram
 
 def linked(pictures: DataFrame, alike: DataFrame, path: str) -> DataFrame:
     """(node, root): components of pictures (img, corners) by their corners, and by the links (a, b) of exact copies."""
-    met = [f"{path}/met-{k}" for k in range(0, TABLES, ROUND)]
-    for k, at in zip(range(0, TABLES, ROUND), met):
-        placed = _placed(pictures, range(k, min(TABLES, k + ROUND)))
-        written(placed.repartition("bucket").sortWithinPartitions("bucket", "img", "corner").mapInArrow(_by_bucket(_first_pass), MATCHES), at)
-    own = pictures.sparkSession
-    matches = own.read.schema(MATCHES).parquet(*met)
-    links = written(_confirmed(matches.filter("ca >= 0"), pictures), f"{path}/links").unionByName(alike)
-    roots = components(links, f"{path}/first")
-    crowded = matches.filter("ca < 0").select(F.col("a").alias("bucket"), F.col("b").alias("n"))
-    if crowded.isEmpty():
-        return roots
-    late = [f"{path}/late-{k}" for k in range(0, TABLES, ROUND)]
-    for k, at in zip(range(0, TABLES, ROUND), late):
-        placed = _placed(pictures, range(k, min(TABLES, k + ROUND))).join(crowded, "bucket").join(roots.withColumnRenamed("node", "img"), "img", "left")
-        placed = placed.withColumn("root", F.coalesce("root", "img")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    met = _met(pictures, LONG, _first_pass, ["img", "corner"], f"{path}/long")
+    links = written(_confirmed(met, pictures), f"{path}/links-1").unionByName(alike)
+    roots = components(links, f"{path}/roots-1")
+    owned = lambda placed: placed.join(roots.withColumnRenamed("node", "img"), "img", "left").withColumn("root", F.coalesce("root", "img"))
+    met = _met(pictures, SHORT, _lead_pass, ["img", "corner", "root"], f"{path}/leads", owned)
+    links = links.unionByName(written(_confirmed(met.filter("ca >= 0"), pictures), f"{path}/links-2"))
+    roots = components(links, f"{path}/roots-2")
+    large = met.filter("ca < 0").select(F.col("a").alias("bucket"), F.col("b").alias("n"))
+    large = None if large.isEmpty() else large
+
+    def tiled(placed: DataFrame) -> DataFrame:
+        """Each member of a large bucket goes to every pair of tiles that has its own."""
+        placed = owned(placed)
+        if large is None:
+            return placed.withColumns({"tile": F.lit(0), "cross": F.lit(False)})
+        placed = placed.join(large, "bucket", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("n") / TILE).cast("int"), F.lit(1)))
         placed = placed.withColumn("tile", F.pmod(F.xxhash64("img", "corner"), F.col("tiles")).cast("int"))
-        # Each member goes to every pair of tiles that has its own.
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        tiled = placed.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "root", "img", "corner", *WORDS)
-        order = ["bucket", "low", "high", "root", "img", "corner"]
-        tiled = tiled.repartition("bucket", "low", "high").sortWithinPartitions(*order)
-        tiled = tiled.select(F.struct("bucket", "low", "high").alias("key"), "img", "corner", "tile", "root", F.expr("low <> high").alias("cross"), *WORDS)
-        written(tiled.select(F.xxhash64("key").alias("bucket"), "img", "corner", "tile", "root", "cross", *WORDS).mapInArrow(_by_bucket(_late_pass), MATCHES), at)
-    apart = roots.withColumnRenamed("node", "img")
-    every = own.read.schema(MATCHES).parquet(*met, *late).filter("ca >= 0")
-    for side in ("a", "b"):  # what is one component already needs no more links
-        every = every.join(apart.select(F.col("img").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    every = every.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "ca")
-    return components(links.unionByName(written(_confirmed(every, pictures), f"{path}/late")), f"{path}/second")
-
-
-def _placed(pictures: DataFrame, tables: range) -> DataFrame:
-    """(bucket, img, corner, d0 to d3): each descriptor's places in some of the tables."""
+        task = F.when(F.col("tiles") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")))
+        return placed.withColumns({"cross": F.col("tile") != F.col("other"), "bucket": task})
+
+    met = _met(pictures, SHORT, _late_pass, ["img", "corner", "tile", "root", "cross"], f"{path}/all", tiled, ["root", "img", "corner"])
+    return components(links.unionByName(written(_confirmed(met, pictures), f"{path}/links-3")), f"{path}/roots-3")
+
+
+def _met(pictures: DataFrame, keys: tuple[int, int], compare: Callable, columns: list[str], path: str, owned: Callable[[DataFrame], DataFrame] = lambda placed: placed, order: list[str] = ["img", "corner"]) -> DataFrame:  # noqa: B006
+    """MATCHES that compare finds in the tables' buckets, a few tables a shuffle; compare gets the bucket, `columns`, and the words."""
+    width, tables = keys
+    parts = []
+    for k in range(0, tables, ROUND):
+        rows = owned(_placed(pictures, range(k, min(tables, k + ROUND)), width)).select("bucket", *columns, *WORDS)
+        parts.append(f"{path}-{k}")
+        written(rows.repartition("bucket").sortWithinPartitions("bucket", *order).mapInArrow(_by_bucket(compare), MATCHES), parts[-1])
+    return pictures.sparkSession.read.schema(MATCHES).parquet(*parts)
+
+
+def _placed(pictures: DataFrame, tables: range, width: int) -> DataFrame:
+    """(bucket, img, corner, d0 to d3): each descriptor's places in some of the tables; keys of `width` bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column(1).to_pylist()
@@ -311,13 +315,13 @@ def _placed(pictures: DataFrame, tables: range) -> DataFrame:
             number = (np.arange(len(corners)) - np.repeat(sizes.cumsum() - sizes, sizes)).astype(np.int32)
             words = np.ascontiguousarray(corners["bits"]).view(np.int64)
             for k in tables:
-                key = corners["bits"][:, KEY_BYTES * k : KEY_BYTES * (k + 1)].astype(np.int64) @ (1 << 8 * np.arange(KEY_BYTES, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key | k << 8 * KEY_BYTES), pa.array(img), pa.array(number), *[pa.array(words[:, w]) for w in range(4)]], names=["bucket", "img", "corner", *WORDS])
+                key = corners["bits"][:, width * k : width * (k + 1)].astype(np.int64) @ (1 << 8 * np.arange(width, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key | k << 8 * width), pa.array(img), pa.array(number), *[pa.array(words[:, w]) for w in range(4)]], names=["bucket", "img", "corner", *WORDS])
 
     return pictures.mapInArrow(run, "bucket long, img long, corner int, d0 long, d1 long, d2 long, d3 long")
 
 
-def _by_bucket(compare):
+def _by_bucket(compare: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function over Arrow batches sorted by bucket (the first column), that calls compare with the columns of whole buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # the last bucket's rows, as it may go on
@@ -361,13 +365,18 @@ def _named(img: np.ndarray, corner: np.ndarray, pairs: list[tuple[np.ndarray, np
     return img[i], img[j], corner[i]
 
 
+def _buckets(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bucket begins, and its size."""
+    starts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1])
+    return starts, np.diff(np.concatenate([starts, [len(bucket)]]))
+
+
 def _first_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches in buckets of up to FULL rows, and with the first row of fuller ones; for these a row (bucket, size, -1) too.
+    """Matches in buckets of up to FULL rows, and with the first row of fuller ones.
 
     All buckets are compared at once, each row with that one, two, three ... rows on.
     """
-    starts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1])
-    size = np.diff(np.concatenate([starts, [len(bucket)]]))
+    starts, size = _buckets(bucket)
     row = np.arange(len(bucket))
     left = np.repeat(starts + size, size) - row - 1  # rows of the bucket after this one
     full = np.repeat(size > FULL, size)
@@ -380,9 +389,17 @@ def _first_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, *words:
     lead = np.repeat(starts, size)
     at = row[full & (img != img[lead])]
     pairs.append(_close(words, lead[at], at))
-    a, b, ca = _named(img, corner, pairs)
-    crowd = starts[size > FULL]
-    return np.concatenate([a, bucket[crowd]]), np.concatenate([b, size[size > FULL]]), np.concatenate([ca, np.full(len(crowd), -1)])
+    return _named(img, corner, pairs)
+
+
+def _lead_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, root: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of each bucket's first row with those of other roots; and a row (bucket, size, -1) for each bucket too large for a tile."""
+    starts, size = _buckets(bucket)
+    lead = np.repeat(starts, size)
+    at = np.nonzero(root != root[lead])[0]
+    a, b, ca = _named(img, corner, [_close(words, lead[at], at)])
+    large = starts[size > TILE]
+    return np.concatenate([a, bucket[large]]), np.concatenate([b, size[size > TILE]]), np.concatenate([ca, np.full(len(large), -1)])
 
 
 def _late_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, tile: np.ndarray, root: np.ndarray, cross: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

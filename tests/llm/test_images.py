@@ -131,7 +131,7 @@ def test_components_and_counts_do_not_depend_on_full(spark, monkeypatch):
         x, y = root[a], root[b]
         root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
     size = Counter(root.values())
-    for full, tile in ((2, 3), (24, 4096), (512, 4096)):
+    for full, tile in ((2, 5), (24, 4096), (512, 4096)):
         monkeypatch.setattr(images, "FULL", full)
         monkeypatch.setattr(images, "TILE", tile)
         got = {r["img"]: (r["component_id"], r["n_links"]) for r in images.copies(media).collect()}
