@@ -1,27 +1,20 @@
-"""Column functions on text: cleaning, counting, splitting, truncating. All run in the JVM."""
+"""Column functions on text: counting, splitting, truncating, in the JVM; cleaning over Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from . import cleaning
+from .arrow import column
+from .patterns import TOC_LINES, URL, W
 
-#: White space as Python's str methods see it, for Java patterns.
-W = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 NOT_W = "[^" + W[1:]
 SENTENCE_GAP = f"(?<=[.!?]){W}+"
-#: What a URL looks like.
-URL = r'https?://[^\s<>"{}|\\^`\[\]]+[^\s<>"{}|\\^`\[\].,;!?)]'
-#: Lines of a table of contents.
-TOC_LINES = [r"\.{3,}", rf"{W}+\d+$", rf"\.{{2,}}{W}*\d+", r"^\d+\.\d+\..*\d+$", rf"^[A-Z]\.{W}+.*\d+$"]
-#: What ends a table of contents, at a line's start; and one phrase anywhere in it.
-TOC_ENDS = r"^(SECTION 1:|1\.|CHAPTER|PART|APPENDIX)|GENERAL ISSUANCE INFORMATION"
-#: Lines that stay however short.
-MARKERS = "SECTION|CHAPTER|PART|DODD|DODI|APPENDIX|TABLE"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,16 +26,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once a row, however often later steps use them.
-
-    They come out of a generator, which the optimizer neither merges with later projections nor
-    lets filters through; an outer one, as it infers filters below an inner one. Use this between
-    large steps and let() inside one: each nested let costs the analyzer a round.
-    """
-    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def _empty(t: Column) -> Column:
     return F.coalesce(t, F.lit(""))
 
@@ -80,32 +63,10 @@ def is_toc_line(line: Column) -> Column:
     return (line != "") & line.rlike("|".join(TOC_LINES))
 
 
-#: White space within a line, and a line of a table of contents, after its line break.
-H = W.replace("\\s", " \\t\\x0b\\f\\r")
-TOC_LINE = rf"(?md)\n(?:[^\n]*\.{{3}}|[^\n]*{NOT_W}{H}+\d+{H}*$|[^\n]*\.{{2}}{H}*\d|{H}*\d+\.\d+\.[^\n]*\d{H}*$|{H}*[A-Z]\.{H}+[^\n]*\d{H}*$)[^\n]*"
-
-
-def _without_lines(t: Column, pattern: str) -> Column:
-    """A text without the lines that a pattern, which begins with the line break before, matches whole."""
-    return F.substring(F.regexp_replace(F.concat(F.lit("\n"), t), pattern, ""), F.lit(2), F.length(t))
-
-
 def remove_toc(t: Column) -> Column:
     """Drop everything before the line that ends a table of contents, and lines that look like its
     entries anywhere."""
-    def ends(bare: Column) -> Column:
-        """The line that ends the table, 0 if there is none."""
-        titled = lambda x: F.upper(x).contains("TABLE OF CONTENTS")
-        numbered = F.transform(bare, lambda x, i: F.struct(i.alias("i"), titled(x).alias("title"), x.rlike(TOC_ENDS).alias("end")))
-        first = F.array_min(F.transform(F.filter(numbered, lambda x: x["title"]), lambda x: x["i"]))
-        return let(first, lambda title: F.coalesce(F.array_min(F.transform(F.filter(numbered, lambda x: x["end"] & ~x["title"] & (x["i"] > title)), lambda x: x["i"])), F.lit(0)))
-
-    def cut(x: Column) -> Column:
-        """The lines are gone through one by one only where the text has such a title."""
-        after = let(F.split(x, "\n"), lambda lines: let(ends(F.transform(lines, strip)), lambda first: F.array_join(F.slice(lines, first + 1, F.size(lines)), "\n")))
-        return F.when(F.upper(x).contains("TABLE OF CONTENTS"), after).otherwise(x)
-
-    return let(let(_empty(t), cut), lambda x: _without_lines(x, TOC_LINE))
+    return column(cleaning.remove_toc, "string", t)
 
 
 def _spaced(t: Column) -> Column:
@@ -130,21 +91,7 @@ def fix_spacing(t: Column) -> Column:
 
 def clean(t: Column, s: Settings = DEFAULT) -> Column:
     """Clean extracted text but keep its lines: tables of contents, page numbers and very short lines go."""
-    t = remove_toc(t)
-    t = F.regexp_replace(t, "[ \\t]+", " ")
-    t = F.regexp_replace(t, "\\n{4,}", "\n\n\n")
-    t = F.regexp_replace(t, "[\\f\\r\\x0b]", "")
-    t = F.regexp_replace(t, f"\\n{W}*\\d{{1,4}}{W}*\\n", "\n")
-    t = F.regexp_replace(t, f"(?i)\\n{W}*Page \\d+ of \\d+{W}*\\n", "\n")
-
-    def stays(line: Column) -> Column:
-        return let(strip(line), lambda bare: (F.length(bare) > s.min_line_chars) | F.upper(bare).rlike(MARKERS) | bare.rlike(f"^[A-Z0-9]+[.:]{W}*[A-Z]") | bare.startswith("==="))
-
-    if s.min_line_chars <= 2:  # whatever else lets a line stay has three characters or more
-        kept = let(t, lambda x: _without_lines(x, rf"(?d)\n{H}*+{NOT_W}{{0,{s.min_line_chars}}}+{H}*+(?=\n|\z)"))
-    else:
-        kept = F.array_join(F.filter(F.split(t, "\n"), stays), "\n")
-    return strip(fix_spacing(kept))
+    return column(lambda x: cleaning.clean(x, s), "string", t)
 
 
 def final_cleanup(t: Column, shield_urls: bool = True) -> Column:

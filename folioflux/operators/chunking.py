@@ -10,71 +10,48 @@ compat=True keeps the plain rules' losses and repeats; see `passages`.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import clean, computed, word_count
-from ..session import ship
+from ..functions import cleaning
+from ..functions.arrow import column
+from ..functions.text import word_count
 from . import passages
 
 STRINGS = "array<string>"
 TREE = "array<struct<idx:int,line:int,level:int,parent:int,next_idx:int,text:string,before:int,subtree:int,has_content:boolean>>"
-ARROW = {STRINGS: pa.list_(pa.string()), "string": pa.string()}
-ARROW[TREE] = pa.list_(pa.struct([(n, pa.string() if n == "text" else pa.bool_() if n == "has_content" else pa.int32()) for n in passages.Section._fields]))
-
-
-def _column(run: Callable[..., Any], returns: str, *inputs: Column) -> Column:
-    """run(values of a row) as a column; a null input counts as an empty text or array."""
-    ship(SparkSession.active())
-    kind = ARROW[returns]
-
-    def values(column: pa.Array) -> list[Any]:
-        empty = "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else []
-        return [empty if x is None else x for x in column.to_pylist()]
-
-    if len(inputs) == 1:
-        @F.arrow_udf(returns)
-        def batch(a: pa.Array) -> pa.Array:
-            return pa.array([run(x) for x in values(a)], kind)
-    else:
-        @F.arrow_udf(returns)
-        def batch(a: pa.Array, b: pa.Array) -> pa.Array:
-            return pa.array([run(x, y) for x, y in zip(values(a), values(b))], kind)
-
-    return batch(*inputs)
+DONE = "struct<clean_text:string,chunks:array<string>>"
 
 
 def split_at_punctuation(sentence: Column, s: Settings = DEFAULT, ahead: int = 50, compat: bool = False) -> Column:
-    return _column(lambda x: passages.split_at_punctuation(x, s, ahead, compat), STRINGS, sentence)
+    return column(lambda x: passages.split_at_punctuation(x, s, ahead, compat), STRINGS, sentence)
 
 
 def pack_sentences(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    return _column(lambda x: passages.pack_sentences(x, s, compat), STRINGS, text)
+    return column(lambda x: passages.pack_sentences(x, s, compat), STRINGS, text)
 
 
 def fallback_chunks(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    return _column(lambda x: passages.fallback_chunks(x, s, compat), STRINGS, text)
+    return column(lambda x: passages.fallback_chunks(x, s, compat), STRINGS, text)
 
 
 def table_aware_split(text: Column, s: Settings = DEFAULT) -> Column:
-    return _column(lambda x: passages.table_aware_split(x, s), STRINGS, text)
+    return column(lambda x: passages.table_aware_split(x, s), STRINGS, text)
 
 
 def merge_small(chunks: Column, s: Settings = DEFAULT) -> Column:
-    return _column(lambda x: passages.merge_small(x, s), STRINGS, chunks)
+    return column(lambda x: passages.merge_small(x, s), STRINGS, chunks)
 
 
 def overlap_text(before: Column, chunk: Column, s: Settings = DEFAULT) -> Column:
-    return _column(lambda x, y: passages.overlap_text(x, y, s), "string", before, chunk)
+    return column(lambda x, y: passages.overlap_text(x, y, s), "string", before, chunk)
 
 
 def apply_overlap(chunks: Column, s: Settings = DEFAULT) -> Column:
-    return _column(lambda x: passages.apply_overlap(x, s), STRINGS, chunks)
+    return column(lambda x: passages.apply_overlap(x, s), STRINGS, chunks)
 
 
 def crosses_boundary(levels1: Column, ids1: Column, levels2: Column, ids2: Column) -> Column:
@@ -85,25 +62,25 @@ def crosses_boundary(levels1: Column, ids1: Column, levels2: Column, ids2: Colum
 
 
 def enforce_size(chunks: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    return _column(lambda x: passages.enforce_size(x, s, compat), STRINGS, chunks)
+    return column(lambda x: passages.enforce_size(x, s, compat), STRINGS, chunks)
 
 
 def finish(chunks: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    return _column(lambda x: passages.finish(x, s, compat), STRINGS, chunks)
+    return column(lambda x: passages.finish(x, s, compat), STRINGS, chunks)
 
 
 def section_tree(lines: Column) -> Column:
     """A document's lines (array) to its sections (array of structs, as passages.Section)."""
-    return _column(lambda x: [section._asdict() for section in passages.section_tree(x)], TREE, lines)
+    return column(lambda x: [section._asdict() for section in passages.section_tree(x)], TREE, lines)
 
 
 def hierarchical_chunks(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
-    return _column(lambda x: passages.hierarchical_chunks(x, s, compat), STRINGS, text)
+    return column(lambda x: passages.hierarchical_chunks(x, s, compat), STRINGS, text)
 
 
 def chunks_of(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
     """The chunks of a cleaned text."""
-    return _column(lambda x: passages.chunk(x, s, compat), STRINGS, text)
+    return column(lambda x: passages.chunk(x, s, compat), STRINGS, text)
 
 
 def with_chunks(docs: DataFrame, text: str, into: str = "chunks", s: Settings = DEFAULT, compat: bool = False, cleaned: bool = False) -> DataFrame:
@@ -113,9 +90,19 @@ def with_chunks(docs: DataFrame, text: str, into: str = "chunks", s: Settings =
     cleans it again all the same, which is not the same as once). No shuffle.
     """
     s.checked()
-    if cleaned and not compat:
-        return docs.withColumn(into, chunks_of(F.col(text), s, compat))
-    return computed(docs, _t=clean(F.col(text), s)).withColumn(into, chunks_of(F.col("_t"), s, compat)).drop("_t")
+    whole = lambda x: passages.chunk(x if cleaned and not compat else cleaning.clean(x, s), s, compat)
+    return docs.withColumn(into, column(whole, STRINGS, F.col(text)))
+
+
+def processed(text: Column, s: Settings = DEFAULT, compat: bool = False) -> Column:
+    """(clean_text, chunks) of a text, in one pass. It is cleaned once; compat cleans it again before cutting."""
+    s.checked()
+
+    def run(x: str) -> dict[str, Any]:
+        clean = cleaning.clean(x, s)
+        return {"clean_text": clean, "chunks": passages.chunk(cleaning.clean(clean, s) if compat else clean, s, compat)}
+
+    return column(run, DONE, text)
 
 
 def chunk_documents(docs: DataFrame, s: Settings = DEFAULT, doc: str = "doc_id", text: str = "text", compat: bool = False) -> DataFrame:

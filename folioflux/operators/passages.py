@@ -13,7 +13,7 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from ..config import DEFAULT, Settings
-from ..functions.text import URL
+from ..functions.cleaning import final_cleanup
 from .structure import HEADINGS
 
 SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
@@ -21,31 +21,14 @@ PARAGRAPH_GAP = re.compile(r"\n\s*\n")
 WIDE_GAP = re.compile(r"\n\s*\n\s*\n")
 STOP = re.compile(r"[.!?;,]$")
 MARK_GAP = re.compile(r"(?<=[.!?;:,])\s*")
-BLANKS, LINES = re.compile(r"[ \t]+"), re.compile(r"\n{3,}")
-BEFORE_MARK, AFTER_END = re.compile(r"\s+([.,;:!?])"), re.compile(r"([.!?])\s*([a-z])")
-LINK = re.compile(URL)
-KINDS = [(re.compile(pattern.replace("\\x1c-\\x1f", ""), re.I), level) for _, pattern, level, _ in HEADINGS]
-ANY_KIND = re.compile("|".join(pattern.replace("\\x1c-\\x1f", "") for _, pattern, _, _ in HEADINGS), re.I)
+KINDS = [(re.compile(pattern, re.I), level) for _, pattern, level, _ in HEADINGS]
+ANY_KIND = re.compile("|".join(pattern for _, pattern, _, _ in HEADINGS), re.I)
 
 
 def n_words(text: str) -> int:
     return len(text.split())
 
 
-def _spaced(text: str) -> str:
-    return AFTER_END.sub(r"\1 \2", BEFORE_MARK.sub(r"\1", text))
-
-
-def final_cleanup(text: str, shield_urls: bool = True) -> str:
-    """White space and punctuation of a finished chunk; URLs stay as they are, unless told otherwise."""
-    text = LINES.sub("\n\n", BLANKS.sub(" ", text))
-    links = LINK.findall(text) if shield_urls and "http" in text else []
-    if not links:
-        return _spaced(text).strip()
-    between = _spaced(LINK.sub("\x01", text)).split("\x01")
-    return "".join(x for pair in zip(between, [*links, ""]) for x in pair).strip()
-
-
 class _Packer:
     """Parts joined while they fit; what is full is put away."""
 

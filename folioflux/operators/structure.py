@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import W, strip, word_count
+from ..functions.patterns import W
+from ..functions.text import strip, word_count
 
 #: Heading kinds in order of precedence: name, pattern (any case), level, priority.
 HEADINGS = [

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import clean, computed, document_number
-from ..operators.chunking import with_chunks
+from ..functions.text import document_number
+from ..operators.chunking import processed
 from ..session import ship
 
 PROCESSED = "filename string, path string, clean_text string, chunks array<string>, chunk_count int, doc_number string"
@@ -50,8 +50,8 @@ def process(raw: DataFrame, s: Settings = DEFAULT, compat: bool = False) -> Data
 
     Texts are cleaned once; compat cleans them twice.
     """
-    cleaned = computed(raw.select("filename", "path", "raw_text"), clean_text=clean(F.col("raw_text"), s))
-    rows = with_chunks(cleaned, "clean_text", "chunks", s, compat, cleaned=True).filter(F.size("chunks") > 0)
+    rows = raw.select("filename", "path", "raw_text", processed(F.col("raw_text"), s, compat).alias("_done"))
+    rows = rows.select("filename", "path", "raw_text", "_done.clean_text", "_done.chunks").filter(F.size("chunks") > 0)
     number = document_number(F.col("filename"), None, F.substring(F.col("clean_text"), 1, s.first_page_chars))
     return rows.select("filename", "path", "raw_text", "clean_text", "chunks", F.size("chunks").alias("chunk_count"), number.alias("doc_number"))
 
