@@ -72,12 +72,40 @@ TIER_FROM_GB = [(0, 0.0), (1, 4.0), (2, 6.0), (3, 8.0), (4, 12.0)]
 #: Embedding models (name, from GB of memory).
 EMBEDDING_FROM_GB = [("all-MiniLM-L6-v2", 0.0), ("all-mpnet-base-v2", 8.0), ("mixedbread-ai/mxbai-embed-large-v1", 16.0)]
 
-#: Prompt templates by style; {context} and {question} are filled in. `fallback` serves unknown styles.
+_CONTEXT = "Context from DOD policies:\n{context}\n\nQuestion: {question}\n\nInstructions: Answer based ONLY on the context above. If the context doesn't contain enough information, say \"The provided policies do not contain sufficient information to answer this question.\"\n\nAnswer:"
+#: Prompt templates by style; {context} and {question} are filled in. `fallback` serves unknown styles.
 PROMPTS = {
-    "simple": "Policy context:\n{context}\n\nQuestion: {question}\n\nUse the context alone. If it does not hold the answer, say so.\n\nAnswer:",
-    "instruct": "### System:\nYou answer questions about policies from the given context alone.\n\n### Context:\n{context}\n\n### Question: {question}\n\n### Answer:",
-    "mistral": "[INST] Answer from the context alone, and quote it where you can.\n\nContext:\n{context}\n\nQuestion: {question} [/INST]",
-    "fallback": "Policy context:\n{context}\n\nQuestion: {question}\n\nAnswer:",
+    "simple": _CONTEXT + "\n",
+    "instruct": """### System:
+You are an expert assistant for Department of Defense policy questions. You must answer based ONLY on the provided context. Do not use any external knowledge or make assumptions beyond what is explicitly stated in the context.
+
+### Context:
+{context}
+
+### Question: {question}
+
+### Instructions:
+- Answer using ONLY information found in the context above
+- If the context doesn't contain enough information, respond with "The provided policies do not contain sufficient information to answer this question"
+- Quote relevant parts of the policies when possible
+- Do not add information not present in the context
+
+### Answer:
+""",
+    "mistral": """[INST] You are a helpful assistant that answers questions about Department of Defense policies based ONLY on provided excerpts.
+
+IMPORTANT RULES:
+- Use ONLY the information provided in the context below
+- Do not use external knowledge or make assumptions
+- If the context doesn't contain enough information, say "The provided policies do not contain sufficient information to answer this question"
+- Quote specific policy sections when relevant
+
+Context from DOD policies:
+{context}
+
+Question: {question} [/INST]
+""",
+    "fallback": _CONTEXT,
 }
 
 
@@ -99,6 +127,25 @@ def embedding_models(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m, lo, hi) for (m, lo), hi in zip(EMBEDDING_FROM_GB, bounds)], "model string, from_gb double, to_gb double")
 
 
+def lookup(tree: dict, path: str, default: object = None) -> object:
+    """The value at a dotted path of a nested map; the default where there is none, or an empty map."""
+    value: object = tree
+    for key in path.split("."):
+        value = value.get(key) if isinstance(value, dict) else None
+    return default if value is None or value == {} else value
+
+
+def machine() -> dict[str, object]:
+    """The driver's memory in GB and processors, and the models that they allow."""
+    import os
+
+    gb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    tier = max(t for t, least in TIER_FROM_GB if gb >= least)
+    model = next(m[0] for m in reversed(LLM_MODELS) if m[1] <= tier)
+    embedding = [name for name, least in EMBEDDING_FROM_GB if gb >= least][-1]
+    return {"ram_gb": round(gb, 1), "cpu_cores": os.cpu_count(), "recommended_model": model, "recommended_embedding": embedding}
+
+
 def load(path: str | Path) -> Settings:
     """Settings from a flat `name: value` file; unknown names are an error, absent ones keep the default."""
     changes: dict[str, object] = {}

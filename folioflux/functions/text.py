@@ -17,6 +17,11 @@ NOT_W = "[^" + W[1:]
 SENTENCE_GAP = f"(?<=[.!?]){W}+"
 
 
+#: Embedding models whose collections are known, the known folders, and where they are.
+KNOWN_MODELS = ["all-MiniLM-L6-v2", "all-mpnet-base-v2", "BAAI/bge-base-en-v1.5", "mixedbread-ai/mxbai-embed-large-v1"]
+FOLDERS, FOLDERS_BELOW = ["dodd", "dodi", "dodm", "test"], "policies/"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body uses it.
 
@@ -133,6 +138,20 @@ def collection_name(model: Column, prefix: str = "chunks_") -> Column:
     return F.concat(F.lit(prefix), F.translate(model, "/-", "__"))
 
 
+def model_of_collection(name: Column, prefix: str = "chunks_") -> Column:
+    """The model whose vectors a collection holds: one that is known, else by the name's underscores as slashes."""
+    rest = F.regexp_replace(name, f"^{prefix}", "")
+    out = F.translate(rest, "_", "/")
+    for model in KNOWN_MODELS:
+        out = F.when(rest == model.replace("/", "_").replace("-", "_"), F.lit(model)).otherwise(out)
+    return out
+
+
+def folder_path(name: Column) -> Column:
+    """Where a chosen folder is: the known ones are below one folder, others are taken as they are."""
+    return F.when(name.isin(*FOLDERS), F.concat(F.lit(FOLDERS_BELOW), name)).otherwise(name)
+
+
 def truncate_pair(question: Column, passage: Column, s: Settings = DEFAULT) -> Column:
     """The passage cut so that question and passage fit the scorer: at a late full stop, else a late space."""
     most = s.pair_tokens * 4

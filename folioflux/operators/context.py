@@ -15,8 +15,16 @@ from ..session import ship
 GENERATORS: dict[str, Callable[[], Callable[[pd.Series], pd.Series]]] = {}
 #: Lead-ins that a generator may give and that are taken off once.
 LEAD_INS = ["Based on the DOD policies above,", "Based on the context provided,", "According to the DOD policies,"]
+#: What answers begin with, what stands for a missing text, and the note of an answer without a generator.
 LEAD = "Based on DOD policies: "
-MISSING = "[text of chunk {} is missing]"
+MISSING = "[Text unavailable for chunk {}]"
+NOTE = "Note: LLM not available, showing simplified response."
+#: What is said instead of an answer; {} is the question.
+BLANK = "Please provide a valid question."
+NOT_LOADED = "Please load documents first using load_documents()"
+NO_CONTEXT = "Simple response for: '{}' (no context retrieval)"
+NO_HITS = "No relevant policy information found for: '{}'"
+TOO_LARGE = "Context chunks too large for available token space"
 
 
 def template(style: Column) -> Column:
@@ -67,11 +75,11 @@ def formatted(response: Column, cited: Column) -> Column:
     return F.concat(F.lit(LEAD), out, sources)
 
 
-def excerpt(first: Column, question: Column, n: Column, s: Settings = DEFAULT) -> Column:
-    """The answer without a generator: the first hit's beginning and the number of hits."""
+def excerpt(first: Column, question: Column, n: Column, s: Settings = DEFAULT, note: bool = True) -> Column:
+    """The answer without a generator: the first hit's beginning and the number of hits. note: one was asked for."""
     return F.concat(
         F.lit("Based on DOD policies, here's what I found regarding '"), question, F.lit("':\n\nRelevant policy excerpt:\n"),
-        F.substring(first, 1, s.excerpt_chars), F.lit("...\n\nFound "), n.cast("string"), F.lit(" relevant policy sections."),
+        F.substring(first, 1, s.excerpt_chars), F.lit(f"...\n\n{NOTE if note else ''}\n\nFound "), n.cast("string"), F.lit(" relevant policy sections."),
     )
 
 
@@ -82,14 +90,40 @@ def status(question: Column, loaded: Column, use_context: Column, n_hits: Column
         .when(~loaded, "nothing loaded")
         .when(~use_context, "no context asked for")
         .when(n_hits == 0, "no hits")
+        .when(n_hits < 0, "no room")
         .otherwise("ok")
     )
 
 
+def message(state: Column, question: Column) -> Column:
+    """What is said to a question in a state that status() gives; null for 'ok'."""
+    said = lambda text: F.concat(F.lit(text.split("{}")[0]), question, F.lit(text.split("{}")[1]))
+    return (
+        F.when(state == "blank question", F.lit(BLANK)).when(state == "nothing loaded", F.lit(NOT_LOADED)).when(state == "no context asked for", said(NO_CONTEXT))
+        .when(state == "no hits", said(NO_HITS)).when(state == "no room", F.lit(TOO_LARGE))
+    )
+
+
 def preview(text: Column, s: Settings = DEFAULT) -> Column:
     return F.when(F.length(text) > s.preview_chars, F.concat(F.substring(text, 1, s.preview_chars), F.lit("..."))).otherwise(text)
 
 
+def display(hits: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(question_id, rank, shown): hits as they are shown, numbered by rank: source, number, scores to three places, the text's beginning."""
+    number = F.when(strip(F.coalesce("doc_number", F.lit(""))) != "", F.concat(F.lit("Document Number: "), "doc_number"))
+    lines = [F.format_string("[Chunk %d] Source: %s", F.col("rank").cast("long"), F.coalesce("filename", F.lit("Unknown"))), number, F.format_string("Similarity: %.3f", F.coalesce("similarity", F.lit(0.0)))]
+    if "cross_score" in hits.columns:
+        lines.append(F.when(F.col("cross_score").isNotNull(), F.format_string("Cross-encoder Score: %.3f", "cross_score")))
+    return hits.select("question_id", "rank", F.concat_ws("\n", *lines, F.lit("-" * 40), preview(F.coalesce("chunk_text", F.lit("")), s)).alias("shown"))
+
+
+def response_parts(text: Column) -> Column:
+    """(answer, details) of a printed response: what follows the line "Response:", and what stands before it."""
+    parts = F.split(text, "\nResponse:\n", 2)
+    return F.when(F.size(parts) == 2, F.struct(strip(F.get(parts, F.lit(1))).alias("answer"), strip(F.get(parts, F.lit(0))).alias("details"))).otherwise(
+        F.struct(text.alias("answer"), F.lit("").alias("details")))
+
+
 def with_text(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Hits with their chunk's text, or a placeholder where the store lacks it. Join after the top k."""
     texts = chunks.select(key, F.col("chunk_text").alias("_text"))
@@ -110,9 +144,7 @@ def generate(prompts: DataFrame, generator: str, column: str = "prompt") -> Data
     return prompts.withColumn("response", run(F.col(column)))
 
 
-def answers(fitted: DataFrame, counts: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(question_id, question, answer): extractive answers with sources. counts: (question_id, n)."""
-    first = fitted.groupBy("question_id", "question").agg(F.min_by("chunk_text", "rank").alias("first"))
-    found = first.join(citations(fitted), "question_id").join(counts, "question_id")
-    response = excerpt(F.col("first"), F.col("question"), F.col("n"), s)
-    return found.select("question_id", "question", formatted(response, F.col("citations")).alias("answer"))
+def answers(hits: DataFrame, s: Settings = DEFAULT, note: bool = True) -> DataFrame:
+    """(question_id, question, answer): extractive answers from the ranked hits (question_id, question, rank, chunk_text)."""
+    found = hits.groupBy("question_id", "question").agg(F.min_by("chunk_text", "rank").alias("first"), F.count("*").alias("n"))
+    return found.select("question_id", "question", excerpt(F.col("first"), F.col("question"), F.col("n"), s, note).alias("answer"))

@@ -50,9 +50,12 @@ def chunks_by_ids(documents: DataFrame, chunks: DataFrame, ids: DataFrame) -> Da
 
 
 def list_documents(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every document and its number of chunks, 0 for none. Chunks are counted before the join."""
+    """Every document, when it was added, and its number of chunks, 0 for none; in the order of the
+    names. Chunks are counted before the join."""
     counts = chunks.groupBy(*DOC_KEY).agg(F.count("*").alias("n"))
-    return documents.join(counts, DOC_KEY, "left").select("filename", "path", "doc_number", F.coalesce("n", F.lit(0)).alias("chunk_count"))
+    made = F.col("created_at") if "created_at" in documents.columns else F.lit(None).cast("timestamp").alias("created_at")
+    found = documents.join(counts, DOC_KEY, "left").select("filename", "path", "doc_number", made, F.coalesce("n", F.lit(0)).alias("chunk_count"))
+    return found.orderBy("filename", "path")
 
 
 def existing(documents: DataFrame, candidates: DataFrame) -> DataFrame:

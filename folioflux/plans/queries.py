@@ -80,6 +80,14 @@ def messy(spark: SparkSession, sf: str) -> DataFrame:
 
 MESSY_SQL = f"(SELECT doc_id, {MESSY} AS text FROM documents)"
 
+#: A text whose lines are items of a list, so that none is a heading.
+LISTED = "'- ' || replace(text, '\n', '\n- ')"
+LISTED_SQL = f"(SELECT doc_id, {LISTED} AS text FROM documents)"
+
+
+def listed(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.expr(LISTED.replace("\n", "\\n")).alias("text"))
+
 
 def outline(spark: SparkSession, sf: str) -> DataFrame:
     """Lines: each sentence one, and a heading before every fifth, of a level that its number gives."""
@@ -152,13 +160,14 @@ def toc_line_predicate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ENDS_SQL = "regexp_matches(b, '^(SECTION 1:|1\\.|CHAPTER|PART|APPENDIX)|GENERAL ISSUANCE INFORMATION')"
-REMOVED_SQL = f"""(WITH l AS (SELECT doc_id, line, text, {strip_sql('text')} AS b FROM {LINES_SQL.format(of=MESSY_SQL)}),
+def removed_sql(of: str) -> str:
+    return f"""(WITH l AS (SELECT doc_id, line, text, {strip_sql('text')} AS b FROM {LINES_SQL.format(of=of)}),
   t AS (SELECT doc_id, min(line) AS title FROM l WHERE contains(upper(b), 'TABLE OF CONTENTS') GROUP BY ALL),
   e AS (SELECT doc_id, min(line) AS stop FROM l JOIN t USING (doc_id) WHERE line > title AND {ENDS_SQL} AND NOT contains(upper(b), 'TABLE OF CONTENTS') GROUP BY ALL)
   SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (line >= coalesce(stop, 0) AND NOT {toc_sql('b')}), '') AS text FROM l LEFT JOIN e USING (doc_id) GROUP BY doc_id)"""
 
 
-@query(f"SELECT doc_id, text AS value FROM {REMOVED_SQL}")
+@query(f"SELECT doc_id, text AS value FROM {removed_sql(MESSY_SQL)}")
 def toc_removal(spark: SparkSession, sf: str) -> DataFrame:
     return messy(spark, sf).select("doc_id", T.remove_toc(F.col("text")).alias("value"))
 
@@ -167,29 +176,38 @@ def spaced_sql(x: str) -> str:
     return rf"regexp_replace(regexp_replace({x}, '\s+([.,;:!?])', '\1', 'g'), '([.!?])\s*([a-z])', '\1 \2', 'g')"
 
 
-def _clean_sql() -> str:
+def clean_sql(of: str) -> str:
     x = "text"
     for pattern, by in ((r"[ \t]+", "' '"), (r"\n{4,}", "repeat(chr(10), 3)"), (r"[\f\r\v]", "''"), (r"\n\s*\d{1,4}\s*\n", "chr(10)"), (r"(?i)\n\s*Page \d+ of \d+\s*\n", "chr(10)")):
         x = f"regexp_replace({x}, '{pattern}', {by}, 'g')"
     b = strip_sql("x")
     keep = f"length({b}) > 2 OR regexp_matches(upper({b}), 'SECTION|CHAPTER|PART|DODD|DODI|APPENDIX|TABLE') OR regexp_matches({b}, '^[A-Z0-9]+[.:]\\s*[A-Z]') OR starts_with({b}, '===')"
     lines = f"array_to_string(list_filter(string_split({x}, chr(10)), lambda x: {keep}), chr(10))"
-    return f"SELECT doc_id, {strip_sql(spaced_sql(lines))} AS value FROM {REMOVED_SQL}"
+    return f"SELECT doc_id, {strip_sql(spaced_sql(lines))} AS value FROM {removed_sql(of)}"
 
 
-@query(_clean_sql())
+@query(clean_sql(MESSY_SQL))
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return messy(spark, sf).select("doc_id", T.clean(F.col("text")).alias("value"))
 
 
-@query(f"""SELECT doc_id, {strip_sql(spaced_sql("regexp_replace(regexp_replace(text, '[ " + chr(92) + "t]+', ' ', 'g'), '" + chr(92) + "n{3,}', repeat(chr(10), 2), 'g')"))} AS value FROM {MESSY_SQL}""")
+def final_sql(x: str) -> str:
+    return strip_sql(spaced_sql(rf"regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), '\n{{3,}}', repeat(chr(10), 2), 'g')"))
+
+
+@query(f"SELECT doc_id, {final_sql('text')} AS value FROM {MESSY_SQL}")
 def final_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return messy(spark, sf).select("doc_id", T.final_cleanup(F.col("text")).alias("value"))
 
 
-@query()
+LINKED = "replace(replace(text, '. ', ' , see https://www.example.com/a.b?c=d;e .and '), ', ', ' http://x.org ;')"
+LINK_SQL = r"""https?://[^\s<>"{}|\\^`\[\]]+[^\s<>"{}|\\^`\[\].,;!?)]"""
+
+
+@query(f"""SELECT doc_id, array_to_string(list_transform(p, lambda x, i: x || coalesce(u[i], '')), '') AS value
+  FROM (SELECT doc_id, string_split({spaced_sql(f"regexp_replace(text, '{LINK_SQL}', chr(1), 'g')")}, chr(1)) AS p, regexp_extract_all(text, '{LINK_SQL}') AS u FROM (SELECT doc_id, {LINKED} AS text FROM documents))""")
 def ocr_fix_urls(spark: SparkSession, sf: str) -> DataFrame:
-    with_urls = table(spark, sf, "documents").select("doc_id", F.expr("replace(text, '. ', ' , see https://www.example.com/a.b?c=d;e .and ')").alias("text"))
+    with_urls = table(spark, sf, "documents").select("doc_id", F.expr(LINKED).alias("text"))
     return with_urls.select("doc_id", T.fix_spacing(F.col("text")).alias("value"))
 
 
@@ -245,11 +263,16 @@ def validate_input(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.input_error(F.expr(BAD)).alias("error"))
 
 
-@query("SELECT vec_id, CASE WHEN trim(q) = '' THEN 'blank question' WHEN vec_id % 7 = 0 THEN 'nothing loaded' WHEN vec_id % 5 = 0 THEN 'no context asked for' WHEN label = 0 THEN 'no hits' ELSE 'ok' END AS status FROM (SELECT *, CASE WHEN vec_id % 4 = 0 THEN '  ' ELSE 'why ' || vec_id END AS q FROM embeddings)")
+ASKED = "CASE WHEN vec_id % 4 = 0 THEN '  ' ELSE 'why ' || vec_id END"
+
+
+@query(f"""SELECT vec_id, CASE WHEN trim(q) = '' THEN 'Please provide a valid question.' WHEN vec_id % 7 = 0 THEN 'Please load documents first using load_documents()'
+  WHEN vec_id % 5 = 0 THEN 'Simple response for: ''' || q || ''' (no context retrieval)' WHEN label = 0 THEN 'No relevant policy information found for: ''' || q || ''''
+  WHEN label = 1 THEN 'Context chunks too large for available token space' END AS message FROM (SELECT *, {ASKED} AS q FROM embeddings)""")
 def query_guards(spark: SparkSession, sf: str) -> DataFrame:
-    asked = F.expr("CASE WHEN vec_id % 4 = 0 THEN '  ' ELSE 'why ' || vec_id END")
-    state = context.status(asked, F.col("vec_id") % 7 != 0, F.col("vec_id") % 5 != 0, F.col("label"))
-    return table(spark, sf, "embeddings").select("vec_id", state.alias("status"))
+    n_hits = F.when(F.col("label") == 1, -1).otherwise(F.col("label"))
+    state = context.status(F.expr(ASKED), F.col("vec_id") % 7 != 0, F.col("vec_id") % 5 != 0, n_hits)
+    return table(spark, sf, "embeddings").select("vec_id", context.message(state, F.expr(ASKED)).alias("message"))
 
 
 def _recommend_sql() -> str:
@@ -303,9 +326,10 @@ def format_answer(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", context.formatted(F.concat(lead, "text"), cited).alias("answer"))
 
 
-@query("SELECT doc_id, 'Based on DOD policies, here''s what I found regarding ''' || lang || ''':' || chr(10) || chr(10) || 'Relevant policy excerpt:' || chr(10) || substr(text, 1, 200) || '...' || chr(10) || chr(10) || 'Found ' || n_chars || ' relevant policy sections.' AS answer FROM documents")
+@query("SELECT doc_id, 'Based on DOD policies, here''s what I found regarding ''' || lang || ''':' || chr(10) || chr(10) || 'Relevant policy excerpt:' || chr(10) || substr(text, 1, 200) || '...' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Note: LLM not available, showing simplified response.' ELSE '' END || chr(10) || chr(10) || 'Found ' || n_chars || ' relevant policy sections.' AS answer FROM documents")
 def fallback_answer(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", context.excerpt(F.col("text"), F.col("lang"), F.col("n_chars")).alias("answer"))
+    both = [context.excerpt(F.col("text"), F.col("lang"), F.col("n_chars"), note=note) for note in (True, False)]
+    return table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, both[0]).otherwise(both[1]).alias("answer"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS preview FROM documents")
@@ -405,7 +429,7 @@ MERGED = FOLD_SQL.format(
     cur=f"CASE WHEN f.n = 0 THEN x.p WHEN {FITS} THEN f.cur || repeat(chr(10), 2) || x.p ELSE x.p END", n=f"CASE WHEN f.n > 0 AND {FITS} THEN f.n + x.n ELSE x.n END")
 MERGE_SQL = f"WITH RECURSIVE {LINE_PARTS}, {MERGED} {EACH_SQL}"
 #: Sentences (doc_id, s, sentence, n), and the cuts of those of {{least}} words or more.
-SENTENCES_SQL = rf"sent AS MATERIALIZED (SELECT doc_id, s, sentence, {words_sql('sentence')} AS n FROM (SELECT doc_id, generate_subscripts(l, 1) AS s, unnest(l) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents)))"
+SENTENCES_SQL = rf"sent AS MATERIALIZED (SELECT doc_id, s, sentence, {words_sql('sentence')} AS n FROM (SELECT doc_id, generate_subscripts(l, 1) AS s, unnest(l) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM {{of}})))"
 CUTS_SQL = r"""w AS MATERIALIZED (SELECT doc_id, s, generate_subscripts(l, 1) AS k, unnest(l) AS word, len(l) AS total FROM (SELECT doc_id, s, regexp_extract_all(sentence, '[^\s]+') AS l FROM sent WHERE n > {least})),
   stops AS MATERIALIZED (SELECT doc_id, s, k FROM w WHERE regexp_matches(word, '[.!?;,]$')),
   cuts AS (SELECT DISTINCT doc_id, s, 0 AS a, 0 AS b, total FROM w
@@ -417,8 +441,12 @@ FLUSHED = "CASE WHEN f.cur <> '' THEN list_append(f.done, f.cur) ELSE f.done END
 PACK_FOLD = FOLD_SQL.format(
     parts="parts", done=f"CASE WHEN {LONG} THEN list_concat({FLUSHED}, x.long) WHEN f.n + x.n <= 300 THEN f.done ELSE {FLUSHED} END",
     cur=f"CASE WHEN {LONG} THEN '' WHEN f.n + x.n <= 300 AND f.cur <> '' THEN f.cur || ' ' || x.p ELSE x.p END", n=f"CASE WHEN {LONG} THEN 0 WHEN f.n + x.n <= 300 THEN f.n + x.n ELSE x.n END")
-PACKED = f"{SENTENCES_SQL}, {CUTS_SQL.format(least=400)}, parts AS MATERIALIZED (SELECT doc_id, s AS i, sentence AS p, n, (SELECT list(p ORDER BY a) FROM pieces z WHERE z.doc_id = sent.doc_id AND z.s = sent.s) AS long FROM sent), {PACK_FOLD}"
+PACKED = f"{SENTENCES_SQL.format(of='documents')}, {CUTS_SQL.format(least=400)}, parts AS MATERIALIZED (SELECT doc_id, s AS i, sentence AS p, n, (SELECT list(p ORDER BY a) FROM pieces z WHERE z.doc_id = sent.doc_id AND z.s = sent.s) AS long FROM sent), {PACK_FOLD}"
 PACK_SQL = f"WITH RECURSIVE {PACKED} {EACH_SQL}"
+#: All chunks of cleaned documents, which have neither blank lines nor headings: one if short, else packed sentences.
+CHUNKED_SQL = f"""(WITH RECURSIVE clean AS MATERIALIZED ({clean_sql(LISTED_SQL)}), {PACKED.replace(SENTENCES_SQL.format(of='documents'), SENTENCES_SQL.format(of='(SELECT doc_id, value AS text FROM clean)'))}
+  SELECT * FROM ({EACH_SQL}) WHERE doc_id IN (SELECT doc_id FROM clean WHERE {words_sql('value')} > 400)
+  UNION ALL SELECT doc_id, 0, {final_sql('value')} FROM clean WHERE {words_sql('value')} BETWEEN 1 AND 400)"""
 # The documents have no blank lines, so each is one paragraph.
 FALLBACK_SQL = f"WITH RECURSIVE {PACKED} SELECT * FROM ({EACH_SQL}) WHERE doc_id IN (SELECT doc_id FROM documents WHERE {words_sql('text')} > 400) UNION ALL SELECT doc_id, 0, {strip_sql('text')} FROM documents WHERE {words_sql('text')} BETWEEN 1 AND 400"
 
@@ -435,12 +463,26 @@ OVERLAPPED_SQL = f"""SELECT doc_id, chunk_index, CASE WHEN chunk_index > 0 AND o
   FROM (SELECT doc_id, i::INT - 1 AS chunk_index, p, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY i), '') AS q FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))))"""
 
 
-@query()
+@query(f"SELECT doc_id, chunk_index, chunk_text FROM {CHUNKED_SQL}")
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.explode_chunks(chunking.chunk_documents(table(spark, sf, "documents"))).withColumnRenamed("doc", "doc_id")
+    return chunking.explode_chunks(chunking.chunk_documents(listed(spark, sf))).withColumnRenamed("doc", "doc_id")
 
 
-@query()
+def _runs_sql() -> str:
+    """Runs of sections by a recursion from one run's end to the next; the lines before the first heading come first."""
+    return f"""WITH RECURSIVE hl AS MATERIALIZED (SELECT *, sum((k IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS sec FROM {heads_sql()}),
+  sec AS MATERIALIZED (SELECT *, (sum(words) OVER (PARTITION BY doc_id ORDER BY idx) - words) AS before FROM {SECTIONS_SQL}),
+  txt AS (SELECT doc_id, sec::INT AS idx, max(b) FILTER (k IS NOT NULL) AS header, coalesce(string_agg(text, chr(10) ORDER BY line) FILTER (k IS NULL), '') AS content FROM hl GROUP BY ALL),
+  sub AS (SELECT a.doc_id, a.idx, sum(b.words) AS subtree FROM sec a JOIN sec b ON a.doc_id = b.doc_id AND b.idx >= a.idx AND b.idx < a.next_idx GROUP BY ALL),
+  stops AS MATERIALIZED (SELECT s.doc_id, s.idx, coalesce((SELECT max(c.next_idx) FROM sec c JOIN sub z USING (doc_id, idx) WHERE c.doc_id = s.doc_id AND c.parent = s.idx AND c.before + z.subtree - s.before <= 400), s.idx + 1) AS stop FROM sec s),
+  runs AS (SELECT doc_id, idx, stop, 0 AS n FROM stops WHERE idx = 0 UNION ALL SELECT s.doc_id, s.idx, s.stop, r.n + 1 FROM runs r JOIN stops s ON s.doc_id = r.doc_id AND s.idx = r.stop),
+  pre AS (SELECT doc_id, content FROM txt WHERE idx = -1 AND {strip_sql('content')} <> '' AND doc_id IN (SELECT doc_id FROM sec)),
+  body AS (SELECT r.doc_id, r.n, string_agg(CASE WHEN {strip_sql('t.content')} <> '' THEN t.header || chr(10) || t.content ELSE t.header END, chr(10) ORDER BY t.idx) AS chunk_text FROM runs r JOIN txt t ON t.doc_id = r.doc_id AND t.idx >= r.idx AND t.idx < r.stop GROUP BY ALL)
+  SELECT doc_id, 0 AS chunk_index, content AS chunk_text FROM pre
+  UNION ALL SELECT doc_id, (n + (doc_id IN (SELECT doc_id FROM pre))::INT)::INT, chunk_text FROM body"""
+
+
+@query(_runs_sql())
 def hierarchical_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return outline(spark, sf).select("doc_id", F.posexplode(chunking.hierarchical_chunks(F.col("text"))).alias("chunk_index", "chunk_text"))
 
@@ -485,7 +527,30 @@ def overlap_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", chunking.overlap_text(F.col("text"), F.reverse("text")).alias("overlap"))
 
 
-@query()
+def _capped_sql() -> str:
+    """Texts of over 400 words: sentences packed to 270; where that leaves a larger one, parts that end in a mark; what is still larger by 400 words."""
+    over = "f.n + x.n > 270"
+    fold = FOLD_SQL.format(
+        parts="{parts}", done=f"CASE WHEN {over} AND f.cur <> '' THEN list_append(f.done, f.cur) ELSE f.done END",
+        cur=f"CASE WHEN {over} OR f.cur = '' THEN x.p ELSE f.cur || ' ' || x.p END", n=f"CASE WHEN {over} THEN x.n ELSE f.n + x.n END")
+    named = lambda name: fold.format(parts=f"{name}_parts").replace("folded AS", f"{name}_folded AS").replace("fold AS", f"{name}_fold AS").replace("FROM fold f", f"FROM {name}_fold f")
+    split = lambda name, marks, of: rf"{name}_parts AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, p, {words_sql('p')} AS n FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS p FROM (SELECT doc_id, string_split(regexp_replace(text, '{marks}', '\1' || chr(1), 'g'), chr(1)) AS l FROM {of})) WHERE '{name}' = 'sen' OR p <> '')"
+    each = lambda name: f"(SELECT doc_id, generate_subscripts(chunks, 1) AS i, unnest(chunks) AS p FROM {name}_folded)"
+    trimmed = lambda name: f"(SELECT doc_id, i, {strip_sql('p')} AS p FROM {each(name)})"
+    w = r"regexp_extract_all(p, '[^\s]+')"
+    return rf"""WITH RECURSIVE big AS MATERIALIZED (SELECT doc_id, text FROM documents WHERE {words_sql('text')} > 400),
+  {split('sen', r'([.!?])\s+', 'big')}, {named('sen')},
+  good AS MATERIALIZED (SELECT doc_id FROM {trimmed('sen')} GROUP BY doc_id HAVING max({words_sql('p')}) <= 400 AND doc_id IN (SELECT doc_id FROM big WHERE regexp_matches(text, '[.!?]\s'))),
+  rest AS MATERIALIZED (SELECT * FROM big WHERE doc_id NOT IN (SELECT doc_id FROM good)),
+  {split('mark', r'([.!?;:,])\s*', 'rest')}, {named('mark')},
+  cut AS (SELECT doc_id, i, p, generate_series AS j FROM {trimmed('mark')}, generate_series(0, 1000) WHERE p <> '' AND generate_series < CASE WHEN {words_sql('p')} > 400 THEN ceil({words_sql('p')} / 400.0) ELSE 1 END),
+  found AS (SELECT doc_id, i, 0 AS j, p FROM {trimmed('sen')} WHERE doc_id IN (SELECT doc_id FROM good) AND p <> ''
+    UNION ALL SELECT doc_id, i, j, CASE WHEN {words_sql('p')} > 400 THEN array_to_string(list_slice({w}, j * 400 + 1, (j + 1) * 400), ' ') ELSE p END FROM cut
+    UNION ALL SELECT doc_id, 1, 0, text FROM documents WHERE {words_sql('text')} <= 400)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS chunk_index, p AS chunk_text FROM found"""
+
+
+@query(_capped_sql())
 def enforce_size(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.enforce_size(F.array("text"))).alias("chunk_index", "chunk_text"))
 
@@ -497,9 +562,9 @@ def boundary_check(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", chunking.crosses_boundary(a, a, b, b).alias("crosses"))
 
 
-@query(f"SELECT count(*) AS n_chunks, round(avg({words_sql('text')}), 6) AS avg_words, count(*) FILTER ({words_sql('text')} > 400) AS n_over, count(*) FILTER ({words_sql('text')} < 150) AS n_under FROM documents")
+@query(f"SELECT count(*) AS n_chunks, round(avg({words_sql('chunk_text')}), 6) AS avg_words, count(*) FILTER ({words_sql('chunk_text')} > 400) AS n_over, count(*) FILTER ({words_sql('chunk_text')} < 150) AS n_under FROM {CHUNKED_SQL}")
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_stats(table(spark, sf, "documents").select(F.col("text").alias("chunk_text"))).withColumn("avg_words", F.round("avg_words", 6))
+    return chunking.chunk_stats(chunk_documents(spark, sf)).withColumn("avg_words", F.round("avg_words", 6))
 
 
 @query("SELECT doc_id, generate_subscripts(l, 1)::INT - 1 AS chunk_index, unnest(l) AS chunk_text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
@@ -525,10 +590,22 @@ def get_chunks_by_ids(spark: SparkSession, sf: str) -> DataFrame:
     return store.chunks_by_ids(document_table(spark, sf), chunks, chunks.filter("doc_id % 10 = 3").select("chunk_id").distinct())
 
 
-@query(f"SELECT filename, path, doc_number, (SELECT count(*) FROM {CHUNKS_SQL} c WHERE c.filename = d.filename AND c.path = d.path AND c.doc_id % 19 <> 0 AND c.filename <> 'src3.pdf') AS chunk_count FROM {DOCUMENTS_SQL} d")
+MADE = "timestamp '2024-01-02 03:04:05'"
+
+
+@query(f"SELECT d.*, {MADE.upper()} AS created_at, count(c.doc_id) AS chunk_count FROM (SELECT * FROM {DOCUMENTS_SQL} UNION ALL SELECT 'bare.pdf', '/corpus/bare', NULL) d LEFT JOIN {CHUNKS_SQL} c USING (filename, path) GROUP BY ALL ORDER BY filename, path")
 def list_documents(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = chunk_table(spark, sf).filter("doc_id % 19 <> 0 and filename <> 'src3.pdf'")
-    return store.list_documents(document_table(spark, sf), chunks)
+    """Every document, one without chunks among them, in the order of the names."""
+    bare = spark.createDataFrame([("bare.pdf", "/corpus/bare", None)], "filename string, path string, doc_number string")
+    return store.list_documents(document_table(spark, sf).unionByName(bare).withColumn("created_at", F.expr(MADE)), chunk_table(spark, sf))
+
+
+@query(f"""WITH n AS (SELECT filename, path, min(doc_number) AS doc_number FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN 'new' || (doc_id % 7) || '.pdf' ELSE filename END AS filename, 'n' || doc_number AS doc_number) FROM {CHUNKS_SQL}) GROUP BY ALL)
+  SELECT * FROM {DOCUMENTS_SQL} UNION ALL SELECT * FROM n ANTI JOIN {DOCUMENTS_SQL} d USING (filename, path)""")
+def store_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents inserted, or ignored where the store has their file."""
+    fresh = chunk_table(spark, sf).select(F.expr("CASE WHEN doc_id % 3 = 0 THEN 'new' || (doc_id % 7) || '.pdf' ELSE filename END").alias("filename"), "path", F.concat(F.lit("n"), "doc_number").alias("doc_number"))
+    return store.add_documents(document_table(spark, sf), fresh)
 
 
 CANDIDATES = "source || CASE WHEN doc_id % 2 = 0 THEN '.pdf' ELSE '.txt' END"
@@ -573,9 +650,10 @@ def store_stats(spark: SparkSession, sf: str) -> DataFrame:
     return store.stats(document_table(spark, sf), chunk_table(spark, sf))
 
 
-@query("SELECT sum(n)::BIGINT AS total_chunks FROM (SELECT len(string_split(text, chr(10))) AS n FROM documents)")
+@query(f"SELECT count(*) AS total_chunks FROM {CHUNKED_SQL}")
 def total_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").agg(F.sum(F.size(F.split("text", "\n"))).alias("total_chunks"))
+    """The sum of the documents' chunk counts."""
+    return process_document(spark, sf).agg(F.sum("chunk_count").alias("total_chunks"))
 
 
 @query(f"SELECT lang, count(*) AS total, count(*) FILTER ({words_sql('text')} > 0) AS ok, count(*) FILTER ({words_sql('text')} = 0) AS failed, count(*) FILTER ({words_sql('text')} > 400) AS split FROM documents GROUP BY lang")
@@ -705,9 +783,9 @@ def fitted(spark: SparkSession, sf: str) -> DataFrame:
     return context.fit(asked_hits(spark, sf), WINDOW_SIZE, MAX_TOKENS)
 
 
-@query(f"SELECT question_id, doc_id, rank, prompt_tokens FROM {FIT_SQL}")
+@query(f"SELECT question_id, doc_id, rank, prompt_tokens, round(prompt_tokens * 100.0::DOUBLE / {WINDOW_SIZE - MAX_TOKENS - S.prompt_reserve}, 1) AS utilisation FROM {FIT_SQL}")
 def context_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return fitted(spark, sf).select("question_id", "doc_id", F.col("rank").cast("long").alias("rank"), "prompt_tokens")
+    return fitted(spark, sf).select("question_id", "doc_id", F.col("rank").cast("long").alias("rank"), "prompt_tokens", "utilisation")
 
 
 @query(f"SELECT question_id, array_to_string(list_sort(list_distinct(list(doc_number))), ', ') AS citations FROM {FIT_SQL} GROUP BY ALL")
@@ -715,35 +793,57 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
     return context.citations(fitted(spark, sf)).select("question_id", F.array_join("citations", ", ").alias("citations"))
 
 
-@query(f"""SELECT question_id, question, 'Based on DOD policies: Based on DOD policies, here''s what I found regarding ''' || question || ''':' || chr(10) || chr(10) || 'Relevant policy excerpt:' || chr(10) || substr(first_text, 1, 200) || '...' || chr(10) || chr(10) || 'Found ' || n || ' relevant policy sections.' || chr(10) || chr(10) || 'Sources: ' || numbers AS answer
-  FROM (SELECT question_id, question, arg_min(chunk_text, "rank") AS first_text, array_to_string(list_sort(list_distinct(list(doc_number))), ', ') AS numbers FROM {FIT_SQL} GROUP BY question_id, question) f
-  JOIN (SELECT question_id, count(*) AS n FROM {HITS_SQL} GROUP BY question_id) h USING (question_id)""")
+@query(f"""SELECT question_id, question, 'Based on DOD policies, here''s what I found regarding ''' || question || ''':' || chr(10) || chr(10) || 'Relevant policy excerpt:' || chr(10) || substr(first_text, 1, 200) || '...' || chr(10) || chr(10) || 'Note: LLM not available, showing simplified response.' || chr(10) || chr(10) || 'Found ' || n || ' relevant policy sections.' AS answer
+  FROM (SELECT question_id, question, arg_min(chunk_text, "rank") AS first_text, count(*) AS n FROM {RANKED_SQL} JOIN {QUESTIONS_SQL} USING (question_id) GROUP BY question_id, question)""")
 def answer(spark: SparkSession, sf: str) -> DataFrame:
-    counts = hits(spark, sf).groupBy("question_id").agg(F.count("*").alias("n"))
-    return context.answers(fitted(spark, sf), counts)
+    return context.answers(asked_hits(spark, sf))
+
+
+@query(f"""SELECT question_id, rank, '[Chunk ' || rank || '] Source: ' || filename || chr(10) || 'Document Number: ' || doc_number || chr(10) || 'Similarity: ' || format('{{:.3f}}', similarity) || chr(10) || repeat('-', 40) || chr(10) || CASE WHEN length(chunk_text) > 500 THEN substr(chunk_text, 1, 500) || '...' ELSE chunk_text END AS shown
+  FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS rank, filename, doc_number, similarity, chunk_text FROM {RANKED_SQL})""")
+def context_display(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits as they are shown with an answer, numbered from 1."""
+    return context.display(ranking.by_document(hits(spark, sf))).select("question_id", F.col("rank").cast("long").alias("rank"), "shown")
+
 
+@query("SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'log of ' || lang END) AS details, CASE WHEN doc_id % 3 = 0 THEN 'answer ' || source ELSE 'answer ' || source || chr(10) || 'Response:' || chr(10) || 'x' END AS answer FROM documents")
+def response_split(spark: SparkSession, sf: str) -> DataFrame:
+    """A printed response's answer, and the details before the first marker."""
+    text = F.expr("CASE WHEN doc_id % 3 = 0 THEN 'answer ' || source ELSE ' log of ' || lang || '\\nResponse:\\nanswer ' || source || '\\nResponse:\\nx ' END")
+    return table(spark, sf, "documents").select("doc_id", context.response_parts(text).alias("r")).select("doc_id", "r.details", "r.answer")
 
-@query(f"SELECT v.vec_id, coalesce(c.chunk_text, '[text of chunk ' || v.vec_id || ' is missing]') AS chunk_text FROM embeddings v LEFT JOIN (SELECT doc_id, chunk_text FROM {CHUNKS_SQL} WHERE doc_id % 4 <> 0) c ON v.vec_id = c.doc_id")
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'all-MiniLM-L6-v2' WHEN 1 THEN 'all-mpnet-base-v2' WHEN 2 THEN 'BAAI/bge-base-en-v1.5' WHEN 3 THEN 'mixedbread-ai/mxbai-embed-large-v1' ELSE 'org/' || lang END AS model,
+  CASE doc_id % 4 WHEN 0 THEN 'policies/dodd' WHEN 1 THEN 'policies/dodi' WHEN 2 THEN 'policies/test' ELSE source END AS folder FROM documents""")
+def names_back(spark: SparkSession, sf: str) -> DataFrame:
+    """The model of a collection's name, and where a chosen folder is."""
+    name = F.expr("'chunks_' || CASE doc_id % 5 WHEN 0 THEN 'all_MiniLM_L6_v2' WHEN 1 THEN 'all_mpnet_base_v2' WHEN 2 THEN 'BAAI_bge_base_en_v1.5' WHEN 3 THEN 'mixedbread_ai_mxbai_embed_large_v1' ELSE 'org_' || lang END")
+    folder = F.expr("CASE doc_id % 4 WHEN 0 THEN 'dodd' WHEN 1 THEN 'dodi' WHEN 2 THEN 'test' ELSE source END")
+    return table(spark, sf, "documents").select("doc_id", T.model_of_collection(name).alias("model"), T.folder_path(folder).alias("folder"))
+
+
+@query(f"SELECT v.vec_id, coalesce(c.chunk_text, '[Text unavailable for chunk ' || v.vec_id || ']') AS chunk_text FROM embeddings v LEFT JOIN (SELECT doc_id, chunk_text FROM {CHUNKS_SQL} WHERE doc_id % 4 <> 0) c ON v.vec_id = c.doc_id")
 def missing_text_placeholder(spark: SparkSession, sf: str) -> DataFrame:
     texts = chunk_table(spark, sf).filter("doc_id % 4 <> 0").select(F.col("doc_id").alias("vec_id"), "chunk_text")
     return context.with_text(table(spark, sf, "embeddings").select("vec_id"), texts, "vec_id")
 
 
-VECTORS_SQL = "(SELECT vec_id, 'file' || (vec_id % 20) || '.pdf' AS filename, 'model_' || label AS collection FROM embeddings)"
+VECTORS_SQL = "(SELECT vec_id, 'file' || (vec_id % 20) || '.pdf' AS filename, '/corpus/' || (vec_id % 20) AS path, 'model_' || label AS collection FROM embeddings)"
 
 
 def vector_table(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.expr("'file' || (vec_id % 20) || '.pdf'").alias("filename"), F.expr("'model_' || label").alias("collection"))
+    return table(spark, sf, "embeddings").select("vec_id", F.expr("'file' || (vec_id % 20) || '.pdf'").alias("filename"), F.expr("'/corpus/' || (vec_id % 20)").alias("path"), F.expr("'model_' || label").alias("collection"))
 
 
-@query(f"SELECT count(DISTINCT filename) AS n_files, count(*) AS n_vectors, round(count(*) * 10 / 1024.0::DOUBLE, 1) AS expected_mb FROM {VECTORS_SQL}")
+@query(f"SELECT count(DISTINCT filename) AS n_files, count(*) AS n_vectors, 123.46::DOUBLE AS size_mb, round(count(*) * 10 / 1024.0::DOUBLE, 2) AS expected_mb, round(123.46::DOUBLE / round(count(*) * 10 / 1024.0::DOUBLE, 2), 1) AS bloat FROM {VECTORS_SQL}")
 def vector_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.stats(vector_table(spark, sf))
+    """A collection that takes 123.456 MB."""
+    return vectors.stats(vector_table(spark, sf), 123.456)
 
 
-@query(f"SELECT filename, count(*) AS chunk_count FROM {VECTORS_SQL} GROUP BY ALL")
+@query(f"SELECT filename, min(path) AS path, count(*) AS chunk_count, 'N/A' AS created_at FROM {VECTORS_SQL} GROUP BY filename ORDER BY filename")
 def list_documents_vec(spark: SparkSession, sf: str) -> DataFrame:
-    return vector_table(spark, sf).groupBy("filename").agg(F.count("*").alias("chunk_count"))
+    return vectors.list_documents(vector_table(spark, sf))
 
 
 @query(f"SELECT n.collection, count(v.vec_id) AS n FROM (SELECT DISTINCT 'model_' || (vec_id % 15) AS collection FROM embeddings) n JOIN {VECTORS_SQL} v USING (collection) GROUP BY ALL")
@@ -753,17 +853,15 @@ def collections_nonempty(spark: SparkSession, sf: str) -> DataFrame:
     return names.join(rows.groupBy("collection").agg(F.count("*").alias("n")), "collection")
 
 
-@query("SELECT count(*) AS n_rows, max(batch)::INT AS last_batch, count(DISTINCT batch) AS n_batches, max(n) AS largest FROM (SELECT batch, count(*) OVER (PARTITION BY batch) AS n FROM (SELECT floor((row_number() OVER (ORDER BY vec_id) - 1) / 100) AS batch FROM embeddings))")
+@query("SELECT vec_id, floor((row_number() OVER (ORDER BY vec_id) - 1) / 1000)::INT AS batch FROM embeddings")
 def vector_write_batches(spark: SparkSession, sf: str) -> DataFrame:
-    found = vectors.batches(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 100).groupBy("batch").agg(F.count("*").alias("n"))
-    return found.agg(F.sum("n").alias("n_rows"), F.max("batch").alias("last_batch"), F.count("*").alias("n_batches"), F.max("n").alias("largest"))
+    return vectors.batches(table(spark, sf, "embeddings").select("vec_id"), "vec_id", S.vector_batch, per_part=100).select("vec_id", "batch")
 
 
-@query(f"SELECT chunk_id, filename, chunk_index FROM {CHUNKS_SQL} WHERE doc_id % 2 = 0")
+@query(f"SELECT chunk_id, filename, chunk_index FROM {CHUNKS_SQL}")
 def embedding_flow(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks embedded: their ids and places; the vectors are hash_embed's."""
-    rows = chunk_table(spark, sf).filter("doc_id % 2 = 0")
-    return vectors.embed(rows, "chunk_text").filter("embedding is not null").select("chunk_id", "filename", "chunk_index")
+    return vectors.embed(chunk_table(spark, sf), "chunk_text").filter("embedding is not null").select("chunk_id", "filename", "chunk_index")
 
 
 @query(f"SELECT chunk_id, filename, chunk_index FROM {CHUNKS_SQL}")
@@ -788,18 +886,21 @@ def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
 context.GENERATORS["first-sentence"] = lambda: lambda prompts: prompts.str.split(".").str[0]
 
 
-@query()
+@query(f"SELECT doc_id, split_part({prompt_sql('simple', 'text', 'lang')}, '.', 1) AS response FROM documents")
 def generate_answer(spark: SparkSession, sf: str) -> DataFrame:
     """The generator hook, with a generator that returns the prompt's first sentence."""
     prompts = table(spark, sf, "documents").select("doc_id", context.prompt(F.col("text"), F.col("lang"), F.lit("simple")).alias("prompt"))
     return context.generate(prompts, "first-sentence").select("doc_id", "response")
 
 
-@query()
+@query(rf"""SELECT '/corpus/' || doc_id AS path, f AS filename, coalesce(
+  CASE WHEN regexp_matches(f, '(?i)(\d{{4}})(\d{{2}})p?\.pdf$') THEN regexp_extract(f, '(?i)(\d{{4}})(\d{{2}})p?\.pdf$', 1) || '.' || regexp_extract(f, '(?i)(\d{{4}})(\d{{2}})p?\.pdf$', 2) END,
+  nullif(regexp_extract(f, '(?i)DOD[IDM][\s_-]?(\d+\.\d+)', 1), ''), nullif(regexp_extract(p, '(?i)NUMBER\s+(\d+\.\d+)', 1), ''), nullif(regexp_extract(p, '(?i)DOD[IDM][\s_-]?(\d+\.\d+)', 1), '')) AS doc_number, chunk_count
+  FROM (SELECT doc_id, {NAMES[0].replace('string', 'varchar')} AS f FROM documents) JOIN (SELECT doc_id, substr(value, 1, 2000) AS p FROM ({clean_sql(LISTED_SQL)})) USING (doc_id) JOIN (SELECT doc_id, count(*)::INT AS chunk_count FROM {CHUNKED_SQL} GROUP BY doc_id) USING (doc_id)""")
 def process_document(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.files import process
 
-    raw = table(spark, sf, "documents").select(F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string")).alias("path"), F.expr(NAMES[0]).alias("filename"), F.col("text").alias("raw_text"))
+    raw = listed(spark, sf).select(F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string")).alias("path"), F.expr(NAMES[0]).alias("filename"), F.col("text").alias("raw_text"))
     return process(raw).select("path", "filename", "doc_number", "chunk_count")
 
 
