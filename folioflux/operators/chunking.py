@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import cleaning
 from ..functions.arrow import column
 from ..functions.text import word_count
+from ..session import ship
 from . import passages
 
 STRINGS = "array<string>"
@@ -119,3 +120,15 @@ def chunk_stats(chunks: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Number, average words, and how many are over and under size, from (chunk_text)."""
     n = word_count(F.col("chunk_text"))
     return chunks.agg(F.count("*").alias("n_chunks"), F.avg(n).alias("avg_words"), F.count_if(n > s.max_words).alias("n_over"), F.count_if(n < s.min_words).alias("n_under"))
+
+
+def register(spark: SparkSession, name: str = "chunk_text") -> None:
+    """Make a table function for SQL: SELECT * FROM chunk_text('...'), or LATERAL to a column of texts."""
+    ship(spark)
+
+    @F.udtf(returnType="chunk_index int, chunk_text string")
+    class ChunkText:
+        def eval(self, text: str):  # noqa: ANN202
+            yield from enumerate(passages.chunk(cleaning.clean(text or "")))
+
+    spark.udtf.register(name, ChunkText)

@@ -7,10 +7,13 @@ chunks:    (chunk_id, filename, path, chunk_index, chunk_text, created_at), keys
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id
+from ..sources.commits import Log, Raced
 
 DOC_KEY = ["filename", "path"]
 
@@ -75,42 +78,119 @@ def stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 class Store:
-    """The two tables as Parquet below a folder; every write is a new version, then a switch."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _path(self, name: str) -> str:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))] if fs.exists(path) else []
-        return f"{self.root}/{name}/{max(found, default=0)}"
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        path = self._path(name)
-        if path.endswith("/0"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+    """Documents, chunks and vectors as Parquet below a folder, under one log of versions.
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        head, _, version = self._path(name).rpartition("/")
-        df.write.parquet(f"{head}/{int(version) + 1}")
+    Every write adds a batch: a folder for each table, written aside, then named by one commit for
+    all three; so a writer that dies leaves nothing that is read, and the next one starts clean.
+    What is written is in proportion to the batch. Rows that a batch replaces are named in a
+    folder of their own, and left out when older batches are read.
+    """
 
     DOCUMENTS = "filename string, path string, doc_number string, created_at timestamp"
     CHUNKS = "chunk_id string, filename string, path string, chunk_index int, chunk_text string, created_at timestamp"
+    VECTORS = "chunk_id string, filename string, path string, chunk_index int, embedding array<float>, collection string"
+    CHUNK_KEY = [*DOC_KEY, "chunk_index"]
+    TABLES = ["documents", "chunks", "vectors", "gone"]
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self.log = Log(spark, self.root)
+
+    def _at(self, table: str, batch: str) -> str:
+        return f"{self.root}/{table}/batch={batch}"
+
+    def _drop(self, batch: str) -> None:
+        for table in self.TABLES:
+            self.log.fs().delete(self.log.path(f"{table}/batch={batch}"), True)
+
+    def _table(self, name: str, schema: str, batches: list[dict]) -> DataFrame:
+        """The rows of a table that no later batch replaces."""
+        found, gone = self.spark.createDataFrame([], schema), None
+        groups: list[tuple[list[str], DataFrame | None]] = []
+        for batch in reversed(batches):  # batches between two replacements are read together
+            if name in batch["tables"]:
+                if not groups or groups[-1][1] is not gone:
+                    groups.append(([], gone))
+                groups[-1][0].append(self._at(name, batch["id"]))
+            if name != "documents" and "gone" in batch["tables"]:
+                more = self.spark.read.schema("filename string, path string, chunk_index int").parquet(self._at("gone", batch["id"]))
+                gone = more if gone is None else gone.unionByName(more)
+        for paths, without in groups:
+            rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths).select(*found.columns)
+            found = found.unionByName(rows if without is None else rows.join(without.distinct(), self.CHUNK_KEY, "left_anti").select(*found.columns))
+        return found
+
+    def _now(self) -> list[dict]:
+        return self.log.read(self.log.version())
 
     def documents(self) -> DataFrame:
-        return self.read("documents", self.DOCUMENTS)
+        return self._table("documents", self.DOCUMENTS, self._now())
 
     def chunks(self) -> DataFrame:
-        return self.read("chunks", self.CHUNKS)
+        return self._table("chunks", self.CHUNKS, self._now())
+
+    def vectors(self, collection: str | None = None) -> DataFrame:
+        """The vectors, of all collections or of one; a collection is a folder of its own."""
+        found = self._table("vectors", self.VECTORS, self._now())
+        return found if collection is None else found.filter(F.col("collection") == collection)
 
-    def save(self, documents: DataFrame, chunks: DataFrame, replace: bool = False) -> None:
-        """Add documents (insert or ignore) and chunks (insert or replace); replace=True drops what was there."""
+    def save(self, documents: DataFrame, chunks: DataFrame, replace: bool = False, vectors: DataFrame | None = None) -> None:
+        """Add documents (insert or ignore), chunks (insert or replace) and their vectors (chunk_id,
+        filename, path, chunk_index, embedding, collection); replace=True drops what was there."""
         now = F.current_timestamp()
         docs = documents.select("filename", "path", "doc_number", now.alias("created_at"))
         rows = with_chunk_ids(chunks).select("chunk_id", "filename", "path", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_text", now.alias("created_at"))
-        old_docs, old_rows = (self.spark.createDataFrame([], x) for x in (self.DOCUMENTS, self.CHUNKS)) if replace else (self.documents(), self.chunks())
-        all_docs, all_rows = add_documents(old_docs, docs), put_chunks(old_rows, rows)
-        self._write("documents", all_docs.select(*old_docs.columns))
-        self._write("chunks", all_rows.select(*old_rows.columns))
+        while True:
+            version = self.log.version()
+            held = [] if replace else self.log.read(version)
+            name, tables = uuid.uuid4().hex, ["documents", "chunks"]
+            known = self._table("documents", self.DOCUMENTS, held)
+            add_documents(known, docs).join(known.select(*DOC_KEY), DOC_KEY, "left_anti").select(*known.columns).write.parquet(self._at("documents", name))
+            put_chunks(rows.limit(0), rows).select(*rows.columns).write.parquet(self._at("chunks", name))
+            if vectors is not None:
+                vectors.select("chunk_id", "filename", "path", "chunk_index", "embedding", "collection").write.partitionBy("collection").parquet(self._at("vectors", name))
+                tables += ["vectors"] if self.log.size(f"vectors/batch={name}") else []
+            if held:
+                written = self.spark.read.schema(self.CHUNKS).parquet(self._at("chunks", name)).select(*self.CHUNK_KEY)
+                again = written.join(self._table("chunks", self.CHUNKS, held).select(*self.CHUNK_KEY), self.CHUNK_KEY, "left_semi")
+                if not again.isEmpty():
+                    again.write.parquet(self._at("gone", name))
+                    tables.append("gone")
+            try:
+                return self.log.commit([*held, {"id": name, "tables": tables}], version + 1)
+            except Raced:  # what is known has changed: begin again
+                self._drop(name)
+
+    def compact(self) -> None:
+        """All batches as one, in a new version."""
+        version = self.log.version()
+        held, name = self.log.read(version), uuid.uuid4().hex
+        if len(held) < 2:
+            return
+        tables = []
+        for table, schema in (("documents", self.DOCUMENTS), ("chunks", self.CHUNKS), ("vectors", self.VECTORS)):
+            if any(table in batch["tables"] for batch in held):
+                out = self._table(table, schema, held).write
+                (out.partitionBy("collection") if table == "vectors" else out).parquet(self._at(table, name))
+                tables.append(table)
+        self.log.commit([{"id": name, "tables": tables}], version + 1)
+
+    def vacuum(self, keep_seconds: float = 7 * 24 * 3600) -> None:
+        """Delete versions older than keep_seconds but the newest, and batches as old that no version left names."""
+        fs, newest = self.log.fs(), self.log.version()
+        for name, age in self.log.entries("commits"):
+            if age > keep_seconds and name != f"v{newest:012d}":
+                fs.delete(self.log.path(f"commits/{name}"), False)
+        left = {batch["id"] for name, _ in self.log.entries("commits") if name.startswith("v") for batch in self.log.read(int(name[1:]))}
+        for name, age in {x for table in self.TABLES for x in self.log.entries(table)}:
+            if age > keep_seconds and name.removeprefix("batch=") not in left:
+                self._drop(name.removeprefix("batch="))
+
+    def stats(self) -> dict[str, object]:
+        """Documents, chunks, the size in MB, and where the store is."""
+        size = sum(self.log.size(f"{table}/batch={batch['id']}") for batch in self._now() for table in batch["tables"])
+        return {"documents": self.documents().count(), "chunks": self.chunks().count(), "size_mb": round(size / 2**20, 2), "path": self.root}
+
+    def is_ready(self) -> bool:
+        """Whether anything can be asked."""
+        return not self.chunks().isEmpty()

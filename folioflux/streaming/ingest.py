@@ -7,30 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, Settings
-from ..operators.chunking import explode_chunks
-from ..operators.store import Store
+from ..operators.store import Store, new
+from ..plans.engine import store_batch
 from ..sources.files import parse, process
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str, pattern: str = "*.txt", parser: str = "text", s: Settings = DEFAULT) -> StreamingQuery:
-    """Read new files of a folder, file_batch at a time, into the store; ends when none is left.
+def ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str, pattern: str = "*.txt", parser: str = "text", s: Settings = DEFAULT, embedder: str = "hashed-words") -> StreamingQuery:
+    """Read new files of a folder, file_batch at a time, into the store, with their vectors; ends when none is left.
 
-    The store's keys make a batch that is run again after a failure harmless.
+    A batch is one commit, and files that the store has are passed over, so a batch that is run
+    again after a failure is harmless. What is written is in proportion to the batch.
     """
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", s.file_batch).load(folder)
 
     def put(batch: DataFrame, _: int) -> None:
-        named = batch.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+        named = new(store.documents(), batch.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content"))
         done = process(parse(named, parser), s).select("filename", "path", "doc_number", "chunks").persist()
-        rows = explode_chunks(done.withColumn("doc", F.struct("filename", "path"))).select("doc.filename", "doc.path", "chunk_index", "chunk_text")
-        store.save(done.select("filename", "path", "doc_number"), rows)
+        if not done.isEmpty():
+            store_batch(store, done, embedder)
         done.unpersist()
 
     return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def progress(query: StreamingQuery) -> list[dict[str, object]]:
+    """What each batch of a query has done so far: its number, rows, and seconds."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "seconds": p["durationMs"].get("triggerExecution", 0) / 1000} for p in query.recentProgress]
+
+
 def unique(stream: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
     """A stream without repeated keys, as far back as `late`."""
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])

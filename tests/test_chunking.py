@@ -194,3 +194,39 @@ def test_tables(spark):
     texts = ["\n".join(line() for _ in range(RNG.randrange(1, 14))) for _ in range(60)]
     assert run(spark, C.table_aware_split, texts) == [brute_tables(t) for t in texts]
     assert run(spark, C.table_aware_split, [None, ""]) == [[], []]
+
+
+def plain_rule(words):
+    """The look ahead from the 300th word, whose words begin the next chunk again."""
+    out, held, k = [], [], 0
+    for k, word in enumerate(words):
+        held.append(word)
+        if len(held) >= 300:
+            ahead = next((j for j in range(k, min(len(words), k + 50)) if words[j][-1] in ".!?;,"), None)
+            if ahead is not None:
+                out.append(" ".join(held + words[k + 1 : ahead + 1]))
+                held = []
+            elif len(held) >= 400:
+                out.append(" ".join(held))
+                held = []
+    return out + ([" ".join(held)] if held else [])
+
+
+def test_long_sentences_in_compat(spark):
+    got = run(spark, lambda t: C.split_at_punctuation(t, compat=True), TEXTS)
+    assert got == [plain_rule(t.split()) for t in TEXTS]
+
+
+def test_clean_against_the_rules_one_by_one(spark):
+    from folioflux.functions import cleaning, text as T
+
+    texts = ["\n".join(RNG.choice(["", " ", "ab", "a b", "12", " 7 ", "Page 3 of 9", "Scope .... 3", "see  1999", "A. thing 4", "1.2. x 5", "TABLE OF CONTENTS", "SECTION 1: x", "word ,next .then", "http://a.b/c.d , x", "=== x"]) for _ in range(RNG.randrange(0, 30))) for _ in range(300)]
+    for text in texts:
+        lines = cleaning.remove_toc(text).split("\n")
+        x = re.sub(r"[\f\r\v]", "", re.sub(r"\n{4,}", "\n\n\n", re.sub(r"[ \t]+", " ", "\n".join(lines))))
+        x = re.sub(r"(?i)\n\s*Page \d+ of \d+\s*\n", "\n", re.sub(r"\n\s*\d{1,4}\s*\n", "\n", x))
+        x = "\n".join(y for y in x.split("\n") if len(y.strip()) > 2)
+        assert cleaning.clean(text) == cleaning.fix_spacing(x).strip()
+    assert run(spark, T.clean, texts) == [cleaning.clean(t) for t in texts]
+    assert run(spark, T.fix_spacing, texts) == [cleaning.fix_spacing(t) for t in texts]
+    assert run(spark, T.final_cleanup, texts) == [cleaning.final_cleanup(t) for t in texts]
