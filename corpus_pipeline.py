@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet and
 reads it again for the next. All but the last return the columns of documents.
+
+Every stage takes any rows: nulls in any column, empty and very long texts, repeated rows, rows that
+tie, an empty table (which stays empty), and extra columns of any name, which all but the last keep.
 """
 
 from __future__ import annotations
@@ -27,18 +30,32 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, by white space normalised: that with the least id, rows without an id last.
+
+    Null and empty texts are one text; ties go by all columns.
+    """
     return exact.one_of_each(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near-duplicates: that with the least id, rows without an id last.
+
+    Null, empty and blank texts have fingerprint zero; ties go by the text's digest, then by all columns.
+    """
     return simhash.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents repeated to the sources' target weights, and shuffled.
+
+    A document's copies follow from its id and its source's rate, so rows that share both are
+    repeated alike; a null source is one of its own, and one without any text goes.
+    """
     return mixing.mix(docs, queries.WEIGHTS, seed=queries.SEED).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's number of tokens, and the digests of its ids and of the decoded bytes; a null text has none."""
     return bpe.digests(docs, *queries.ranks())
 
 
