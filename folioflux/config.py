@@ -72,10 +72,17 @@ TIER_FROM_GB = [(0, 0.0), (1, 4.0), (2, 6.0), (3, 8.0), (4, 12.0)]
 #: Embedding models (name, from GB of memory).
 EMBEDDING_FROM_GB = [("all-MiniLM-L6-v2", 0.0), ("all-mpnet-base-v2", 8.0), ("mixedbread-ai/mxbai-embed-large-v1", 16.0)]
 
-_CONTEXT = "Context from DOD policies:\n{context}\n\nQuestion: {question}\n\nInstructions: Answer based ONLY on the context above. If the context doesn't contain enough information, say \"The provided policies do not contain sufficient information to answer this question.\"\n\nAnswer:"
 #: Prompt templates by style; {context} and {question} are filled in. `fallback` serves unknown styles.
 PROMPTS = {
-    "simple": _CONTEXT + "\n",
+    "simple": """Context from DOD policies:
+{context}
+
+Question: {question}
+
+Instructions: Answer based ONLY on the context above. If the context doesn't contain enough information to answer the question, say "The provided policies do not contain sufficient information to answer this question."
+
+Answer:
+""",
     "instruct": """### System:
 You are an expert assistant for Department of Defense policy questions. You must answer based ONLY on the provided context. Do not use any external knowledge or make assumptions beyond what is explicitly stated in the context.
 
@@ -105,7 +112,14 @@ Context from DOD policies:
 
 Question: {question} [/INST]
 """,
-    "fallback": _CONTEXT,
+    "fallback": """Context from DOD policies:
+{context}
+
+Question: {question}
+
+Instructions: Answer based ONLY on the context above. If the context doesn't contain enough information, say "The provided policies do not contain sufficient information to answer this question."
+
+Answer:""",
 }
 
 
@@ -146,14 +160,63 @@ def machine() -> dict[str, object]:
     return {"ram_gb": round(gb, 1), "cpu_cores": os.cpu_count(), "recommended_model": model, "recommended_embedding": embedding}
 
 
+def _scalar(text: str) -> object:
+    text = text.strip()
+    if text[:1] in "\"'" and text[:1]:
+        return text[1 : text.index(text[0], 1)]
+    text = text.split(" #")[0].strip()
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return {"true": True, "false": False, "null": None, "~": None}.get(text.lower(), text)
+
+
+def read(path: str | Path) -> dict:
+    """A configuration file: nested maps by indentation, scalars, and literal blocks (|). Not all of YAML: no lists."""
+    lines = Path(path).read_text().splitlines()
+    root: dict = {}
+    open_: list[tuple[int, dict]] = [(-1, root)]
+    k = 0
+    while k < len(lines):
+        line, bare = lines[k], lines[k].strip()
+        k += 1
+        if not bare or bare.startswith("#"):
+            continue
+        depth = len(line) - len(line.lstrip())
+        while open_[-1][0] >= depth:
+            open_.pop()
+        name, _, value = bare.partition(":")
+        value = value.strip()
+        if value == "|":
+            block = []
+            while k < len(lines) and (not lines[k].strip() or len(lines[k]) - len(lines[k].lstrip()) > depth):
+                block.append(lines[k])
+                k += 1
+            inner = min((len(x) - len(x.lstrip()) for x in block if x.strip()), default=0)
+            open_[-1][1][name.strip("\"'")] = "\n".join(x[inner:] for x in block).rstrip("\n ") + "\n"
+        elif not value or value.startswith("#"):
+            below: dict = {}
+            open_[-1][1][name.strip("\"'")] = below
+            open_.append((depth, below))
+        else:
+            open_[-1][1][name.strip("\"'")] = _scalar(value)
+    return root
+
+
 def load(path: str | Path) -> Settings:
-    """Settings from a flat `name: value` file; unknown names are an error, absent ones keep the default."""
+    """Settings from a file of names and values, in sections or not; unknown names are an error, absent ones keep the default."""
     changes: dict[str, object] = {}
-    for line in Path(path).read_text().splitlines():
-        name, _, value = line.partition(":")
-        if not line.strip() or line.lstrip().startswith("#"):
-            continue
-        if name.strip() not in Settings.__dataclass_fields__:
-            raise ValueError(f"unknown setting {name.strip()!r}")
-        changes[name.strip()] = type(getattr(DEFAULT, name.strip()))(value.split("#")[0].strip())
+
+    def take(tree: dict) -> None:
+        for name, value in tree.items():
+            if isinstance(value, dict):
+                take(value)
+            elif name not in Settings.__dataclass_fields__:
+                raise ValueError(f"unknown setting {name!r}")
+            else:
+                changes[name] = type(getattr(DEFAULT, name))(value)
+
+    take(read(path))
     return DEFAULT.with_(**changes)

@@ -662,16 +662,15 @@ def ingest_summary(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("total"), F.count_if(n > 0).alias("ok"), F.count_if(n == 0).alias("failed"), F.count_if(n > S.max_words).alias("split"))
 
 
-@query("SELECT doc_id, source AS filename, len(string_split(text, chr(10)))::INT AS chunk_count, array_to_string(string_split(text, chr(10)), '|') AS joined FROM documents")
+@query("SELECT source AS filename, '/corpus/' || doc_id AS path, len(string_split(text, chr(10)))::INT AS chunk_count, array_to_string(string_split(text, chr(10)), '|') AS joined, lang AS doc_number, NULL::VARCHAR AS clean_text FROM documents")
 def intermediate_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with chunks written as JSON and read again."""
-    from ..sources.files import write_json
+    """Documents with chunks written as JSON and read again: without their raw and clean text."""
+    from ..sources.files import read_json, write_json
 
-    rows = table(spark, sf, "documents").select("doc_id", F.col("source").alias("filename"), F.col("text").alias("raw_text"), F.split("text", "\n").alias("chunks"))
+    rows = table(spark, sf, "documents").select(F.col("source").alias("filename"), F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("raw_text"), F.col("text").alias("clean_text"), F.split("text", "\n").alias("chunks"), F.col("lang").alias("doc_number"))
     path = scratch(spark, "json")
     write_json(rows.withColumn("chunk_count", F.size("chunks")), path)
-    back = spark.read.schema("doc_id long, filename string, chunks array<string>, chunk_count int").json(path)
-    return back.select("doc_id", "filename", "chunk_count", F.array_join("chunks", "|").alias("joined"))
+    return read_json(spark, path).select("filename", "path", "chunk_count", F.array_join("chunks", "|").alias("joined"), "doc_number", "clean_text")
 
 
 # --- vectors and ranking --------------------------------------------------------------------------

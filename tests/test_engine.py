@@ -280,6 +280,15 @@ def test_search_takes_any_ids_and_lengths(spark, monkeypatch):
     assert {(k, f"c{k}") for k in (3, 4, 5)} <= {tuple(r) for r in near.collect()}
 
 
+def test_nested_configuration(tmp_path):
+    at = tmp_path / "c.yml"
+    at.write_text("# all\nchunking:\n  target_words: 250  # words\n  limits:\n    max_words: 410\nranking:\n  same_document: 2.0\n")
+    assert (config.load(at).target_words, config.load(at).max_words, config.load(at).same_document) == (250, 410, 2.0)
+    at.write_text("models:\n  'a:1b':\n    tier: 2\n    name: \"x # y\"\n    on: true\nprompts:\n  one:\n    template: |\n      First {context}\n\n        more\n\nlast: ~\n")
+    tree = config.read(at)
+    assert config.lookup(tree, "prompts.one.template") == "First {context}\n\n  more\n" and config.lookup(tree, "last", 1) == 1
+
+
 def test_lookup_and_machine():
     tree = {"llm": {"window": 4096, "more": {}}, "x": 1}
     assert config.lookup(tree, "llm.window") == 4096 and config.lookup(tree, "llm.none", 7) == 7 and config.lookup(tree, "llm.more", 5) == 5 and config.lookup(tree, "x.y", 3) == 3
