@@ -722,20 +722,22 @@ def adjacency_boost(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", ranking.adjacency(F.col("doc_id") % 9).alias("boost"))
 
 
-QUESTIONS_SQL = "(SELECT doc_id AS question_id, substr(text, 1, 120) AS question FROM documents WHERE doc_id % 100 = 0)"
+#: A question is a whole sentence: the first one of a document.
+SENTENCE = "regexp_extract(text, '^[^.!?]*[.!?]?'"
+QUESTIONS_SQL = f"(SELECT doc_id AS question_id, {SENTENCE}) AS question FROM documents WHERE doc_id % 100 = 0)"
 
 
 def asked_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked hits with the question: the start of the document with the question's id."""
-    questions = table(spark, sf, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("question_id"), F.substring("text", 1, 120).alias("question"))
+    """Ranked hits with the question: the first sentence of the document with the question's id."""
+    questions = table(spark, sf, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("question_id"), F.expr(f"{SENTENCE}, 0)").alias("question"))
     return ranking.by_document(hits(spark, sf)).join(questions, "question_id")
 
 
 def _rerank_sql() -> str:
-    cut = "substr(chunk_text, 1, 2028 - length(question))"
+    cut = "substr(chunk_text, 1, greatest(2028 - length(question), 0))"
     period, space = (f"(CASE WHEN strpos(reverse({cut}), '{m}') > 0 THEN length({cut}) - strpos(reverse({cut}), '{m}') ELSE -1 END)" for m in (".", " "))
     room = "(2028 - length(question))"
-    passage = f"CASE WHEN length(question) + length(chunk_text) <= 2048 THEN chunk_text WHEN {period} > {room} * 0.8::DOUBLE THEN substr({cut}, 1, {period} + 1) WHEN {space} > {room} * 0.9::DOUBLE THEN substr({cut}, 1, {space}) ELSE {cut} END"
+    passage = f"CASE WHEN length(question) + length(chunk_text) <= 2048 THEN chunk_text WHEN {room} < 100 THEN substr(chunk_text, 1, 100) WHEN {period} > {room} * 0.8::DOUBLE THEN substr({cut}, 1, {period} + 1) WHEN {space} > {room} * 0.9::DOUBLE THEN substr({cut}, 1, {space}) ELSE {cut} END"
     ws = lambda x: rf"list_distinct(regexp_extract_all(lower({x}), '[^\s]+'))"
     return f"""(WITH p AS (SELECT *, {passage} AS passage FROM {RANKED_SQL} JOIN {QUESTIONS_SQL} USING (question_id)),
   s AS (SELECT *, CASE WHEN rank <= 20 THEN CASE WHEN len({ws('question')}) = 0 THEN 0.0 ELSE len(list_intersect({ws('question')}, {ws('passage')}))::DOUBLE / len({ws('question')}) END END AS cross_score FROM p),
