@@ -14,7 +14,7 @@ from .patterns import MARKERS, TOC_ENDS, TOC_LINES, URL
 TOC_LINE, TOC_END = re.compile("|".join(TOC_LINES)), re.compile(TOC_ENDS)
 TITLE = "TABLE OF CONTENTS"
 LINK = re.compile(URL)
-BLANKS, MANY_BREAKS, MORE_BREAKS, CONTROLS = re.compile(r"[ \t]+"), re.compile(r"\n{4,}"), re.compile(r"\n{3,}"), re.compile(r"[\f\r\x0b]")
+BLANKS, MANY_BREAKS, MORE_BREAKS, CONTROLS = re.compile(r"[ \t]{2,}|\t"), re.compile(r"\n{4,}"), re.compile(r"\n{3,}"), re.compile(r"[\f\r\x0b]")
 # A break, the white space after it, and a page number's line; without one the white space is passed over once.
 NUMBER = re.compile(r"\n\s*+(\d{1,4}\s*\n)?")
 PAGE = re.compile(r"\n\s*+(Page \d+ of \d+\s*\n)?", re.I)
@@ -39,6 +39,11 @@ def remove_toc(text: str) -> str:
     return "\n".join(x for x, b in zip(lines[first:], bare[first:]) if not is_toc_line(b))
 
 
+def _one_blank(text: str) -> str:
+    """Runs of spaces and tabs as one space; most texts have none."""
+    return BLANKS.sub(" ", text) if "  " in text or "\t" in text else text
+
+
 def spaced(text: str) -> str:
     """No white space before punctuation, one space between the end of a sentence and a small letter."""
     return AFTER_END.sub(r"\1 \2", BEFORE_MARK.sub(r"\1", text))
@@ -59,7 +64,7 @@ def _stays(bare: str, s: Settings) -> bool:
 
 def clean(text: str, s: Settings = DEFAULT) -> str:
     """Clean extracted text but keep its lines: tables of contents, page numbers and very short lines go."""
-    text = CONTROLS.sub("", MANY_BREAKS.sub("\n\n\n", BLANKS.sub(" ", remove_toc(text))))
+    text = CONTROLS.sub("", MANY_BREAKS.sub("\n\n\n", _one_blank(remove_toc(text))))
     for rule in (NUMBER, PAGE):
         text = rule.sub(lambda m: "\n" if m[1] else m[0], text)
     return fix_spacing("\n".join(x for x in text.split("\n") if _stays(x.strip(), s))).strip()
@@ -67,5 +72,5 @@ def clean(text: str, s: Settings = DEFAULT) -> str:
 
 def final_cleanup(text: str, shield_urls: bool = True) -> str:
     """White space and punctuation of a finished chunk; URLs stay as they are, unless told otherwise."""
-    text = MORE_BREAKS.sub("\n\n", BLANKS.sub(" ", text))
+    text = MORE_BREAKS.sub("\n\n", _one_blank(text))
     return (fix_spacing(text) if shield_urls else spaced(text)).strip()
