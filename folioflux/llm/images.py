@@ -7,18 +7,20 @@ to MAX_HAMMING bits apart vote for scale, turn and shift.
 
 Pairs of images to compare come from Hamming tables. Descriptors that share a key are compared over
 all bits, and two images with two different corners that match are candidates; they are then compared
-by all of their corners, exactly. This is done three times: by long keys, where a bucket of more than
-FULL descriptors (one picture with very many copies) is compared with its first one only; by short
-keys, each bucket's first one against those of other components; and by short keys again, all against
-all of other components, in tiles where a bucket is large. What is one component already is not
-compared again, so many copies cost little, and the last pass misses no pair that the short keys hold.
+by all of their corners, exactly. The images are dealt into groups of bounded size, and a task has two
+groups with all of their corners: it builds the tables, compares and confirms on the spot, and only
+links leave it, one for each two components that it joins. In buckets of more than FULL descriptors (one
+picture with very many copies) the first one is compared with the others before all are compared with
+all; what is one component already is not compared again, so many copies cost little, and no pair that
+the keys hold is missed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,11 @@ MOST_CORNERS = 400
 REACH = 9
 TURNS = 36
 BITS = 256
-#: Hamming tables: bytes of the descriptor that are a key, and tables, of the long and of the short keys.
-LONG = (5, 6)
+#: Hamming tables: bytes of the descriptor that are a key, and tables.
 SHORT = (3, 10)
-#: Tables dealt out in one shuffle.
-ROUND = 2
+#: Bytes of corners in a group of images, about; and groups at least, so that small tables are spread over some tasks too.
+GROUP = 24 << 20
+LEAST_GROUPS = 5
 #: Descriptors of a pair of corners differ in this many bits at most.
 MAX_HAMMING = 44
 #: Spots that must agree on one motion; the motion's cell, in pixels for pictures up to 64 pixels wide; and a spot's side.
@@ -50,15 +52,16 @@ MIN_VOTES = 4
 CELL = 10.0
 SPOT = 10.0
 SHARE = 0.25
-#: Long keys' buckets of more members than this are compared with their first member; short keys' in tiles of so many.
+#: Buckets of more members than this are first compared with their first member; all with all, up to the square of TILE pairs go together.
 FULL = 24
-TILE = 4096
+TILE = 2048
+#: Pairs of descriptors compared at once.
+AT_ONCE = 1 << 19
 
 #: A corner: its descriptor, place, scale and direction.
 CORNER = np.dtype([("bits", "u1", BITS // 8), ("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4")])
 DESCRIBED = "img long, sha string, corners binary"
-MATCHES = "a long, b long, ca int"
-WORDS = ["d0", "d1", "d2", "d3"]
+LINKS = "a long, b long"
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -267,85 +270,135 @@ def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFram
 
 
 def linked(pictures: DataFrame, alike: DataFrame, path: str) -> DataFrame:
-    """(node, root): components of pictures (img, corners) by their corners, and by the links (a, b) of exact copies."""
-    met = _met(pictures, LONG, _first_pass, ["img", "corner"], f"{path}/long")
-    links = written(_confirmed(met, pictures), f"{path}/links-1").unionByName(alike)
-    roots = components(links, f"{path}/roots-1")
-    owned = lambda placed: placed.join(roots.withColumnRenamed("node", "img"), "img", "left").withColumn("root", F.coalesce("root", "img"))
-    met = _met(pictures, SHORT, _lead_pass, ["img", "corner", "root"], f"{path}/leads", owned)
-    links = links.unionByName(written(_confirmed(met.filter("ca >= 0"), pictures), f"{path}/links-2"))
-    roots = components(links, f"{path}/roots-2")
-    large = met.filter("ca < 0").select(F.col("a").alias("bucket"), F.col("b").alias("n"))
-    large = None if large.isEmpty() else large
-
-    def tiled(placed: DataFrame) -> DataFrame:
-        """Each member of a large bucket goes to every pair of tiles that has its own."""
-        placed = owned(placed)
-        if large is None:
-            return placed.withColumns({"tile": F.lit(0), "cross": F.lit(False)})
-        placed = placed.join(large, "bucket", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("n") / TILE).cast("int"), F.lit(1)))
-        placed = placed.withColumn("tile", F.pmod(F.xxhash64("img", "corner"), F.col("tiles")).cast("int"))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        task = F.when(F.col("tiles") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("tile", "other"), F.greatest("tile", "other")))
-        return placed.withColumns({"cross": F.col("tile") != F.col("other"), "bucket": task})
-
-    met = _met(pictures, SHORT, _late_pass, ["img", "corner", "tile", "root", "cross"], f"{path}/all", tiled, ["root", "img", "corner"])
-    return components(links.unionByName(written(_confirmed(met, pictures), f"{path}/links-3")), f"{path}/roots-3")
-
-
-def _met(pictures: DataFrame, keys: tuple[int, int], compare: Callable, columns: list[str], path: str, owned: Callable[[DataFrame], DataFrame] = lambda placed: placed, order: list[str] = ["img", "corner"]) -> DataFrame:  # noqa: B006
-    """MATCHES that compare finds in the tables' buckets, a few tables a shuffle; compare gets the bucket, `columns`, and the words."""
-    width, tables = keys
-    parts = []
-    for k in range(0, tables, ROUND):
-        rows = owned(_placed(pictures, range(k, min(tables, k + ROUND)), width)).select("bucket", *columns, *WORDS)
-        parts.append(f"{path}-{k}")
-        written(rows.repartition("bucket").sortWithinPartitions("bucket", *order).mapInArrow(_by_bucket(compare), MATCHES), parts[-1])
-    return pictures.sparkSession.read.schema(MATCHES).parquet(*parts)
-
-
-def _placed(pictures: DataFrame, tables: range, width: int) -> DataFrame:
-    """(bucket, img, corner, d0 to d3): each descriptor's places in some of the tables; keys of `width` bytes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column(1).to_pylist()
-            corners = np.frombuffer(b"".join(held), CORNER)
-            sizes = np.array([len(x) // CORNER.itemsize for x in held], np.int64)
-            img = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
-            number = (np.arange(len(corners)) - np.repeat(sizes.cumsum() - sizes, sizes)).astype(np.int32)
-            words = np.ascontiguousarray(corners["bits"]).view(np.int64)
-            for k in tables:
-                key = corners["bits"][:, width * k : width * (k + 1)].astype(np.int64) @ (1 << 8 * np.arange(width, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key | k << 8 * width), pa.array(img), pa.array(number), *[pa.array(words[:, w]) for w in range(4)]], names=["bucket", "img", "corner", *WORDS])
-
-    return pictures.mapInArrow(run, "bucket long, img long, corner int, d0 long, d1 long, d2 long, d3 long")
-
-
-def _by_bucket(compare: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function over Arrow batches sorted by bucket (the first column), that calls compare with the columns of whole buckets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # the last bucket's rows, as it may go on
+    """(node, root): components of pictures (img, corners) by their corners, and by the links (a, b) of exact copies.
 
-        def found() -> pa.RecordBatch:
-            a, b, ca = compare(*(np.concatenate(c) for c in zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ca, pa.int32())], names=["a", "b", "ca"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            last = int(np.argmax(cols[0] == cols[0][-1]))  # where the batch's last bucket begins
-            if last:
-                held.append([c[:last] for c in cols])
-            if held and (last or held[0][0][0] != cols[0][0]):
-                yield found()
-                held = []
-            held.append([c[last:] for c in cols])
-        if held:
-            yield found()
-        trim()
-
-    return run
+    Each two groups of images meet in one task, so a group goes to as many tasks as there are groups.
+    Many images under one id are dealt out like any others.
+    """
+    held = pictures.agg(F.sum(F.length("corners"))).first()[0] or 0
+    groups = max(LEAST_GROUPS, math.ceil(held / GROUP))
+    rows = pictures.withColumn("own", F.pmod(F.xxhash64("img", "corners"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    rows = rows.select((high * (high + 1) / 2 + low).cast("int").alias("task"), (low != high).alias("cross"), F.when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"), "img", "corners")
+    links = rows.repartitionById(groups * (groups + 1) // 2, "task").select("cross", "side", "img", "corners").mapInArrow(_task, LINKS)
+    return components(written(links, f"{path}/links").unionByName(alike), f"{path}/roots")
+
+
+def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links among the images of one task."""
+    cross, side, img, held = False, [], [], []
+    for batch in batches:
+        if batch.num_rows:
+            cross = batch.column(0)[0].as_py()
+            side.append(batch.column(1).to_numpy(zero_copy_only=False))
+            img.append(batch.column(2).to_numpy(zero_copy_only=False))
+            held += batch.column(3).to_pylist()
+    if held:
+        links = _links(cross, np.concatenate(side), np.concatenate(img), held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    trim()
+
+
+def _links(cross: bool, side: np.ndarray, img: np.ndarray, held: list[bytes]) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components of images; if cross, only pairs of images of two sides are all compared.
+
+    Nodes are ids in their order. Rows are corners, by side and id: those of a node are together there, whatever its pictures. held is emptied.
+    """
+    order = np.lexsort((img, side))
+    ids, node = np.unique(img, return_inverse=True)
+    sizes = np.array([len(held[k]) // CORNER.itemsize for k in order], np.int64)
+    corners = np.frombuffer(b"".join(held[k] for k in order), CORNER)
+    held.clear()
+    node, ends = node[order], sizes.cumsum()
+    pictures = defaultdict(list)
+    for k, n in enumerate(node.tolist()):
+        pictures[n].append(slice(ends[k] - sizes[k], ends[k]))
+    n_first = int(sizes[side[order] == 0].sum()) if cross else len(corners)  # rows of the first side
+    node = np.repeat(node, sizes)
+    corner = np.arange(len(node))
+    words = list(np.ascontiguousarray(np.ascontiguousarray(corners["bits"]).view(np.int64).T))
+    parent, links = list(range(len(ids))), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def confirm(a: np.ndarray, b: np.ndarray, ca: np.ndarray) -> None:
+        """Links the nodes with two different corners that match, if they agree by all their corners."""
+        if not len(a):
+            return
+        pair = a.astype(np.int64) * len(ids) + b
+        by = np.argsort(pair)
+        pair, ca = pair[by], ca[by]
+        at, _ = _buckets(pair)
+        for code in pair[at[np.minimum.reduceat(ca, at) != np.maximum.reduceat(ca, at)]].tolist():
+            x, y = divmod(code, len(ids))
+            if (p := find(x)) != (q := find(y)) and any(agree(corners[i], corners[j]) for i in pictures[x] for j in pictures[y]):
+                parent[max(p, q)] = min(p, q)
+                links.append((int(ids[x]), int(ids[y])))
+
+    if not n_first or cross and n_first == len(node):
+        return []  # one side is empty
+    for k in range(SHORT[1]):
+        confirm(*_lead_pass(_keys(corners, k), node, corner, *words))
+    root = np.array([find(x) for x in range(len(ids))])
+    after = n_first if cross else 0  # the other side's first row
+    tables, weight = [], np.zeros(n_first, np.int64)
+    for k in range(SHORT[1]):
+        key = _keys(corners, k)
+        code = key << 32 | root[node]
+        by = np.argsort(code[after:])
+        there = code[after:][by]
+        mine = np.argsort(code[:n_first]) if cross else by
+        own = code[mine]  # in order, as it is looked up faster
+        key = own >> 32 << 32
+        weight[mine] += np.searchsorted(there, key + (1 << 32)) - np.searchsorted(there, key) - np.searchsorted(there, own, "right") + np.searchsorted(there, own)
+        tables.append(((there >> 32).astype(np.int32), (by + after).astype(np.int32)))
+    for s, e in _blocks(weight, node[:n_first]):
+        root = np.array([find(x) for x in range(len(ids))])
+        found = []
+        for k, (there, by) in enumerate(tables):
+            key = _keys(corners[s:e], k)
+            wanted = np.unique(key).astype(np.int32)
+            lo, hi = np.searchsorted(there, wanted), np.searchsorted(there, wanted, "right")
+            other = by[_ranges(lo, hi)]
+            bucket = np.concatenate([key, np.repeat(wanted, hi - lo)])
+            row = np.concatenate([np.arange(s, e), other])
+            tile = np.repeat([0, 1], [e - s, len(other)])
+            if not cross:  # what stands before has been compared
+                keep = row >= s
+                bucket, row, tile = bucket[keep], row[keep], tile[keep]
+            to = np.argsort(bucket << 32 | root[node[row]])
+            bucket, row, tile = bucket[to], row[to], tile[to]
+            found.append(_late_pass(bucket, node[row], corner[row], tile, root[node[row]], np.ones(len(row), bool), *[w[row] for w in words]))
+        confirm(*(np.concatenate(x) for x in zip(*found)))
+    return links
+
+
+def _keys(corners: np.ndarray, k: int) -> np.ndarray:
+    """The corners' keys in one of the tables."""
+    width = SHORT[0]
+    return corners["bits"][:, width * k : width * (k + 1)].astype(np.int64) @ (1 << 8 * np.arange(width, dtype=np.int64))
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers from each lo to its hi, one after the other."""
+    n = hi - lo
+    return np.arange(n.sum()) + np.repeat(lo - n.cumsum() + n, n)
+
+
+def _blocks(weight: np.ndarray, node: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of whole nodes, whose weights sum up to the square of TILE at most if it is more than one node; without those that have none."""
+    starts, _ = _buckets(node)
+    ends = np.append(starts[1:], len(node))
+    total = weight.cumsum()[ends - 1]
+    at, done = 0, 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(total, done + TILE * TILE, "right")))
+        if total[upto - 1] > done:
+            yield int(starts[at]), int(ends[upto - 1])
+        at, done = upto, int(total[upto - 1])
 
 
 def _close(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,75 +424,43 @@ def _buckets(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(bucket)]]))
 
 
-def _first_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches in buckets of up to FULL rows, and with the first row of fuller ones.
-
-    All buckets are compared at once, each row with that one, two, three ... rows on.
-    """
-    starts, size = _buckets(bucket)
-    row = np.arange(len(bucket))
-    left = np.repeat(starts + size, size) - row - 1  # rows of the bucket after this one
-    full = np.repeat(size > FULL, size)
-    pairs, by, at = [], 1, row[(left > 0) & ~full]
-    while len(at):
-        differ = at[img[at] != img[at + by]]
-        pairs.append(_close(words, differ, differ + by))
-        by += 1
-        at = at[left[at] >= by]
-    lead = np.repeat(starts, size)
-    at = row[full & (img != img[lead])]
-    pairs.append(_close(words, lead[at], at))
-    return _named(img, corner, pairs)
-
-
-def _lead_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, root: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches of each bucket's first row with those of other roots; and a row (bucket, size, -1) for each bucket too large for a tile."""
-    starts, size = _buckets(bucket)
-    lead = np.repeat(starts, size)
-    at = np.nonzero(root != root[lead])[0]
-    a, b, ca = _named(img, corner, [_close(words, lead[at], at)])
-    large = starts[size > TILE]
-    return np.concatenate([a, bucket[large]]), np.concatenate([b, size[size > TILE]]), np.concatenate([ca, np.full(len(large), -1)])
+def _lead_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of the first row of each bucket of more than FULL rows with the other images' rows in it; rows in any order."""
+    by = np.argsort(bucket, kind="stable")
+    starts, size = _buckets(bucket[by])
+    lead, full = by[np.repeat(starts, size)], np.repeat(size > FULL, size)
+    keep = full & (img[by] != img[lead])
+    return _named(img, corner, [_close(words, lead[keep], by[keep])])
 
 
 def _late_pass(bucket: np.ndarray, img: np.ndarray, corner: np.ndarray, tile: np.ndarray, root: np.ndarray, cross: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches between rows of different roots; where two tiles meet, only those between the tiles.
+    """Matches between rows of different roots; where two tiles (0 and 1) meet, only those between the tiles.
 
-    Rows are in the order of their roots; those of one root are passed over together.
+    Rows are in the order of their buckets and roots; each is compared with the bucket's others
+    before and after those of its root.
     """
+    if not len(bucket):
+        return _named(img, corner, [])
+    new = np.diff(bucket) != 0
+    group = np.concatenate([[0], new.cumsum()])
+    run = np.concatenate([[0], (new | (np.diff(root) != 0)).cumsum()])
     pairs = []
-    cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
-    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        if root[s] == root[e - 1]:
-            continue
-        at = s
-        while at < e:
-            rest = at + int(np.searchsorted(root[at:e], root[at], "right"))
-            if rest == e:
-                break
-            for k in range(at, rest, 256):
-                i, j = (x.ravel() for x in np.meshgrid(np.arange(k, min(rest, k + 256)), np.arange(rest, e), indexing="ij"))
-                if cross[s]:
-                    i, j = i[tile[i] != tile[j]], j[tile[i] != tile[j]]
-                pairs.append(_close(words, i, j))
-            at = rest
+    one, two = np.nonzero(~cross)[0], np.nonzero(~cross)[0]
+    pairs += _spans(words, one, two, np.searchsorted(run[two], run[one], "right"), np.searchsorted(group[two], group[one], "right"))
+    one, two = np.nonzero(cross & (tile == 0))[0], np.nonzero(cross & (tile != 0))[0]
+    pairs += _spans(words, one, two, np.searchsorted(group[two], group[one]), np.searchsorted(run[two], run[one]))
+    pairs += _spans(words, one, two, np.searchsorted(run[two], run[one], "right"), np.searchsorted(group[two], group[one], "right"))
     return _named(img, corner, pairs)
 
 
-def _confirmed(matches: DataFrame, pictures: DataFrame) -> DataFrame:
-    """(a, b): of the pictures with two different corners that match, those that agree by all their corners."""
-    pairs = matches.groupBy("a", "b").agg(F.min("ca").alias("low"), F.max("ca").alias("high")).filter("low <> high").select("a", "b")
-    one = pictures.select(F.col("img").alias("a"), F.col("corners").alias("of_a"))
-    two = pictures.select(F.col("img").alias("b"), F.col("corners").alias("of_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(*(batch.column(k).to_pylist() for k in (2, 3)))
-            keep = [agree(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER)) for x, y in both]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
-        trim()
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long").distinct()
+def _spans(words: tuple[np.ndarray, ...], one: np.ndarray, two: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each row of one with its span of two, the pairs that match; some AT_ONCE pairs at a time."""
+    total = (hi - lo).cumsum()
+    at = 0
+    while at < len(one):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield _close(words, np.repeat(one[at:upto], (hi - lo)[at:upto]), two[_ranges(lo[at:upto], hi[at:upto])])
+        at = upto
 
 
 # --- pictures from vectors: the media column of tables that have none -----------------------------

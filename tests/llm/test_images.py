@@ -174,6 +174,70 @@ def test_late_pass_against_brute_force():
         assert set(zip(a.tolist(), b.tolist(), ca.tolist())) == want and want
 
 
+def met(a, b):
+    """Whether two different corners of a match some of b that share a key with them."""
+    width, tables = images.SHORT
+    found = {i for i in range(len(a)) for j in range(len(b)) for k in range(tables) if (a["bits"][i] == b["bits"][j])[width * k : width * (k + 1)].all() and np.bitwise_count(a["bits"][i] ^ b["bits"][j]).sum() <= images.MAX_HAMMING}
+    return len(found) > 1
+
+
+def joined(nodes, links):
+    root = {k: k for k in nodes}
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("full,tile,at_once", [(0, 3, 50), (4, 40, 1000), (1 << 30, 2048, 1 << 19)])
+def test_links_of_a_task_against_brute_force(monkeypatch, full, tile, at_once):
+    """Pictures, crops and near copies, some ids with two pictures; all pairs, and those of two sides."""
+    for name, value in (("FULL", full), ("TILE", tile), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(images, name, value)
+    a = drawn(14, seed=3)
+    pictures = [*a, *a[:4, 6:60, 3:57], *(a[:1] + np.random.default_rng(4).normal(0, 8, (8, 64, 64)))]
+    corners = [images.describe(x[None].astype(np.float32))[1] for x in pictures]
+    img = np.random.default_rng(6).permutation(26) * 7 % 23  # three ids twice
+    of = {k: [corners[n] for n in np.nonzero(img == k)[0]] for k in img.tolist()}
+    true = {(x, y) for x in of for y in of if x < y and any(met(p, q) for p in of[x] for q in of[y]) and any(images.agree(p, q) for p in of[x] for q in of[y])}
+    side = img % 2
+    assert len(set(of)) < 26 and len(true) > 8
+    held = [c.tobytes() for c in corners]
+    assert joined(of, images._links(False, 0 * side, img, list(held))) == joined(of, true)
+    got = images._links(True, side, img, list(held))
+    assert set(got) <= true and len(got) == len(of) - len(set(joined(of, got).values()))
+    both = joined(of, got)
+    assert all(both[x] == both[y] for x, y in true if (x + y) % 2)
+    halves = np.arange(26) % 2  # an id may be on both sides
+    parts = [*(images._links(False, halves[halves == n], img[halves == n], [h for h, x in zip(held, halves) if x == n]) for n in (0, 1)), images._links(True, halves, img, list(held))]
+    assert joined(of, sum(parts, [])) == joined(of, true) and set(img[halves == 0]) & set(img[halves == 1])
+    assert images._links(True, 0 * side, img, list(held)) == images._links(True, 0 * side + 1, img, list(held)) == []
+
+
+def test_only_links_leave_a_task(spark, tmp_path, monkeypatch):
+    """Many pictures that share two corners, without a link, and a crowd of copies: what is written grows with the pictures, not with their pairs."""
+    rng = np.random.default_rng(7)
+    logo = np.zeros(2, images.CORNER)
+    logo["bits"], logo["scale"] = rng.integers(0, 256, (2, 32)), 1
+
+    def picture():
+        own = np.zeros(8, images.CORNER)
+        own["bits"], own["x"], own["y"], own["scale"] = rng.integers(0, 256, (8, 32)), rng.uniform(0, 50, 8), rng.uniform(0, 50, 8), 1
+        return own
+
+    crowd = picture()
+    rows = [(k, np.concatenate([logo, picture()]).tobytes()) for k in range(120)] + [(k, crowd.tobytes()) for k in range(500, 620)]
+    pictures = spark.createDataFrame(rows, "img long, corners binary").repartition(3)
+    alike = spark.createDataFrame([], "a long, b long")
+    want = {k: 500 for k in range(500, 620)}
+    for groups, size in ((5, 24 << 20), (1, 1 << 40), (1, 20_000)):
+        monkeypatch.setattr(images, "LEAST_GROUPS", groups)
+        monkeypatch.setattr(images, "GROUP", size)
+        path = tmp_path / f"{groups}-{size}"
+        assert {r["node"]: r["root"] for r in images.linked(pictures, alike, str(path)).collect()} == want
+        assert all(spark.read.parquet(str(x)).count() <= 1500 for x in {f.parent for f in path.rglob("*.parquet")})
+
+
 def test_large_pictures_have_more_corners_and_scales():
     rng = np.random.default_rng(2)
     big = images._box(rng.normal(128, 40, (1, 300, 200)).astype(np.float32), 1) / 9
