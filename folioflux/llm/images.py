@@ -45,6 +45,8 @@ SHORT = (3, 10)
 #: Bytes of corners in a group of images, about; and groups at least, so that small tables are spread over some tasks too.
 GROUP = 24 << 20
 LEAST_GROUPS = 5
+#: Numbers of steps between groups that meet by one shuffle.
+ROUND = 3
 #: Descriptors of a pair of corners differ in this many bits at most.
 MAX_HAMMING = 44
 #: Spots that must agree on one motion; the motion's cell, in pixels for pictures up to 64 pixels wide; and a spot's side.
@@ -272,16 +274,24 @@ def copies(media: DataFrame, img: str = "img", image: str = "image") -> DataFram
 def linked(pictures: DataFrame, alike: DataFrame, path: str) -> DataFrame:
     """(node, root): components of pictures (img, corners) by their corners, and by the links (a, b) of exact copies.
 
-    Each two groups of images meet in one task, so a group goes to as many tasks as there are groups.
-    Many images under one id are dealt out like any others.
+    Each two groups of images meet in one task, a group and the one so many steps on, for ROUND numbers
+    of steps in a shuffle; so a shuffle has two copies of the table a step at most. Many images under
+    one id are dealt out like any others.
     """
     held = pictures.agg(F.sum(F.length("corners"))).first()[0] or 0
     groups = max(LEAST_GROUPS, math.ceil(held / GROUP))
-    rows = pictures.withColumn("own", F.pmod(F.xxhash64("img", "corners"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select((high * (high + 1) / 2 + low).cast("int").alias("task"), (low != high).alias("cross"), F.when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"), "img", "corners")
-    links = rows.repartitionById(groups * (groups + 1) // 2, "task").select("cross", "side", "img", "corners").mapInArrow(_task, LINKS)
-    return components(written(links, f"{path}/links").unionByName(alike), f"{path}/roots")
+    pictures = pictures.withColumn("own", F.pmod(F.xxhash64("img", "corners"), F.lit(groups)).cast("int"))
+    parts = []
+    for k in range(0, groups // 2 + 1, ROUND):
+        steps = range(k, min(groups // 2 + 1, k + ROUND))
+        # (steps, side): the groups' first ones, then those that they meet; none but themselves at no steps
+        places = F.array(*[F.struct(F.lit(d).alias("step"), F.lit(side).alias("side")) for d in steps for side in (0, 1)[: 1 + (d > 0)]])
+        rows = pictures.withColumn("place", F.explode(places)).select("img", "corners", "place.*", F.pmod(F.col("own") - F.col("place.step") * F.col("place.side"), F.lit(groups)).alias("first"))
+        rows = rows.filter((F.col("step") * 2 < groups) | (F.col("first") < F.col("step")))  # halfway round, each two groups would meet twice
+        rows = rows.select(((F.col("step") - k) * groups + F.col("first")).cast("int").alias("task"), (F.col("step") > 0).alias("cross"), "side", "img", "corners")
+        parts.append(f"{path}/links-{k}")
+        written(rows.repartitionById(groups * len(steps), "task").select("cross", "side", "img", "corners").mapInArrow(_task, LINKS), parts[-1])
+    return components(pictures.sparkSession.read.schema(LINKS).parquet(*parts).unionByName(alike), f"{path}/roots")
 
 
 def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
